@@ -73,30 +73,6 @@ def temporal_consistency(corr: Column, ssim: Column, edge: Column, hist: Column)
     return clamp(corr * 0.3 + ssim * 0.3 + edge * 0.2 + hist * 0.2)
 
 
-def frame_quality(pixels: Column, width: int) -> Column:
-    """0.7 * sharpness (Laplacian variance / 500, at most 1) + 0.3 * contrast (deviation / 128).
-
-    The Laplacian mirrors the grid at its border without repeating the edge pixel.
-    """
-    n = F.size(pixels)
-    rows = (n / width).cast("int")
-
-    def at(row: Column, col: Column) -> Column:
-        r = F.when(row < 0, 1).when(row >= rows, rows - 2).otherwise(row)
-        c = F.when(col < 0, 1).when(col >= width, width - 2).otherwise(col)
-        return F.get(pixels, (r * width + c).cast("int"))
-
-    def laplacian(i: Column) -> Column:
-        row, col = F.floor(i / width), i % width
-        around = at(row - 1, col) + at(row + 1, col) + at(row, col - 1) + at(row, col + 1)
-        return around - 4 * F.get(pixels, i)
-
-    edges = F.transform(F.sequence(F.lit(0), n - 1), laplacian)
-    sharp = moments(edges, pixels)
-    blur = F.least(sharp["va"] / 500, F.lit(1.0))
-    return clamp(0.7 * blur + 0.3 * (F.sqrt(sharp["vb"]) / 128))
-
-
 def sample_indices(total_rows: Column, k: int) -> Column:
     """k indices spread evenly from first to last; all of them when there are fewer."""
     spread = F.transform(

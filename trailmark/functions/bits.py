@@ -24,6 +24,11 @@ def _hex32(text: Column) -> Column:
     return F.conv(text, 16, 10).cast("bigint")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def hex_word(frame_hash: Column) -> Column:
     """Up to 16 hex digits as one long; the sign bit carries bit 63."""
     padded = F.lpad(frame_hash, 16, "0")
@@ -55,12 +60,16 @@ def median_bits(values: Column, mean_median: bool = False) -> Column:
     The default median is the element after the middle of the ascending sort;
     ``mean_median`` takes the mean of the two middle elements instead.
     """
-    ordered = F.array_sort(values)
     half = F.floor(F.size(values) / 2).cast("int")
-    middle = F.element_at(ordered, half + 1)
-    if mean_median:
-        middle = (F.element_at(ordered, half) + middle) / 2
-    return F.array_join(F.transform(values, lambda v: F.when(v > middle, "1").otherwise("0")), "")
+
+    def middle(ordered: Column) -> Column:
+        upper = F.element_at(ordered, half + 1)
+        return (F.element_at(ordered, half) + upper) / 2 if mean_median else upper
+
+    def compare(median: Column) -> Column:
+        return F.transform(values, lambda v: F.when(v > median, "1").otherwise("0"))
+
+    return F.array_join(let(middle(F.array_sort(values)), compare), "")
 
 
 def dhash_bits(pixels: Column, width: int) -> Column:
@@ -74,18 +83,25 @@ def dhash_bits(pixels: Column, width: int) -> Column:
     )
 
 
+def _strip_zeros(hex_text: Column) -> Column:
+    return F.coalesce(F.nullif(F.ltrim(hex_text, F.lit("0")), F.lit("")), F.lit("0"))
+
+
 def _bits_to_short_hex(bits: Column) -> Column:
     """Hex of any number of bits without leading zeros ('0' for zero)."""
-    words = F.ceil(F.length(bits) / 32).cast("int")
-    padded = F.lpad(bits, words * 32, F.lit("0"))
-    full = F.array_join(
-        F.transform(
-            F.sequence(F.lit(0), words - 1),
+
+    def words(padded: Column) -> Column:
+        full = F.transform(
+            F.sequence(F.lit(0), (F.length(padded) / 32).cast("int") - 1),
             lambda i: F.lpad(F.conv(F.substr(padded, i * 32 + 1, F.lit(32)), 2, 16), 8, "0"),
-        ),
-        "",
-    )
-    return F.coalesce(F.nullif(F.ltrim(full, F.lit("0")), F.lit("")), F.lit("0"))
+        )
+        return _strip_zeros(F.array_join(full, ""))
+
+    whole = F.ceil(F.length(bits) / 32).cast("int") * 32
+    return let(F.lpad(bits, whole, F.lit("0")), words)
+
+
+STANDARD_LAYOUT = f"^[0-9A-Fa-f]{{16}}(?:-[0-9A-Fa-f]{{16}}){{{FRAMES - 1}}}$"
 
 
 def lsh_bands(phash: Column, num_bands: int = NUM_BANDS, scheme: str = "bits") -> Column:
@@ -108,15 +124,23 @@ def lsh_bands(phash: Column, num_bands: int = NUM_BANDS, scheme: str = "bits") -
         )
     if scheme != "bits":
         raise ValueError(f"unknown band scheme: {scheme}")
-    bits = hex_to_bits(clean)
-    total = F.length(bits)
 
-    def band(i: Column) -> Column:
-        start = F.floor(i * total / num_bands).cast("int")
-        end = F.floor((i + 1) * total / num_bands).cast("int")
-        return _bits_to_short_hex(F.substr(bits, start + 1, end - start))
+    def cut(bits: Column) -> Column:
+        total = F.length(bits)
+
+        def band(i: Column) -> Column:
+            start = F.floor(i * total / num_bands).cast("int")
+            end = F.floor((i + 1) * total / num_bands).cast("int")
+            return let(F.substr(bits, start + 1, end - start), _bits_to_short_hex)
+
+        return F.transform(index, band)
 
-    return F.transform(index, band)
+    general = let(hex_to_bits(clean), cut)
+    if num_bands != FRAMES:
+        return general
+    # one band per frame: the frame's own digits
+    frames = F.transform(F.split(F.upper(phash), "-"), _strip_zeros)
+    return F.when(phash.rlike(STANDARD_LAYOUT), frames).otherwise(general)
 
 
 def char_distance(a: Column, b: Column) -> Column:

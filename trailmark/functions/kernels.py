@@ -1,4 +1,4 @@
-"""Two NumPy kernels over Arrow batches: low-frequency cosine transform and spectral power."""
+"""NumPy kernels over Arrow batches: cosine transform, spectral power and frame quality."""
 
 from __future__ import annotations
 
@@ -65,3 +65,29 @@ def frequency_artifacts(df: DataFrame, n: int) -> DataFrame:
             yield out
 
     return df.mapInPandas(run, schema)
+
+
+def frame_quality(df: DataFrame, n: int) -> DataFrame:
+    """Adds ``quality`` of the n x n grid in ``pixels``, in [0, 1].
+
+    0.7 * sharpness (Laplacian variance / 500, at most 1) + 0.3 * contrast (deviation / 128).
+    The Laplacian mirrors the grid at its border without repeating the edge pixel.
+    """
+    keep = [c for c in df.columns if c != "pixels"]
+    schema = df.select(*keep, F.lit(0.0).alias("quality")).schema
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = batch[keep].copy()
+            if len(batch):
+                grid = np.stack(batch["pixels"].to_numpy()).astype("float64").reshape(-1, n, n)
+                p = np.pad(grid, ((0, 0), (1, 1), (1, 1)), mode="reflect")
+                around = p[:, :-2, 1:-1] + p[:, 2:, 1:-1] + p[:, 1:-1, :-2] + p[:, 1:-1, 2:]
+                sharp = np.minimum((around - 4 * grid).var(axis=(1, 2)) / 500, 1.0)
+                mixed = 0.7 * sharp + 0.3 * grid.std(axis=(1, 2)) / 128
+                out["quality"] = np.clip(mixed, 0.0, 1.0)
+            else:
+                out["quality"] = pd.Series(dtype="float64")
+            yield out
+
+    return df.mapInPandas(run, schema)

@@ -11,15 +11,11 @@ from pyspark.sql import functions as F
 
 from trailmark.functions.decide import SEVERITIES, ladder, severity_rank, to_basis_points
 from trailmark.operators.runs import RUN_ROWS
-from trailmark.operators.spread import (
-    first_country_events,
-    new_country_spread,
-    same_ip_reuploads,
-    threshold_crossings,
-)
+from trailmark.operators.spread import first_country_events, same_ip_reuploads
 from trailmark.sources.rules import ALERT_RULES, GLOBAL_RULES
 
 DAY = 86_400
+KEYS = ["video_hash", "alert_type"]
 
 CANDIDATE_COLUMNS = [
     "alert_id", "video_hash", "alert_type", "severity", "message", "ts", "seconds", "event_id",
@@ -37,21 +33,29 @@ def effective_rules(items: DataFrame, overrides: DataFrame) -> DataFrame:
     )
 
 
-def _candidate(df: DataFrame, kind: str, severity: Column, message: Column, **drop) -> DataFrame:
+def _alert(
+    kind: str, severity: Column, message: Column, source: bool = True, place: bool = True
+) -> Column:
+    """One alert as a struct; the id comes from the content, so no global counter is needed."""
     key = F.concat_ws("|", "video_hash", F.lit(kind), F.col("event_id").cast("string"))
-    shaped = df.withColumns(
-        {
-            "alert_type": F.lit(kind),
-            "severity": severity,
-            "message": message,
-            # an id from the content, so that no global counter is needed
-            "alert_id": F.substring(F.sha2(key, 256), 1, 16),
-        }
-    )
-    for column in ("ip_hash", "country"):
-        if drop.get(column):
-            shaped = shaped.withColumn(column, F.lit(""))
-    return shaped.select(*CANDIDATE_COLUMNS)
+    values = {
+        "alert_id": F.substring(F.sha2(key, 256), 1, 16),
+        "video_hash": F.col("video_hash"),
+        "alert_type": F.lit(kind),
+        "severity": severity,
+        "message": message,
+        "ts": F.col("ts"),
+        "seconds": F.col("seconds"),
+        "event_id": F.col("event_id"),
+        "ip_hash": F.col("ip_hash") if source else F.lit(""),
+        "country": F.col("country") if place else F.lit(""),
+    }
+    return F.struct(*[c.alias(n) for n, c in values.items()])
+
+
+def _rows(df: DataFrame, *alerts: Column) -> DataFrame:
+    """The non-NULL alerts of every row, one row each."""
+    return df.select(F.inline(F.array_compact(F.array(*alerts))))
 
 
 def first_detection_severity(confidence: Column, policy: str = "ledger") -> Column:
@@ -91,7 +95,7 @@ def first_detection_alerts(sightings: DataFrame, policy: str = "ledger") -> Data
         F.col("country"),
     )
     severity = first_detection_severity(F.col("confidence"), policy)
-    return _candidate(firsts, "FIRST_DETECTION", severity, message)
+    return _rows(firsts, _alert("FIRST_DETECTION", severity, message))
 
 
 def reupload_alerts(
@@ -109,15 +113,11 @@ def reupload_alerts(
     severity = (
         F.lit("HIGH") if policy == "ledger" else rule_severity("reupload", F.col("upload_count"))
     )
-    return _candidate(hits, "REUPLOAD", severity, message)
+    return _rows(hits, _alert("REUPLOAD", severity, message))
 
 
-def geo_spread_alerts(
-    sightings: DataFrame, rules: DataFrame, run_rows: int = RUN_ROWS, policy: str = "ledger"
-) -> DataFrame:
-    """New-country events once the item is in as many countries as its threshold."""
-    rows = new_country_spread(sightings, run_rows).join(rules, "video_hash")
-    hits = rows.where("enabled and unique_countries >= country_threshold")
+def _geo_spread(policy: str = "ledger") -> Column:
+    """New-country event once the item is in as many countries as its threshold, else NULL."""
     n = F.col("unique_countries")
     message = F.concat(
         F.lit("Deepfake spread from "),
@@ -134,21 +134,20 @@ def geo_spread_alerts(
         if policy == "rules"
         else F.when(n >= critical_from[policy], "CRITICAL").otherwise("HIGH")
     )
-    return _candidate(hits, "GEO_SPREAD", severity, message, ip_hash=True)
+    due = F.expr(
+        "enabled and is_new_country and spread_count > 1 and unique_countries >= country_threshold"
+    )
+    return F.when(due, _alert("GEO_SPREAD", severity, message, source=False))
 
 
-def threshold_alerts(
-    sightings: DataFrame, rules: DataFrame, run_rows: int = RUN_ROWS
-) -> DataFrame:
-    hits = threshold_crossings(sightings, rules, run_rows).where("crosses_detection")
-    message = F.concat(
-        F.lit("Video detected "), F.col("spread_count").cast("string"), F.lit(" times")
-    )
-    return _candidate(hits, "THRESHOLD", F.lit("HIGH"), message, ip_hash=True, country=True)
+def _threshold() -> Column:
+    count = F.col("spread_count").cast("string")
+    message = F.concat(F.lit("Video detected "), count, F.lit(" times"))
+    due = F.expr("enabled and spread_count % detection_threshold = 0")
+    return F.when(due, _alert("THRESHOLD", F.lit("HIGH"), message, source=False, place=False))
 
 
-def viral_alerts(sightings: DataFrame, rules: DataFrame, run_rows: int = RUN_ROWS) -> DataFrame:
-    hits = threshold_crossings(sightings, rules, run_rows).where("crosses_spread")
+def _viral() -> Column:
     message = F.concat(
         F.lit("Video spread to "),
         F.col("spread_count").cast("string"),
@@ -156,7 +155,41 @@ def viral_alerts(sightings: DataFrame, rules: DataFrame, run_rows: int = RUN_ROW
         F.col("unique_countries").cast("string"),
         F.lit(" countries"),
     )
-    return _candidate(hits, "VIRAL", F.lit("CRITICAL"), message, ip_hash=True, country=True)
+    due = F.expr("enabled and spread_count % spread_threshold = 0")
+    return F.when(due, _alert("VIRAL", F.lit("CRITICAL"), message, source=False, place=False))
+
+
+def _numbered(sightings: DataFrame, rules: DataFrame, run_rows: int) -> DataFrame:
+    return first_country_events(sightings, run_rows).join(rules, "video_hash")
+
+
+def geo_spread_alerts(
+    sightings: DataFrame, rules: DataFrame, run_rows: int = RUN_ROWS, policy: str = "ledger"
+) -> DataFrame:
+    return _rows(_numbered(sightings, rules, run_rows), _geo_spread(policy))
+
+
+def threshold_alerts(
+    sightings: DataFrame, rules: DataFrame, run_rows: int = RUN_ROWS
+) -> DataFrame:
+    return _rows(_numbered(sightings, rules, run_rows), _threshold())
+
+
+def viral_alerts(sightings: DataFrame, rules: DataFrame, run_rows: int = RUN_ROWS) -> DataFrame:
+    return _rows(_numbered(sightings, rules, run_rows), _viral())
+
+
+def all_candidates(
+    sightings: DataFrame, rules: DataFrame, run_rows: int = RUN_ROWS
+) -> DataFrame:
+    """Candidates of every type; the three that count events share one numbering of them."""
+    enabled = rules.where("enabled").select("video_hash")
+    first = first_detection_alerts(sightings).join(enabled, "video_hash", "left_semi")
+    counted = _rows(
+        _numbered(sightings, rules, run_rows), _geo_spread(), _threshold(), _viral()
+    )
+    again = reupload_alerts(sightings, rules, run_rows)
+    return first.select(*CANDIDATE_COLUMNS).unionByName(counted).unionByName(again)
 
 
 def alert_cooldown(
@@ -287,24 +320,6 @@ def alert_cooldown(
     return both.select(*candidates.columns).unionByName(free)
 
 
-KEYS = ["video_hash", "alert_type"]
-
-
-def all_candidates(
-    sightings: DataFrame, rules: DataFrame, run_rows: int = RUN_ROWS
-) -> DataFrame:
-    parts = [
-        first_detection_alerts(sightings).join(
-            rules.where("enabled").select("video_hash"), "video_hash", "left_semi"
-        ),
-        reupload_alerts(sightings, rules, run_rows),
-        geo_spread_alerts(sightings, rules, run_rows),
-        threshold_alerts(sightings, rules, run_rows),
-        viral_alerts(sightings, rules, run_rows),
-    ]
-    return reduce(lambda a, b: a.unionByName(b), parts)
-
-
 def create_alerts(
     sightings: DataFrame,
     rules: DataFrame,

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.functions import bits
+from trailmark.session import cut_lineage
 
 HOT_PAIRS = 20_000_000
 
@@ -43,7 +44,7 @@ def _codes(df: DataFrame, num_bands: int, scheme: str) -> DataFrame:
             F.col("perceptual_hash").alias("code"),
             bits.lsh_bands(F.col("perceptual_hash"), num_bands, scheme).alias("bands"),
             F.when(
-                F.col("perceptual_hash").rlike("^[0-9A-Fa-f]{16}(?:-[0-9A-Fa-f]{16}){4}$"),
+                F.col("perceptual_hash").rlike(bits.STANDARD_LAYOUT),
                 F.transform(parts, bits.hex_word),
             ).alias("words"),
         )
@@ -168,7 +169,9 @@ def near_duplicate_pairs(
     remaining digits) instead, which by the pigeonhole principle finds the same pairs.
     """
     scheme = "chars" if mode == "family" else "bits"
-    left, right = _codes(queries, num_bands, scheme), _codes(registry, num_bands, scheme)
+    # written once to the shared folder: the codes are read by the counts and by every join
+    left = cut_lineage(_codes(queries, num_bands, scheme))
+    right = left if registry is queries else cut_lineage(_codes(registry, num_bands, scheme))
     band_key = ["band_index", "band_value"]
 
     def exploded(df: DataFrame, side: str) -> DataFrame:
@@ -184,21 +187,29 @@ def near_duplicate_pairs(
     def sizes(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy(*band_key).agg(F.count(F.lit(1)).alias(name))
 
-    hot = (
+    hot = cut_lineage(
         sizes(q, "nq")
         .join(sizes(r, "nr"), band_key)
         .where(F.col("nq") * F.col("nr") > hot_pairs)
         .select(*band_key, F.lit(True).alias("_hot"))
     )
+    first_band = _first_agreement("q_bands", "r_bands", num_bands, F.col("band_index"))
+    close = F.col("distance") <= threshold
+    if hot.isEmpty():
+        return (
+            q.join(r, band_key)
+            .where(first_band)
+            .withColumn("distance", _pair_distance(mode))
+            .where(close)
+            .select("q_code", "r_code", "distance")
+        )
+
     # the flag is joined on the very key of the pair join, so it needs no shuffle of its own
     q = q.join(hot, band_key, "left")
     # codes in another layout stay in the plain match: slices are defined for the standard one
     refine = F.col("_hot").isNotNull()
     usable = F.col("q_words").isNotNull() & F.col("r_words").isNotNull()
 
-    first_band = _first_agreement("q_bands", "r_bands", num_bands, F.col("band_index"))
-    close = F.col("distance") <= threshold
-
     cold_pairs = (
         q.where(~refine)
         .drop("_hot")

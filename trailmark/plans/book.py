@@ -7,8 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.plans.oracle_views import expand
-
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -21,7 +19,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
             raise ValueError(f"query registered twice: {name}")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLE[name] = expand(sql)
+            ORACLE[name] = sql
         return fn
 
     return add

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import LongType, StructField, StructType
 
 from trailmark import schemas
 from trailmark.operators.registry import SCORES, upsert_registry
@@ -82,7 +83,8 @@ def run_updates(stream: DataFrame, keys: list[str], label: str) -> DataFrame:
         .start()
     )
     query.awaitTermination()
-    rows = spark.read.schema(stream.schema.add("batch_id", "long")).parquet(f"{out}/rows")
+    schema = StructType([*stream.schema.fields, StructField("batch_id", LongType())])
+    rows = spark.read.schema(schema).parquet(f"{out}/rows")
     values = F.struct(*[c for c in stream.columns if c not in keys])
     return rows.groupBy(*keys).agg(F.max_by(values, "batch_id").alias("v")).select(*keys, "v.*")
 
