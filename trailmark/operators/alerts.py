@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from trailmark.functions.decide import SEVERITIES, ladder, severity_rank, to_basis_points
 from trailmark.operators.runs import RUN_ROWS
 from trailmark.operators.spread import first_country_events, same_ip_reuploads
+from trailmark.session import cut_lineage
 from trailmark.sources.rules import ALERT_RULES, GLOBAL_RULES
 
 DAY = 86_400
@@ -197,31 +199,35 @@ def alert_cooldown(
     cooldowns: dict[str, int] | None = None,
     default_seconds: int = 300,
     tie: str = "event_id",
+    group_rows: int = 100_000,
 ) -> DataFrame:
     """Keeps a candidate iff the last kept one of its (item, type) is at least the cooldown ago.
 
     The choice is sequential, yet no task walks a whole history:
     candidates of one second are folded to the first of them; one with no neighbour closer than
-    the longest cooldown is kept at once; the rest is walked per time slot, which holds at most
-    one row per second. A slot depends on earlier ones only through its first kept second, so
-    each slot first lists, for every second that may come first, where it would end. Chaining
+    the longest cooldown is kept at once; the rest is walked per time slot, where a key has at
+    most one row per second. A slot depends on earlier ones only through its first kept second,
+    so each slot first lists, for every second that may come first, where it would end. Chaining
     those short lists fixes the first kept second of every slot.
+
+    Keys are walked together, about ``group_rows`` rows to a call, however many keys there are.
     """
     per_type = cooldowns or {}
     longest = max([default_seconds, *per_type.values()])
     cooldown = F.lit(default_seconds)
     for kind, seconds in per_type.items():
         cooldown = F.when(F.col("alert_type") == kind, seconds).otherwise(cooldown)
-    rows = candidates.withColumn("_cooldown", cooldown.cast("bigint"))
+    # candidates are few next to sightings; written once, they are read by every step below
+    rows = cut_lineage(candidates.withColumn("_cooldown", cooldown.cast("bigint")))
     free = rows.where("_cooldown <= 0").drop("_cooldown")
+    if longest <= 0:
+        return free
     payload = F.struct(*[c for c in candidates.columns if c not in KEYS and c != "seconds"])
     heads = (
         rows.where("_cooldown > 0")
         .groupBy(*KEYS, "_cooldown", "seconds")
         .agg(F.min_by(payload, F.col(tie)).alias("_row"))
     )
-    if longest <= 0:
-        return free
 
     slot_seconds = max(DAY, 8 * longest)
     slot, into = F.floor(F.col("seconds") / slot_seconds), F.col("seconds") % slot_seconds
@@ -240,86 +246,109 @@ def alert_cooldown(
         .where(F.col("_slot") == slot)
     )
     alone = marked.where("_near = 1").drop("_near", "_slot", "_cooldown")
-    crowded = marked.where("_near > 1").drop("_near", "_row")
-
-    part = [*KEYS, "_slot"]
-    key_schema = "video_hash string, alert_type string, _slot bigint"
-
-    def walk(seconds: np.ndarray, gap: int) -> np.ndarray:
-        """Index of the first candidate a kept one allows next."""
-        return np.searchsorted(seconds, seconds + gap, side="left")
-
-    def ends(group: pd.DataFrame) -> pd.DataFrame:
-        seconds = np.sort(group["seconds"].to_numpy())
-        gap = int(group["_cooldown"].iloc[0])
-        n, after = len(seconds), walk(seconds, gap)
-        last = np.arange(n)
-        jump = after.copy()
-        while (jump < n).any():
-            inside = jump < n
-            last[inside] = last[jump[inside]]
-            jump[inside] = jump[jump[inside]]
-        # only these can be the first kept second of the slot
-        start = int(group["_slot"].iloc[0]) * slot_seconds
-        few = min(n, int(np.searchsorted(seconds, start + gap, side="left")) + 1)
-        return pd.DataFrame(
-            {
-                "video_hash": group["video_hash"].iloc[0],
-                "alert_type": group["alert_type"].iloc[0],
-                "_slot": int(group["_slot"].iloc[0]),
-                "_cooldown": gap,
-                "entry": seconds[:few],
-                "exit": seconds[last[:few]],
-            }
-        )
-
-    def chain(group: pd.DataFrame) -> pd.DataFrame:
-        gap, kept_at, firsts = int(group["_cooldown"].iloc[0]), None, []
-        for slot_no, options in group.sort_values(["_slot", "entry"]).groupby("_slot"):
-            entry = options["entry"].to_numpy()
-            i = 0 if kept_at is None else int(np.searchsorted(entry, kept_at + gap, side="left"))
-            if i < len(entry):
-                firsts.append((slot_no, entry[i]))
-                kept_at = int(options["exit"].iloc[i])
-        return pd.DataFrame(
-            {
-                "video_hash": group["video_hash"].iloc[0],
-                "alert_type": group["alert_type"].iloc[0],
-                "_slot": [s for s, _ in firsts],
-                "entry": [e for _, e in firsts],
-            }
-        )
-
-    def keep(group: pd.DataFrame) -> pd.DataFrame:
-        seconds = np.sort(group["seconds"].to_numpy())
-        after = walk(seconds, int(group["_cooldown"].iloc[0]))
-        at = int(np.searchsorted(seconds, int(group["entry"].iloc[0])))
-        kept = []
-        while at < len(seconds):
-            kept.append(seconds[at])
-            at = int(after[at])
-        return pd.DataFrame(
-            {
-                "video_hash": group["video_hash"].iloc[0],
-                "alert_type": group["alert_type"].iloc[0],
-                "seconds": kept,
-            }
-        )
-
-    options = crowded.groupBy(*part).applyInPandas(
-        ends, f"{key_schema}, _cooldown bigint, entry bigint, exit bigint"
+    # as many buckets of keys as keep a call near the wanted size even if all rows share one slot
+    buckets = max(1, math.ceil(rows.count() / group_rows))
+    bucket = F.pmod(F.xxhash64(*KEYS), F.lit(buckets)).alias("_bucket")
+    crowded = marked.where("_near > 1").select(*KEYS, "seconds", "_cooldown", "_slot", bucket)
+
+    key_schema = "video_hash string, alert_type string, _slot bigint, _bucket bigint"
+    options = crowded.groupBy("_bucket", "_slot").applyInPandas(
+        lambda group: slot_ends(group, slot_seconds),
+        f"{key_schema}, _cooldown bigint, entry bigint, exit bigint",
+    )
+    firsts = options.groupBy("_bucket").applyInPandas(
+        chain_slots, f"{key_schema}, entry bigint"
     )
-    firsts = options.groupBy(*KEYS).applyInPandas(chain, f"{key_schema}, entry bigint")
     kept = (
-        crowded.join(firsts, part)
-        .groupBy(*part)
-        .applyInPandas(keep, "video_hash string, alert_type string, seconds bigint")
+        crowded.join(firsts, [*KEYS, "_slot", "_bucket"])
+        .groupBy("_bucket", "_slot")
+        .applyInPandas(
+            lambda group: kept_seconds(group, slot_seconds),
+            "video_hash string, alert_type string, seconds bigint",
+        )
     )
     chosen = heads.drop("_cooldown").join(kept, [*KEYS, "seconds"])
     both = chosen.unionByName(alone).select(*KEYS, "seconds", "_row.*")
     return both.select(*candidates.columns).unionByName(free)
 
 
+def _ordered(group: pd.DataFrame, column: str) -> tuple[pd.DataFrame, np.ndarray]:
+    """Rows by key and time, and the number of the key of every row."""
+    numbers = group.groupby(KEYS, sort=False).ngroup().to_numpy()
+    order = np.lexsort((group[column].to_numpy(), numbers))
+    return group.iloc[order], numbers[order]
+
+
+def _next_allowed(key: np.ndarray, into: np.ndarray, gap: np.ndarray, width: int) -> np.ndarray:
+    """Row of the same key that may be kept next; the number of rows where there is none."""
+    line = key * width + into
+    after = np.searchsorted(line, line + gap, side="left")
+    n = len(key)
+    other = after < n
+    other[other] = key[after[other]] != key[other]
+    return np.where(other, n, after)
+
+
+def slot_ends(group: pd.DataFrame, slot_seconds: int) -> pd.DataFrame:
+    """Per key of a slot: each second that may be kept first, and the last one kept then."""
+    rows, key = _ordered(group, "seconds")
+    start = int(rows["_slot"].iloc[0]) * slot_seconds
+    into = rows["seconds"].to_numpy() - start
+    gap = rows["_cooldown"].to_numpy()
+    n = len(rows)
+    jump = _next_allowed(key, into, gap, slot_seconds + int(gap.max()) + 1)
+    last = np.arange(n)
+    while (jump < n).any():
+        inside = jump < n
+        last[inside] = last[jump[inside]]
+        jump[inside] = jump[jump[inside]]
+    # an earlier kept second blocks less than one cooldown of the slot
+    early = into < gap
+    opens = np.ones(n, dtype=bool)
+    opens[1:] = (key[1:] != key[:-1]) | early[:-1]
+    wanted = early | opens
+    out = rows.loc[wanted, [*KEYS, "_slot", "_bucket", "_cooldown"]]
+    seconds = rows["seconds"].to_numpy()
+    return out.assign(entry=seconds[wanted], exit=seconds[last[wanted]])
+
+
+def chain_slots(group: pd.DataFrame) -> pd.DataFrame:
+    """Per key: the first kept second of every slot, slot after slot for all keys at once."""
+    group = group.assign(_k=group.groupby(KEYS, sort=False).ngroup())
+    gap = np.zeros(int(group["_k"].max()) + 1, dtype="int64")
+    gap[group["_k"].to_numpy()] = group["_cooldown"].to_numpy()
+    allowed = np.zeros(len(gap), dtype="int64")
+    found = []
+    for _, options in group.sort_values(["_slot", "_k", "entry"]).groupby("_slot"):
+        key, entry = options["_k"].to_numpy(), options["entry"].to_numpy()
+        base, width = int(entry.min()), int(entry.max() - entry.min()) + 2
+        present = np.unique(key)
+        wait = np.clip(allowed[present] - base, 0, width - 1)
+        at = np.searchsorted(key * width + (entry - base), present * width + wait, side="left")
+        fits = at < len(key)
+        fits[fits] = key[at[fits]] == present[fits]
+        chosen = options.iloc[at[fits]]
+        allowed[present[fits]] = chosen["exit"].to_numpy() + gap[present[fits]]
+        found.append(chosen)
+    return pd.concat(found)[[*KEYS, "_slot", "_bucket", "entry"]]
+
+
+def kept_seconds(group: pd.DataFrame, slot_seconds: int) -> pd.DataFrame:
+    """Per key of a slot: the kept seconds, walked from the first one."""
+    rows, key = _ordered(group, "seconds")
+    seconds = rows["seconds"].to_numpy()
+    gap = rows["_cooldown"].to_numpy()
+    into = seconds - int(rows["_slot"].iloc[0]) * slot_seconds
+    after = _next_allowed(key, into, gap, slot_seconds + int(gap.max()) + 1)
+    kept = np.zeros(len(rows), dtype=bool)
+    at = np.flatnonzero(seconds == rows["entry"].to_numpy())
+    while len(at):
+        kept[at] = True
+        at = after[at]
+        at = at[at < len(rows)]
+    return rows.loc[kept, KEYS].assign(seconds=seconds[kept])
+
+
 def create_alerts(
     sightings: DataFrame,
     rules: DataFrame,

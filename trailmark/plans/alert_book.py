@@ -52,10 +52,19 @@ def _(spark, d):
     counts = derived.sightings(spark, d).groupBy("video_hash").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("country").alias("c")
     )
-    rows = rule_source.load_rules(spark).where("rule <> 'reupload_threshold'")
-    value = F.when(F.col("rule") == "country_threshold", F.col("c")).otherwise(F.col("n"))
-    return counts.join(F.broadcast(rows), F.lit(True)).select(
-        "video_hash", "rule", (value >= F.col("threshold")).alias("reached")
+    measured = counts.select(
+        "video_hash",
+        F.inline(
+            F.array(
+                F.struct(F.lit("country_threshold").alias("rule"), F.col("c").alias("value")),
+                F.struct(F.lit("detection_threshold").alias("rule"), F.col("n").alias("value")),
+                F.struct(F.lit("spread_threshold").alias("rule"), F.col("n").alias("value")),
+            )
+        ),
+    )
+    # the broadcast side is the short list of thresholds
+    return measured.join(F.broadcast(rule_source.load_rules(spark)), "rule").select(
+        "video_hash", "rule", (F.col("value") >= F.col("threshold")).alias("reached")
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trailmark.functions import arrays, bits, decide, kernels
+from trailmark.functions.sql_names import register_sql_functions
 from trailmark.operators import lineage, lookup, registry, scoring, stats
 from trailmark.plans import derived
 from trailmark.plans.book import query, rounded
@@ -819,3 +820,23 @@ def _(spark, d):
     lengths = derived.frames(spark, d).groupBy("video_id").agg(F.count(F.lit(1)).alias("n"))
     picks = arrays.sample_indices(F.col("n"), 7)
     return lengths.select("video_id", "n", F.array_join(picks, ",").alias("indices"))
+
+
+@query("sql_functions", """
+SELECT p.vec_id, p.av, p.bv, p.d AS distance, m.vec_id % 2 = 0 AS fake_guess,
+       CASE WHEN m.vec_id % 2 = 0 THEN 'LIKELY DEEPFAKE' ELSE 'LIKELY AUTHENTIC' END AS verdict,
+       sha256('pepper' || m.video_hash) AS salted
+FROM variant_distance p JOIN media_fingerprints m ON m.vec_id = p.vec_id AND m.variant = p.av""")
+def _(spark, d):
+    register_sql_functions(spark)
+    names = derived.media_fingerprints(spark, d).select(
+        "vec_id", F.col("variant").alias("av"), "video_hash"
+    )
+    rows = _variant_pairs(spark, d).join(names, ["vec_id", "av"])
+    return rows.selectExpr(
+        "vec_id", "av", "bv",
+        "media_hamming(a, b) AS distance",
+        "vec_id % 2 = 0 AS fake_guess",
+        "media_verdict(vec_id % 2 = 0, 0.75D) AS verdict",
+        "media_ip_hash(video_hash, 'pepper') AS salted",
+    )
