@@ -225,8 +225,9 @@ def family_tree(lineage: DataFrame, families: DataFrame, max_depth: int = 100) -
 def family_components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph: every node with its smallest reachable node.
 
-    Each round takes the smallest label among the neighbours (a combining aggregate) and then
-    the label of that label, so long chains shrink fast. Stops when no label changes.
+    Each round hands the smallest label among a node's neighbours to the node and to the node
+    its label names, then takes the label of the label. Trees of labels merge whole, so the
+    rounds grow with the logarithm of the longest path. All reductions combine before the shuffle.
     """
     links = cut_lineage(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
     labels = cut_lineage(nodes.select(F.col("node").alias("a"), F.col("node").alias("label")))
@@ -236,8 +237,12 @@ def family_components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 60)
             .groupBy(F.col("b").alias("a"))
             .agg(F.min("label").alias("_near"))
         )
-        lower = labels.join(around, "a", "left").select(
-            "a", F.col("label").alias("_old"), F.least("label", "_near").alias("label")
+        around = cut_lineage(around.join(labels, "a"))
+        named = around.groupBy(F.col("label").alias("a")).agg(F.min("_near").alias("_far"))
+        lower = (
+            labels.join(around.select("a", "_near"), "a", "left")
+            .join(named, "a", "left")
+            .select("a", F.col("label").alias("_old"), F.least("label", "_near", "_far").alias("label"))
         )
         lower = cut_lineage(lower)
         hop = lower.select(F.col("a").alias("label"), F.col("label").alias("_up"))
