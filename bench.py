@@ -28,7 +28,7 @@ HEADLINE = [
     "generations",
     "upsert_registry",
     "registry_stats",
-    "fuse_scores_detector",
+    "fuse_scores",
     "parse_verdict_reply",
     "pair_correlation",
     "dct_lowfreq",

@@ -5,7 +5,7 @@ A perceptual hash is the upper-case hex of one 64-bit word per sampled frame, jo
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # fixed values of the hash format
@@ -223,6 +223,16 @@ def digest(value: Column, algorithm: str = "sha256") -> Column:
     raise ValueError(f"unsupported hash algorithm: {algorithm}")
 
 
+def multi_part_hash(parts: DataFrame, keys: list[str], order: str, part: str) -> DataFrame:
+    """One digest per key over its parts in order. For the few sampled parts of an item only."""
+    ordered = F.sort_array(F.collect_list(F.struct(order, part)))
+    gathered = parts.groupBy(*keys).agg(ordered.alias("_p"))
+    joined = F.array_join(F.transform("_p", lambda x: x[part]), "")
+    return gathered.select(
+        *keys, F.size("_p").cast("bigint").alias("parts"), F.sha2(joined, 256).alias("content_hash")
+    )
+
+
 def ip_hash(ip: Column, salt: str, length: int | None = None) -> Column:
     """Pseudonym of an IP. The salt has no default so that leaving it out is a decision."""
     full = F.sha2(F.concat(F.lit(salt), ip), 256)

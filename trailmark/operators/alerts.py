@@ -388,20 +388,19 @@ def acknowledge(alerts: DataFrame, acks: DataFrame) -> DataFrame:
 
 
 def auto_acknowledge(alerts: DataFrame, now: Column) -> DataFrame:
-    """Marks old alerts of the configured types, and names the channel of overdue ones.
-
-    ``now`` is epoch seconds.
-    """
-    auto, late = ALERT_RULES["auto_acknowledge"], ALERT_RULES["escalation"]
-    age = now - F.col("seconds")
-    old = (age > auto["older_than_hours"] * 3600) & F.col("alert_type").isin(auto["types"])
-    overdue = ~F.col("acknowledged") & (age > late["escalate_after_minutes"] * 60)
-    return alerts.withColumns(
-        {
-            "auto_acknowledged": ~F.col("acknowledged") & old,
-            "escalate_to": F.when(overdue & ~old, F.lit(late["escalation_channel"])),
-        }
-    )
+    """Marks open alerts of the configured types that are old. ``now`` is epoch seconds."""
+    auto = ALERT_RULES["auto_acknowledge"]
+    old = now - F.col("seconds") > auto["older_than_hours"] * 3600
+    due = ~F.col("acknowledged") & old & F.col("alert_type").isin(auto["types"])
+    return alerts.withColumn("auto_acknowledged", due)
+
+
+def escalate(alerts: DataFrame, now: Column) -> DataFrame:
+    """Names the channel of alerts still open after the escalation time."""
+    late = ALERT_RULES["escalation"]
+    overdue = now - F.col("seconds") > late["escalate_after_minutes"] * 60
+    channel = F.when(~F.col("acknowledged") & overdue, F.lit(late["escalation_channel"]))
+    return alerts.withColumn("escalate_to", channel)
 
 
 def notify_filter(alerts: DataFrame, min_severity: str = "MEDIUM") -> DataFrame:

@@ -94,15 +94,15 @@ def lsh_candidates(
 def candidate_union(
     queries: DataFrame, registry: DataFrame, num_bands: int = bits.NUM_BANDS
 ) -> DataFrame:
-    """Queried hash codes with a candidate in any band: union of the per-band hits, de-duplicated."""
-    left, right = _codes(queries, num_bands, "bits"), _codes(registry, num_bands, "bits")
-    per_band = [
-        left.select("code", F.get("bands", F.lit(b)).alias("band"))
-        .join(right.select(F.get("bands", F.lit(b)).alias("band")).distinct(), "band", "left_semi")
-        .select("code")
-        for b in range(num_bands)
-    ]
-    return reduce(DataFrame.union, per_band).distinct().withColumnRenamed("code", "perceptual_hash")
+    """Queried hash codes with a candidate in any band: all per-band hits, de-duplicated."""
+
+    def bands(df: DataFrame) -> DataFrame:
+        rows = _codes(df, num_bands, "bits")
+        return rows.select("code", F.posexplode("bands").alias("band_index", "band_value"))
+
+    stored = bands(registry).select("band_index", "band_value").distinct()
+    hits = bands(queries).join(stored, ["band_index", "band_value"], "left_semi")
+    return hits.select(F.col("code").alias("perceptual_hash")).distinct()
 
 
 def _pair_distance(mode: str) -> Column:

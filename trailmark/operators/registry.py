@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailmark.operators.runs import RUN_ROWS, running
+from trailmark.operators.runs import RUN_ROWS, SLOT_SECONDS, running
 
 SCORES = ["perceptual_hash", "is_deepfake", "confidence", "lipsync_score", "fact_check_score"]
 
@@ -91,9 +91,12 @@ def evict_oldest(df: DataFrame, order: list[str], keep: int) -> DataFrame:
 
 def family_rank(lineage: DataFrame, run_rows: int = RUN_ROWS) -> DataFrame:
     """Position in the family by (generation, first_seen) and rank of the generation."""
+    seconds = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', first_seen)")
+    # rises with (generation, first_seen): a slot is a few minutes of one generation
+    slot = F.col("generation") * F.lit(2**32) + F.floor(seconds / SLOT_SECONDS)
     rows = running(
         lineage, ["family"], ["generation", "first_seen", "video_hash"],
-        slot=F.col("generation"), row_number="position", run_rows=run_rows,
+        slot=slot, row_number="position", run_rows=run_rows,
     )
     present = lineage.select("family", "generation").distinct()
     ranks = present.withColumn(

@@ -254,14 +254,17 @@ AT = 1_706_659_200  # 2024-01-31 00:00:00 UTC
 
 
 @query("auto_acknowledge", f"""
-SELECT alert_id, NOT acknowledged AND {AT} - seconds > 172800 AND alert_type = 'THRESHOLD' AS auto_acknowledged,
-       CASE WHEN NOT acknowledged AND {AT} - seconds > 3600
-             AND NOT ({AT} - seconds > 172800 AND alert_type = 'THRESHOLD') THEN 'email' END AS escalate_to
+SELECT alert_id, NOT acknowledged AND {AT} - seconds > 172800 AND alert_type = 'THRESHOLD' AS auto_acknowledged
 FROM acked""")
 def _(spark, d):
-    return alerts.auto_acknowledge(_acked(spark, d), F.lit(AT)).select(
-        "alert_id", "auto_acknowledged", "escalate_to"
-    )
+    out = alerts.auto_acknowledge(_acked(spark, d), F.lit(AT))
+    return out.select("alert_id", "auto_acknowledged")
+
+
+@query("escalate", f"""
+SELECT alert_id, CASE WHEN NOT acknowledged AND {AT} - seconds > 3600 THEN 'email' END AS escalate_to FROM acked""")
+def _(spark, d):
+    return alerts.escalate(_acked(spark, d), F.lit(AT)).select("alert_id", "escalate_to")
 
 
 @query("rule_severity", """

@@ -26,23 +26,6 @@ def _(spark, d):
     )
 
 
-@query("multi_part_hash", """
-SELECT conv_id, count(*) AS parts, sha256(string_agg(h, '' ORDER BY turn)) AS content_hash
-FROM (SELECT conv_id, turn, sha256(role || ':' || text) AS h FROM conversations) GROUP BY conv_id""")
-def _(spark, d):
-    # parts are shrunk to a digest each before they are gathered; a conversation is a few turns
-    parts = derived.table(spark, d, "conversations").select(
-        "conv_id", "turn", F.sha2(F.concat("role", F.lit(":"), "text"), 256).alias("h")
-    )
-    gathered = parts.groupBy("conv_id").agg(
-        F.sort_array(F.collect_list(F.struct("turn", "h"))).alias("p")
-    )
-    joined = F.array_join(F.transform("p", lambda x: x["h"]), "")
-    return gathered.select(
-        "conv_id", F.size("p").cast("bigint").alias("parts"), F.sha2(joined, 256).alias("content_hash")
-    )
-
-
 @query("ip_hash", """
 SELECT event_id, ip_hash, substr(ip_hash, 1, 16) AS short_ip_hash,
        sha256('pepper' || ip) AS salted FROM sightings""")
@@ -105,6 +88,19 @@ JOIN (SELECT video_id, unnest(CASE WHEN count(*) < 5 THEN range(count(*))
       FROM frames GROUP BY video_id) s ON s.video_id = f.video_id AND s.idx = f.frame_idx""")
 
 
+@query("multi_part_hash", """
+SELECT video_id, count(*) AS parts, sha256(string_agg(part, '' ORDER BY frame_idx)) AS content_hash
+FROM (SELECT video_id, frame_idx, array_to_string(list_transform(pixels,
+        lambda x: floor(x)::INT::VARCHAR), ',') AS part FROM sampled) GROUP BY video_id""")
+def _(spark, d):
+    # five sampled frames per clip at most, so the gathered list is short by construction
+    levels = F.transform("pixels", lambda x: F.floor(x).cast("string"))
+    parts = scoring.sampled_frames(derived.frames(spark, d), bits.FRAMES).select(
+        "video_id", "frame_idx", F.array_join(levels, ",").alias("part")
+    )
+    return bits.multi_part_hash(parts, ["video_id"], "frame_idx", "part")
+
+
 @query("frame_hash_concat", """
 SELECT video_id, count(*) AS frames, string_agg(h, '-' ORDER BY frame_idx) AS perceptual_hash
 FROM (SELECT video_id, frame_idx, string_agg(substr('0123456789ABCDEF', 1 + 8 * substr(b, 4*j+1, 1)::INT

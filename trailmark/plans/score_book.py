@@ -103,6 +103,21 @@ def _(spark, d):
     )
 
 
+@query("unscale_fixed", """
+SELECT event_id, greatest(0, least(10000, trunc(confidence * 100 * 100)::INT)) / 100 AS percent,
+       trunc(latitude * 1000000)::INT / 1000000 AS latitude,
+       trunc(longitude * 1000000)::INT / 1000000 AS longitude FROM sightings""")
+def _(spark, d):
+    degrees = lambda c: decide.from_micro_degrees(decide.to_micro_degrees(F.col(c)))
+    points = decide.to_basis_points(F.col("confidence") * 100)
+    return derived.sightings(spark, d).select(
+        "event_id",
+        decide.from_basis_points(points).alias("percent"),
+        degrees("latitude").alias("latitude"),
+        degrees("longitude").alias("longitude"),
+    )
+
+
 @query("validate_registration", """
 SELECT video_hash, variant, CASE WHEN variant = 3 AND vec_id % 5 = 0 THEN 'invalid content hash'
   WHEN c > 10000 THEN 'confidence exceeds 10000' WHEN l > 10000 THEN 'lipsync score exceeds 10000'
@@ -638,7 +653,7 @@ def _(spark, d):
     return derived.detections(spark, d).select("video_hash", label.alias("final_verdict"))
 
 
-@query("fuse_scores_detector", """
+@query("fuse_scores", """
 WITH base AS (
   SELECT *, confidence > 0.5 AS local_fake, variant = 1 AS uncertain,
          CASE WHEN variant >= 2 THEN 'cnn' ELSE 'handcrafted' END AS method, len(red_flags) AS nf,
