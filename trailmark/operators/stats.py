@@ -164,11 +164,15 @@ def geo_enrich(events: DataFrame, geo: DataFrame, private: Column) -> DataFrame:
         "country": "India",
         "country_code": "IN",
         "region": "Tamil Nadu",
+        "city": "Vellore",
+        "timezone": "Asia/Kolkata",
+        "isp": "Local Network",
         "latitude": 12.9692,
         "longitude": 79.1559,
     }
     empty = {
-        "country": "Unknown", "country_code": "XX", "region": "", "latitude": 0.0, "longitude": 0.0,
+        "country": "Unknown", "country_code": "XX", "region": "", "city": "", "timezone": "",
+        "isp": "", "latitude": 0.0, "longitude": 0.0,
     }
     out = {
         f"geo_{c}": F.when(known, F.coalesce(F.col(f"_{c}"), F.lit(empty[c]))).otherwise(demo[c])

@@ -121,6 +121,9 @@ def geo(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("n_name").alias("country"),
         F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("country_code"),
         F.col("r_name").alias("region"),
+        F.concat("n_name", F.lit("_C"), (F.col("user_id") % 3).cast("string")).alias("city"),
+        F.lit("UTC").alias("timezone"),
+        F.when(F.col("user_id") % 2 == 0, "Even Net").alias("isp"),
         (F.col("n_nationkey") * 7 - 84).cast("double").alias("latitude"),
         (F.col("n_nationkey") * 14 - 168).cast("double").alias("longitude"),
     )

@@ -37,6 +37,8 @@ FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY ts, event_id) AS r
 VIEWS["geo"] = """
 SELECT '203.0.113.' || u.user_id::VARCHAR AS ip, n_name AS country,
        'N' || n_nationkey::VARCHAR AS country_code, r_name AS region,
+       n_name || '_C' || (u.user_id % 3)::VARCHAR AS city, 'UTC' AS timezone,
+       CASE WHEN u.user_id % 2 = 0 THEN 'Even Net' END AS isp,
        (n_nationkey * 7 - 84)::DOUBLE AS latitude, (n_nationkey * 14 - 168)::DOUBLE AS longitude
 FROM (SELECT DISTINCT user_id FROM events WHERE user_id % 13 <> 0) u
 JOIN nation ON n_nationkey = u.user_id % 25 JOIN region ON r_regionkey = n_regionkey"""

@@ -212,6 +212,9 @@ SELECT s.event_id, s.ip_hash,
        CASE WHEN k THEN coalesce(g.country, 'Unknown') ELSE 'India' END AS geo_country,
        CASE WHEN k THEN coalesce(g.country_code, 'XX') ELSE 'IN' END AS geo_country_code,
        CASE WHEN k THEN coalesce(g.region, '') ELSE 'Tamil Nadu' END AS geo_region,
+       CASE WHEN k THEN coalesce(g.city, '') ELSE 'Vellore' END AS geo_city,
+       CASE WHEN k THEN coalesce(g.timezone, '') ELSE 'Asia/Kolkata' END AS geo_timezone,
+       CASE WHEN k THEN coalesce(g.isp, '') ELSE 'Local Network' END AS geo_isp,
        CASE WHEN k THEN coalesce(g.latitude, 0) ELSE 12.9692 END AS geo_latitude,
        CASE WHEN k THEN coalesce(g.longitude, 0) ELSE 79.1559 END AS geo_longitude
 FROM (SELECT s.*, g.ip IS NOT NULL AND NOT starts_with(s.ip, '10.') AS k, g
