@@ -7,8 +7,8 @@ maximum, and are named by a hash of their symbols; the names are the symbols of
 Where a passage stands in a text has no influence on the phrases in its interior, so equal
 passages have equal names at every level, but for a few phrases at their ends.
 
-The fingerprint is the set of the phrases of the third level (about 25 characters each), kept as the
-``SIZE`` least of their hashes; the likeness of two of them estimates 2 |A and B| / (|A| + |B|).
+The fingerprint is the set of the phrases of the second and third level (about 9 and 25 characters
+each), kept as the ``SIZE`` least of their hashes; the likeness of two of them estimates 2 |A and B| / (|A| + |B|).
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from trailmark.llm.book import query
 from trailmark.llm.common import table
 
-LEVELS = 3
+LEVELS = (2, 3)
 SIZE = 64
 #: Code points that are parsed together; texts are never cut, a longer one is parsed alone.
 RUN = 1 << 18
@@ -94,15 +94,14 @@ def _parsed(texts: list[str]) -> list[bytes]:
     """Fingerprints of non-empty texts."""
     points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     symbols, lengths = _mix(points.astype(np.uint64) + np.uint64(1)), np.array(list(map(len, texts)))
-    for _ in range(LEVELS):
+    found: list[list[np.ndarray]] = [[] for _ in texts]
+    for level in range(1, max(LEVELS) + 1):
         symbols, lengths = next_level(symbols, lengths)
-    names = (symbols >> _SHIFT).astype(np.uint32)
-    out, at = [], 0
-    for n in lengths.tolist():
-        own = np.unique(names[at : at + n])[:SIZE]
-        out.append(own.astype(">u4").tobytes())
-        at += n
-    return out
+        if level in LEVELS:
+            names = (symbols >> _SHIFT).astype(np.uint32)
+            for own, end, n in zip(found, np.cumsum(lengths).tolist(), lengths.tolist(), strict=True):
+                own.append(names[end - n : end])
+    return [np.unique(np.concatenate(own))[:SIZE].astype(">u4").tobytes() for own in found]
 
 
 def fingerprints(texts: list[str]) -> list[bytes]:
