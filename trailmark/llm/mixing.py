@@ -108,26 +108,23 @@ def mix(docs: DataFrame, *, key: str = "doc_id", seed: int = 42, weights=WEIGHTS
 
 
 def mixed_documents(docs: DataFrame, *, seed: int = 42, weights=WEIGHTS, share: float = SHARE) -> DataFrame:
-    """The rows of ``docs`` that the mix takes, each as often as it takes it, with its columns."""
-    taken = mix(docs, seed=seed, weights=weights, share=share).filter("copies > 0")
-    # equal (doc_id, text) rows are exchangeable: their copies are dealt out as one list
-    taken = taken.select(F.col("doc_id").alias("_id"), F.col("_tie").alias("_text"), F.col("source").alias("_from"), "copies")
-    taken = taken.groupBy("_id", "_text", "_from").agg(F.sort_array(F.collect_list("copies"), False).alias("_copies"))
-    tie = F.md5(F.coalesce("text", F.lit("")))
-    same = Window.partitionBy("doc_id", "_hash", "source").orderBy(*[c for c in docs.columns])
-    keyed = docs.withColumn("_hash", tie).withColumn("_nth", F.row_number().over(same))
-    joined = keyed.join(
-        taken,
-        F.col("doc_id").eqNullSafe(F.col("_id"))
-        & (F.col("_hash") == F.col("_text"))
-        & F.col("source").eqNullSafe(F.col("_from")),
-    )
-    copies = F.coalesce(F.get("_copies", F.col("_nth") - 1), F.lit(0))
-    return (
-        joined.filter(copies > 0)
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
-        .select(*docs.columns)
-    )
+    """The rows of ``docs`` that the mix takes, each as often as it takes it, with its columns.
+
+    Texts are shuffled once, by row, to meet their numbers. Rows repeated with one doc_id, source
+    and text are exchangeable: the copies of all are dealt out among them in turn.
+    """
+
+    def row_key(tie: Column) -> Column:
+        parts = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in ("doc_id", "source")]
+        return F.md5(F.concat_ws("\x01", *parts, tie)).alias("_key")
+
+    taken = mix(docs, seed=seed, weights=weights, share=share).select(row_key(F.col("_tie")), "copies")
+    taken = taken.filter("copies > 0").groupBy("_key").agg(F.sort_array(F.collect_list("copies"), False).alias("_copies"))
+    joined = docs.withColumn("_key", row_key(F.md5(F.coalesce("text", F.lit(""))))).join(taken, "_key")
+    others = [c for c in docs.columns if c not in ("doc_id", "source", "text")]
+    nth = F.row_number().over(Window.partitionBy("_key").orderBy(*others, F.lit(0))) - 1
+    copies = joined.withColumn("_n", F.get("_copies", nth)).filter("_n IS NOT NULL")
+    return copies.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_n"))).select(*docs.columns)
 
 
 MIX_SQL = r"""
