@@ -27,6 +27,14 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """The name, with as many underscores before it as it takes to clash with no column."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def whole_text(column: str = "text") -> Column:
     """A missing text counts as the empty one."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trailmark.llm.book import query
-from trailmark.llm.common import table
+from trailmark.llm.common import table, unused
 from trailmark.session import cut_lineage
 
 #: Languages by family. A language that is not listed is a family of its own.
@@ -200,12 +200,8 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     return Model(languages, machines)
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and lang_score (0 to 1); columns of these names are replaced.
-
-    A null text, one without letters, and any text under a model without languages is ``und`` with
-    score 0. Only the text has an influence, so repeated rows get equal answers.
-    """
+def predictor(model: Model):
+    """The model as a function of a text column, giving lang and score."""
     kind = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
 
     @F.arrow_udf(kind)
@@ -217,8 +213,18 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             scores += found[1]
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
 
-    found = docs.withColumn("_found", predict(F.col(text)))
-    return found.withColumns({"lang_pred": F.col("_found.lang"), "lang_score": F.col("_found.score")}).drop("_found")
+    return predict
+
+
+def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """``docs`` with lang_pred and lang_score (0 to 1); columns of these names are replaced.
+
+    A null text, one without letters, and any text under a model without languages is ``und`` with
+    score 0. Only the text has an influence, so repeated rows get equal answers.
+    """
+    name = unused("_found", docs)
+    found = docs.withColumn(name, predictor(model)(F.col(text)))
+    return found.withColumns({"lang_pred": F.col(name)["lang"], "lang_score": F.col(name)["score"]}).drop(name)
 
 
 def held_out(key: str = "doc_id") -> Column:
@@ -229,8 +235,9 @@ def held_out(key: str = "doc_id") -> Column:
 def drop_unidentified(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows whose language is ``und``; a missing lang becomes the predicted one."""
     model = train(docs.filter(~held_out()).select("lang", "text"))
-    found = identify(docs, model).filter(F.col("lang_pred") != UNKNOWN)
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    name = unused("_found", docs)
+    found = docs.withColumn(name, predictor(model)(F.col("text"))).filter(F.col(name)["lang"] != UNKNOWN)
+    return found.withColumn("lang", F.coalesce("lang", F.col(name)["lang"])).select(*docs.columns)
 
 
 @query("op8_language_id")

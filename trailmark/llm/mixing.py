@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.llm.book import query
-from trailmark.llm.common import table, word_count
+from trailmark.llm.common import table, unused, word_count
 from trailmark.session import cut_lineage
 
 #: Weights of the sources in code point order, repeating.
@@ -116,15 +116,16 @@ def mixed_documents(docs: DataFrame, *, seed: int = 42, weights=WEIGHTS, share:
 
     def row_key(tie: Column) -> Column:
         parts = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in ("doc_id", "source")]
-        return F.md5(F.concat_ws("\x01", *parts, tie)).alias("_key")
+        return F.md5(F.concat_ws("\x01", *parts, tie))
 
-    taken = mix(docs, seed=seed, weights=weights, share=share).select(row_key(F.col("_tie")), "copies")
-    taken = taken.filter("copies > 0").groupBy("_key").agg(F.sort_array(F.collect_list("copies"), False).alias("_copies"))
-    joined = docs.withColumn("_key", row_key(F.md5(F.coalesce("text", F.lit(""))))).join(taken, "_key")
+    key, listed, n, copy = (unused(x, docs) for x in ("_key", "_copies", "_n", "_copy"))
+    taken = mix(docs, seed=seed, weights=weights, share=share).select(row_key(F.col("_tie")).alias(key), "copies")
+    taken = taken.filter("copies > 0").groupBy(key).agg(F.sort_array(F.collect_list("copies"), False).alias(listed))
+    joined = docs.withColumn(key, row_key(F.md5(F.coalesce("text", F.lit(""))))).join(taken, key)
     others = [c for c in docs.columns if c not in ("doc_id", "source", "text")]
-    nth = F.row_number().over(Window.partitionBy("_key").orderBy(*others, F.lit(0))) - 1
-    copies = joined.withColumn("_n", F.get("_copies", nth)).filter("_n IS NOT NULL")
-    return copies.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_n"))).select(*docs.columns)
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(*others, F.lit(0))) - 1
+    copies = joined.withColumn(n, F.get(listed, nth)).filter(F.col(n).isNotNull())
+    return copies.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), n))).select(*docs.columns)
 
 
 MIX_SQL = r"""

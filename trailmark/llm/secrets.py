@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trailmark.llm.book import query
-from trailmark.llm.common import table
+from trailmark.llm.common import table, unused
 
 #: The kinds in the order in which spans of one start are listed.
 KINDS = ("assign", "access", "hex", "pair")
@@ -203,11 +203,12 @@ def scan_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
     """``docs`` with every secret in the text replaced by a mark; n_chars follows the text."""
-    scanned = scan_secrets(docs)
-    text = F.when(F.size("secret_spans") > 0, mask("text", "secret_spans")).otherwise(F.col("text"))
+    spans = unused("_spans", docs)
+    scanned = docs.withColumn(spans, find_spans(F.col("text")))
+    text = F.when(F.size(spans) > 0, mask("text", spans)).otherwise(F.col("text"))
     masked = scanned.withColumn("text", text)
     if "n_chars" in docs.columns:
-        changed = F.when(F.size("secret_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType))
+        changed = F.when(F.size(spans) > 0, F.length("text").cast(docs.schema["n_chars"].dataType))
         masked = masked.withColumn("n_chars", changed.otherwise(F.col("n_chars")))
     return masked.select(*docs.columns)
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trailmark.llm.book import query
-from trailmark.llm.common import table
+from trailmark.llm.common import table, unused
 from trailmark.llm.components import components
 from trailmark.session import cut_lineage
 
@@ -125,8 +125,9 @@ def keep_one_per_group(docs: DataFrame) -> DataFrame:
     # a component without keys has a null id; its fingerprint tells it apart
     one = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp")))
     winners = found.groupBy(one.alias("_group")).agg(least).select("_pick").distinct()
-    kept = docs.withColumn("_pick", pick).join(winners, "_pick")
-    return kept.dropDuplicates(["_pick"]).select(*docs.columns)
+    name = unused("_pick", docs)
+    kept = docs.withColumn(name, pick).join(winners.withColumnRenamed("_pick", name), name)
+    return kept.dropDuplicates([name]).select(*docs.columns)
 
 
 @query("op10_simhash_near_dedup")

@@ -39,8 +39,9 @@ def problems(name: Column, arguments: Column, schemas: Schemas) -> Column:
     for tool, fields in schemas.items():
         checks = []
         for field, (kind, required) in fields.items():
-            # a key may hold any character but a quote
-            value = F.try_variant_get(arguments, f"$['{field}']", "variant")
+            # a name may hold quotes of one kind
+            quote = "'" if '"' in field else '"'
+            value = F.try_variant_get(arguments, f"$[{quote}{field}{quote}]", "variant")
             of = F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
             if required:
                 checks.append(F.when(~F.array_contains(keys, field), F.lit(f"{field}: missing")))
