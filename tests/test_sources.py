@@ -21,7 +21,7 @@ def test_inventory_hashes_accepted_files_only(spark, tmp_path):
     (tmp_path / "a.mp4").write_bytes(b"clip")
     (tmp_path / "b.txt").write_bytes(b"note")
     (tmp_path / "c.mov").write_bytes(b"x" * 100)
-    found = tables.content_inventory(spark, str(tmp_path), max_bytes=50).collect()
+    found = tables.content_inventory(tables.media_files(spark, str(tmp_path)), max_bytes=50).collect()
     got = {r.path.rsplit("/", 1)[1]: (r.accepted, r.sha256) for r in found}
     assert got == {
         "a.mp4": (True, hashlib.sha256(b"clip").hexdigest()),

@@ -74,9 +74,9 @@ def temporal_consistency(corr: Column, ssim: Column, edge: Column, hist: Column)
 
 
 def sample_indices(total_rows: Column, k: int) -> Column:
-    """k indices spread evenly from first to last; all of them when there are fewer."""
+    """k indices spread evenly from first to last; all of them when there are fewer; for k = 1 the first."""
     spread = F.transform(
-        F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.floor(i * (total_rows - 1) / (k - 1)).cast("int")
+        F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.floor(i * (total_rows - 1) / max(1, k - 1)).cast("int")
     )
     every = F.sequence(F.lit(0), (total_rows - 1).cast("int"))
     return (

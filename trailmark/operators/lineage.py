@@ -78,51 +78,66 @@ def with_mutation(parents: DataFrame) -> DataFrame:
 
 
 def _linked(lineage: DataFrame) -> DataFrame:
-    """Nodes with their parent, NULL where the parent is not registered."""
+    """Nodes with their parent, NULL where the parent is not registered.
+
+    Roots take no part in the join: their NULL would be one key for all of them.
+    """
     nodes = lineage.select("video_hash", "parent_hash")
     present = lineage.select(F.col("video_hash").alias("parent_hash"), F.lit(1).alias("_p"))
-    return nodes.join(present, "parent_hash", "left").select(
+    with_parent = nodes.where("parent_hash is not null").join(present, "parent_hash", "left")
+    with_parent = with_parent.select(
         "video_hash", F.when(F.col("_p") == 1, F.col("parent_hash")).alias("parent_hash")
     )
+    return with_parent.unionByName(nodes.where("parent_hash is null"))
 
 
-def generations(lineage: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """Root and distance to it for every node, by pointer doubling: depth d takes log2(d) rounds.
+def _descent(lineage: DataFrame, max_rounds: int, with_path: bool = True) -> DataFrame:
+    """(video_hash, parent_hash, ancestor, steps, path, done) with the root as ancestor, by pointer doubling.
 
-    Nodes that reached a root leave the loop, so a root with millions of children is joined
-    only once. A cycle never reaches a root and raises after ``max_rounds``.
+    Every round doubles the distance looked back: ``path`` leads from below the ancestor, at the
+    end from the root, down to the node. Nodes that reached a root leave the loop, so a root
+    with millions of children is joined only once.
     """
+    root = F.col("parent_hash").isNull()
     state = cut_lineage(
         _linked(lineage).select(
             "video_hash",
+            "parent_hash",
             F.coalesce("parent_hash", "video_hash").alias("ancestor"),
-            F.when(F.col("parent_hash").isNull(), 0).otherwise(1).cast("bigint").alias("steps"),
-            F.col("parent_hash").isNull().alias("done"),
+            F.when(root, 0).otherwise(1).cast("bigint").alias("steps"),
+            (F.substring("video_hash", 1, 8) if with_path else F.lit("")).alias("path"),
+            root.alias("done"),
         )
     )
     for _ in range(max_rounds):
         if state.where(~F.col("done")).isEmpty():
-            break
+            return state
         jump = state.select(
             F.col("video_hash").alias("ancestor"),
-            F.col("ancestor").alias("_next"),
-            F.col("steps").alias("_more"),
-            F.col("done").alias("_done"),
+            F.struct("ancestor", "steps", "path", "done").alias("_on"),
         )
         moved = (
             state.where(~F.col("done"))
             .join(jump, "ancestor")
             .select(
                 "video_hash",
-                F.col("_next").alias("ancestor"),
-                (F.col("steps") + F.col("_more")).alias("steps"),
-                F.col("_done").alias("done"),
+                "parent_hash",
+                F.col("_on.ancestor").alias("ancestor"),
+                (F.col("steps") + F.col("_on.steps")).alias("steps"),
+                (F.concat("_on.path", F.lit("/"), "path") if with_path else F.lit("")).alias("path"),
+                F.col("_on.done").alias("done"),
             )
         )
         state = cut_lineage(state.where("done").unionByName(moved))
-    else:
-        raise ValueError("lineage has a cycle or is deeper than the round limit allows")
-    return state.select(
+    raise ValueError("lineage has a cycle or is deeper than the round limit allows")
+
+
+def generations(lineage: DataFrame, max_rounds: int = 40) -> DataFrame:
+    """Root and distance to it for every node; depth d takes log2(d) rounds.
+
+    A cycle never reaches a root and raises after ``max_rounds``.
+    """
+    return _descent(lineage, max_rounds, with_path=False).select(
         "video_hash",
         F.col("ancestor").alias("root_hash"),
         F.col("steps").alias("generation"),
@@ -172,38 +187,19 @@ def family_roots(lineage: DataFrame) -> DataFrame:
     return lineage.join(parents, "parent_hash", "left_anti")
 
 
-def family_tree(lineage: DataFrame, families: DataFrame, max_depth: int = 100) -> DataFrame:
-    """Tree rows: (family, root, node, parent, generation, path), built level by level.
+def family_tree(lineage: DataFrame, families: DataFrame, max_rounds: int = 40) -> DataFrame:
+    """Tree rows: (family, root, node, parent, generation, path), of any depth below 2 ** ``max_rounds``.
 
     A family with several roots gets a virtual root row at generation -1. ``path`` joins the
-    first eight digits of the hashes from the root down.
+    first eight digits of the hashes from the root down. A cycle raises.
     """
-    linked = cut_lineage(_linked(lineage))
-    short = F.substring("video_hash", 1, 8)
-    level = linked.where("parent_hash is null").select(
+    tree = _descent(lineage, max_rounds).select(
         "video_hash",
         "parent_hash",
-        F.col("video_hash").alias("root_hash"),
-        F.lit(0).alias("generation"),
-        short.alias("path"),
+        F.col("ancestor").alias("root_hash"),
+        F.col("steps").cast("int").alias("generation"),
+        "path",
     )
-    tree = level
-    for depth in range(1, max_depth + 1):
-        above = level.select(
-            F.col("video_hash").alias("parent_hash"), "root_hash", F.col("path").alias("_up")
-        )
-        level = cut_lineage(
-            linked.join(above, "parent_hash").select(
-                "video_hash",
-                "parent_hash",
-                "root_hash",
-                F.lit(depth).alias("generation"),
-                F.concat("_up", F.lit("/"), short).alias("path"),
-            )
-        )
-        if level.isEmpty():
-            break
-        tree = tree.unionByName(level)
     rows = tree.join(families, "video_hash")
     several = (
         rows.where("generation = 0")

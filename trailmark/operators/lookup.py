@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from trailmark.functions import bits
 from trailmark.session import cut_lineage
 
+#: Bands up to which candidates are counted by inclusion and exclusion.
+MAX_COUNTED_BANDS = 8
 HOT_PAIRS = 20_000_000
 
 
@@ -62,6 +64,8 @@ def lsh_candidates(
     Counted by inclusion and exclusion over sets of bands, so the work is linear in the codes:
     no pair is formed, however full a band is.
     """
+    if num_bands > MAX_COUNTED_BANDS:
+        raise ValueError(f"at most {MAX_COUNTED_BANDS} bands: every code makes 2 ** num_bands - 1 rows")
     masks = list(range(1, 2**num_bands))
 
     def keys(df: DataFrame) -> DataFrame:

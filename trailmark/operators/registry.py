@@ -106,12 +106,22 @@ def family_rank(lineage: DataFrame, run_rows: int = RUN_ROWS) -> DataFrame:
     return rows.join(ranks, ["family", "generation"])
 
 
+#: The kinds of transactions that can be sent together, and how many at most.
+BATCHABLE = ("register_video",)
+MAX_BATCH = 50
+
+
 def batch_chunks(outbox: DataFrame, n: int = 20, run_rows: int = RUN_ROWS) -> DataFrame:
-    """Consecutive chunks of at most ``n`` (50 at most) batchable rows per node, oldest first."""
-    size = min(n, 50)
+    """Consecutive chunks of at most ``n`` rows per node, oldest first, of the rows that wait and are batchable.
+
+    Rows that are confirmed, failed or of another kind are sent one by one and have no chunk.
+    """
+    if not 1 <= n <= MAX_BATCH:
+        raise ValueError(f"a batch holds 1 to {MAX_BATCH} transactions")
+    waiting = F.col("status").isin("queued", "retrying") & F.col("tx_type").isin(*BATCHABLE)
     rows = running(
-        outbox, ["node"], ["created_at", "id"],
+        outbox.where(waiting), ["node"], ["created_at", "id"],
         seconds=F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', created_at)"),
         row_number="_rn", slot_seconds=86_400, run_rows=run_rows,
     )
-    return rows.withColumn("chunk", F.floor((F.col("_rn") - 1) / size)).drop("_rn")
+    return rows.withColumn("chunk", F.floor((F.col("_rn") - 1) / n)).drop("_rn")

@@ -29,7 +29,7 @@ def with_slots(
         .where(F.col("count") > run_rows)
         .select(*keys, F.lit(True).alias("_hot"))
     )
-    tagged = df.withColumn("_at", slot.cast("bigint")).join(F.broadcast(hot), keys, "left")
+    tagged = df.withColumn("_at", slot.cast("bigint")).join(hot, keys, "left")
     return tagged.withColumn(
         "_slot", F.when(F.col("_hot"), F.col("_at")).otherwise(F.lit(-1).cast("bigint"))
     ).drop("_hot", "_at")

@@ -269,8 +269,11 @@ def _fuse_detector(df: DataFrame) -> DataFrame:
 
 
 def _fuse_frames(df: DataFrame) -> DataFrame:
-    """Needs avg_quality, face_detection_rate; and, NULL when no reply came, reply_fake,
+    """Needs avg_quality, face_detection_rate, reply_present; and, NULL when no reply came, reply_fake,
     reply_authenticity, reply_confidence, personality_detected, personality_category.
+
+    A reply that came without a verdict (reply_fake NULL) leaves the score to the heuristic,
+    but the method named is still that of the reply.
     """
     quality = F.col("avg_quality")
     answered = F.col("reply_fake").isNotNull()
@@ -299,7 +302,7 @@ def _fuse_frames(df: DataFrame) -> DataFrame:
             "fused_confidence": F.round(c, 3),
             "fused_authenticity": F.round(F.when(fake, 1 - c).otherwise(c), 3),
             "risk_level": F.when(fake, "high").when(c < 0.8, "medium").otherwise("low"),
-            "analysis_method": F.when(answered, "personality_first").otherwise("heuristic"),
+            "analysis_method": F.when(F.col("reply_present"), "personality_first").otherwise("heuristic"),
         }
     ).drop("_c")
 

@@ -147,10 +147,10 @@ def exact_duplicate_groups(uploads: DataFrame) -> DataFrame:
     return groups.where("times_seen > 1")
 
 
-def geo_enrich(events: DataFrame, geo: DataFrame, private: Column) -> DataFrame:
+def geo_enrich(events: DataFrame, geo: DataFrame, private: Column, fallback: dict) -> DataFrame:
     """Location of each event's IP; the raw IP column is dropped.
 
-    Private addresses and addresses without an entry get the fixed demo location; missing
+    Private addresses and addresses without an entry get the ``fallback`` place; missing
     names of known addresses become Unknown and XX.
     """
     looked_up = events.join(
@@ -159,24 +159,13 @@ def geo_enrich(events: DataFrame, geo: DataFrame, private: Column) -> DataFrame:
         "left",
     )
     known = F.coalesce("_known", F.lit(False)) & ~private
-    # fixed values: the demo location
-    demo = {
-        "country": "India",
-        "country_code": "IN",
-        "region": "Tamil Nadu",
-        "city": "Vellore",
-        "timezone": "Asia/Kolkata",
-        "isp": "Local Network",
-        "latitude": 12.9692,
-        "longitude": 79.1559,
-    }
     empty = {
         "country": "Unknown", "country_code": "XX", "region": "", "city": "", "timezone": "",
         "isp": "", "latitude": 0.0, "longitude": 0.0,
     }
     out = {
-        f"geo_{c}": F.when(known, F.coalesce(F.col(f"_{c}"), F.lit(empty[c]))).otherwise(demo[c])
-        for c in demo
+        f"geo_{c}": F.when(known, F.coalesce(F.col(f"_{c}"), F.lit(empty[c]))).otherwise(fallback[c])
+        for c in empty
     }
     return looked_up.withColumns(out).drop("ip", "_known", *[f"_{c}" for c in geo.columns if c != "ip"])
 
@@ -184,19 +173,17 @@ def geo_enrich(events: DataFrame, geo: DataFrame, private: Column) -> DataFrame:
 def forensic_report(
     lineage: DataFrame, origins: DataFrame, family_sizes: DataFrame, sightings: DataFrame, first: int = 5
 ) -> DataFrame:
-    """Report text per item: verdict, origin, family, and the first spread events.
+    """Report text per item: dates, verdict, origin, mutations, and the first spread events of its family.
 
-    The rank filter is applied on each side of the shuffle, so at most ``first`` events per
-    item and task travel; the rest is only counted.
+    ``lineage`` may have ``mutations``, labels of the item. The rank filter is applied on each
+    side of the shuffle, so at most ``first`` events per family and task travel; the rest is
+    only counted.
     """
-    order = Window.partitionBy("video_hash").orderBy("ts", "event_id")
-    generation = lineage.select("video_hash", "generation")
-    early = (
-        sightings.select("video_hash", "ts", "event_id", "platform")
-        .withColumn("_rn", F.row_number().over(order))
-        .where(F.col("_rn") <= first)
-        .join(generation, "video_hash")
-    )
+    family = lineage.select("video_hash", "generation").join(origins, "video_hash", "left")
+    family = family.select("video_hash", "generation", F.coalesce("origin_hash", "video_hash").alias("_family"))
+    events = sightings.select("video_hash", "ts", "event_id", "platform").join(family, "video_hash")
+    order = Window.partitionBy("_family").orderBy("ts", "event_id")
+    early = events.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= first)
     line = F.concat(
         F.lit("  "),
         F.date_format("ts", "yyyy-MM-dd"),
@@ -205,16 +192,26 @@ def forensic_report(
         F.lit(" | Gen "),
         F.col("generation").cast("string"),
     )
-    shown = early.groupBy("video_hash").agg(
+    shown = early.groupBy("_family").agg(
         F.sort_array(F.collect_list(F.struct("_rn", line.alias("line")))).alias("_e")
     )
-    counts = sightings.groupBy("video_hash").agg(_n().alias("_total"))
+    counts = events.groupBy("_family").agg(_n().alias("_total"))
+    source = lineage.select(
+        F.col("video_hash").alias("origin_hash"),
+        F.col("first_seen").alias("_origin_seen"),
+        F.col("source_platform").alias("_origin_platform"),
+    )
     rows = (
         lineage.join(origins, "video_hash", "left")
+        .join(source, "origin_hash", "left")
         .join(family_sizes, "video_hash", "left")
-        .join(shown, "video_hash", "left")
-        .join(counts, "video_hash", "left")
+        .withColumn("_family", F.coalesce("origin_hash", "video_hash"))
+        .join(shown, "_family", "left")
+        .join(counts, "_family", "left")
     )
+    labels = F.col("mutations") if "mutations" in lineage.columns else F.array().cast("array<string>")
+    mutation = F.transform(labels, lambda m: F.concat(F.lit("  * "), F.initcap(F.replace(m, F.lit("_"), F.lit(" ")))))
+    has_origin = F.col("origin_hash").isNotNull()
     tenths = F.floor(F.col("confidence") * 1000 + 0.5)
     percent = F.concat(
         F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit("%")
@@ -223,6 +220,7 @@ def forensic_report(
     report = F.concat_ws(
         "\n",
         F.concat(F.lit("Video Hash: "), F.substring("video_hash", 1, 32), F.lit("...")),
+        F.concat(F.lit("First Seen: "), F.date_format("first_seen", "yyyy-MM-dd HH:mm:ss")),
         F.concat(F.lit("Platform: "), F.coalesce("source_platform", F.lit("Unknown"))),
         F.concat(
             F.lit("Status: "),
@@ -231,13 +229,16 @@ def forensic_report(
         F.concat(F.lit("Verdict: "), verdict(F.col("is_deepfake"), F.col("confidence"))),
         F.concat(F.lit("Confidence: "), percent),
         F.when(
-            F.col("origin_hash").isNotNull(),
+            has_origin,
             F.concat(F.lit("Origin Hash: "), F.substring("origin_hash", 1, 32), F.lit("...")),
         ).otherwise("This appears to be an original/first-seen video"),
+        F.when(has_origin, F.concat(F.lit("Origin Date: "), F.date_format("_origin_seen", "yyyy-MM-dd HH:mm:ss"))),
+        F.when(has_origin, F.concat(F.lit("Origin Platform: "), F.coalesce("_origin_platform", F.lit("Unknown")))),
         F.concat(
             F.lit("Current Generation: "), F.col("generation").cast("string"), F.lit(" (0 = original)")
         ),
         F.concat(F.lit("Total Family Members: "), F.col("family_members").cast("string")),
+        F.when(F.size(mutation) > 0, F.array_join(F.concat(F.array(F.lit("Detected Mutations:")), mutation), "\n")),
         F.array_join(F.transform("_e", lambda e: e["line"]), "\n"),
         F.when(more > 0, F.concat(F.lit("  ... and "), more.cast("string"), F.lit(" more events"))),
     )

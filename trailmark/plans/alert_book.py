@@ -409,7 +409,7 @@ def _(spark, d):
 
 @query("batch_chunks", """
 SELECT id, node, ((row_number() OVER (PARTITION BY node ORDER BY created_at, id) - 1) // 3) AS chunk
-FROM outbox""")
+FROM outbox WHERE status IN ('queued', 'retrying') AND tx_type = 'register_video'""")
 def _(spark, d):
     return registry.batch_chunks(derived.outbox(spark, d), 3).select("id", "node", "chunk")
 
@@ -431,12 +431,20 @@ def _entries(spark, d):
     )
 
 
-@query("content_inventory")
+@query("content_inventory", """
+SELECT page_id, length, accepted, CASE WHEN accepted THEN sha256(html) END AS sha256
+FROM (SELECT *, page_id % 3 <> 0 AND length <= 20000 AS accepted
+      FROM (SELECT page_id, html, strlen(html) AS length FROM pages WHERE html IS NOT NULL))""")
 def _(spark, d):
-    found = tables.content_inventory(spark, d, ["parquet"])
-    return found.select(
-        F.regexp_extract("path", "([^/]+)$", 1).alias("file"), "length", "accepted", "sha256"
+    ending = F.when(F.col("page_id") % 3 == 0, ".html").otherwise(".PNG")
+    files = derived.table(spark, d, "pages").where("html is not null").select(
+        "page_id",
+        F.concat(F.lit("pages/"), F.col("page_id").cast("string"), ending).alias("path"),
+        F.octet_length("html").cast("bigint").alias("length"),
+        F.encode("html", "UTF-8").alias("content"),
     )
+    found = tables.content_inventory(files, max_bytes=20_000)
+    return found.select("page_id", "length", "accepted", "sha256")
 
 
 # ---- nodes ----------------------------------------------------------------------------------------

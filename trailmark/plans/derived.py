@@ -240,7 +240,7 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     d = F.col("doc_id")
     quality, toxic = F.coalesce("quality", F.lit(0)), F.coalesce("toxic", F.lit(0))
-    head = F.regexp_replace(F.substring("text", 1, 40), "[^A-Za-z ]", "")
+    head = F.regexp_replace("text", "[^A-Za-z ]", "")
 
     def pick(by, *values):
         return F.element_at(F.array(*[F.lit(v) for v in values]), (by % len(values) + 1).cast("int"))
@@ -281,6 +281,14 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
             ("ARTIFACTS_FOUND: ", pick(d, "ringing, banding", "none")),
             ("RECOMMENDATION: ", pick(d, "TRUST", "VERIFY", "REJECT")),
         ],
+        "technical": [
+            ("IS_DEEPFAKE: ", pick(d + 1, "YES", "NO", "UNCERTAIN")),
+            ("CONFIDENCE: ", n(97)),
+            ("AUTHENTICITY_SCORE: ", F.concat(n(9), F.lit(".5"))),
+            ("REASONING: ", head),
+            ("ARTIFACTS_FOUND: ", pick(d + 1, "seams, ghosting", "none", "halo")),
+            ("RECOMMENDATION: ", pick(d + 1, "TRUST", "VERIFY", "REJECT")),
+        ],
         "verifier": [
             ("VERDICT: ", pick(d, "REAL", "FAKE", "UNCERTAIN")),
             ("CONFIDENCE: ", n(101)),

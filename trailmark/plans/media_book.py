@@ -778,6 +778,7 @@ WITH RECURSIVE up AS (
   UNION ALL SELECT c.video_hash, up.r FROM up JOIN item_lineage c ON c.parent_hash = up.v),
 fam AS (SELECT r, count(*) AS n FROM up GROUP BY r)
 SELECT l.video_hash, 'Video Hash: ' || substr(l.video_hash, 1, 32) || '...' || chr(10)
+  || 'First Seen: ' || strftime(l.first_seen, '%Y-%m-%d %H:%M:%S') || chr(10)
   || 'Platform: ' || l.source_platform || chr(10)
   || 'Status: ' || CASE WHEN l.is_deepfake THEN 'DEEPFAKE DETECTED' ELSE 'Appears Authentic' END || chr(10)
   || 'Verdict: ' || CASE
@@ -790,18 +791,27 @@ SELECT l.video_hash, 'Video Hash: ' || substr(l.video_hash, 1, 32) || '...' || c
   || 'Confidence: ' || (floor(l.confidence * 1000 + 0.5::DOUBLE)::BIGINT // 10)::VARCHAR || '.'
   || (floor(l.confidence * 1000 + 0.5::DOUBLE)::BIGINT % 10)::VARCHAR || '%' || chr(10)
   || 'Origin Hash: ' || substr(up.r, 1, 32) || '...' || chr(10)
+  || 'Origin Date: ' || strftime(o.first_seen, '%Y-%m-%d %H:%M:%S') || chr(10)
+  || 'Origin Platform: ' || o.source_platform || chr(10)
   || 'Current Generation: ' || l.generation::VARCHAR || ' (0 = original)' || chr(10)
-  || 'Total Family Members: ' || fam.n::VARCHAR || chr(10) || e.lines
+  || 'Total Family Members: ' || fam.n::VARCHAR || chr(10)
+  || CASE WHEN l.generation > 0 THEN 'Detected Mutations:' || chr(10)
+       || CASE WHEN l.generation = 1 THEN '  * Light Compression' ELSE '  * Heavy Compression' END || chr(10) ELSE '' END
+  || e.lines
   || CASE WHEN e.n > 5 THEN chr(10) || '  ... and ' || (e.n - 5)::VARCHAR || ' more events' ELSE '' END AS report
 FROM item_lineage l JOIN up ON up.v = l.video_hash JOIN fam ON fam.r = up.r
-JOIN (SELECT video_hash, count(*) AS n, string_agg('  ' || strftime(ts, '%Y-%m-%d') || ' | '
+JOIN item_lineage o ON o.video_hash = up.r
+JOIN (SELECT r, count(*) AS n, string_agg('  ' || strftime(ts, '%Y-%m-%d') || ' | '
         || rpad(platform, 12, ' ') || ' | Gen ' || generation::VARCHAR, chr(10) ORDER BY ts, event_id)
         FILTER (WHERE rn <= 5) AS lines
-      FROM (SELECT s.*, i.generation, row_number() OVER (PARTITION BY s.video_hash ORDER BY s.ts, s.event_id) AS rn
-            FROM sightings s JOIN item_lineage i ON i.video_hash = s.video_hash) GROUP BY 1) e
-  ON e.video_hash = l.video_hash""")
+      FROM (SELECT s.*, up.r, i.generation, row_number() OVER (PARTITION BY up.r ORDER BY s.ts, s.event_id) AS rn
+            FROM sightings s JOIN item_lineage i ON i.video_hash = s.video_hash JOIN up ON up.v = s.video_hash)
+      GROUP BY 1) e ON e.r = up.r""")
 def _(spark, d):
     rows = derived.item_lineage(spark, d)
+    laplacian = F.when(F.col("generation") == 1, 300).otherwise(50)
+    labels = F.when(F.col("generation") > 0, decide.quality_mutations(laplacian, F.lit(0)))
+    rows = rows.withColumn("mutations", labels)
     roots = lineage.generations(rows).select("video_hash", F.col("root_hash").alias("origin_hash"))
     sizes = roots.groupBy("origin_hash").agg(F.count(F.lit(1)).alias("family_members"))
     members = roots.join(sizes, "origin_hash").select("video_hash", "family_members")

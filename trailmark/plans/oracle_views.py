@@ -141,7 +141,7 @@ GROUP BY perceptual_hash"""
 
 
 def _reply_sql() -> str:
-    head = "regexp_replace(substr(text, 1, 40), '[^A-Za-z ]', '', 'g')"
+    head = "regexp_replace(text, '[^A-Za-z ]', '', 'g')"
 
     def pick(by, *values):
         items = ", ".join(f"'{v}'" for v in values)
@@ -186,6 +186,14 @@ def _reply_sql() -> str:
             ("ARTIFACTS_FOUND: ", pick("doc_id", "ringing, banding", "none")),
             ("RECOMMENDATION: ", pick("doc_id", "TRUST", "VERIFY", "REJECT")),
         ],
+        "technical": [
+            ("IS_DEEPFAKE: ", pick("(doc_id + 1)", "YES", "NO", "UNCERTAIN")),
+            ("CONFIDENCE: ", n(97)),
+            ("AUTHENTICITY_SCORE: ", n(9) + " || '.5'"),
+            ("REASONING: ", head),
+            ("ARTIFACTS_FOUND: ", pick("(doc_id + 1)", "seams, ghosting", "none", "halo")),
+            ("RECOMMENDATION: ", pick("(doc_id + 1)", "TRUST", "VERIFY", "REJECT")),
+        ],
         "verifier": [
             ("VERDICT: ", pick("doc_id", "REAL", "FAKE", "UNCERTAIN")),
             ("CONFIDENCE: ", n(101)),

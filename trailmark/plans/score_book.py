@@ -217,17 +217,20 @@ def _(spark, d):
 
 
 @query("decode_frame_batch", """
-SELECT doc_id, k AS frame_no, sha256(substr(text, k * 10 + 1, 10)) AS frame_hash
-FROM documents, (SELECT unnest(range(15))::INT AS k)""")
+SELECT doc_id, k AS frame_no, sha256(substr(text, k * w + 1, w)) AS frame_hash
+FROM (SELECT *, (length(text) + 17) // 18 AS w FROM documents), (SELECT unnest(range(18))::INT AS k)""")
 def _(spark, d):
+    # the whole text in eighteen frames of one width
+    width = F.floor((F.length("text") + 17) / 18).cast("int")
+
     def encoded(k):
-        body = F.base64(F.encode(F.substr("text", k * 10 + 1, F.lit(10)), "UTF-8"))
+        body = F.base64(F.encode(F.substr("text", k * width + 1, width), "UTF-8"))
         return F.when(k % 2 == 0, F.concat(F.lit("data:image/jpeg;base64,"), body)).otherwise(body)
 
     requests = derived.table(spark, d, "documents").select(
         "doc_id", F.transform(F.sequence(F.lit(0), F.lit(17)), encoded).alias("frames")
     )
-    return tables.decode_frame_batch(requests).select(
+    return tables.decode_frame_batch(requests, max_frames=18).select(
         "doc_id", "frame_no", F.sha2("frame", 256).alias("frame_hash")
     )
 
@@ -565,21 +568,28 @@ def _(spark, d):
 
 
 V = "verdict_reply"
-register("judged", f"""
+
+
+def _judged_sql(reply: str) -> str:
+    return f"""
 SELECT doc_id, CASE said WHEN 'YES' THEN true WHEN 'NO' THEN false END AS is_deepfake,
-       greatest(0, least(100, {sql_number(V, 'CONFIDENCE', '50', False)}))::INT AS confidence,
-       greatest(0, least(10, {sql_number(V, 'AUTHENTICITY_SCORE', '5')})) AS authenticity_score,
-       coalesce({sql_block(V, 'REASONING', 'RED_FLAGS', 'TECHNICAL_ARTIFACTS', 'ARTIFACTS_FOUND', 'CONTEXTUAL_ISSUES')}, '') AS reasoning,
+       greatest(0, least(100, {sql_number(reply, 'CONFIDENCE', '50', False)}))::INT AS confidence,
+       greatest(0, least(10, {sql_number(reply, 'AUTHENTICITY_SCORE', '5')})) AS authenticity_score,
+       coalesce({sql_block(reply, 'REASONING', 'RED_FLAGS', 'TECHNICAL_ARTIFACTS', 'ARTIFACTS_FOUND', 'CONTEXTUAL_ISSUES')}, '') AS reasoning,
        {sql_items('rf', "'none', 'none detected'")} AS red_flags,
        {sql_items('ta', "'none', 'none found'")} AS technical_artifacts,
        {sql_items('ci', "'none', 'none found'")} AS contextual_issues,
        {sql_items('af', "'none', 'none detected'")} AS artifacts,
-       {sql_word(V, 'RECOMMENDATION', 'TRUST|VERIFY|REJECT', 'VERIFY')} AS recommendation
-FROM (SELECT *, {sql_word(V, 'IS_DEEPFAKE', 'YES|NO|UNCERTAIN', None)} AS said,
-  {sql_block(V, 'RED_FLAGS', 'TECHNICAL_ARTIFACTS', 'CONTEXTUAL_ISSUES', 'RECOMMENDATION')} AS rf,
-  {sql_block(V, 'TECHNICAL_ARTIFACTS', 'CONTEXTUAL_ISSUES', 'RECOMMENDATION')} AS ta,
-  {sql_block(V, 'CONTEXTUAL_ISSUES', 'RECOMMENDATION')} AS ci,
-  {sql_block(V, 'ARTIFACTS_FOUND', 'QUALITY_ASSESSMENT', 'RECOMMENDATION')} AS af FROM replies)""")
+       {sql_word(reply, 'RECOMMENDATION', 'TRUST|VERIFY|REJECT', 'VERIFY')} AS recommendation
+FROM (SELECT *, {sql_word(reply, 'IS_DEEPFAKE', 'YES|NO|UNCERTAIN', None)} AS said,
+  {sql_block(reply, 'RED_FLAGS', 'TECHNICAL_ARTIFACTS', 'CONTEXTUAL_ISSUES', 'RECOMMENDATION')} AS rf,
+  {sql_block(reply, 'TECHNICAL_ARTIFACTS', 'CONTEXTUAL_ISSUES', 'RECOMMENDATION')} AS ta,
+  {sql_block(reply, 'CONTEXTUAL_ISSUES', 'RECOMMENDATION')} AS ci,
+  {sql_block(reply, 'ARTIFACTS_FOUND', 'QUALITY_ASSESSMENT', 'RECOMMENDATION')} AS af FROM replies)"""
+
+
+register("judged", _judged_sql(V))
+register("judged_technical", _judged_sql("technical_reply"))
 
 LISTS = ["red_flags", "technical_artifacts", "contextual_issues", "artifacts"]
 
@@ -701,7 +711,7 @@ def _(spark, d):
 @query("fuse_scores_frames", """
 WITH base AS (
   SELECT video_hash, ((vec_id * 41 + variant * 7) % 101) / 100 AS q, (vec_id % 11) / 10 AS fr,
-         CASE WHEN vec_id % 6 <> 0 THEN is_deepfake END AS rf, lipsync_score AS ra, confidence AS rc,
+         CASE WHEN vec_id % 6 <> 0 THEN is_deepfake END AS rf, vec_id % 12 <> 0 AS came, lipsync_score AS ra, confidence AS rc,
          celebrity_detected AS pd, ['POLITICIAN', 'SPORTS', 'BUSINESS'][variant % 3 + 1] AS pc FROM detections),
 mix AS (
   SELECT *, CASE WHEN rf THEN 1 ELSE 1 - ra END AS g, (CASE WHEN q > 0.6 THEN 0.3 WHEN q < 0.4 THEN 0.6 ELSE 0.45 END)::DOUBLE AS lo,
@@ -714,7 +724,7 @@ c AS (
                  WHEN fake THEN 0.6 + 0.3 * (1 - q) ELSE 0.7 + 0.25 * q END AS c FROM f)
 SELECT video_hash, fake AS fused_fake, round(round(c, 3), 2) AS fused_confidence,
        CASE WHEN fake THEN 'high' WHEN c < 0.8 THEN 'medium' ELSE 'low' END AS risk_level,
-       CASE WHEN rf IS NOT NULL THEN 'personality_first' ELSE 'heuristic' END AS analysis_method FROM c""")
+       CASE WHEN came THEN 'personality_first' ELSE 'heuristic' END AS analysis_method FROM c""")
 def _(spark, d):
     v = F.col("vec_id")
     groups = F.array(F.lit("POLITICIAN"), F.lit("SPORTS"), F.lit("BUSINESS"))
@@ -722,6 +732,7 @@ def _(spark, d):
         "video_hash",
         ((v * 41 + F.col("variant") * 7) % 101 / 100).alias("avg_quality"),
         (v % 11 / 10).alias("face_detection_rate"),
+        (v % 12 != 0).alias("reply_present"),
         F.when(v % 6 != 0, F.col("is_deepfake")).alias("reply_fake"),
         F.col("lipsync_score").alias("reply_authenticity"),
         F.col("confidence").alias("reply_confidence"),
@@ -737,13 +748,17 @@ def _(spark, d):
 
 @query("personality_branch", """
 SELECT w.doc_id, CASE WHEN k THEN 'personality_specific' ELSE 'technical_artifacts' END AS analysis_method,
-       j.is_deepfake, j.confidence / 100 AS deepfake_confidence, j.authenticity_score / 10 AS authenticity_score,
-       CASE WHEN k THEN j.red_flags ELSE j.artifacts END AS red_flags,
+       CASE WHEN k THEN j.is_deepfake ELSE t.is_deepfake END AS is_deepfake,
+       CASE WHEN k THEN j.confidence ELSE t.confidence END / 100 AS deepfake_confidence,
+       CASE WHEN k THEN j.authenticity_score ELSE t.authenticity_score END / 10 AS authenticity_score,
+       CASE WHEN k THEN j.red_flags ELSE t.artifacts END AS red_flags,
        CASE WHEN k THEN j.recommendation ELSE 'VERIFY' END AS recommendation,
        CASE WHEN w.category IN ('POLITICIAN', 'BUSINESS') THEN 'HIGH' WHEN w.detected THEN 'MEDIUM'
             ELSE 'LOW' END AS risk_level,
-       CASE WHEN j.is_deepfake THEN 'FAKE' WHEN NOT j.is_deepfake THEN 'AUTHENTIC' ELSE 'UNCERTAIN' END AS final_verdict
-FROM (SELECT *, detected AND identity IS NOT NULL AS k FROM who) w JOIN judged j ON j.doc_id = w.doc_id""")
+       CASE CASE WHEN k THEN j.is_deepfake ELSE t.is_deepfake END
+         WHEN true THEN 'FAKE' WHEN false THEN 'AUTHENTIC' ELSE 'UNCERTAIN' END AS final_verdict
+FROM (SELECT *, detected AND identity IS NOT NULL AS k FROM who) w JOIN judged j ON j.doc_id = w.doc_id
+JOIN judged_technical t ON t.doc_id = w.doc_id""")
 def _(spark, d):
     def packed(parser, reply):
         return F.struct(*[c.alias(n) for n, c in parser(F.col(reply)).items()])
@@ -752,7 +767,7 @@ def _(spark, d):
         "doc_id",
         packed(parsing.parse_personality_reply, P).alias("who"),
         packed(parsing.parse_verdict_reply, V).alias("known"),
-        packed(parsing.parse_verdict_reply, V).alias("technical"),
+        packed(parsing.parse_verdict_reply, "technical_reply").alias("technical"),
     )
     out = scoring.personality_branch(rows).drop("who", "known", "technical")
     return out.withColumn("red_flags", F.array_join("red_flags", "|"))

@@ -221,7 +221,12 @@ FROM (SELECT s.*, g.ip IS NOT NULL AND NOT starts_with(s.ip, '10.') AS k, g
       FROM sightings s LEFT JOIN geo g ON g.ip = s.ip) s""")
 def _(spark, d):
     rows = derived.sightings(spark, d).select("event_id", "ip", "ip_hash")
-    return stats.geo_enrich(rows, derived.geo(spark, d), is_private_ip(F.col("ip")))
+    # fixed values: the place of addresses that are private or not listed
+    fallback = {
+        "country": "India", "country_code": "IN", "region": "Tamil Nadu", "city": "Vellore",
+        "timezone": "Asia/Kolkata", "isp": "Local Network", "latitude": 12.9692, "longitude": 79.1559,
+    }
+    return stats.geo_enrich(rows, derived.geo(spark, d), is_private_ip(F.col("ip")), fallback)
 
 
 @query("geo_cluster", """

@@ -35,6 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         base = spark.conf.get("trailmark.shared.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("trailmark.shared.dir", base)
     return base

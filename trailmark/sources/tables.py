@@ -44,38 +44,41 @@ def read_offline_queue(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("*", F.col("_metadata.file_name").alias("file_name"))
 
 
+def media_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length, content) of every file below a path. Content is read only where it is used."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", "length", "content")
+
+
 def content_inventory(
-    spark: SparkSession,
-    path: str,
-    extensions: list[str] = MEDIA_EXTENSIONS,
-    max_bytes: int = MAX_MEDIA_BYTES,
+    files: DataFrame, extensions: list[str] = MEDIA_EXTENSIONS, max_bytes: int = MAX_MEDIA_BYTES
 ) -> DataFrame:
-    """Digest and size of every media file below a path; others are listed as refused.
+    """``files`` (path, length, content) with accepted and, for those that are, the digest of the content.
 
-    File content is read only for accepted files of at most ``max_bytes``.
+    A file is accepted by its extension, in any case, and its size; others are listed as refused.
     """
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    )
     kind = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     accepted = kind.isin(extensions) & (F.col("length") <= max_bytes)
+    rest = [c for c in files.columns if c != "content"]
     wanted = files.where(accepted).select(
-        "path", "length", F.lit(True).alias("accepted"), digest(F.col("content")).alias("sha256")
+        *rest, F.lit(True).alias("accepted"), digest(F.col("content")).alias("sha256")
     )
-    refused = files.where(~accepted).select(
-        "path", "length", F.lit(False).alias("accepted"), F.lit(None).cast("string").alias("sha256")
+    refused = files.where(~F.coalesce(accepted, F.lit(False))).select(
+        *rest, F.lit(False).alias("accepted"), F.lit(None).cast("string").alias("sha256")
     )
     return wanted.unionByName(refused)
 
 
-def decode_frame_batch(requests: DataFrame, frames: str = "frames") -> DataFrame:
-    """Binary frames of each request: data-URL prefix removed, the first 15 only.
+def decode_frame_batch(
+    requests: DataFrame, frames: str = "frames", max_frames: int = MAX_FRAMES
+) -> DataFrame:
+    """Binary frames of each request: data-URL prefix removed, the first ``max_frames`` only.
 
     A frame that is not valid base64 is skipped.
     """
     rest = [c for c in requests.columns if c != frames]
     each = requests.select(
-        *rest, F.posexplode(F.slice(frames, 1, MAX_FRAMES)).alias("frame_no", "_f")
+        *rest, F.posexplode(F.slice(frames, 1, max_frames)).alias("frame_no", "_f")
     )
     parts = F.split("_f", ",")
     encoded = F.when(F.size(parts) > 1, F.get(parts, F.lit(1))).otherwise(F.col("_f"))
