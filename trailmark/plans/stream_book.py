@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trailmark.plans import derived
+from trailmark.plans import derived, media_book  # noqa: F401
 from trailmark.plans.alert_book import _entries, cooldown_sql
-from trailmark.plans.book import query
+from trailmark.plans.book import ORACLE, query
 from trailmark.plans.oracle_views import register
 from trailmark.session import scratch_path
 from trailmark.sources import tables
@@ -15,14 +15,40 @@ from trailmark.streaming import jobs
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+PARTS = 4
+FILES = 1
+_PARTS: dict[tuple[str, str], str] = {}
+
+
+def _parts(spark, d):
+    """The events of the table again, in parts by time that are written one after another.
+
+    A stream takes files in order of their writing, so every query below sees several
+    micro-batches in order of time. How many files a part has is left to Spark.
+    """
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _PARTS:
+        path = scratch_path(spark, "events-in")
+        events = derived.table(spark, d, "events")
+        at = F.unix_micros(F.col("ts").cast("timestamp"))
+        first, last = events.agg(F.min(at), F.max(at)).first()
+        part = F.floor((at - F.lit(first)) * PARTS / F.lit(last - first + 1))
+        for k in range(PARTS):
+            events.where(part == k).write.mode("append").parquet(path)
+        _PARTS[key] = path
+    return _PARTS[key]
+
+
 def _stream(spark, d, dense=False):
-    events = jobs.stream_events(spark, f"{d}/events*.parquet")
+    events = jobs.stream_events(spark, _parts(spark, d), files_per_trigger=FILES)
     rows = derived.sightings_from(events, derived.table(spark, d, "nation"))
     rows = rows.withColumn("seconds", derived.seconds_of())
-    if dense:
-        item = (F.col("item") % 5).cast("int")
-        rows = rows.withColumns({"item": item, "video_hash": F.sha2(item.cast("string"), 256)})
-    return rows
+    return _dense(rows) if dense else rows
+
+
+def _dense(rows):
+    item = (F.col("item") % 5).cast("int")
+    return rows.withColumns({"item": item, "video_hash": F.sha2(item.cast("string"), 256)})
 
 
 def _naive(column):
@@ -37,7 +63,7 @@ def _naive(column):
 SELECT event_id, video_hash, ip_hash, country, platform FROM sightings""")
 def _(spark, d):
     path = scratch_path(spark, "sightings-in")
-    derived.sightings(spark, d).repartitionByRange(4, "ts").write.parquet(path)
+    derived.sightings(spark, d).repartitionByRange("ts").write.parquet(path)
     out = jobs.stream_sightings(spark, path, files_per_trigger=2)
     return jobs.run_to_table(
         out.select("event_id", "video_hash", "ip_hash", "country", "platform"), "sightings"
@@ -69,36 +95,71 @@ def _(spark, d):
 
 
 @query("stream_reupload_bursts", """
-SELECT video_hash, ip_hash, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS uploads
+SELECT video_hash, ip_hash, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS uploads,
+       max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) AS closed
 FROM (SELECT *, sum(CASE WHEN gap < INTERVAL 30 MINUTE THEN 0 ELSE 1 END) OVER (PARTITION BY video_hash, ip_hash
         ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s
       FROM (SELECT *, ts - lag(ts) OVER (PARTITION BY video_hash, ip_hash ORDER BY ts, event_id) AS gap FROM campaigns))
 GROUP BY video_hash, ip_hash, s
-HAVING count(*) >= 2 AND max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
+HAVING count(*) >= 2""")
 def _(spark, d):
-    out = jobs.run_to_table(
+    closed = jobs.run_to_table(
         jobs.stream_reupload_bursts(_stream(spark, d, True), least=2), "bursts"
     )
+    stored = _dense(derived.sightings(spark, d))
+    out = closed.withColumn("closed", F.lit(True)).unionByName(
+        jobs.open_sessions(stored, least=2).withColumn("closed", F.lit(False))
+    )
     return out.withColumns(
         {c: _naive(F.col(c)) for c in ("session_start", "session_end")}
     )
 
 
+def _on_rocks(spark, run):
+    """Runs a job under the state store that custom state needs, and sets the session back."""
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    try:
+        return run()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+
+
 register("stream_candidates", """
 SELECT video_hash, platform AS alert_type, seconds, event_id FROM sightings WHERE is_deepfake""")
 
 
 @query("stream_alerts", cooldown_sql("stream_candidates", "21600"))
 def _(spark, d):
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    try:
-        rows = _stream(spark, d).where("is_deepfake").select(
-            "video_hash", F.col("platform").alias("alert_type"), "seconds", "event_id"
-        )
-        return jobs.run_to_table(jobs.stream_alerts(rows, 21_600), "alerts")
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    rows = _stream(spark, d).where("is_deepfake").select(
+        "video_hash", F.col("platform").alias("alert_type"), "seconds", "event_id"
+    )
+    return _on_rocks(spark, lambda: jobs.run_to_table(jobs.stream_alerts(rows, 21_600), "alerts"))
+
+
+@query("stream_spread_events", """
+SELECT video_hash, event_id, 'reupload' AS kind, NULL AS previous_country, NULL AS country,
+       upload_count AS number, seconds_since_first::BIGINT AS detail FROM reuploads
+UNION ALL
+SELECT video_hash, event_id, 'spread', previous_country, country, unique_countries, NULL
+FROM spread_events WHERE is_new_country AND spread_count > 1
+UNION ALL
+SELECT video_hash, event_id, 'viral', NULL, NULL, spread_count, unique_countries
+FROM spread_events WHERE spread_count IN (10, 50, 100) OR spread_count % 500 = 0""")
+def _(spark, d):
+    return _on_rocks(
+        spark, lambda: jobs.run_to_table(jobs.stream_spread_events(_stream(spark, d)), "spread-events")
+    )
+
+
+@query("stream_tiered_lookup", ORACLE["tiered_lookup"])
+def _(spark, d):
+    items = derived.media_fingerprints(spark, d).select("video_hash", "perceptual_hash")
+    path = scratch_path(spark, "arrivals")
+    for k in range(PARTS):
+        items.where(F.pmod(F.xxhash64("video_hash"), F.lit(PARTS)) == k).write.mode("append").parquet(path)
+    arrivals = spark.readStream.schema(items.schema).option("maxFilesPerTrigger", FILES).parquet(path)
+    return jobs.stream_tiered_lookup(arrivals, derived.registry(spark, d))
 
 
 @query("stream_first_countries", """

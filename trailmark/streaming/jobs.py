@@ -10,14 +10,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
 
 from trailmark import schemas
+from trailmark.operators.lookup import tiered_lookup
 from trailmark.operators.registry import SCORES, upsert_registry
-from trailmark.session import scratch_path
+from trailmark.operators.spread import MILESTONE_STEP, MILESTONES
+from trailmark.session import cut_lineage, scratch_path
 
 LATENESS = "10 minutes"
 
@@ -47,14 +50,28 @@ def event_time(stream: DataFrame, lateness: str = LATENESS) -> DataFrame:
 # ---- sinks ----------------------------------------------------------------------------------
 
 
-def run_to_table(stream: DataFrame, label: str) -> DataFrame:
-    """Runs an append stream over all available input into a Parquet table and reads it back."""
+def _places(spark: SparkSession, label: str, output: str | None, checkpoint: str | None):
+    """Where a job writes and where it remembers its place. A job that is to go on after a restart names both."""
+    if (output is None) != (checkpoint is None):
+        raise ValueError("name the output and the checkpoint of a job, or neither")
+    out = scratch_path(spark, label) if output is None else output
+    return out, checkpoint or f"{out}/progress"
+
+
+def run_to_table(
+    stream: DataFrame, label: str, output: str | None = None, checkpoint: str | None = None
+) -> DataFrame:
+    """Runs an append stream over all available input into a Parquet table and reads it back.
+
+    With ``output`` and ``checkpoint`` a later call goes on where this one ended and returns all
+    rows so far; without them every call begins anew in a folder of its own.
+    """
     spark = stream.sparkSession
-    out = scratch_path(spark, label)
+    out, progress = _places(spark, label, output, checkpoint)
     query = (
         stream.writeStream.format("parquet")
         .option("path", f"{out}/rows")
-        .option("checkpointLocation", f"{out}/progress")
+        .option("checkpointLocation", progress)
         .outputMode("append")
         .trigger(availableNow=True)
         .start()
@@ -63,21 +80,23 @@ def run_to_table(stream: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{out}/rows")
 
 
-def run_updates(stream: DataFrame, keys: list[str], label: str) -> DataFrame:
+def run_updates(
+    stream: DataFrame, keys: list[str], label: str, output: str | None = None, checkpoint: str | None = None
+) -> DataFrame:
     """Runs an update stream; the newest row per key is the result.
 
     Every micro-batch writes its own folder, overwritten on a retry, so a repeated batch
-    changes nothing.
+    changes nothing. ``output`` and ``checkpoint`` as in ``run_to_table``.
     """
     spark = stream.sparkSession
-    out = scratch_path(spark, label)
+    out, progress = _places(spark, label, output, checkpoint)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/rows/batch_id={batch_id}")
 
     query = (
         stream.writeStream.foreachBatch(write)
-        .option("checkpointLocation", f"{out}/progress")
+        .option("checkpointLocation", progress)
         .outputMode("update")
         .trigger(availableNow=True)
         .start()
@@ -89,6 +108,29 @@ def run_updates(stream: DataFrame, keys: list[str], label: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(values, "batch_id").alias("v")).select(*keys, "v.*")
 
 
+def run_batches(
+    stream: DataFrame, transform, label: str, output: str | None = None, checkpoint: str | None = None
+) -> DataFrame:
+    """Applies a batch operator to every micro-batch of all available input; returns all its rows.
+
+    A repeated batch overwrites its own folder. ``output`` and ``checkpoint`` as in ``run_to_table``.
+    """
+    spark = stream.sparkSession
+    out, progress = _places(spark, label, output, checkpoint)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        transform(batch).write.mode("overwrite").parquet(f"{out}/rows/batch_id={batch_id}")
+
+    query = (
+        stream.writeStream.foreachBatch(write)
+        .option("checkpointLocation", progress)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return spark.read.parquet(f"{out}/rows").drop("batch_id")
+
+
 # ---- operators ------------------------------------------------------------------------------
 
 
@@ -120,7 +162,11 @@ def stream_velocity(
 def stream_reupload_bursts(
     sightings: DataFrame, gap: str = "30 minutes", least: int = 3
 ) -> DataFrame:
-    """Sessions of uploads of an item by one source; closed sessions with enough uploads."""
+    """Sessions of uploads of an item by one source, with enough uploads.
+
+    On a stream a session comes out when the watermark has passed its end. Those still open are
+    ``open_sessions`` of the stored rows.
+    """
     counted = (
         event_time(sightings)
         .groupBy("video_hash", "ip_hash", F.session_window("at", gap).alias("s"))
@@ -135,6 +181,17 @@ def stream_reupload_bursts(
     )
 
 
+def open_sessions(
+    stored: DataFrame, gap: str = "30 minutes", least: int = 3, lateness: str = LATENESS
+) -> DataFrame:
+    """The sessions of stored sightings that a stream over them has not closed yet."""
+    sessions = stream_reupload_bursts(stored, gap, least)
+    last = F.max(F.col("ts").cast("timestamp")) - F.expr(f"INTERVAL {lateness}")
+    # one number: the watermark that the stream ended with
+    mark = stored.agg(F.unix_micros(last)).first()[0]
+    return sessions.where(F.unix_micros("session_end") > F.lit(mark))
+
+
 class CooldownProcessor(StatefulProcessor):
     """Keeps the last kept second per (item, alert type) and drops alerts within the cooldown."""
 
@@ -153,16 +210,17 @@ class CooldownProcessor(StatefulProcessor):
         while at < len(seconds):
             kept.append(at)
             at = int(np.searchsorted(seconds, seconds[at] + self.gap, side="left"))
+        # nothing is yielded for nothing kept: an empty frame has no types
         if kept:
             self.last.update((int(seconds[kept[-1]]),))
-        yield pd.DataFrame(
-            {
-                "video_hash": [key[0]] * len(kept),
-                "alert_type": [key[1]] * len(kept),
-                "seconds": seconds[kept],
-                "event_id": batch["event_id"].to_numpy()[kept],
-            }
-        )
+            yield pd.DataFrame(
+                {
+                    "video_hash": pd.Series([key[0]] * len(kept), dtype="object"),
+                    "alert_type": pd.Series([key[1]] * len(kept), dtype="object"),
+                    "seconds": seconds[kept].astype("int64"),
+                    "event_id": batch["event_id"].to_numpy()[kept].astype("int64"),
+                }
+            )
 
     def close(self) -> None:
         pass
@@ -183,13 +241,93 @@ def stream_alerts(candidates: DataFrame, cooldown_seconds: int = 300) -> DataFra
     )
 
 
+class SpreadProcessor(StatefulProcessor):
+    """Per item: running count, last country, countries seen, and count and first second of every source."""
+
+    def __init__(self, ttl_ms: int | None):
+        self.ttl = {"ttlDurationMs": ttl_ms} if ttl_ms else {}
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.total = handle.getValueState("total", "n bigint, country string, countries bigint", **self.ttl)
+        self.countries = handle.getMapState("countries", "country string", "seen int", **self.ttl)
+        self.sources = handle.getMapState("sources", "ip_hash string", "n bigint, first bigint", **self.ttl)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).sort_values(["seconds", "event_id"])
+        n, last, unique = self.total.get() if self.total.exists() else (0, None, 0)
+        seen = {c: self.countries.containsKey((c,)) for c in batch["country"].unique()}
+        sources = {
+            ip: self.sources.getValue((ip,)) if self.sources.containsKey((ip,)) else None
+            for ip in batch["ip_hash"].unique()
+        }
+        new, out = set(), []
+        columns = (batch[c].tolist() for c in ("event_id", "seconds", "country", "ip_hash"))
+        for event, second, country, ip in zip(*columns, strict=True):
+            n += 1
+            uploads, first = sources[ip] or (0, second)
+            sources[ip] = (uploads + 1, first)
+            if uploads:
+                out.append((event, "reupload", None, None, uploads + 1, second - first))
+            if not seen[country]:
+                seen[country] = True
+                new.add(country)
+                unique += 1
+                if n > 1:
+                    out.append((event, "spread", last, country, unique, None))
+            if n in MILESTONES or n % MILESTONE_STEP == 0:
+                out.append((event, "viral", None, None, n, unique))
+            last = country
+        self.total.update((n, last, unique))
+        for country in new:
+            self.countries.updateValue((country,), (1,))
+        for ip, value in sources.items():
+            self.sources.updateValue((ip,), value)
+        if out:
+            found = pd.DataFrame(out, columns=["event_id", "kind", "previous_country", "country", "number", "detail"])
+            found.insert(0, "video_hash", key[0])
+            whole = {"event_id": "int64", "number": "int64", "detail": "Int64"}
+            texts = {c: "object" for c in ("video_hash", "kind", "previous_country", "country")}
+            yield found.astype(whole | texts)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_spread_events(sightings: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """What a sighting tells about its item, given all before it: one row per finding.
+
+    ``reupload`` (number: uploads of the source so far, detail: seconds since its first),
+    ``spread`` (a first sighting in a country that is not the item's first; previous_country,
+    country, number: countries so far) and ``viral`` (number: sightings so far, at milestones;
+    detail: countries so far). Needs the RocksDB state store and sightings in order of time from batch to batch.
+    State is one row per item, country and source; with ``ttl_ms`` it expires that long after its last change.
+    """
+    columns = [
+        F.coalesce(c, F.lit("")).alias(c) if c in ("country", "ip_hash") else F.col(c)
+        for c in ("video_hash", "event_id", "seconds", "country", "ip_hash")
+    ]
+    return sightings.select(*columns).groupBy("video_hash").transformWithStateInPandas(
+        statefulProcessor=SpreadProcessor(ttl_ms),
+        outputStructType="video_hash string, event_id bigint, kind string, previous_country string, "
+        "country string, number bigint, detail bigint",
+        outputMode="Append",
+        timeMode="ProcessingTime" if ttl_ms else "None",
+    )
+
+
 def stream_first_countries(sightings: DataFrame) -> DataFrame:
     """First arrival of an item in a country; state is one row per item and country."""
     return sightings.dropDuplicates(["video_hash", "country"])
 
 
-def stream_dedup(uploads: DataFrame, keys: list[str], within: str = "1 hour") -> DataFrame:
-    """Uploads not seen within the watermark span before."""
+def stream_dedup(uploads: DataFrame, keys: list[str], within: str | None = None) -> DataFrame:
+    """The first upload of each key, whatever files or micro-batches they come in.
+
+    State is one entry per key for ever. With ``within`` an entry expires when the watermark has
+    passed its time by that much, and a key that comes again later passes again.
+    """
+    if within is None:
+        return uploads.dropDuplicates(keys)
     return event_time(uploads, within).dropDuplicatesWithinWatermark(keys)
 
 
@@ -199,6 +337,23 @@ def stream_lookup(stream: DataFrame, registry: DataFrame) -> DataFrame:
     return stream.join(known, "video_hash", "left")
 
 
+def stream_tiered_lookup(
+    arrivals: DataFrame,
+    registry: DataFrame,
+    label: str = "tiered-lookup",
+    output: str | None = None,
+    checkpoint: str | None = None,
+    **options,
+) -> DataFrame:
+    """Every arrival with its best stored match: content hash, hash code, nearest code.
+
+    Each micro-batch goes through ``tiered_lookup``, so the tiers are those of the batch operator.
+    """
+    return run_batches(
+        arrivals, lambda batch: tiered_lookup(batch, registry, **options), label, output, checkpoint
+    )
+
+
 def stream_detection_sighting_join(
     detections: DataFrame, sightings: DataFrame, within: str = "1 hour"
 ) -> DataFrame:
@@ -221,39 +376,70 @@ def stream_detection_sighting_join(
     ).select("video_hash", "detection_id", "event_id")
 
 
+#: Parts of a stored registry, by the first two digits of the hash.
+REGISTRY_COLUMNS = ["video_hash", *SCORES, "first_seen", "last_seen", "detection_count"]
+
+
+def _bucketed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("bucket", F.substring("video_hash", 1, 2))
+
+
+def _current(spark: SparkSession, out: str, before: int | None = None) -> dict[str, int]:
+    """The newest version of each bucket, of those older than ``before``. At most 256 rows per version."""
+    listed = spark.read.schema("bucket string, version bigint").parquet(f"{out}/versions")
+    if before is not None:
+        listed = listed.where(F.col("version") < before)
+    return {r.bucket: r.version for r in listed.groupBy("bucket").agg(F.max("version").alias("version")).collect()}
+
+
+def _read_buckets(spark: SparkSession, out: str, versions: dict[str, int], schema: StructType) -> DataFrame:
+    paths = [f"{out}/rows/version={v}/bucket={b}" for b, v in versions.items()]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
 def stream_upsert_registry(
-    batches: DataFrame, existing: DataFrame, label: str = "registry"
+    batches: DataFrame,
+    existing: DataFrame,
+    label: str = "registry",
+    output: str | None = None,
+    checkpoint: str | None = None,
 ) -> DataFrame:
-    """Upserts every micro-batch into a registry snapshot; returns the last snapshot.
+    """Upserts every micro-batch into a stored registry and returns the registry.
 
-    Snapshot n + 1 is written from snapshot n, each in a folder of its own named by the batch,
-    so a batch that is run twice writes the same rows to the same place.
+    A micro-batch rewrites the buckets of the hashes that it brings and no others, as the version
+    with its number, from the newest versions before it; so a batch that runs twice writes
+    the same rows to the same place. ``existing`` is stored once, when ``output`` is new; a job
+    that is called again with the same ``output`` and ``checkpoint`` goes on from the stored versions.
     """
     spark = existing.sparkSession
-    out = scratch_path(spark, label)
-    columns = ["video_hash", *SCORES, "first_seen", "last_seen", "detection_count"]
-    start = f"{out}/snapshot=start"
-    existing.select(*columns).write.parquet(start)
-    schema = existing.select(*columns).schema
-    done: dict[str, str] = {"last": start}
+    out, progress = _places(spark, label, output, checkpoint)
+    schema = existing.select(*REGISTRY_COLUMNS).schema
 
-    def previous(batch_id: int) -> str:
-        return start if batch_id == 0 else f"{out}/snapshot={batch_id - 1}"
+    def store(rows: DataFrame, version: int) -> None:
+        rows = cut_lineage(_bucketed(rows))
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/rows/version={version}")
+        written = rows.select("bucket", F.lit(version).cast("bigint").alias("version")).distinct()
+        written.coalesce(1).write.mode("overwrite").parquet(f"{out}/versions/of={version}")
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        before = spark.read.schema(schema).parquet(previous(batch_id))
-        target = f"{out}/snapshot={batch_id}"
-        upsert_registry(before, batch).write.mode("overwrite").parquet(target)
-        done["last"] = target
-
+        batch = cut_lineage(batch)
+        touched = [r.bucket for r in _bucketed(batch.select("video_hash")).select("bucket").distinct().collect()]
+        newest = _current(spark, out, before=batch_id)
+        before = _read_buckets(spark, out, {b: newest[b] for b in touched if b in newest}, schema)
+        store(upsert_registry(before, batch).select(*REGISTRY_COLUMNS), batch_id)
+
+    try:
+        _current(spark, out)
+    except AnalysisException:  # nothing is stored there yet
+        store(existing.select(*REGISTRY_COLUMNS), -1)
     query = (
         batches.writeStream.foreachBatch(merge)
-        .option("checkpointLocation", f"{out}/progress")
+        .option("checkpointLocation", progress)
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return spark.read.schema(schema).parquet(done["last"])
+    return _read_buckets(spark, out, _current(spark, out), schema)
 
 
 def stream_offline_replay(spark: SparkSession, path: str) -> DataFrame:
