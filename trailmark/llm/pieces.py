@@ -21,22 +21,25 @@ from __future__ import annotations
 import heapq
 import re
 from array import array
-from itertools import pairwise
+from itertools import chain, compress, islice, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trailmark.llm.book import query
-from trailmark.llm.common import table
+from trailmark.llm.common import table, unused
 from trailmark.session import cut_lineage
 
 #: Code points of a chunk; at least twice the longest piece.
 CHUNK = 1 << 15
 #: Words whose pieces a worker remembers, and pairs of pieces whose agreement it does.
 REMEMBERED = 300_000
+#: Characters whose words are looked up at one time.
+RUN = 1 << 20
 #: Longer words are merged one by one, with a queue.
 TOGETHER = 48
 
@@ -45,14 +48,42 @@ _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _NONE = np.iinfo(np.int64).max
 
 
+class Spelling:
+    """The bytes of the pieces of a model with byte fallback, one after another."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        spelled = []
+        for i in range(model.get_piece_size()):
+            piece = model.id_to_piece(i)
+            if model.is_byte(i):
+                spelled.append(bytes([int(piece[3:5], 16)]))
+            elif model.is_control(i) or model.is_unknown(i):
+                spelled.append(b"")
+            else:
+                spelled.append(piece.replace(SPACE, " ").encode())
+        self.letters = np.frombuffer(b"".join(spelled), np.uint8)
+        self.sizes = np.array(list(map(len, spelled)))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def decode(self, ids) -> str:
+        """The text of the ids; bytes that form no character become replacement characters."""
+        ids = np.asarray(ids, np.int64)
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        at = np.repeat(self.starts[ids] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))
+        return self.letters[at].tobytes().decode("utf-8", "replace")[1:]
+
+
 class Vocabulary:
-    """Pieces, their merge order and the bytes of pieces of a model with byte fallback."""
+    """Pieces and their merge order, of a model with byte fallback."""
 
     def __init__(self, path: str):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.text: dict[int, bytes] = {}
         self.ids: dict[str, int] = {}
         self.byte_ids = [0] * 256
         scores = {}
@@ -60,12 +91,8 @@ class Vocabulary:
             piece = model.id_to_piece(i)
             if model.is_byte(i):
                 self.byte_ids[int(piece[3:5], 16)] = i
-                self.text[i] = bytes([int(piece[3:5], 16)])
-            elif model.is_control(i) or model.is_unknown(i):
-                self.text[i] = b""
-            else:
+            elif not model.is_control(i) and not model.is_unknown(i):
                 self.ids[piece], scores[piece] = i, model.get_score(i)
-                self.text[i] = piece.replace(SPACE, " ").encode()
         if not any(self.byte_ids) or any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("the model must have byte fallback and pieces with spaces at their start only")
         self.longest = max(map(len, self.ids))
@@ -79,11 +106,34 @@ class Vocabulary:
             if p[:k] in self.ids and p[k:] in self.ids
         )
         self.pair_keys, self.pair_ranks, self.pair_ids = np.array(pairs, np.int64).T.copy()
-        self.known: dict[str, array] = {}
+        #: symbol of each character; one without a piece has a negative symbol, which no pair holds
+        self.symbol = -1 - np.arange(0x110000, dtype=np.int32)
+        for p, i in self.ids.items():
+            if len(p) == 1:
+                self.symbol[ord(p)] = i
+        self._forget()
         self.agree: dict[tuple[str, str], bool] = {}
 
     # words
 
+    def _forget(self) -> None:
+        """The pieces of known words lie one after another in one pool."""
+        self.place: dict[str, int] = {}
+        self.pool, self.filled = np.zeros(1 << 16, np.int32), 0
+        self.word_start, self.word_size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def _store(self, places: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Adds the ids of words, which follow one another, under their places."""
+        if (need := int(places.max(initial=-1)) + 1) > len(self.word_start):
+            grown = np.zeros(2 * need - len(self.word_start), np.int64)
+            self.word_start, self.word_size = (np.concatenate([x, grown]) for x in (self.word_start, self.word_size))
+        if self.filled + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(len(self.pool) + len(ids), np.int32)])
+        self.pool[self.filled : self.filled + len(ids)] = ids
+        self.word_start[places] = self.filled + np.cumsum(sizes) - sizes
+        self.word_size[places] = sizes
+        self.filled += len(ids)
+
     def _bytes(self, char: str) -> list[int]:
         return [self.byte_ids[b] for b in char.encode("utf-8", "surrogatepass")]
 
@@ -123,14 +173,11 @@ class Vocabulary:
         hit = (self.pair_keys[at] == key) & (left >= 0) & (right >= 0)
         return np.where(hit, self.pair_ranks[at], _NONE), self.pair_ids[at]
 
-    def _merge_together(self, words: list[str]) -> None:
-        """Remembers the pieces of many short words; each round merges one pair of every word."""
-        joined = "".join(words)
-        points, where = np.unique(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
-        # a character without a piece has a negative symbol, which no pair holds
-        codes = np.array([self.ids.get(chr(p), -1 - int(p)) for p in points], np.int64)
-        symbols = codes[where]
-        word = np.repeat(np.arange(len(words)), list(map(len, words)))
+    def _merge_together(self, words: list[str], places: np.ndarray) -> None:
+        """Stores the pieces of many short words; each round merges one pair of every word."""
+        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        symbols = self.symbol[points].astype(np.int64)
+        word = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)))
         rank, into = np.full(len(symbols), _NONE), np.zeros(len(symbols), np.int64)
         inside = np.flatnonzero(word[1:] == word[:-1])
         rank[inside], into[inside] = self._rank_pairs(symbols[inside], symbols[inside + 1])
@@ -140,9 +187,9 @@ class Vocabulary:
             best = np.minimum.reduceat(rank, first)
             done = best == _NONE
             if done.any() and (done.mean() > 0.25 or len(done) < 2000):
-                self._remember(words, word[first], symbols, first, size, done)
-                keep = np.repeat(~done, size)
-                symbols, word, rank, into = symbols[keep], word[keep], rank[keep], into[keep]
+                out = np.repeat(done, size)
+                self._store_symbols(places[word[first[done]]], size[done], symbols[out])
+                symbols, word, rank, into = symbols[~out], word[~out], rank[~out], into[~out]
                 continue
             at = np.flatnonzero((rank == np.repeat(best, size)) & (rank != _NONE))
             owner = word[at]
@@ -158,40 +205,65 @@ class Vocabulary:
                 left = left[word[left] == word[left + 1]]
                 rank[left], into[left] = self._rank_pairs(symbols[left], symbols[left + 1])
 
-    def _remember(self, words, owners, symbols, first, size, done) -> None:
-        listed = symbols.tolist()
-        for k in np.flatnonzero(done).tolist():
-            own = listed[first[k] : first[k] + size[k]]
-            if min(own) < 0:
-                own = [i for s in own for i in ([s] if s >= 0 else self._bytes(chr(-1 - s)))]
-            self.known[words[owners[k]]] = array("i", own)
-
-    def encode_words(self, escaped: list[str]) -> list[array]:
-        """Ids of each text; texts begin and end where no piece can reach across."""
-        cut = [_WORD.findall(t) for t in escaped]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        fresh = set().union(*cut) - known.keys()
-        if short := [w for w in fresh if len(w) <= TOGETHER]:
-            self._merge_together(short)
-        for w in fresh:
-            if len(w) > TOGETHER:
-                known[w] = self.ids_of(self.merged(w))
-        out = []
-        for words in cut:
-            ids = array("i")
-            for w in words:
-                ids.extend(known[w])
-            out.append(ids)
-        return out
-
-    def encode(self, texts: list[str]) -> list[array]:
-        return self.encode_words([escape(t) for t in texts])
-
-    def decode(self, ids: list[int]) -> str:
-        """The text of the ids; bytes that form no character become replacement characters."""
-        return b"".join(map(self.text.__getitem__, ids)).decode("utf-8", "replace")[1:]
+    def _store_symbols(self, places: np.ndarray, sizes: np.ndarray, symbols: np.ndarray) -> None:
+        """Characters without a piece become the pieces of their bytes."""
+        unknown = np.flatnonzero(symbols < 0)
+        if len(unknown):
+            spelled = [self._bytes(chr(-1 - x)) for x in symbols[unknown].tolist()]
+            count = np.ones(len(symbols), np.int64)
+            count[unknown] = list(map(len, spelled))
+            owner = np.repeat(np.repeat(np.arange(len(sizes)), sizes), count)
+            wide = np.repeat(symbols, count)
+            wide[wide < 0] = [i for own in spelled for i in own]
+            symbols, sizes = wide, np.bincount(owner, minlength=len(sizes))
+        self._store(places, sizes, symbols)
+
+    def encode_flat(self, escaped: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and how many each has; texts begin and end where no
+        piece can reach across."""
+        cut = list(map(_WORD.findall, escaped))
+        if len(self.place) > REMEMBERED:
+            self._forget()
+        n = sum(map(len, cut))
+        place = self.place
+        at = np.fromiter(map(place.get, chain.from_iterable(cut), repeat(-1)), np.int64, n)
+        missing = at < 0
+        if missing.any():
+            known = len(place)
+            new = compress(chain.from_iterable(cut), missing.tolist())
+            at[missing] = [place.setdefault(w, len(place)) for w in new]
+            fresh = list(islice(place, known, None))
+            places = np.arange(known, known + len(fresh))
+            short = np.fromiter(map(len, fresh), np.int64, len(fresh)) <= TOGETHER
+            for k in np.flatnonzero(~short).tolist():
+                ids = self.ids_of(self.merged(fresh[k]))
+                self._store(places[k : k + 1], np.array([len(ids)]), np.frombuffer(ids, np.int32))
+            if short.any():
+                self._merge_together([fresh[k] for k in np.flatnonzero(short).tolist()], places[short])
+        sizes = self.word_size[at]
+        ends = np.cumsum(sizes)
+        flat = self.pool[np.repeat(self.word_start[at] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]
+        bounds = np.concatenate(([0], ends))[np.cumsum([0, *map(len, cut)])]
+        return flat, np.diff(bounds)
+
+    def encode_words(self, escaped: str) -> array:
+        return array("i", self.encode_flat([escaped])[0].tobytes())
+
+    def encode_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Like ``encode_flat``, of texts as they are, in runs that bound the memory."""
+        found, run, size = [], [], 0
+        for k, t in enumerate(texts, 1):
+            run.append(escape(t))
+            size += len(t)
+            if size > RUN or k == len(texts):
+                found.append(self.encode_flat(run))
+                run, size = [], 0
+        flat, sizes = zip(*found, strict=True) if found else ((), ())
+        return np.concatenate([np.zeros(0, np.int32), *flat]), np.concatenate([np.zeros(0, np.int64), *sizes])
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        flat, sizes = self.encode_texts(texts)
+        return [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])]
 
     # the lattice
 
@@ -282,11 +354,10 @@ class Vocabulary:
         head = self._walk(text, {begin: 1}, edges[0])
         out = self.ids_of(_path(text, head, next(iter(head[edges[0]])), begin))
         if edges[1] < c1:
-            (middle,) = self.encode_words([text[edges[0] : edges[1]]])
+            middle = self.encode_words(text[edges[0] : edges[1]])
             tail = self._back(text, (edges[1], edges[1]), goal, c1)
             return out + middle + self.ids_of(tail)
-        (middle,) = self.encode_words([text[edges[0] : c1]])
-        return out + middle
+        return out + self.encode_words(text[edges[0] : c1])
 
     def _back(self, text: str, begin: tuple[int, int], goal: tuple[int, int], stop: int) -> list[str]:
         return _path(text, self._walk(text, {begin: 1}, stop), goal, begin)
@@ -333,6 +404,7 @@ def states(matrices: list[list[tuple[int, int]]]) -> list[int]:
 
 
 _VOCABULARIES: dict[str, Vocabulary] = {}
+_SPELLINGS: dict[str, Spelling] = {}
 
 
 def vocabulary(path: str) -> Vocabulary:
@@ -342,6 +414,12 @@ def vocabulary(path: str) -> Vocabulary:
     return _VOCABULARIES[path]
 
 
+def spelling(path: str) -> Spelling:
+    if path not in _SPELLINGS:
+        _SPELLINGS[path] = Spelling(path)
+    return _SPELLINGS[path]
+
+
 def _lists(rows: list[array]) -> pa.Array:
     ends = np.cumsum([0, *map(len, rows)])
     flat = np.concatenate([np.frombuffer(r, np.int32) for r in rows if len(r)] or [np.zeros(0, np.int32)])
@@ -351,7 +429,8 @@ def _lists(rows: list[array]) -> pa.Array:
 def _short_ids(text: Column, model: str) -> Column:
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def ids(texts: pa.Array) -> pa.Array:
-        return _lists(vocabulary(model).encode([t or "" for t in texts.to_pylist()]))
+        flat, sizes = vocabulary(model).encode_texts([t or "" for t in texts.to_pylist()])
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(flat))
 
     return ids(text)
 
@@ -423,9 +502,10 @@ def encode(docs: DataFrame, model: str, text: str = "text", chunk: int = CHUNK)
     whole = F.coalesce(F.col(text), F.lit(""))
     giant = F.length(whole) >= chunk
     short = docs.filter(~giant).withColumn("ids", _short_ids(F.col(text), model))
-    long = docs.filter(giant).withColumn("_digest", F.sha2(whole, 256))
-    found = encode_giant(long.select(F.col("_digest").alias("digest"), F.col(text).alias("text")), model, chunk)
-    joined = long.join(found.withColumnRenamed("digest", "_digest"), "_digest").drop("_digest")
+    digest = unused("_digest", docs)
+    long = docs.filter(giant).withColumn(digest, F.sha2(whole, 256))
+    found = encode_giant(long.select(F.col(digest).alias("digest"), F.col(text).alias("text")), model, chunk)
+    joined = long.join(found.withColumnRenamed("digest", digest), digest).drop(digest)
     return short.unionByName(joined)
 
 
@@ -434,8 +514,13 @@ def decode(ids: Column, model: str) -> Column:
 
     @F.arrow_udf(T.StringType())
     def text(rows: pa.Array) -> pa.Array:
-        v = vocabulary(model)
-        return pa.array([None if r is None else v.decode(r) for r in rows.to_pylist()], pa.string())
+        v, flat, ends = spelling(model), rows.flatten().to_numpy(), [0]
+        sizes = pc.fill_null(pc.list_value_length(rows), 0).to_pylist()
+        for n in sizes:
+            ends.append(ends[-1] + n)
+        valid = rows.is_valid().to_pylist()
+        found = [v.decode(flat[a:b]) if ok else None for a, b, ok in zip(ends, ends[1:], valid, strict=False)]
+        return pa.array(found, pa.string())
 
     return text(ids)
 
