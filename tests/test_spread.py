@@ -5,7 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trailmark.operators import registry, spread
-from trailmark.operators.runs import running
+from trailmark.operators.runs import running, with_slots
 from trailmark.plans import derived
 
 
@@ -13,7 +13,7 @@ def rows_of(df):
     return sorted(tuple(str(v) for v in r) for r in df.collect())
 
 
-@pytest.mark.parametrize("run_rows", [0, 5, 10**6])
+@pytest.mark.parametrize("run_rows", [20, 100, 10**6])
 def test_split_keys_give_the_same_events(spark, sf_dir, run_rows):
     s = derived.campaigns(spark, sf_dir)
     plain = Window.partitionBy("video_hash").orderBy("ts", "event_id")
@@ -30,7 +30,7 @@ def test_split_keys_give_the_same_events(spark, sf_dir, run_rows):
     assert rows_of(got) == rows_of(want)
 
 
-@pytest.mark.parametrize("run_rows", [0, 3])
+@pytest.mark.parametrize("run_rows", [40])
 def test_split_keys_give_the_same_results_everywhere(spark, sf_dir, run_rows):
     s = derived.campaigns(spark, sf_dir)
     for operator in (
@@ -49,11 +49,27 @@ def test_split_keys_give_the_same_results_everywhere(spark, sf_dir, run_rows):
     assert rows_of(split) == rows_of(registry.batch_chunks(box, 3))
 
 
+def test_slots_are_bounded_by_rows(spark):
+    """One key, and one time for all rows: no slot holds more than a few times its share."""
+    df = spark.range(4000).select(F.lit("a").alias("k"), F.lit(5).alias("s"), F.col("id"), F.lit("x").alias("c"))
+    slots = with_slots(df, ["k"], ["s", "id"], 200)
+    sizes = [r["count"] for r in slots.groupBy("_slot").count().collect()]
+    assert len(sizes) > 10 and max(sizes) < 1000
+    got = running(df, ["k"], ["s", "id"], row_number="n", distinct=("c", "new", "seen"), run_rows=200)
+    assert got.where("n = id + 1 AND seen = 1 AND new = (id = 0)").count() == 4000
+
+
+def test_running_values_of_null_keys(spark):
+    df = spark.createDataFrame([(None, 2), (None, 1), ("a", 3)], "k string, id bigint")
+    got = running(df, ["k"], ["id"], row_number="n", lag={"before": "id"}).collect()
+    assert sorted((r.k or "", r.id, r.n, r.before or 0) for r in got) == [("", 1, 1, 0), ("", 2, 2, 1), ("a", 3, 1, 0)]
+
+
 def test_running_min_and_lag_over_slots(spark):
     rows = [("a", s, s, (s * 7) % 11) for s in range(0, 3000, 100)]
     df = spark.createDataFrame(rows, "k string, s bigint, id bigint, v bigint")
     got = running(
-        df, ["k"], ["s", "id"], seconds=F.col("s"), running_min={"low": "v"},
+        df, ["k"], ["s", "id"], running_min={"low": "v"},
         lag={"before": "v"}, row_number="n", run_rows=1,
     ).orderBy("n").collect()
     low, before = None, None

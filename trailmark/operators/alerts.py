@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trailmark.functions.decide import SEVERITIES, ladder, severity_rank, to_basis_points
-from trailmark.operators.runs import RUN_ROWS
 from trailmark.operators.spread import first_country_events, same_ip_reuploads
 from trailmark.session import cut_lineage
 from trailmark.sources.rules import ALERT_RULES, GLOBAL_RULES
@@ -101,7 +100,7 @@ def first_detection_alerts(sightings: DataFrame, policy: str = "ledger") -> Data
 
 
 def reupload_alerts(
-    sightings: DataFrame, rules: DataFrame, run_rows: int = RUN_ROWS, policy: str = "ledger"
+    sightings: DataFrame, rules: DataFrame, run_rows: int | None = None, policy: str = "ledger"
 ) -> DataFrame:
     """Uploads whose number by one source reaches the item's re-upload threshold."""
     rows = same_ip_reuploads(sightings, run_rows).join(rules, "video_hash")
@@ -166,23 +165,23 @@ def _numbered(sightings: DataFrame, rules: DataFrame, run_rows: int) -> DataFram
 
 
 def geo_spread_alerts(
-    sightings: DataFrame, rules: DataFrame, run_rows: int = RUN_ROWS, policy: str = "ledger"
+    sightings: DataFrame, rules: DataFrame, run_rows: int | None = None, policy: str = "ledger"
 ) -> DataFrame:
     return _rows(_numbered(sightings, rules, run_rows), _geo_spread(policy))
 
 
 def threshold_alerts(
-    sightings: DataFrame, rules: DataFrame, run_rows: int = RUN_ROWS
+    sightings: DataFrame, rules: DataFrame, run_rows: int | None = None
 ) -> DataFrame:
     return _rows(_numbered(sightings, rules, run_rows), _threshold())
 
 
-def viral_alerts(sightings: DataFrame, rules: DataFrame, run_rows: int = RUN_ROWS) -> DataFrame:
+def viral_alerts(sightings: DataFrame, rules: DataFrame, run_rows: int | None = None) -> DataFrame:
     return _rows(_numbered(sightings, rules, run_rows), _viral())
 
 
 def all_candidates(
-    sightings: DataFrame, rules: DataFrame, run_rows: int = RUN_ROWS
+    sightings: DataFrame, rules: DataFrame, run_rows: int | None = None
 ) -> DataFrame:
     """Candidates of every type; the three that count events share one numbering of them."""
     enabled = rules.where("enabled").select("video_hash")
@@ -354,7 +353,7 @@ def create_alerts(
     rules: DataFrame,
     cooldowns: dict[str, int] | None = None,
     default_seconds: int = 300,
-    run_rows: int = RUN_ROWS,
+    run_rows: int | None = None,
 ) -> DataFrame:
     """The alert log: every candidate that outlives the cooldown, not yet acknowledged."""
     kept = alert_cooldown(all_candidates(sightings, rules, run_rows), cooldowns, default_seconds)
@@ -446,7 +445,7 @@ def watchlist_boost(alerts: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def listener_messages(
-    sightings: DataFrame, run_rows: int = RUN_ROWS
+    sightings: DataFrame, run_rows: int | None = None
 ) -> DataFrame:
     """Notification text per ledger event: (event_id, kind, severity, message)."""
     tag = F.concat(F.lit("Hash: "), F.substring("video_hash", 1, 16), F.lit("…\n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailmark.operators.runs import RUN_ROWS, SLOT_SECONDS, running
+from trailmark.operators.runs import running
 
 SCORES = ["perceptual_hash", "is_deepfake", "confidence", "lipsync_score", "fact_check_score"]
 
@@ -89,14 +89,11 @@ def evict_oldest(df: DataFrame, order: list[str], keep: int) -> DataFrame:
     return newest(df, order, keep)
 
 
-def family_rank(lineage: DataFrame, run_rows: int = RUN_ROWS) -> DataFrame:
+def family_rank(lineage: DataFrame, run_rows: int | None = None) -> DataFrame:
     """Position in the family by (generation, first_seen) and rank of the generation."""
-    seconds = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', first_seen)")
-    # rises with (generation, first_seen): a slot is a few minutes of one generation
-    slot = F.col("generation") * F.lit(2**32) + F.floor(seconds / SLOT_SECONDS)
     rows = running(
         lineage, ["family"], ["generation", "first_seen", "video_hash"],
-        slot=slot, row_number="position", run_rows=run_rows,
+        row_number="position", run_rows=run_rows,
     )
     present = lineage.select("family", "generation").distinct()
     ranks = present.withColumn(
@@ -111,7 +108,7 @@ BATCHABLE = ("register_video",)
 MAX_BATCH = 50
 
 
-def batch_chunks(outbox: DataFrame, n: int = 20, run_rows: int = RUN_ROWS) -> DataFrame:
+def batch_chunks(outbox: DataFrame, n: int = 20, run_rows: int | None = None) -> DataFrame:
     """Consecutive chunks of at most ``n`` rows per node, oldest first, of the rows that wait and are batchable.
 
     Rows that are confirmed, failed or of another kind are sent one by one and have no chunk.
@@ -121,7 +118,6 @@ def batch_chunks(outbox: DataFrame, n: int = 20, run_rows: int = RUN_ROWS) -> Da
     waiting = F.col("status").isin("queued", "retrying") & F.col("tx_type").isin(*BATCHABLE)
     rows = running(
         outbox.where(waiting), ["node"], ["created_at", "id"],
-        seconds=F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', created_at)"),
-        row_number="_rn", slot_seconds=86_400, run_rows=run_rows,
+        row_number="_rn", run_rows=run_rows,
     )
     return rows.withColumn("chunk", F.floor((F.col("_rn") - 1) / n)).drop("_rn")

@@ -1,9 +1,10 @@
 """Running values per key that survive hot keys.
 
-A plain window puts all rows of a key in one task. Here a key with more than ``run_rows`` rows
-is cut into time slots: each slot is its own window partition, and a small table of per-slot
-totals supplies what came before the slot. Cold keys keep a single slot. The result is the
-same as that of the plain window.
+A plain window puts all rows of a key in one task. Here rows are dealt by ranges of (key,
+order), so that a range holds about equally many rows whatever the keys, and the part of a key
+that lies in one range is a slot: a window partition of its own. A small table of per-slot totals
+supplies what came before the slot. The result is the same as that of the plain window, and
+there is one way for all keys, hot or not.
 """
 
 from __future__ import annotations
@@ -11,28 +12,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RUN_ROWS = 2_000_000
-SLOT_SECONDS = 300
+from trailmark.session import cut_lineage
 
 
-def with_slots(
-    df: DataFrame, keys: list[str], slot: Column, run_rows: int = RUN_ROWS
-) -> DataFrame:
-    """Adds ``_slot``: the given slot number for hot keys, -1 for the others.
+def with_slots(df: DataFrame, keys: list[str], order: list[str], run_rows: int | None = None) -> DataFrame:
+    """The rows, written once, with ``_slot``: rising numbers along (keys, order), bounded by rows.
 
-    The broadcast side holds one row per hot key. Each stands for more than ``run_rows`` input
-    rows, so it has at most (input rows / run_rows) rows: 500,000 for 10^12 rows.
+    How many ranges there are is left to Spark, unless ``run_rows`` names the rows of one.
     """
-    hot = (
-        df.groupBy(*keys)
-        .count()
-        .where(F.col("count") > run_rows)
-        .select(*keys, F.lit(True).alias("_hot"))
-    )
-    tagged = df.withColumn("_at", slot.cast("bigint")).join(hot, keys, "left")
-    return tagged.withColumn(
-        "_slot", F.when(F.col("_hot"), F.col("_at")).otherwise(F.lit(-1).cast("bigint"))
-    ).drop("_hot", "_at")
+    by = [*keys, *order]
+    if run_rows is None:
+        dealt = df.repartitionByRange(*by)
+    else:
+        dealt = df.repartitionByRange(max(1, -(-df.count() // run_rows)), *by)
+    return cut_lineage(dealt.withColumn("_slot", F.spark_partition_id().cast("bigint")))
 
 
 def running(
@@ -40,25 +33,20 @@ def running(
     keys: list[str],
     order: list[str],
     *,
-    seconds: Column | None = None,
-    slot: Column | None = None,
     row_number: str | None = None,
     running_min: dict[str, str] | None = None,
     lag: dict[str, str] | None = None,
     distinct: tuple[str, str, str] | None = None,
-    run_rows: int = RUN_ROWS,
-    slot_seconds: int = SLOT_SECONDS,
+    run_rows: int | None = None,
 ) -> DataFrame:
     """Adds running columns per key in the given total order; the last order column is unique.
 
-    ``seconds`` must rise with the order (``slot`` replaces it for orders that are not time).
     ``row_number`` names a 1-based position. ``running_min`` maps new column -> column.
     ``lag`` maps new column -> column of the previous row. ``distinct`` = (column, first flag,
     running count) marks the first row of each distinct value and counts the values so far; the
     column must have few distinct values per key, such as countries or cities.
     """
-    at = slot if slot is not None else F.floor(seconds / slot_seconds)
-    rows = with_slots(df, keys, at, run_rows)
+    rows = with_slots(df, keys, order, run_rows)
     part = [*keys, "_slot"]
     order_struct = F.struct(*order)
     mins, lags = running_min or {}, lag or {}
@@ -68,8 +56,7 @@ def running(
     if lags:
         last = F.struct(*[F.col(src).alias(new) for new, src in lags.items()])
         aggs.append(F.max_by(last, order_struct).alias("_last"))
-    source = rows if distinct else rows.where(F.col("_slot") >= 0)
-    slots = source.groupBy(*part).agg(*aggs)
+    slots = rows.groupBy(*part).agg(*aggs)
 
     if distinct:
         column, first_flag, seen_count = distinct
@@ -94,8 +81,9 @@ def running(
             F.coalesce(F.sum(new_here).over(past), F.lit(0)).alias("_seen"),
             F.col("_first_ids"),
         ]
-    slots = slots.select(*part, *carried)
-    joined = rows.join(slots, part, "inner" if distinct else "left")
+    slots = slots.select(*[F.col(c).alias(f"_of_{c}") for c in part], *carried)
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in part]
+    joined = rows.join(slots, same).drop(*[f"_of_{c}" for c in part])
 
     inside = Window.partitionBy(*part).orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)

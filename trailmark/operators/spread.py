@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailmark.operators.runs import RUN_ROWS, running
+from trailmark.operators.runs import running
 
 ORDER = ["ts", "event_id"]
 
@@ -14,20 +14,20 @@ MILESTONES = [10, 50, 100]
 MILESTONE_STEP = 500
 
 
-def detection_sequence(sightings: DataFrame, run_rows: int = RUN_ROWS) -> DataFrame:
+def detection_sequence(sightings: DataFrame, run_rows: int | None = None) -> DataFrame:
     """Running detection number per item; number 1 registers it, later ones re-detect it."""
     out = running(
-        sightings, ["video_hash"], ORDER, seconds=F.col("seconds"),
+        sightings, ["video_hash"], ORDER,
         row_number="detection_no", run_rows=run_rows,
     )
     event = F.when(F.col("detection_no") == 1, "registered").otherwise("redetected")
     return out.withColumn("event_kind", event)
 
 
-def same_ip_reuploads(sightings: DataFrame, run_rows: int = RUN_ROWS) -> DataFrame:
+def same_ip_reuploads(sightings: DataFrame, run_rows: int | None = None) -> DataFrame:
     """Second and later uploads of an item by one source, with the seconds since its first."""
     out = running(
-        sightings, ["video_hash", "ip_hash"], ORDER, seconds=F.col("seconds"),
+        sightings, ["video_hash", "ip_hash"], ORDER,
         row_number="upload_count", running_min={"_first": "seconds"}, run_rows=run_rows,
     )
     return (
@@ -37,29 +37,29 @@ def same_ip_reuploads(sightings: DataFrame, run_rows: int = RUN_ROWS) -> DataFra
     )
 
 
-def first_country_events(sightings: DataFrame, run_rows: int = RUN_ROWS) -> DataFrame:
+def first_country_events(sightings: DataFrame, run_rows: int | None = None) -> DataFrame:
     """Every sighting with its number, first-in-country flag, running countries, previous country."""
     return running(
-        sightings, ["video_hash"], ORDER, seconds=F.col("seconds"),
+        sightings, ["video_hash"], ORDER,
         row_number="spread_count", lag={"previous_country": "country"},
         distinct=("country", "is_new_country", "unique_countries"), run_rows=run_rows,
     )
 
 
-def new_country_spread(sightings: DataFrame, run_rows: int = RUN_ROWS) -> DataFrame:
+def new_country_spread(sightings: DataFrame, run_rows: int | None = None) -> DataFrame:
     """First sighting in a country that is not the item's first sighting."""
     rows = first_country_events(sightings, run_rows)
     return rows.where(F.col("is_new_country") & (F.col("spread_count") > 1))
 
 
-def viral_milestones(sightings: DataFrame, run_rows: int = RUN_ROWS) -> DataFrame:
+def viral_milestones(sightings: DataFrame, run_rows: int | None = None) -> DataFrame:
     n = F.col("spread_count")
     rows = first_country_events(sightings, run_rows)
     return rows.where(n.isin(MILESTONES) | (n % MILESTONE_STEP == 0))
 
 
 def threshold_crossings(
-    sightings: DataFrame, rules: DataFrame, run_rows: int = RUN_ROWS
+    sightings: DataFrame, rules: DataFrame, run_rows: int | None = None
 ) -> DataFrame:
     """Events whose running count is a multiple of the item's detection or spread threshold."""
     rows = first_country_events(sightings, run_rows).join(rules, "video_hash")
@@ -115,11 +115,11 @@ def rapid_reupload(
 
 
 def city_escalation(
-    sightings: DataFrame, threshold: int = 5, run_rows: int = RUN_ROWS
+    sightings: DataFrame, threshold: int = 5, run_rows: int | None = None
 ) -> DataFrame:
     """Events that bring an item to a new city once the country has ``threshold`` cities or more."""
     rows = running(
-        sightings, ["video_hash", "country"], ORDER, seconds=F.col("seconds"),
+        sightings, ["video_hash", "country"], ORDER,
         distinct=("city", "is_new_city", "unique_cities"), run_rows=run_rows,
     )
     return rows.where(F.col("is_new_city") & (F.col("unique_cities") >= threshold))
