@@ -26,6 +26,11 @@ HEADLINE = [
     "tiered_lookup",
     "assign_parents",
     "generations",
+    "find_origin",
+    "family_tree",
+    "forensic_report",
+    "acknowledge",
+    "listener_messages",
     "upsert_registry",
     "registry_stats",
     "fuse_scores",

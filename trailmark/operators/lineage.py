@@ -41,16 +41,19 @@ def find_origin(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def assign_parents(
-    items: DataFrame, threshold: int = bits.FAMILY_THRESHOLD, **options
+    items: DataFrame, threshold: int = bits.FAMILY_THRESHOLD, pairs: DataFrame | None = None, **options
 ) -> DataFrame:
     """Nearest earlier family member of every item, by (distance, first_seen, hash).
 
+    ``pairs`` are the items' near-duplicate pairs in family mode, where the caller has them already.
+
     Copies of one code need no pairing: all but the earliest have it as parent, at distance 0.
     Only the earliest item of each code looks for a parent among the earliest of other codes.
     """
     stamp = F.struct("first_seen", "video_hash")
     heads = items.groupBy("perceptual_hash").agg(F.min(stamp).alias("_head"))
-    pairs = near_duplicate_pairs(items, items, threshold, mode="family", **options)
+    if pairs is None:
+        pairs = near_duplicate_pairs(items, items, threshold, mode="family", **options)
     child = heads.select(F.col("perceptual_hash").alias("q_code"), F.col("_head").alias("_child"))
     other = heads.select(F.col("perceptual_hash").alias("r_code"), F.col("_head").alias("_parent"))
     nearest = (

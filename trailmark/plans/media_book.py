@@ -10,7 +10,7 @@ from trailmark.operators import lineage, lookup, registry, scoring, stats
 from trailmark.plans import derived
 from trailmark.plans.book import query, rounded
 from trailmark.plans.oracle_views import register
-from trailmark.session import scratch_path
+from trailmark.session import cut_lineage, scratch_path
 from trailmark.sources import tables
 
 # ---- hash, bit and array functions --------------------------------------------------------------
@@ -440,9 +440,17 @@ def _(spark, d):
     )
 
 
-def _parents(spark, d):
-    return lineage.assign_parents(derived.media_fingerprints(spark, d)).select(
-        "video_hash", "perceptual_hash", "first_seen", "parent_hash", "distance"
+def _family_pairs(spark, d):
+    """The pairs of a family, written once: several parts of a query read them."""
+    items = derived.media_fingerprints(spark, d)
+    return cut_lineage(lookup.near_duplicate_pairs(items, items, bits.FAMILY_THRESHOLD, "family"))
+
+
+def _parents(spark, d, pairs=None):
+    """The parents, written once: pointer doubling reads them in every round."""
+    parents = lineage.assign_parents(derived.media_fingerprints(spark, d), pairs=pairs)
+    return cut_lineage(
+        parents.select("video_hash", "perceptual_hash", "first_seen", "parent_hash", "distance")
     )
 
 
@@ -460,9 +468,8 @@ FROM (SELECT h.left_hash AS perceptual_hash, t.video_hash, t.generation, t.first
       FROM hash_pairs h JOIN media_tree t ON t.perceptual_hash = h.right_hash
       WHERE h.distance <= 12) WHERE rn = 1""")
 def _(spark, d):
-    items = derived.media_fingerprints(spark, d)
-    pairs = lookup.near_duplicate_pairs(items, items, bits.FAMILY_THRESHOLD, "family")
-    nodes = _parents(spark, d)
+    pairs = _family_pairs(spark, d)
+    nodes = _parents(spark, d, pairs)
     staged = nodes.join(lineage.generations(nodes), "video_hash")
     return lineage.find_origin(pairs, staged)
 
@@ -531,9 +538,9 @@ SELECT m.video_hash, c.component AS family_id FROM media_fingerprints m
 JOIN media_components c ON c.perceptual_hash = m.perceptual_hash""")
 
 
-def _components(spark, d):
+def _components(spark, d, pairs=None):
     items = derived.media_fingerprints(spark, d)
-    pairs = lookup.near_duplicate_pairs(items, items, bits.FAMILY_THRESHOLD, "family")
+    pairs = _family_pairs(spark, d) if pairs is None else pairs
     edges = pairs.where("q_code < r_code").select(
         F.col("q_code").alias("a"), F.col("r_code").alias("b")
     )
@@ -558,8 +565,9 @@ SELECT family_id, 'Multiple Origins', 'Multiple Origins', NULL, -1, '' FROM (
   SELECT f.family_id FROM media_tree t JOIN media_families f ON f.video_hash = t.video_hash
   WHERE t.generation = 0 GROUP BY 1 HAVING count(*) > 1)""")
 def _(spark, d):
-    nodes = _parents(spark, d)
-    parts = _components(spark, d).withColumnsRenamed(
+    pairs = _family_pairs(spark, d)
+    nodes = _parents(spark, d, pairs)
+    parts = _components(spark, d, pairs).withColumnsRenamed(
         {"node": "perceptual_hash", "component": "family_id"}
     )
     families = derived.media_fingerprints(spark, d).join(parts, "perceptual_hash").select(
