@@ -21,14 +21,17 @@ no subtree is ever gathered in one task, however many documents share a passage.
 from __future__ import annotations
 
 
+from itertools import repeat
+
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.llm.book import query
-from trailmark.llm.common import table
+from trailmark.llm.common import stored, table
 from trailmark.session import cut_lineage
 
 WINDOW = 50
@@ -54,25 +57,25 @@ class Rolling:
         self.powers = [np.ones(1, np.uint64)] * 2
         self.inverse = [np.ones(1, np.uint64)] * 2
 
-    def sums(self, words: list[bytes]) -> np.ndarray:
-        """Two rows of running sums over the words, from which ``run`` takes differences."""
+    def sums(self, words: list[bytes], hashes: int = 2) -> np.ndarray:
+        """As many rows of running sums over the words, from which ``run`` takes differences."""
         if len(self.place) > REMEMBERED:
             self.place.clear()
-        place = self.place
-        for w in set(words).difference(place):
-            k = place[w] = len(place)
+        place, n = self.place, len(words)
+        at = np.fromiter(map(place.get, words, repeat(-1)), np.int64, n)
+        for i in np.flatnonzero(at < 0).tolist():
+            k = place.setdefault(words[i], len(place))
             if k >= self.words.shape[1]:
                 self.words = np.concatenate([self.words, np.zeros_like(self.words)], axis=1)
-            h = xxhash.xxh3_128_intdigest(w)
+            h = xxhash.xxh3_128_intdigest(words[i])
             self.words[0, k], self.words[1, k] = h & 0xFFFFFFFFFFFFFFFF, h >> 64
-        n = len(words)
+            at[i] = k
         if n >= len(self.powers[0]):
             for i, b in enumerate(_BASES):
                 for to, f in ((self.powers, b), (self.inverse, pow(b, -1, 1 << 64))):
                     to[i] = np.concatenate(([np.uint64(1)], np.cumprod(np.full(2 * n, f, np.uint64))))
-        at = np.fromiter(map(place.__getitem__, words), np.int64, n)
-        out = np.zeros((2, n + 1), np.uint64)
-        for i in (0, 1):
+        out = np.zeros((hashes, n + 1), np.uint64)
+        for i in range(hashes):
             np.cumsum(self.words[i, at] * self.powers[i][:n], out=out[i, 1:])
         return out
 
@@ -80,9 +83,9 @@ class Rolling:
         return _mixed((sums[i, end] - sums[i, start]) * self.inverse[i][start])
 
 
-def anchors(rolling: Rolling, words: list[bytes], window: int, prefix: int):
+def anchors(rolling: Rolling, words: list[bytes], window: int, prefix: int, hashes: int = 2):
     """(running sums, prefix hashes, anchor of each window start); words must fill a window."""
-    sums = rolling.sums(words)
+    sums = rolling.sums(words, hashes)
     starts = np.arange(len(words) - prefix + 1)
     hashes = rolling.run(sums, 0, starts, starts + prefix)
     width = window - prefix + 1
@@ -121,7 +124,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX)
             for doc, tie, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 words = text.encode().split()
                 if doc is not None and len(words) >= window:
-                    _, hashes, chosen = anchors(rolling, words, window, prefix)
+                    _, hashes, chosen = anchors(rolling, words, window, prefix, hashes=1)
                     at = np.unique(chosen)
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -133,7 +136,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX)
                         ["doc_id", "tie", "prefix", "at"],
                     )
 
-    sparse = cut_lineage(rows.mapInArrow(find_anchors, "doc_id long, tie long, prefix long, at int"))
+    sparse = stored(rows.mapInArrow(find_anchors, "doc_id long, tie long, prefix long, at int"), "anchors")
     hits = _shared(sparse, ["prefix"]).select("doc_id", "tie", "at")
     hits = hits.groupBy("doc_id", "tie").agg(F.sort_array(F.collect_set("at")).alias("at"))
 
@@ -142,11 +145,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX)
         for batch in batches:
             out: dict[str, list] = {k: [] for k in _SPLIT}
             for doc, tie, text, at in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                words = text.encode().split()
+                _add(out, doc_id=doc, tie=tie, text=text, hit=at is not None)
                 if at is None:
-                    _add(out, doc_id=doc, n_words=len(words), n_removed=0, kept=b" ".join(words).decode())
                     continue
-                _add(out, doc_id=doc, tie=tie, text=text)
+                words = _unpacked(text)
                 sums, hashes, chosen = anchors(rolling, words, window, prefix)
                 lo = np.flatnonzero(np.concatenate(([True], chosen[1:] != chosen[:-1])))
                 hi = np.concatenate((lo[1:] - 1, [len(chosen) - 1]))
@@ -160,26 +162,27 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX)
                     _add(out, doc_id=doc, tie=tie, prefix=p, r1=r1, r2=r2, lo=a, hi=b)
             yield pa.RecordBatch.from_pydict(out, schema=_split_schema())
 
-    split = rows.join(hits, ["doc_id", "tie"], "left").mapInArrow(find_regions, _SPLIT_DDL)
-    split = cut_lineage(split)
-    untouched = split.filter("kept IS NOT NULL").select(*_RESULT)
-    texts = split.filter("text IS NOT NULL").select("doc_id", "tie", "text")
+    packed = rows.mapInArrow(_pack, "doc_id long, tie long, text binary")
+    split = packed.join(hits, ["doc_id", "tie"], "left").mapInArrow(find_regions, _SPLIT_DDL)
+    split = stored(split, "regions")
+    alone = split.filter("NOT hit").select("doc_id", "tie", "text")
+    texts = split.filter("hit").select("doc_id", "tie", "text")
     regions = split.filter("prefix IS NOT NULL").select("doc_id", "tie", "prefix", "r1", "r2", "lo", "hi")
 
     least = regions.groupBy("r1", "r2").agg(F.min("doc_id").alias("least"))
-    nodes = cut_lineage(regions.join(least, ["r1", "r2"]))
+    nodes = stored(regions.join(cut_lineage(least), ["r1", "r2"]), "nodes")
     covered = nodes.filter("doc_id > least").select("doc_id", "tie", "lo", (F.col("hi") + window).alias("hi"))
     # regions of one prefix that differ: their windows are compared one by one
     region = F.struct("r1", "r2")
     parted = nodes.groupBy("prefix").agg(F.min(region).alias("a"), F.max(region).alias("b")).filter("a <> b")
-    first = nodes.filter("doc_id = least").join(parted.select("prefix"), "prefix")
+    first = nodes.filter("doc_id = least").join(cut_lineage(parted.select("prefix")), "prefix")
     first = first.groupBy("doc_id", "tie").agg(F.collect_set(F.struct("lo", "hi")).alias("regions"))
 
     def find_windows(batches):
         rolling = Rolling()
         for batch in batches:
             for doc, tie, text, found in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                sums = rolling.sums(text.encode().split())
+                sums = rolling.sums(_unpacked(text))
                 p = np.concatenate([np.arange(r["lo"], r["hi"] + 1) for r in found])
                 w = [_signed(rolling.run(sums, i, p, p + window)) for i in (0, 1)]
                 yield pa.RecordBatch.from_arrays(
@@ -190,7 +193,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX)
     suffixes = texts.join(first, ["doc_id", "tie"]).mapInArrow(
         find_windows, "w1 long, w2 long, doc_id long, tie long, lo int"
     )
-    deep = _shared(cut_lineage(suffixes), ["w1", "w2"]).filter("doc_id > least")
+    deep = _shared(stored(suffixes, "suffixes"), ["w1", "w2"]).filter("doc_id > least")
     deep = deep.select("doc_id", "tie", "lo", (F.col("lo") + window).alias("hi"))
     spans = covered.unionByName(deep).groupBy("doc_id", "tie")
     spans = spans.agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
@@ -198,26 +201,44 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX)
     def cut(batches):
         for batch in batches:
             out: dict[str, list] = {k: [] for k in _RESULT}
-            for doc, text, found in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
-                n, gone, kept = _digest(text.encode().split(), [(s["lo"], s["hi"]) for s in found or ()])
+            ids, packed = (batch.column(k).to_pylist() for k in (0, 2))
+            listed = batch.column(3).to_pylist() if batch.num_columns > 3 else repeat(())
+            for doc, text, found in zip(ids, packed, listed, strict=False):
+                n, gone, kept = _digest(_unpacked(text), [(s["lo"], s["hi"]) for s in found or ()])
                 for k, v in zip(_RESULT, (doc, n, gone, kept), strict=True):
                     out[k].append(v)
             yield pa.RecordBatch.from_pydict(out, schema=_result_schema())
 
     touched = texts.join(spans, ["doc_id", "tie"], "left").mapInArrow(cut, _RESULT_DDL)
-    return untouched.unionByName(touched)
+    return alone.mapInArrow(cut, _RESULT_DDL).unionByName(touched)
 
 
 def _shared(rows: DataFrame, by: list[str]) -> DataFrame:
-    """``rows`` of the groups that more than one document has, with the group's least doc_id."""
+    """``rows`` of the groups that more than one document has, with the group's least doc_id.
+
+    The groups are materialised, so that the join shuffles both its sides and Spark can split a
+    group that a large part of the rows belong to.
+    """
     found = rows.groupBy(*by).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    return rows.join(found.filter("least < most").select(*by, "least"), by)
+    return rows.join(cut_lineage(found.filter("least < most").select(*by, "least")), by)
+
+
+def _pack(batches):
+    """Texts travel compressed: they are shuffled up to three times."""
+    pack = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        packed = [pack.compress(t) for t in batch.column(2).cast(pa.binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["doc_id", "tie", "text"])
+
+
+def _unpacked(text: bytes) -> list[bytes]:
+    return zstandard.decompress(text).split()
 
 
 _RESULT = ("doc_id", "n_words", "n_removed", "kept")
 _RESULT_DDL = "doc_id long, n_words long, n_removed long, kept string"
-_SPLIT = (*_RESULT, "tie", "text", "prefix", "r1", "r2", "lo", "hi")
-_SPLIT_DDL = f"{_RESULT_DDL}, tie long, text string, prefix long, r1 long, r2 long, lo int, hi int"
+_SPLIT = ("doc_id", "tie", "text", "hit", "prefix", "r1", "r2", "lo", "hi")
+_SPLIT_DDL = "doc_id long, tie long, text binary, hit boolean, prefix long, r1 long, r2 long, lo int, hi int"
 
 
 def _result_schema() -> pa.Schema:
@@ -226,8 +247,8 @@ def _result_schema() -> pa.Schema:
 
 
 def _split_schema() -> pa.Schema:
-    kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-    return pa.schema([*_result_schema(), *map(pa.field, _SPLIT[4:], kinds)])
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+    return pa.schema(list(zip(_SPLIT, kinds, strict=True)))
 
 
 def _add(out: dict[str, list], **row) -> None:
