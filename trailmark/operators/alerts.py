@@ -71,9 +71,9 @@ def first_detection_severity(confidence: Column, policy: str = "ledger") -> Colu
     raise ValueError(f"unknown severity policy: {policy}")
 
 
-def rule_severity(kind: str, value: Column) -> Column:
+def rule_severity(kind: str, value: Column, policy: dict = ALERT_RULES) -> Column:
     """Highest configured rung the value reaches, LOW below all of them."""
-    rungs = ALERT_RULES["severity_rules"][kind]
+    rungs = policy["severity_rules"][kind]
     return ladder(value, [(floor, name) for name, floor in rungs.items()], "LOW")
 
 
@@ -386,17 +386,17 @@ def acknowledge(alerts: DataFrame, acks: DataFrame) -> DataFrame:
     ).drop("_ack")
 
 
-def auto_acknowledge(alerts: DataFrame, now: Column) -> DataFrame:
+def auto_acknowledge(alerts: DataFrame, now: Column, policy: dict = ALERT_RULES) -> DataFrame:
     """Marks open alerts of the configured types that are old. ``now`` is epoch seconds."""
-    auto = ALERT_RULES["auto_acknowledge"]
+    auto = policy["auto_acknowledge"]
     old = now - F.col("seconds") > auto["older_than_hours"] * 3600
     due = ~F.col("acknowledged") & old & F.col("alert_type").isin(auto["types"])
     return alerts.withColumn("auto_acknowledged", due)
 
 
-def escalate(alerts: DataFrame, now: Column) -> DataFrame:
+def escalate(alerts: DataFrame, now: Column, policy: dict = ALERT_RULES) -> DataFrame:
     """Names the channel of alerts still open after the escalation time."""
-    late = ALERT_RULES["escalation"]
+    late = policy["escalation"]
     overdue = now - F.col("seconds") > late["escalate_after_minutes"] * 60
     channel = F.when(~F.col("acknowledged") & overdue, F.lit(late["escalation_channel"]))
     return alerts.withColumn("escalate_to", channel)
@@ -406,25 +406,27 @@ def notify_filter(alerts: DataFrame, min_severity: str = "MEDIUM") -> DataFrame:
     return alerts.where(severity_rank(F.col("severity")) >= SEVERITIES.index(min_severity))
 
 
-def _routing(spark: SparkSession) -> DataFrame:
+def _routing(spark: SparkSession, policy: dict) -> DataFrame:
     routes = [
         (severity, channel)
-        for severity, channels in ALERT_RULES["routing"].items()
+        for severity, channels in policy["routing"].items()
         for channel in channels
     ]
     return spark.createDataFrame(routes, "severity string, channel string")
 
 
-def route_channels(alerts: DataFrame) -> DataFrame:
+def route_channels(alerts: DataFrame, policy: dict = ALERT_RULES) -> DataFrame:
     """One row per delivery. The broadcast side is the routing section of the rules."""
-    return alerts.join(F.broadcast(_routing(alerts.sparkSession)), "severity")
+    return alerts.join(F.broadcast(_routing(alerts.sparkSession, policy)), "severity")
 
 
-def deliver_plan(alerts: DataFrame, min_severity: str = "MEDIUM") -> DataFrame:
+def deliver_plan(
+    alerts: DataFrame, min_severity: str = "MEDIUM", policy: dict = ALERT_RULES
+) -> DataFrame:
     """Deliveries of the alerts that pass the severity filter, always with a console line."""
     passed = notify_filter(alerts, min_severity)
     console = passed.withColumn("channel", F.lit("console"))
-    routed = route_channels(passed).where("channel <> 'console'")
+    routed = route_channels(passed, policy).where("channel <> 'console'")
     return console.unionByName(routed.select(*console.columns)).withColumn(
         "delivery_id", F.concat_ws("/", "alert_id", "channel")
     )

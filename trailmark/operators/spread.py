@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.operators.runs import running
+from trailmark.sources.rules import GEO_RULES
 
 ORDER = ["ts", "event_id"]
 
@@ -100,7 +101,9 @@ def trailing_counts(
 
 
 def rapid_spread(
-    sightings: DataFrame, threshold: int = 10, window_seconds: int = 3600
+    sightings: DataFrame,
+    threshold: int = GEO_RULES["rapid_spread_threshold"],
+    window_seconds: int = GEO_RULES["velocity_window_seconds"],
 ) -> DataFrame:
     """Seconds at which an item had more than ``threshold`` events in the trailing window."""
     counts = trailing_counts(sightings, ["video_hash"], window_seconds)
@@ -108,14 +111,16 @@ def rapid_spread(
 
 
 def rapid_reupload(
-    sightings: DataFrame, threshold: int = 3, window_seconds: int = 1800
+    sightings: DataFrame,
+    threshold: int = GEO_RULES["rapid_reupload_threshold"],
+    window_seconds: int = GEO_RULES["rapid_window_seconds"],
 ) -> DataFrame:
     counts = trailing_counts(sightings, ["video_hash", "ip_hash"], window_seconds)
     return counts.where(F.col("events_in_window") >= threshold)
 
 
 def city_escalation(
-    sightings: DataFrame, threshold: int = 5, run_rows: int | None = None
+    sightings: DataFrame, threshold: int = GEO_RULES["city_threshold"], run_rows: int | None = None
 ) -> DataFrame:
     """Events that bring an item to a new city once the country has ``threshold`` cities or more."""
     rows = running(
@@ -246,7 +251,7 @@ def generation_links(locations: DataFrame, family: str = "family") -> DataFrame:
     return start.join(end, [family, "next_generation"])
 
 
-def geo_cluster(sightings: DataFrame, radius_km: float = 50.0) -> DataFrame:
+def geo_cluster(sightings: DataFrame, radius_km: float = GEO_RULES["cluster_radius_km"]) -> DataFrame:
     """Grid cell of about the radius, and the great-circle distance to the cell's centre."""
     step = radius_km / 111.195
     lat, lon = F.col("latitude"), F.col("longitude")

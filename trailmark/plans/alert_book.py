@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from trailmark.operators import alerts, outbox, registry, spread, stats
@@ -46,8 +48,8 @@ def _(spark, d):
 
 @query("load_rules", """
 SELECT video_hash, 'country_threshold' AS rule, count(DISTINCT country) >= 5 AS reached FROM sightings GROUP BY 1
-UNION ALL SELECT video_hash, 'detection_threshold', count(*) >= 100 FROM sightings GROUP BY 1
-UNION ALL SELECT video_hash, 'spread_threshold', count(*) >= 50 FROM sightings GROUP BY 1""")
+UNION ALL SELECT video_hash, 'detection_threshold', count(*) >= 90 FROM sightings GROUP BY 1
+UNION ALL SELECT video_hash, 'spread_threshold', count(*) >= 40 FROM sightings GROUP BY 1""")
 def _(spark, d):
     counts = derived.sightings(spark, d).groupBy("video_hash").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("country").alias("c")
@@ -62,8 +64,11 @@ def _(spark, d):
             )
         ),
     )
+    path = scratch_path(spark, "rules")
+    given = {"global_thresholds": {"detection_threshold": 90, "spread_threshold": 40}}
+    spark.createDataFrame([(json.dumps(given),)], "value string").coalesce(1).write.text(path)
     # the broadcast side is the short list of thresholds
-    return measured.join(F.broadcast(rule_source.load_rules(spark)), "rule").select(
+    return measured.join(F.broadcast(rule_source.load_rules(spark, path)), "rule").select(
         "video_hash", "rule", (F.col("value") >= F.col("threshold")).alias("reached")
     )
 
