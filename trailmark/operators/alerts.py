@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,7 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trailmark.functions.decide import SEVERITIES, ladder, severity_rank, to_basis_points
-from trailmark.operators.spread import first_country_events, same_ip_reuploads
+from trailmark.operators.spread import (
+    MILESTONE_STEP,
+    MILESTONES,
+    first_country_events,
+    same_ip_reuploads,
+)
 from trailmark.session import cut_lineage
 from trailmark.sources.rules import ALERT_RULES, GLOBAL_RULES
 
@@ -458,48 +462,47 @@ def listener_messages(
         F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string")
     )
 
-    numbered = first_country_events(sightings, run_rows)
-
-    def rows(df: DataFrame, kind: str, severity, *parts: Column) -> DataFrame:
+    def told(due, kind: str, severity, *parts: Column) -> Column:
         level = F.lit(severity) if isinstance(severity, str) else severity
-        return df.select(
-            "event_id",
-            F.lit(kind).alias("kind"),
-            level.alias("severity"),
-            F.concat(*parts).alias("message"),
-        )
+        row = F.struct(F.lit(kind).alias("kind"), level.alias("severity"), F.concat(*parts).alias("message"))
+        return F.when(due, row)
 
-    first_fake = numbered.where("spread_count = 1 and is_deepfake")
-    found = rows(
-        first_fake, "DEEPFAKE_DETECTED", "HIGH",
+    first_fake = told(
+        F.expr("spread_count = 1 and is_deepfake"), "DEEPFAKE_DETECTED", "HIGH",
         F.lit("\U0001f6a8 NEW DEEPFAKE DETECTED\n"), tag, F.lit("Confidence: "), percent,
         F.lit("%\nLocation: "), F.col("city"), F.lit(", "), F.col("country"),
     )
-    again = rows(
-        numbered.where("spread_count >= 3"), "VIDEO_REDETECTED", "MEDIUM",
+    again = told(
+        F.col("spread_count") >= 3, "VIDEO_REDETECTED", "MEDIUM",
         F.lit("\U0001f501 VIDEO RE-DETECTED (#"), text("spread_count"), F.lit(")\n"), tag,
         F.lit("New "), source,
     )
-    same_ip = rows(
-        same_ip_reuploads(sightings, run_rows), "SAME_IP_REUPLOAD", "HIGH",
+    same_ip = told(
+        F.lit(True), "SAME_IP_REUPLOAD", "HIGH",
         F.lit("⚠️ SAME IP RE-UPLOAD\n"), tag, source, F.lit("\nUpload #"),
         text("upload_count"), F.lit(" | Time since first: "), text("seconds_since_first"),
         F.lit("s"),
     )
-    country = rows(
-        numbered.where("is_new_country and spread_count > 1"), "GEO_SPREAD",
+    country = told(
+        F.expr("is_new_country and spread_count > 1"), "GEO_SPREAD",
         F.when(F.col("unique_countries") >= 5, "CRITICAL").otherwise("HIGH"),
         F.lit("\U0001f30d GEO SPREAD DETECTED\n"), tag, F.lit("From: "),
         F.col("previous_country"), F.lit(" → "), F.col("country"),
         F.lit("\nUnique countries: "), text("unique_countries"),
     )
     n = F.col("spread_count")
-    viral = rows(
-        numbered.where(n.isin(10, 50, 100) | (n % 500 == 0)), "VIRAL_SPREAD", "CRITICAL",
+    viral = told(
+        n.isin(MILESTONES) | (n % MILESTONE_STEP == 0), "VIRAL_SPREAD", "CRITICAL",
         F.lit("\U0001f525 VIRAL SPREAD WARNING\n"), tag, F.lit("Spread events: "),
         text("spread_count"), F.lit("\nCountries: "), text("unique_countries"),
     )
-    return reduce(DataFrame.unionByName, [found, again, same_ip, country, viral])
+
+    def rows(df: DataFrame, *messages: Column) -> DataFrame:
+        return df.select("event_id", F.inline(F.array_compact(F.array(*messages))))
+
+    # all that the running numbers tell, in one pass over them
+    numbered = rows(first_country_events(sightings, run_rows), first_fake, again, country, viral)
+    return numbered.unionByName(rows(same_ip_reuploads(sightings, run_rows), same_ip))
 
 
 def alert_counts(alerts: DataFrame) -> DataFrame:
