@@ -59,6 +59,17 @@ def test_slots_are_bounded_by_rows(spark):
     assert got.where("n = id + 1 AND seen = 1 AND new = (id = 0)").count() == 4000
 
 
+@pytest.mark.parametrize("run_rows", [None, 7])
+def test_pages_and_eviction(spark, run_rows):
+    df = spark.range(100).select((F.col("id") * 37 % 100).alias("id"), F.lit(1).alias("t"))
+    ids = lambda out: sorted(r.id for r in out.collect())
+    assert ids(registry.page(df, ["t", "id"], 40, 5, run_rows)) == [40, 41, 42, 43, 44]
+    assert ids(registry.page(df, ["t", "id"], 98, 5, run_rows)) == [98, 99]
+    assert ids(registry.page(df, ["t", "id"], 100, 5, run_rows)) == []
+    assert ids(registry.evict_oldest(df, ["t", "id"], 3, run_rows)) == [97, 98, 99]
+    assert ids(registry.evict_oldest(df.limit(0), ["t", "id"], 3)) == []
+
+
 def test_running_values_of_null_keys(spark):
     df = spark.createDataFrame([(None, 2), (None, 1), ("a", 3)], "k string, id bigint")
     got = running(df, ["k"], ["id"], row_number="n", lag={"before": "id"}).collect()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailmark.operators.runs import running
+from trailmark.operators.runs import ranked, running
 
 SCORES = ["perceptual_hash", "is_deepfake", "confidence", "lipsync_score", "fact_check_score"]
 
@@ -74,9 +74,12 @@ def newest(df: DataFrame, order: list[str], n: int) -> DataFrame:
     return df.orderBy(*[F.col(c).desc() for c in order]).limit(n)
 
 
-def page(df: DataFrame, order: list[str], offset: int, limit: int) -> DataFrame:
-    """A page of an ordered table; empty when the offset is past its end."""
-    return df.orderBy(*order).offset(offset).limit(limit)
+def page(
+    df: DataFrame, order: list[str], offset: int, limit: int, run_rows: int | None = None
+) -> DataFrame:
+    """A page of an ordered table, however deep; empty when the offset is past its end."""
+    rows, _ = ranked(df, order, run_rows)
+    return rows.where((F.col("_rank") > offset) & (F.col("_rank") <= offset + limit)).drop("_rank")
 
 
 def events_between(df: DataFrame, low: int, high: int, column: str = "event_id") -> DataFrame:
@@ -84,9 +87,12 @@ def events_between(df: DataFrame, low: int, high: int, column: str = "event_id")
     return df.where(F.col(column).between(low, high))
 
 
-def evict_oldest(df: DataFrame, order: list[str], keep: int) -> DataFrame:
-    """The newest ``keep`` rows."""
-    return newest(df, order, keep)
+def evict_oldest(
+    df: DataFrame, order: list[str], keep: int, run_rows: int | None = None
+) -> DataFrame:
+    """The newest ``keep`` rows, however many these are."""
+    rows, total = ranked(df, order, run_rows)
+    return rows.where(F.col("_rank") > total - keep).drop("_rank")
 
 
 def family_rank(lineage: DataFrame, run_rows: int | None = None) -> DataFrame:

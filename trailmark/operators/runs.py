@@ -28,6 +28,22 @@ def with_slots(df: DataFrame, keys: list[str], order: list[str], run_rows: int |
     return cut_lineage(dealt.withColumn("_slot", F.spark_partition_id().cast("bigint")))
 
 
+def ranked(df: DataFrame, order: list[str], run_rows: int | None = None) -> tuple[DataFrame, int]:
+    """The rows with ``_rank``, from 1 in the total order, and how many rows there are.
+
+    No task holds more than a range of the rows; only the rows of each range are counted on the driver.
+    """
+    rows = with_slots(df, [], order, run_rows)
+    before, offsets = 0, []
+    for r in sorted(rows.groupBy("_slot").count().collect()):
+        offsets.append((r["_slot"], before))
+        before += r["count"]
+    starts = df.sparkSession.createDataFrame(offsets, "_slot bigint, _before bigint")
+    inside = Window.partitionBy("_slot").orderBy(*order)
+    placed = rows.withColumn("_in", F.row_number().over(inside)).join(starts, "_slot")
+    return placed.select(*df.columns, (F.col("_in") + F.col("_before")).alias("_rank")), before
+
+
 def running(
     df: DataFrame,
     keys: list[str],
