@@ -37,6 +37,30 @@ def dct_lowfreq(df: DataFrame, n: int, k: int) -> DataFrame:
     return df.mapInPandas(run, schema)
 
 
+def histogram_correlation(df: DataFrame, bins: int) -> DataFrame:
+    """Adds ``_correlation`` of the histograms of ``pixels`` and ``next_pixels``, grey values 0 to 255.
+
+    Values outside fall in the first or last bin.
+    """
+    schema = df.select("*", F.lit(0.0).alias("_correlation")).schema
+
+    def counts(pixels) -> np.ndarray:
+        at = np.clip(np.floor(np.asarray(pixels, float) * bins / 256), 0, bins - 1).astype(int)
+        return np.bincount(at, minlength=bins).astype(float)
+
+    def correlation(a: np.ndarray, b: np.ndarray) -> float:
+        a, b = a - a.mean(), b - b.mean()
+        spread = np.sqrt((a @ a) * (b @ b))
+        return float(a @ b / spread) if spread > 0 else 1.0
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            both = zip(batch["pixels"], batch["next_pixels"], strict=True)
+            yield batch.assign(_correlation=np.array([correlation(counts(a), counts(b)) for a, b in both], float))
+
+    return df.mapInPandas(run, schema)
+
+
 def frequency_artifacts(df: DataFrame, n: int) -> DataFrame:
     """Adds ``artifact_score``: difference in high-frequency power of ``pixels`` and ``next_pixels``.
 

@@ -309,7 +309,8 @@ SELECT video_id, frame_idx, round({_column}, 6) AS {_column} FROM pair_scores"""
 @query("pair_histogram_similarity", """
 SELECT video_id, frame_idx, round(h, 6) AS histogram_similarity FROM pair_hist""")
 def _(spark, d):
-    return rounded(scoring.pair_histogram_similarity(_pairs(spark, d)), "histogram_similarity")
+    found = scoring.pair_histogram_similarity(_pairs(spark, d))
+    return rounded(found.select("video_id", "frame_idx", "histogram_similarity"), "histogram_similarity")
 
 
 @query("temporal_consistency", """
@@ -319,11 +320,7 @@ FROM pair_scores JOIN pair_hist USING (video_id, frame_idx)""")
 def _(spark, d):
     key = ["video_id", "frame_idx"]
     pairs = _pairs(spark, d)
-    joined = (
-        scoring.pair_features(pairs)
-        .drop("pixels", "next_pixels")
-        .join(scoring.pair_histogram_similarity(pairs), key)
-    )
+    joined = scoring.pair_features(scoring.pair_histogram_similarity(pairs))
     edge = (F.col("frame_idx") % 10) / 10
     score = arrays.temporal_consistency(
         F.col("correlation"), F.col("ssim"), edge, F.col("histogram_similarity")
