@@ -246,6 +246,8 @@ def test_languages_of_odd_rows(spark, odd, none):
     assert kept.columns == odd.columns
     assert kept.count() == sum(any(c.isalpha() for c in r.text or "") for r in odd.collect())
     assert language.drop_unidentified(none).count() == 0
+    unlabelled = odd.withColumn("lang", F.lit(None).cast("string"))
+    assert language.drop_unidentified(unlabelled).count() == odd.count()
     empty = language.train(none.select("lang", "text"))
     assert empty.predict(["abc"]) == (["und"], [0.0])
     one = language.train(spark.createDataFrame([("en", "abc")], "lang string, text string"))

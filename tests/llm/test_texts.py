@@ -127,11 +127,11 @@ def test_transfer_products_are_associative():
 def test_encoding_of_whole_tables(odd, none):
     library = _library()
     encoded = pieces.encode(odd, pieces.model_path(), chunk=64)
-    out = encoded.withColumn("back", pieces.decode(F.col("ids"), pieces.model_path())).select("text", "ids", "back").collect()
+    out = encoded.withColumn("back", pieces.decode(F.col("ids"), pieces.model_path())).select("text", "ids", "back", "decoded").collect()
     assert len(out) == odd.count()
     for r in out:
         assert r.ids == library.encode(r.text or "")
-        assert r.back == (r.text or "")
+        assert r.back == r.decoded == (r.text or "")
     assert pieces.encode(none, pieces.model_path()).count() == 0
     with pytest.raises(ValueError):
         pieces.encode_giant(odd, pieces.model_path(), chunk=20)

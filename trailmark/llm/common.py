@@ -39,6 +39,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def once(udf):
+    """The function, evaluated once for a row however many later expressions and filters use its result.
+
+    Spark copies deterministic functions into each of them, which doubles the work and the workers.
+    """
+    return udf.asNondeterministic()
+
+
 def unused(name: str, *frames: DataFrame) -> str:
     """The name, with as many underscores before it as it takes to clash with no column."""
     taken = {c.lower() for f in frames for c in f.columns}

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trailmark.llm.book import query
-from trailmark.llm.common import table, unused
+from trailmark.llm.common import bound_batches, once, table, unused
 from trailmark.session import cut_lineage
 
 #: Languages by family. A language that is not listed is a family of its own.
@@ -149,6 +149,7 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     The sample takes distinct texts by a hash of the text, at a rate that gives ``per_language``
     of each language. Rows without letters teach nothing. Only the machines come to the driver.
     """
+    bound_batches(labelled.sparkSession)
     digest = F.xxhash64("text")
     rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", digest.alias("digest"))
     counts = rows.groupBy("lang").agg(F.approx_count_distinct("digest").alias("n")).collect()
@@ -213,7 +214,7 @@ def predictor(model: Model):
             scores += found[1]
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
 
-    return predict
+    return once(predict)
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -222,6 +223,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     A null text, one without letters, and any text under a model without languages is ``und`` with
     score 0. Only the text has an influence, so repeated rows get equal answers.
     """
+    bound_batches(docs.sparkSession)
     name = unused("_found", docs)
     found = docs.withColumn(name, predictor(model)(F.col(text)))
     return found.withColumns({"lang_pred": F.col(name)["lang"], "lang_score": F.col(name)["score"]}).drop(name)
@@ -233,8 +235,13 @@ def held_out(key: str = "doc_id") -> Column:
 
 
 def drop_unidentified(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose language is ``und``; a missing lang becomes the predicted one."""
+    """``docs`` without the rows whose language is ``und``; a missing lang becomes the predicted one.
+
+    Where no row has a lang there is nothing to learn, and no row is rejected.
+    """
     model = train(docs.filter(~held_out()).select("lang", "text"))
+    if not model.members:
+        return docs
     name = unused("_found", docs)
     found = docs.withColumn(name, predictor(model)(F.col("text"))).filter(F.col(name)["lang"] != UNKNOWN)
     return found.withColumn("lang", F.coalesce("lang", F.col(name)["lang"])).select(*docs.columns)

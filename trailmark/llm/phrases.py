@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trailmark.llm.book import query
-from trailmark.llm.common import table
+from trailmark.llm.common import bound_batches, table
 
 LEVELS = (2, 3)
 SIZE = 64
@@ -154,6 +154,7 @@ def add_fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     A null text is the empty one, whose fingerprint is empty. Repeated rows get equal ones. A
     column of that name is replaced.
     """
+    bound_batches(docs.sparkSession)
     return docs.withColumn("fingerprint", phrase_fingerprint(text))
 
 
@@ -167,6 +168,7 @@ def with_next(docs: DataFrame, make, schema: str) -> DataFrame:
     rows without one stand before all others.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     lowest = -(1 << 63)
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest))
     keyed = docs.select(order.alias("_order"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -183,14 +185,22 @@ def with_next(docs: DataFrame, make, schema: str) -> DataFrame:
     if not firsts:
         return spark.createDataFrame([], schema)
     last = firsts[-1][0]
-    before = dict(zip([r for r, _ in firsts], [last, *[r for r, _ in firsts[:-1]]], strict=True))
-    of_first = F.create_map(*[F.lit(x) for r, first in firsts for x in (first, before[r])])
-    earlier = F.try_element_at(of_first, F.col("_order"))
+    first_of = np.array([first for _, first in firsts], np.int64)
+    range_before = np.array([last, *[r for r, _ in firsts[:-1]]], np.int32)
+
+    @F.arrow_udf(T.IntegerType())
+    def guest_of(ids: pa.Array) -> pa.Array:
+        """The range before, for the first document of a range."""
+        ids = ids.to_numpy()
+        at = np.minimum(np.searchsorted(first_of, ids), len(first_of) - 1)
+        return pa.array(range_before[at], mask=first_of[at] != ids)
+
+    earlier = F.col("_earlier")
     own = F.struct(F.col("_range").alias("to"), F.lit(0).alias("role"))
     role = F.when(F.col("_order") == F.lit(firsts[0][1]), 2).otherwise(1)
     guest = F.struct(earlier.alias("to"), role.alias("role"))
     homes = F.when(earlier.isNull(), F.array(own)).otherwise(F.array(own, guest))
-    dealt = placed.withColumn("_home", F.explode(homes)).select("doc_id", "text", "_order", "_home.*")
+    dealt = placed.withColumn("_earlier", guest_of("_order")).withColumn("_home", F.explode(homes)).select("doc_id", "text", "_order", "_home.*")
     sent = dealt.repartitionById(last + 1, F.col("to"))
     # role 1: first of the range after, role 2: first of all, which follows the last
     by = [(F.col("role") == 2), F.col("_order"), F.md5("text")]

@@ -31,8 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trailmark.llm.book import query
-from trailmark.llm.common import table, unused
-from trailmark.session import cut_lineage
+from trailmark.llm.common import bound_batches, once, stored, table, unused
 
 #: Code points of a chunk; at least twice the longest piece.
 CHUNK = 1 << 15
@@ -68,13 +67,16 @@ class Spelling:
         self.sizes = np.array(list(map(len, spelled)))
         self.starts = np.cumsum(self.sizes) - self.sizes
 
-    def decode(self, ids) -> str:
-        """The text of the ids; bytes that form no character become replacement characters."""
+    def decode(self, ids, first: bool = True) -> str:
+        """The text of the ids; bytes that form no character become replacement characters.
+
+        The first piece of a text begins with a space that was put before it.
+        """
         ids = np.asarray(ids, np.int64)
         sizes = self.sizes[ids]
         ends = np.cumsum(sizes)
         at = np.repeat(self.starts[ids] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))
-        return self.letters[at].tobytes().decode("utf-8", "replace")[1:]
+        return self.letters[at].tobytes().decode("utf-8", "replace")[1 if first else 0 :]
 
 
 class Vocabulary:
@@ -426,13 +428,22 @@ def _lists(rows: list[array]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
 
 
-def _short_ids(text: Column, model: str) -> Column:
-    @F.arrow_udf(T.ArrayType(T.IntegerType()))
-    def ids(texts: pa.Array) -> pa.Array:
+_ENCODED = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+
+
+def _encoded(text: Column, model: str) -> Column:
+    """Ids, and the text that they decode to, from one worker."""
+
+    @F.arrow_udf(_ENCODED)
+    def both(texts: pa.Array) -> pa.Array:
         flat, sizes = vocabulary(model).encode_texts([t or "" for t in texts.to_pylist()])
-        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(flat))
+        ends = np.cumsum([0, *sizes])
+        ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+        spelled = spelling(model)
+        back = [spelled.decode(flat[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        return pa.StructArray.from_arrays([ids, pa.array(back, pa.string())], ["ids", "decoded"])
 
-    return ids(text)
+    return once(both)(text)
 
 
 def _chunked(texts: DataFrame, chunk: int, margin: int) -> DataFrame:
@@ -457,12 +468,15 @@ def _chunked(texts: DataFrame, chunk: int, margin: int) -> DataFrame:
 
 
 def encode_giant(texts: DataFrame, model: str, chunk: int = CHUNK) -> DataFrame:
-    """(digest, ids) of ``texts`` (digest, text): the parallel scan over chunks."""
+    """(digest, ids, decoded) of ``texts`` (digest, text): the parallel scan over chunks.
+
+    A character's bytes belong to the chunk it starts in, so chunks are also decoded on their own.
+    """
     margin = 16
     if chunk < 2 * margin:
         raise ValueError("a chunk must be twice as long as the longest piece")
     # equal texts are encoded once, and chunks are dealt out whatever text they are of
-    chunks = cut_lineage(_chunked(texts, chunk, margin).dropDuplicates(["digest", "chunk"]))
+    chunks = stored(_chunked(texts, chunk, margin).dropDuplicates(["digest", "chunk"]), "chunks")
 
     def solve(batches):
         for batch in batches:
@@ -482,27 +496,34 @@ def encode_giant(texts: DataFrame, model: str, chunk: int = CHUNK) -> DataFrame:
         for batch in batches:
             v, rows = vocabulary(model), batch.to_pylist()
             ids = [v.trace(r["left"], r["body"], r["right"], r["chunk"] == 0, r["entry"], r["leave"]) for r in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(ids)], ["digest", "chunk", "ids"])
+            back = [spelling(model).decode(i, r["chunk"] == 0) for i, r in zip(ids, rows, strict=True)]
+            columns = [batch.column(0), batch.column(1), _lists(ids), pa.array(back, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["digest", "chunk", "ids", "decoded"])
 
     matrices = chunks.mapInArrow(solve, "digest string, chunk int, steps array<int>")
     ends = matrices.groupBy("digest").applyInArrow(scan, "digest string, chunk int, entry int, leave int")
-    traced = chunks.join(ends, ["digest", "chunk"]).mapInArrow(trace, "digest string, chunk int, ids array<int>")
-    joined = traced.groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("chunk", "ids"))).alias("parts"))
-    return joined.select("digest", F.flatten("parts.ids").alias("ids"))
+    traced = chunks.join(ends, ["digest", "chunk"]).mapInArrow(
+        trace, "digest string, chunk int, ids array<int>, decoded string"
+    )
+    joined = traced.groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("chunk", "ids", "decoded"))).alias("parts"))
+    return joined.select("digest", F.flatten("parts.ids").alias("ids"), F.array_join("parts.decoded", "").alias("decoded"))
 
 
 def encode(docs: DataFrame, model: str, text: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """``docs`` with ids, the pieces' numbers; a column of that name is replaced.
+    """``docs`` with ids, the pieces' numbers, and decoded, the text that they give back; columns of
+    these names are replaced.
 
     A null text is the empty one, which has no ids. A text that fills less than a chunk has no inner
     cut and is encoded where it lies; longer ones are scanned in chunks that are dealt out.
     Equal long texts are encoded once. Both give what merging the whole text gives.
     """
-    docs = docs.drop("ids")
+    bound_batches(docs.sparkSession)
+    docs = docs.drop("ids", "decoded")
     whole = F.coalesce(F.col(text), F.lit(""))
     giant = F.length(whole) >= chunk
-    short = docs.filter(~giant).withColumn("ids", _short_ids(F.col(text), model))
-    digest = unused("_digest", docs)
+    both, digest = unused("_both", docs), unused("_digest", docs)
+    short = docs.filter(~giant).withColumn(both, _encoded(F.col(text), model))
+    short = short.withColumns({"ids": F.col(both)["ids"], "decoded": F.col(both)["decoded"]}).drop(both)
     long = docs.filter(giant).withColumn(digest, F.sha2(whole, 256))
     found = encode_giant(long.select(F.col(digest).alias("digest"), F.col(text).alias("text")), model, chunk)
     joined = long.join(found.withColumnRenamed("digest", digest), digest).drop(digest)
@@ -535,8 +556,7 @@ def model_path() -> str:
 def op2_sentencepiece(spark, sf_dir):
     """Per document: number and digest of its ids, and digest of the text that they decode to."""
     encoded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model_path())
-    decoded = encoded.withColumn("decoded", decode(F.col("ids"), model_path()))
-    return decoded.select(
+    return encoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_ids"),
         F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),

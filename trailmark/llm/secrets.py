@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trailmark.llm.book import query
-from trailmark.llm.common import table, unused
+from trailmark.llm.common import bound_batches, once, table, unused
 
 #: The kinds in the order in which spans of one start are listed.
 KINDS = ("assign", "access", "hex", "pair")
@@ -173,20 +173,20 @@ def find_spans(texts: pa.Array) -> pa.Array:
     return pa.array(rows, pa.list_(_SPAN))
 
 
+def masked(text: str) -> str:
+    """The text with the secret part of every span replaced; overlapping parts become one mark."""
+    kept, at = [], 0
+    for a, b in sorted(s[3:] for s in spans_of(text)):
+        if b > at:
+            if a >= at:
+                kept += [text[at:a], MASK]
+            at = b
+    return "".join([*kept, text[at:]])
+
+
 @F.arrow_udf(T.StringType())
-def mask(texts: pa.Array, spans: pa.Array) -> pa.Array:
-    out = []
-    for text, found in zip(texts.to_pylist(), spans.to_pylist(), strict=True):
-        if text is not None and found:
-            kept, at = [], 0
-            for a, b in sorted((s["value_start"], s["value_end"]) for s in found):
-                if b > at:
-                    if a >= at:
-                        kept += [text[at:a], MASK]
-                    at = b
-            text = "".join([*kept, text[at:]])
-        out.append(text)
-    return pa.array(out, pa.string())
+def mask(texts: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else masked(t) for t in texts.to_pylist()], pa.string())
 
 
 #: What stands in a text in place of a secret.
@@ -198,19 +198,19 @@ def scan_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
 
     A null text has no spans. Repeated rows are scanned each. A column of that name is replaced.
     """
-    return docs.withColumn("secret_spans", find_spans(F.col(text)))
+    bound_batches(docs.sparkSession)
+    return docs.withColumn("secret_spans", once(find_spans)(F.col(text)))
 
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
     """``docs`` with every secret in the text replaced by a mark; n_chars follows the text."""
-    spans = unused("_spans", docs)
-    scanned = docs.withColumn(spans, find_spans(F.col("text")))
-    text = F.when(F.size(spans) > 0, mask("text", spans)).otherwise(F.col("text"))
-    masked = scanned.withColumn("text", text)
+    bound_batches(docs.sparkSession)
+    clean = unused("_clean", docs)
+    out = docs.withColumn(clean, once(mask)("text"))
     if "n_chars" in docs.columns:
-        changed = F.when(F.size(spans) > 0, F.length("text").cast(docs.schema["n_chars"].dataType))
-        masked = masked.withColumn("n_chars", changed.otherwise(F.col("n_chars")))
-    return masked.select(*docs.columns)
+        changed = F.when(F.col(clean) != F.col("text"), F.length(clean).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.coalesce(changed, "n_chars"))
+    return out.withColumn("text", F.col(clean)).select(*docs.columns)
 
 
 def _listed(spans: Column) -> Column:

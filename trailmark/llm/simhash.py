@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trailmark.llm.book import query
-from trailmark.llm.common import table, unused
+from trailmark.llm.common import bound_batches, table, unused
 from trailmark.llm.components import components
 from trailmark.session import cut_lineage
 
@@ -103,6 +103,7 @@ def near_duplicates(docs: DataFrame, *extra: Column, key: str = "doc_id", text:
     like any other. Equal texts have equal fingerprints, and only distinct fingerprints are
     compared. A component of rows without a key has none. An empty table gives an empty result.
     """
+    bound_batches(docs.sparkSession)
     printed = cut_lineage(docs.select(F.col(key), *extra, simhash(F.col(text)).alias("fp")))
     nodes = cut_lineage(printed.groupBy("fp").agg(F.min(key).alias("least")))
     roots = components(links(nodes), "a", "b").withColumnRenamed("node", "fp")
@@ -124,7 +125,7 @@ def keep_one_per_group(docs: DataFrame) -> DataFrame:
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_pick"))["_pick"].alias("_pick")
     # a component without keys has a null id; its fingerprint tells it apart
     one = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp")))
-    winners = found.groupBy(one.alias("_group")).agg(least).select("_pick").distinct()
+    winners = found.groupBy(one.alias("_group")).agg(least).select("_pick")
     name = unused("_pick", docs)
     kept = docs.withColumn(name, pick).join(winners.withColumnRenamed("_pick", name), name)
     return kept.dropDuplicates([name]).select(*docs.columns)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.llm.book import query
-from trailmark.llm.common import stored, table
+from trailmark.llm.common import bound_batches, stored, table
 from trailmark.session import cut_lineage
 
 WINDOW = 50
@@ -115,6 +115,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX)
     one document: none is smaller than the other. A row without doc_id is smaller than none,
     and none is smaller than it, so it loses nothing and takes nothing from others.
     """
+    bound_batches(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text"))
 

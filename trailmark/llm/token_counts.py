@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trailmark.llm.book import query
-from trailmark.llm.common import table, whole_text
+from trailmark.llm.common import bound_batches, once, table, whole_text
 
 #: A piece without white space that is longer than this is cut next to digits where it has some.
 PIECE_BYTES = 16 << 10
@@ -87,7 +87,7 @@ def token_count(text: Column, tokenizer: str) -> Column:
             known.update(zip(call, map(len, found), strict=True))
         return pa.array([sum(map(known.__getitem__, p)) for p in cut], pa.int64())
 
-    return count(F.coalesce(text, F.lit("")))
+    return once(count)(F.coalesce(text, F.lit("")))
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int, text: str = "text") -> DataFrame:
@@ -95,6 +95,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int, text: str = "text"
 
     A null text is the empty one (0 bytes, 0 tokens). Repeated rows are counted each.
     """
+    bound_batches(docs.sparkSession)
     counted = docs.withColumn("n_tokens", token_count(F.col(text), tokenizer))
     return counted.withColumn("n_bytes", F.octet_length(whole_text(text)).cast("long")).withColumn(
         "over_limit", F.col("n_tokens") > limit

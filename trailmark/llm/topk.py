@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.llm.book import query
-from trailmark.llm.common import table
+from trailmark.llm.common import bound_batches, table
 from trailmark.session import cut_lineage
 
 CANDIDATE_BLOCK = 2048
@@ -123,6 +123,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, key: str = "vec_id", vec
     own and no candidates for it; other repeated rows are candidates each. If an id repeats among
     the queries, its smallest vector asks. With fewer than k candidates all are returned.
     """
+    bound_batches(vectors.sparkSession)
     finite = F.forall(
         F.col(vector), lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) != float("inf"))
     )
