@@ -64,6 +64,17 @@ def test_pairs_equal_brute_force(spark, hashes, mode, threshold, hot_pairs):
     assert {tuple(r) for r in got} == brute(hashes, threshold)
 
 
+def test_shared_black_frames_make_no_hot_slice(spark):
+    """All codes share three of five frames: no (band, slice) key holds more than a small part of them."""
+    rng = random.Random(5)
+    rows = [("0" * 16 + "-" + "0" * 16 + "-" + "0" * 16 + "-" + f"{rng.getrandbits(64):016x}-{rng.getrandbits(64):016x}",) for _ in range(2000)]
+    codes = spark.createDataFrame(rows, "code string")
+    slices = lookup._remainder_slices(F.col("code"), F.lit(0), 5, 11)
+    keys = codes.select(F.posexplode(slices).alias("i", "v")).groupBy("i", "v").count()
+    assert keys.agg(F.max("count")).first()[0] < 100
+    assert keys.select("i").distinct().count() == 11
+
+
 def test_codes_in_another_layout_are_kept(spark, hashes):
     short = [text(w)[: 16 * 3 + 2] for w in hashes[:6]]
     rows = [(str(i), h) for i, h in enumerate(short + [text(w) for w in hashes[:6]])]

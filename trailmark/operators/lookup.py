@@ -133,10 +133,12 @@ def _first_agreement(left: str, right: str, n: int, index: Column) -> Column:
 
 
 def _remainder_slices(code: Column, index: Column, num_bands: int, slices: int) -> Column:
-    """Hex digits outside band ``index``, cut into equal slices.
+    """Hex digits outside band ``index``, dealt out to equal slices in turn.
 
     Two standard codes that agree in the band and differ in at most slices - 1 bits elsewhere
-    agree in at least one slice, so matching on (band, slice) loses no pair.
+    agree in at least one slice, so matching on (band, slice) loses no pair. Slices take every
+    ``slices``-th digit: where codes share further whole frames (black ones, say), every slice
+    still holds digits of the frames in which they differ, so no slice becomes one key for all.
     """
     clean = F.replace(code, F.lit("-"), F.lit(""))
     digits = bits.FRAMES * 16
@@ -150,10 +152,11 @@ def _remainder_slices(code: Column, index: Column, num_bands: int, slices: int)
     n = F.length(rest)
     return F.transform(
         F.sequence(F.lit(0), F.lit(slices - 1)),
-        lambda i: F.substr(
-            rest,
-            F.floor(i * n / slices).cast("int") + 1,
-            (F.floor((i + 1) * n / slices) - F.floor(i * n / slices)).cast("int"),
+        lambda i: F.array_join(
+            F.transform(
+                F.sequence(i, n - 1, F.lit(slices)), lambda at: F.substr(rest, at + 1, F.lit(1))
+            ),
+            "",
         ),
     )
 
