@@ -97,3 +97,26 @@ def test_acknowledge_is_set_once(spark):
     assert (got["a"].acknowledged, got["a"].acknowledged_by) == (True, 2)
     assert (got["b"].acknowledged, got["b"].acknowledged_by) == (False, None)
     assert (got["c"].acknowledged, got["c"].acknowledged_by) == (True, 9)
+
+
+@pytest.mark.parametrize("slots, seed", [(1, 0), (2, 1), (3, 2)])
+def test_cooldown_over_many_runs_of_slots(spark, monkeypatch, slots, seed):
+    """Histories of weeks, in runs of a few slots: the runs' folded lists must chain exactly."""
+    monkeypatch.setattr(alerts, "BLOCK_SLOTS", slots)
+    rng = random.Random(seed)
+    rows, number = [], 0
+    for key, step in (("a", 3000), ("b", 40_000), ("c", 9000)):
+        at = rng.randrange(100_000)
+        while at < 30 * 86_400:
+            rows.append((key, "A", at, number))
+            number += 1
+            at += rng.choice([1, step // 7, step, step * 2]) if rng.random() < 0.99 else 3 * 86_400
+    for cooldown in (7000, 10_800):
+        df = spark.createDataFrame(rows, "video_hash string, alert_type string, seconds bigint, event_id bigint")
+        got = {r.event_id for r in alerts.alert_cooldown(df, default_seconds=cooldown).collect()}
+        want, last = set(), {}
+        for key, _, at, n in rows:
+            if key not in last or at - last[key] >= cooldown:
+                want.add(n)
+                last[key] = at
+        assert got == want

@@ -20,6 +20,9 @@ from trailmark.session import cut_lineage
 from trailmark.sources.rules import ALERT_RULES, GLOBAL_RULES
 
 DAY = 86_400
+#: Slots of a key's history that are chained together; a longer history is a chain of such runs.
+BLOCK_SLOTS = 64
+UNBOUNDED = np.iinfo("int64").max
 KEYS = ["video_hash", "alert_type"]
 
 CANDIDATE_COLUMNS = [
@@ -210,8 +213,9 @@ def alert_cooldown(
     candidates of one second are folded to the first of them; one with no neighbour closer than
     the longest cooldown is kept at once; the rest is walked per time slot, where a key has at
     most one row per second. A slot depends on earlier ones only through its first kept second,
-    so each slot first lists, for every second that may come first, where it would end. Chaining
-    those short lists fixes the first kept second of every slot.
+    so each slot first lists, for every second that may come first, where it would end. Runs of
+    ``BLOCK_SLOTS`` slots are folded to one such list each; chaining the lists of the runs, and then
+    those of the slots within each run, fixes the first kept second of every slot.
 
     Keys are walked together, about ``group_rows`` rows to a call, however many keys there are.
     """
@@ -259,8 +263,17 @@ def alert_cooldown(
         lambda group: slot_ends(group, slot_seconds),
         f"{key_schema}, _cooldown bigint, entry bigint, exit bigint",
     )
-    firsts = options.groupBy("_bucket").applyInPandas(
-        chain_slots, f"{key_schema}, entry bigint"
+    # read twice: to fold the runs of slots, and to chain the slots within them
+    options = cut_lineage(options.withColumn("_block", F.floor(F.col("_slot") / BLOCK_SLOTS)))
+    block_key = "video_hash string, alert_type string, _block bigint, _bucket bigint"
+    folded = options.groupBy("_bucket", "_block").applyInPandas(
+        fold_block, f"{block_key}, upto bigint, after bigint"
+    )
+    opened = folded.groupBy("_bucket").applyInPandas(chain_blocks, f"{block_key}, allowed bigint")
+    firsts = (
+        options.join(opened, [*KEYS, "_block", "_bucket"])
+        .groupBy("_bucket", "_block")
+        .applyInPandas(chain_slots, f"{key_schema}, entry bigint")
     )
     kept = (
         crowded.join(firsts, [*KEYS, "_slot", "_bucket"])
@@ -315,21 +328,80 @@ def slot_ends(group: pd.DataFrame, slot_seconds: int) -> pd.DataFrame:
     return out.assign(entry=seconds[wanted], exit=seconds[last[wanted]])
 
 
+def _first_fit(key: np.ndarray, entry: np.ndarray, of: np.ndarray, allowed: np.ndarray):
+    """For each (key, first allowed second): the place of its first entry then, and whether there is one.
+
+    Rows are in order of (key, entry).
+    """
+    base, width = int(entry.min()), int(entry.max() - entry.min()) + 2
+    wait = np.clip(allowed - base, 0, width - 1)
+    at = np.searchsorted(key * width + (entry - base), of * width + wait, side="left")
+    fits = at < len(key)
+    fits[fits] = key[at[fits]] == of[fits]
+    return at, fits
+
+
+def fold_block(group: pd.DataFrame) -> pd.DataFrame:
+    """Per key of a run of slots: up to which first allowed second it would end where.
+
+    What comes before a run matters only within the first slot that has rows: it decides which of that
+    slot's entries is taken, or (the last line, without bound) that none is. ``after`` is the
+    first second allowed after the run, -1 if nothing is kept in it.
+    """
+    group = group.assign(_k=group.groupby(KEYS, sort=False).ngroup())
+    group = group.sort_values(["_slot", "_k", "entry"])
+    n = int(group["_k"].max()) + 1
+    gap = np.zeros(n, dtype="int64")
+    gap[group["_k"].to_numpy()] = group["_cooldown"].to_numpy()
+    opening = group.groupby("_k")["_slot"].min().reindex(range(n)).to_numpy()
+    lead = group[group["_slot"].to_numpy() == opening[group["_k"].to_numpy()]]
+    # one chain for every entry of the opening slot, and one that takes none of them
+    of = np.concatenate([lead["_k"].to_numpy(), np.arange(n)])
+    upto = np.concatenate([lead["entry"].to_numpy(), np.full(n, UNBOUNDED)])
+    allowed = np.concatenate([lead["exit"].to_numpy() + gap[lead["_k"].to_numpy()], np.zeros(n, "int64")])
+    kept = np.arange(len(of)) < len(lead)
+    for slot, options in group.groupby("_slot"):
+        later = np.flatnonzero(opening[of] < slot)
+        if not len(later):
+            continue
+        at, fits = _first_fit(options["_k"].to_numpy(), options["entry"].to_numpy(), of[later], allowed[later])
+        chains = later[fits]
+        allowed[chains] = options["exit"].to_numpy()[at[fits]] + gap[of[chains]]
+        kept[chains] = True
+    keys = group.drop_duplicates("_k").set_index("_k").loc[of, [*KEYS, "_block", "_bucket"]]
+    return keys.assign(upto=upto, after=np.where(kept, allowed, -1)).reset_index(drop=True)
+
+
+def chain_blocks(group: pd.DataFrame) -> pd.DataFrame:
+    """Per key: the first second allowed at the start of every run of slots."""
+    group = group.assign(_k=group.groupby(KEYS, sort=False).ngroup())
+    allowed = np.zeros(int(group["_k"].max()) + 1, dtype="int64")
+    found = []
+    for _, lines in group.sort_values(["_block", "_k", "upto"]).groupby("_block"):
+        key = lines["_k"].to_numpy()
+        present, first, size = np.unique(key, return_index=True, return_counts=True)
+        found.append(lines.iloc[first].assign(allowed=allowed[present]))
+        # the last line of a key has no bound and fits always
+        bounds = np.where(lines["upto"].to_numpy() == UNBOUNDED, np.iinfo("int64").max, lines["upto"].to_numpy())
+        short = bounds < np.repeat(allowed[present], size)
+        line = first + np.add.reduceat(short.astype(int), first)
+        after = lines["after"].to_numpy()[line]
+        allowed[present] = np.where(after < 0, allowed[present], after)
+    return pd.concat(found)[[*KEYS, "_block", "_bucket", "allowed"]]
+
+
 def chain_slots(group: pd.DataFrame) -> pd.DataFrame:
-    """Per key: the first kept second of every slot, slot after slot for all keys at once."""
+    """Per key: the first kept second of every slot of a run, slot after slot for all keys at once."""
     group = group.assign(_k=group.groupby(KEYS, sort=False).ngroup())
     gap = np.zeros(int(group["_k"].max()) + 1, dtype="int64")
     gap[group["_k"].to_numpy()] = group["_cooldown"].to_numpy()
     allowed = np.zeros(len(gap), dtype="int64")
+    allowed[group["_k"].to_numpy()] = group["allowed"].to_numpy()
     found = []
     for _, options in group.sort_values(["_slot", "_k", "entry"]).groupby("_slot"):
         key, entry = options["_k"].to_numpy(), options["entry"].to_numpy()
-        base, width = int(entry.min()), int(entry.max() - entry.min()) + 2
         present = np.unique(key)
-        wait = np.clip(allowed[present] - base, 0, width - 1)
-        at = np.searchsorted(key * width + (entry - base), present * width + wait, side="left")
-        fits = at < len(key)
-        fits[fits] = key[at[fits]] == present[fits]
+        at, fits = _first_fit(key, entry, present, allowed[present])
         chosen = options.iloc[at[fits]]
         allowed[present[fits]] = chosen["exit"].to_numpy() + gap[present[fits]]
         found.append(chosen)
