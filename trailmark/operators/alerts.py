@@ -110,7 +110,7 @@ def reupload_alerts(
     sightings: DataFrame, rules: DataFrame, run_rows: int | None = None, policy: str = "ledger"
 ) -> DataFrame:
     """Uploads whose number by one source reaches the item's re-upload threshold."""
-    rows = same_ip_reuploads(sightings, run_rows).join(rules, "video_hash")
+    rows = same_ip_reuploads(sightings, run_rows, rules)
     hits = rows.where("enabled and upload_count >= reupload_threshold")
     message = F.concat(
         F.lit("Flagged video re-uploaded "),
@@ -168,7 +168,7 @@ def _viral() -> Column:
 
 
 def _numbered(sightings: DataFrame, rules: DataFrame, run_rows: int) -> DataFrame:
-    return first_country_events(sightings, run_rows).join(rules, "video_hash")
+    return first_country_events(sightings, run_rows, rules)
 
 
 def geo_spread_alerts(

@@ -53,6 +53,8 @@ def running(
     running_min: dict[str, str] | None = None,
     lag: dict[str, str] | None = None,
     distinct: tuple[str, str, str] | None = None,
+    attach: DataFrame | None = None,
+    attach_on: list[str] | None = None,
     run_rows: int | None = None,
 ) -> DataFrame:
     """Adds running columns per key in the given total order; the last order column is unique.
@@ -60,7 +62,10 @@ def running(
     ``row_number`` names a 1-based position. ``running_min`` maps new column -> column.
     ``lag`` maps new column -> column of the previous row. ``distinct`` = (column, first flag,
     running count) marks the first row of each distinct value and counts the values so far; the
-    column must have few distinct values per key, such as countries or cities.
+    column must have few distinct values per key, such as countries or cities. ``attach`` has facts
+    of keys (of the columns ``attach_on``, all keys if not given), one row each: they are joined to
+    the small table of slots, and reach the rows with it, so a hot key is not joined on its plain
+    value; rows of keys without facts are left out.
     """
     rows = with_slots(df, keys, order, run_rows)
     part = [*keys, "_slot"]
@@ -97,7 +102,12 @@ def running(
             F.coalesce(F.sum(new_here).over(past), F.lit(0)).alias("_seen"),
             F.col("_first_ids"),
         ]
-    slots = slots.select(*[F.col(c).alias(f"_of_{c}") for c in part], *carried)
+    facts: list[str] = []
+    if attach is not None:
+        on = attach_on or keys
+        facts = [c for c in attach.columns if c not in on]
+        slots = slots.join(attach, on)
+    slots = slots.select(*[F.col(c).alias(f"_of_{c}") for c in part], *carried, *facts)
     same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in part]
     joined = rows.join(slots, same).drop(*[f"_of_{c}" for c in part])
 
@@ -122,4 +132,4 @@ def running(
         )
     result = result.withColumns(out)
     extra = [first_flag] if distinct else []
-    return result.select(*df.columns, *extra, *out)
+    return result.select(*df.columns, *extra, *out, *facts)

@@ -25,11 +25,17 @@ def detection_sequence(sightings: DataFrame, run_rows: int | None = None) -> Dat
     return out.withColumn("event_kind", event)
 
 
-def same_ip_reuploads(sightings: DataFrame, run_rows: int | None = None) -> DataFrame:
-    """Second and later uploads of an item by one source, with the seconds since its first."""
+def same_ip_reuploads(
+    sightings: DataFrame, run_rows: int | None = None, rules: DataFrame | None = None
+) -> DataFrame:
+    """Second and later uploads of an item by one source, with the seconds since its first.
+
+    ``rules``, one row per item, are attached where given.
+    """
     out = running(
         sightings, ["video_hash", "ip_hash"], ORDER,
         row_number="upload_count", running_min={"_first": "seconds"}, run_rows=run_rows,
+        attach=rules, attach_on=["video_hash"],
     )
     return (
         out.where("upload_count >= 2")
@@ -38,12 +44,18 @@ def same_ip_reuploads(sightings: DataFrame, run_rows: int | None = None) -> Data
     )
 
 
-def first_country_events(sightings: DataFrame, run_rows: int | None = None) -> DataFrame:
-    """Every sighting with its number, first-in-country flag, running countries, previous country."""
+def first_country_events(
+    sightings: DataFrame, run_rows: int | None = None, rules: DataFrame | None = None
+) -> DataFrame:
+    """Every sighting with its number, first-in-country flag, running countries, previous country.
+
+    ``rules``, one row per item, are attached where given.
+    """
     return running(
         sightings, ["video_hash"], ORDER,
         row_number="spread_count", lag={"previous_country": "country"},
         distinct=("country", "is_new_country", "unique_countries"), run_rows=run_rows,
+        attach=rules,
     )
 
 
@@ -63,7 +75,7 @@ def threshold_crossings(
     sightings: DataFrame, rules: DataFrame, run_rows: int | None = None
 ) -> DataFrame:
     """Events whose running count is a multiple of the item's detection or spread threshold."""
-    rows = first_country_events(sightings, run_rows).join(rules, "video_hash")
+    rows = first_country_events(sightings, run_rows, rules)
     n = F.col("spread_count")
     hits = rows.where("enabled").withColumns(
         {
