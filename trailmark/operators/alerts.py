@@ -190,7 +190,11 @@ def viral_alerts(sightings: DataFrame, rules: DataFrame, run_rows: int | None =
 def all_candidates(
     sightings: DataFrame, rules: DataFrame, run_rows: int | None = None
 ) -> DataFrame:
-    """Candidates of every type; the three that count events share one numbering of them."""
+    """Candidates of every type; the three that count events share one numbering of them.
+
+    The sightings are written once: the numbering, the re-uploads and the first detections read them.
+    """
+    sightings = cut_lineage(sightings)
     enabled = rules.where("enabled").select("video_hash")
     first = first_detection_alerts(sightings).join(enabled, "video_hash", "left_semi")
     counted = _rows(
