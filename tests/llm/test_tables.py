@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 import corpus_pipeline
-from trailmark.llm import language, mixing, simhash, substrings, toolcalls, topk
+from trailmark.llm import language, mixing, shingles, simhash, substrings, toolcalls, topk
 from trailmark.llm.components import components
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -148,6 +148,66 @@ def test_one_of_each_group_stays(odd, none):
     assert simhash.keep_one_per_group(none).count() == 0
 
 
+def jaccard_shingles(text):
+    words = re.findall("[^\x20\x09-\x0d]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
+def kept_by_jaccard(docs):
+    """(doc_id, text) of the row that stays of each group, by comparing all pairs; doc_ids are set."""
+    texts = sorted({t for _, t in docs})
+    sets = [jaccard_shingles(t) for t in texts]
+    edges = defaultdict(set)
+    for a, x in enumerate(sets):
+        for b, y in enumerate(sets[:a]):
+            if 5 * len(x & y) >= 4 * len(x | y):
+                edges[a].add(b)
+                edges[b].add(a)
+    root = {}
+    for a in range(len(texts)):
+        todo = [a]
+        while todo:
+            k = todo.pop()
+            if k not in root:
+                root[k] = a
+                todo += edges[k]
+    at = {t: root[k] for k, t in enumerate(texts)}
+    least = {}
+    for i, t in docs:
+        row = (i, hashlib.md5(f"{i}:{hashlib.md5(t.encode()).hexdigest()}".encode()).hexdigest(), t)
+        least[at[t]] = min(least.get(at[t], row), row)
+    return sorted((i, t) for i, _, t in least.values())
+
+
+def planted_copies():
+    """Texts with copies of likeness 0.6 to 1, single words changed, and chains of copies of copies."""
+    rng = random.Random(12)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    docs = []
+    for i in range(12):
+        words = rng.choices(vocabulary, k=rng.choice([9, 60, 400]))
+        docs.append((100 * i, " ".join(words)))
+        for k in range(1, 9):
+            copy = list(words)
+            for at in rng.sample(range(len(words)), max(1, k * len(words) // 250)):
+                copy[at] = rng.choice(vocabulary)
+            docs.append((100 * i + k, " ".join(copy)))
+            if k % 3 == 0:
+                words = copy
+        docs.append((100 * i + 50, " ".join([*words[: len(words) * 9 // 10], *rng.choices(vocabulary, k=3)])))
+    return docs
+
+
+@pytest.mark.parametrize("common", [8, 1])
+def test_near_copies_of_four_fifths_go(monkeypatch, spark, common):
+    monkeypatch.setattr(shingles, "COMMON", common)
+    monkeypatch.setattr(shingles, "SAMPLE", 32 if common > 1 else 2)
+    docs = planted_copies()
+    kept = simhash.keep_one_per_group(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    want = kept_by_jaccard(docs)
+    assert sorted(map(tuple, kept)) == want and 12 < len(want) < len(docs)
+
+
 # top-k
 
 

@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trailmark.llm.book import query
-from trailmark.llm.common import bound_batches, table, unused
+from trailmark.llm.common import bound_batches, stored, table
 from trailmark.llm.components import components
+from trailmark.llm.shingles import rows_at, similar_groups
 from trailmark.session import cut_lineage
 
 #: Shingles whose hashes are held at one time.
@@ -116,19 +117,19 @@ def near_duplicates(docs: DataFrame, *extra: Column, key: str = "doc_id", text:
 def keep_one_per_group(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each group the row of smallest (doc_id, text digest).
 
-    Rows repeated in full are one row of a group. Groups are never gathered in a task: the least
-    row is a minimum, and the rows are then picked by key.
+    Near duplicates are texts whose sets of five-word shingles have a Jaccard likeness of 0.8 or
+    more, all of them. A fingerprint's bits can't say so: texts that like differ in two bits or in
+    a dozen. Groups are told apart by their texts alone; doc_id only chooses the row that stays. Rows repeated in
+    full are one row of a group. Groups are never gathered in a task: the least row is a minimum,
+    and the rows are then picked by key.
     """
     digest = F.md5(F.coalesce("text", F.lit("")))
-    pick = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), digest))
-    found = near_duplicates(docs, pick.alias("_pick"))
-    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_pick"))["_pick"].alias("_pick")
-    # a component without keys has a null id; its fingerprint tells it apart
-    one = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp")))
-    winners = found.groupBy(one.alias("_group")).agg(least).select("_pick")
-    name = unused("_pick", docs)
-    kept = docs.withColumn(name, pick).join(winners.withColumnRenamed("_pick", name), name)
-    return kept.dropDuplicates([name]).select(*docs.columns)
+    pick = F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), digest)))
+    found = similar_groups(docs, pick, F.col("doc_id"))
+    counted = found.groupBy("root", "_row").agg(F.first("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("_rows"))
+    winners = counted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row", "_rows")).alias("w"))
+    winners = stored(winners.select("w._row", "w._rows"), "winners")
+    return rows_at(docs, pick, winners).select(*docs.columns)
 
 
 @query("op10_simhash_near_dedup")
