@@ -159,6 +159,21 @@ def test_phrases_do_not_depend_on_the_batch():
     assert phrases.likeness(b"", b"") == 1.0 and phrases.likeness(b"", together[1] or b"\0\0\0\1") == 0.0
 
 
+def test_long_texts_keep_all_phrases():
+    rng = random.Random(14)
+    words = [f"w{rng.randrange(5000)}" for _ in range(20_000)]
+    passage = [f"p{rng.randrange(5000)}" for _ in range(200)]
+    edited, other = list(words), [f"v{rng.randrange(5000)}" for _ in range(20_000)]
+    edited[7000] = edited[15_000] = "changed"
+    texts = [" ".join(w) for w in (words, edited, words + passage, passage + other, other, passage)]
+    own, changed, with_it, with_it_too, without, alone = phrases.fingerprints(texts)
+    assert own != changed and 0.99 < phrases.likeness(own, changed) < 1
+    names = [{f[k : k + 4] for k in range(0, len(f), 4)} for f in (with_it, with_it_too, alone, without)]
+    assert len(names[0] & names[1] & names[2]) > 0.8 * len(names[2]) > 50
+    assert len(names[0] & names[3]) < 0.05 * len(names[0])  # runs of digits
+    assert len(own) > 100 * 64
+
+
 def test_neighbours_of_all_documents(odd, none, spark):
     out = phrases.with_next(odd, phrases._compared, phrases._NEIGHBOURS).collect()
     lowest = lambda r: (r.doc_id is not None, r.doc_id or 0, hashlib.md5((r.text or "").encode()).hexdigest())

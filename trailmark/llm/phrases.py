@@ -7,8 +7,8 @@ maximum, and are named by a hash of their symbols; the names are the symbols of
 Where a passage stands in a text has no influence on the phrases in its interior, so equal
 passages have equal names at every level, but for a few phrases at their ends.
 
-The fingerprint is the set of the phrases of the second and third level (about 9 and 25 characters
-each), kept as the ``SIZE`` least of their hashes; the likeness of two of them estimates 2 |A and B| / (|A| + |B|).
+The fingerprint is the set of all phrases from the second level (about 9 characters each) up to the one
+that is the whole text, as their hashes; it grows with the text. The likeness of two is 2 |A and B| / (|A| + |B|).
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from pyspark.sql import types as T
 from trailmark.llm.book import query
 from trailmark.llm.common import bound_batches, table
 
-LEVELS = (2, 3)
-SIZE = 64
+#: The level from which on phrases count.
+LOWEST = 2
 #: Code points that are parsed together; texts are never cut, a longer one is parsed alone.
 RUN = 1 << 18
 
@@ -95,17 +95,21 @@ def _parsed(texts: list[str]) -> list[bytes]:
     points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     symbols, lengths = _mix(points.astype(np.uint64) + np.uint64(1)), np.array(list(map(len, texts)))
     found: list[list[np.ndarray]] = [[] for _ in texts]
-    for level in range(1, max(LEVELS) + 1):
+    level, growing = 0, np.ones(len(texts), bool)
+    while growing.any():
         symbols, lengths = next_level(symbols, lengths)
-        if level in LEVELS:
-            names = (symbols >> _SHIFT).astype(np.uint32)
-            for own, end, n in zip(found, np.cumsum(lengths).tolist(), lengths.tolist(), strict=True):
-                own.append(names[end - n : end])
-    return [np.unique(np.concatenate(own))[:SIZE].astype(">u4").tobytes() for own in found]
+        level += 1
+        if level < LOWEST:
+            continue
+        names, ends = (symbols >> _SHIFT).astype(np.uint32), np.cumsum(lengths)
+        for k in np.flatnonzero(growing).tolist():
+            found[k].append(names[ends[k] - lengths[k] : ends[k]])
+        growing &= lengths > 1
+    return [np.unique(np.concatenate(own)).astype(">u4").tobytes() for own in found]
 
 
 def fingerprints(texts: list[str]) -> list[bytes]:
-    """Of each text, the least phrase hashes in order, four bytes each; empty for the empty text."""
+    """Of each text, its phrase hashes in order, four bytes each; empty for the empty text."""
     out = [b""] * len(texts)
     group: list[int] = []
     size = 0
@@ -127,14 +131,8 @@ def likeness(a: bytes, b: bytes) -> float:
     x, y = np.frombuffer(a, ">u4"), np.frombuffer(b, ">u4")
     if not len(x) or not len(y):
         return 0.0
-    least = np.union1d(x, y)
-    # a full fingerprint says nothing of hashes above its last
-    for side in (x, y):
-        if len(side) == SIZE:
-            least = least[least <= side[-1]]
-    both = np.intersect1d(np.intersect1d(x, y, assume_unique=True), least, assume_unique=True)
-    share = len(both) / len(least)
-    return float(2 * share / (1 + share))
+    both = np.intersect1d(x, y, assume_unique=True)
+    return 2 * len(both) / (len(x) + len(y))
 
 
 @F.arrow_udf(T.StringType())
