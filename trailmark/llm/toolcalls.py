@@ -154,7 +154,10 @@ TOOLS: Schemas = {
 
 
 def calls_of(turns: DataFrame) -> DataFrame:
-    """The user turns of ``conversations`` as calls: tool, arguments and dependence follow from the whole text."""
+    """The user turns of ``conversations`` as calls: tool, arguments and dependence follow from the whole text.
+
+    Turns of other roles than user and assistant, null too, are neither calls nor results.
+    """
     text = F.coalesce("text", F.lit(""))
     digest = F.md5(text)
     at = lambda k: F.substring(digest, k, 1)
