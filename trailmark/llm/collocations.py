@@ -24,12 +24,12 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.llm.book import query
 from trailmark.llm.common import bound_batches, stored, table
-from trailmark.llm.mixing import positions
 
 #: What ends a piece of text (a phrase doesn't reach across it).
 BREAK = re.compile(rb"[.,;:!?\n-\r]+")
@@ -156,8 +156,11 @@ def written(limbs: list[np.ndarray], times: np.ndarray, width: int, skipped: int
             break
         q += 1
     rest = left - max(q, 0)
-    parts = [struct.pack("<qqb", n, head, q), load.astype(np.uint8).tobytes(), _narrow(first & np.uint64((1 << rest) - 1), rest)]
-    parts += [_narrow(x, width) for x in limbs[1:]]
+    first, others = first & np.uint64((1 << rest) - 1), limbs[1:]
+    if rest + width <= 64:  # one number takes fewer bytes than two
+        first, others, rest = first << np.uint64(width) | limbs[1], limbs[2:], rest + width
+    parts = [struct.pack("<qqb", n, head, q), load.astype(np.uint8).tobytes(), _narrow(first, rest)]
+    parts += [_narrow(x, width) for x in others]
     large = times >= 255
     parts += [np.where(large, 255, times).astype(np.uint8).tobytes(), times[large].astype("<i8").tobytes()]
     return b"".join(parts)
@@ -170,12 +173,15 @@ def read(data: bytes, limbs: int, width: int, skipped: int) -> tuple[list[np.nda
     slots = 1 << q if q >= 0 else 0
     load, view = np.frombuffer(view[:slots], np.uint8), view[slots:]
     rest = left - max(q, 0)
-    first, view = _widen(view, n, rest)
-    if slots:
-        first |= np.repeat(np.arange(slots, dtype=np.uint64), load) << np.uint64(rest)
-    first |= np.uint64(head << left & _MASK)
+    joined = rest + width <= 64
+    first, view = _widen(view, n, rest + width * joined)
     out = [first]
-    for _ in range(limbs - 1):
+    if joined:
+        out = [first >> np.uint64(width), first & np.uint64((1 << width) - 1)]
+    if slots:
+        out[0] |= np.repeat(np.arange(slots, dtype=np.uint64), load) << np.uint64(rest)
+    out[0] |= np.uint64(head << left & _MASK)
+    while len(out) < limbs:
         more, view = _widen(view, n, width)
         out.append(more)
     times = np.frombuffer(view[:n], np.uint8).astype(np.int64)
@@ -187,7 +193,7 @@ def read(data: bytes, limbs: int, width: int, skipped: int) -> tuple[list[np.nda
 
 
 def _blocks(batches):
-    """(block, lang, seq, words, counts): seq has the words' places in ``words`` from 1 on, and 0 between pieces."""
+    """(block, lang, n, seq, words, counts): seq has the words' places in ``words``, from 1 on, and 0 between pieces."""
     from pyspark import TaskContext
 
     task, serial = TaskContext.get().partitionId(), count()
@@ -200,15 +206,15 @@ def _blocks(batches):
         del sizes[lang]
         del listed[b"."]
         times = np.bincount(seq, minlength=len(listed) + 1)[1:]
-        return pa.RecordBatch.from_pydict(
-            {
-                "block": pa.array([task << 32 | next(serial)], pa.int64()),
-                "lang": pa.array([lang], pa.string()),
-                "seq": pa.array([seq.tobytes()], pa.binary()),
-                "words": pa.array([list(listed)], pa.list_(pa.binary())).cast(pa.list_(pa.string())),
-                "counts": pa.array([times], pa.list_(pa.int64())),
-            }
-        )
+        row = {
+            "block": task << 32 | next(serial),
+            "lang": lang,
+            "n": int(times.sum()),
+            "seq": seq.tobytes(),
+            "words": b"\n".join(listed),
+            "counts": times.astype("<i4").tobytes(),
+        }
+        return pa.RecordBatch.from_pylist([row], _BLOCK_TYPES)
 
     for batch in batches:
         for lang, text in zip(batch.column(0), batch.column(1), strict=True):
@@ -236,10 +242,76 @@ def _blocks(batches):
         yield close(lang)
 
 
-_BLOCK = "block long, lang string, seq binary, words array<string>, counts array<long>"
-#: What blocks and merging tasks tell each other: a block's words (at -1), its filter of a range, the bits of
-#: those of its phrases that are frequent; without a block, the frequent phrases of a range.
+_BLOCK = "block long, lang string, n long, seq binary, words binary, counts binary"
+_BLOCK_TYPES = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("n", pa.int64()), *((x, pa.binary()) for x in ("seq", "words", "counts"))])
+#: What blocks and merging tasks tell each other. A block: its words (at -1, seq), its filter of a range (filter).
+#: A merging task: which of a block's phrases are frequent (bits); without a block, the frequent phrases (filter).
 _TOLD = "block long, at int, seq binary, filter binary, bits binary"
+_TOLD_TYPES = pa.schema([("block", pa.int64()), ("at", pa.int32()), *((x, pa.binary()) for x in ("seq", "filter", "bits"))])
+#: The same for single words, which are spelled: places and counts, or places and numbers.
+_SPELLED = "block long, at int, lang string, words binary, places binary, counts binary"
+_SPELLED_TYPES = pa.schema([("block", pa.int64()), ("at", pa.int32()), ("lang", pa.string()), *((x, pa.binary()) for x in ("words", "places", "counts"))])
+
+
+def _spelled(ranges: int):
+    """The words of each block by ranges of their hashes."""
+
+    def spell(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                if not r["n"]:
+                    continue
+                words, times = np.array(r["words"].split(b"\n"), object), np.frombuffer(r["counts"], "<i4")
+                seed = xxhash.xxh64_intdigest(r["lang"])
+                of = np.fromiter((xxhash.xxh64_intdigest(w, seed) % ranges for w in words), np.int64, len(words))
+                order = np.argsort(of, kind="stable")
+                bounds = np.append(np.flatnonzero(np.diff(of[order], prepend=-1)), len(of))
+                rows = []
+                for a, z in zip(bounds[:-1], bounds[1:], strict=True):
+                    own = order[a:z]
+                    told = {"words": b"\n".join(words[own]), "places": (own + 1).astype("<i4").tobytes(), "counts": times[own].tobytes()}
+                    rows.append({"block": r["block"], "at": int(of[own[0]]), "lang": r["lang"], **told})
+                yield pa.RecordBatch.from_pylist(rows, _SPELLED_TYPES)
+
+    return spell
+
+
+def _number(ranges: int, least: int):
+    """The words of one range are added up; the frequent ones get numbers, by which blocks know them from then on.
+
+    Numbers are dealt to the ranges in turn, so they need no count of what other ranges have.
+    """
+
+    def number(group: pa.Table) -> pa.Table:
+        at, rows = group["at"][0].as_py(), group.to_pylist()
+        total: dict[str, dict[bytes, int]] = defaultdict(dict)
+        for r in rows:
+            own = total[r["lang"]]
+            for w, n in zip(r["words"].split(b"\n"), np.frombuffer(r["counts"], "<i4").tolist(), strict=True):
+                own[w] = own.get(w, 0) + n
+        next_ = count(at + 1, ranges)
+        ids = {lang: {w: next(next_) for w in sorted(own) if own[w] >= least} for lang, own in sorted(total.items())}
+        out = []
+        for r in rows:
+            own = np.array([ids[r["lang"]].get(w, 0) for w in r["words"].split(b"\n")], "<i8")
+            places = np.frombuffer(r["places"], "<i4")[own > 0]
+            out.append({"block": r["block"], "at": at, "places": places.tobytes(), "counts": own[own > 0].tobytes()})
+        for lang, own in ids.items():
+            if own:
+                told = {"words": b"\n".join(own), "places": np.array([*own.values()], "<i8").tobytes()}
+                out.append({"at": at, "lang": lang, **told, "counts": np.array([total[lang][w] for w in own], "<i8").tobytes()})
+        return pa.Table.from_pylist(out, _SPELLED_TYPES)
+
+    return number
+
+
+def _vocabulary(batches):
+    """(id, lang, word, f) of the numbered words."""
+    for batch in batches:
+        for lang, words, ids, times in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            words = pa.array(words.split(b"\n"), pa.binary()).cast(pa.string())
+            ids, times = (pa.array(np.frombuffer(x, "<i8")) for x in (ids, times))
+            yield pa.RecordBatch.from_arrays([ids, pa.array([lang] * len(words), pa.string()), words, times], ["id", "lang", "word", "f"])
 
 
 def _stretches(seq: np.ndarray, good: np.ndarray, words: int) -> np.ndarray:
@@ -271,11 +343,6 @@ def _phrases(seq: np.ndarray, packing: Packing, windows: np.ndarray) -> list[np.
     return packing.permute(packing.pack([seq[at + j].astype(np.uint64) for j in range(packing.words)]))
 
 
-def _told(rows: list[dict]) -> pa.Table:
-    types = pa.schema([("block", pa.int64()), ("at", pa.int32()), ("seq", pa.binary()), ("filter", pa.binary()), ("bits", pa.binary())])
-    return pa.Table.from_pylist(rows, types)
-
-
 def _filters(block: int, seq: np.ndarray, packing: Packing, wanted: int):
     """What a block tells: its words, and a filter for every range of quotients that it has entries of."""
     limbs, times, _ = packing.counted(_phrases(seq, packing, _windows(seq, packing.words)))
@@ -286,7 +353,7 @@ def _filters(block: int, seq: np.ndarray, packing: Packing, wanted: int):
     for a, z in zip(bounds[:-1], bounds[1:], strict=True):
         data = written([x[a:z] for x in limbs], times[a:z], packing.width, skipped)
         rows.append({"block": block, "at": int(of[a]), "filter": data})
-    return _told(rows)
+    return pa.Table.from_pylist(rows, _TOLD_TYPES)
 
 
 def _first(packing: Packing, wanted: int):
@@ -294,10 +361,11 @@ def _first(packing: Packing, wanted: int):
 
     def step(group: pa.Table) -> pa.Table:
         held = group.filter(pc.is_valid(group["seq"]))
-        named = group.filter(pc.is_valid(group["id"]))
+        named = group.filter(pc.is_valid(group["places"]))
         seq = np.frombuffer(held["seq"][0].as_py(), np.int32)
         numbers = np.zeros(int(seq.max(initial=0)) + 1, np.int64)
-        numbers[named["place"].to_numpy()] = named["id"].to_numpy()
+        for places, ids in zip(named["places"].to_pylist(), named["ids"].to_pylist(), strict=True):
+            numbers[np.frombuffer(places, "<i4")] = np.frombuffer(ids, "<i8")
         seq = numbers[seq]
         good = _windows(seq, packing.words)
         return _filters(held["block"][0].as_py(), _stretches(seq, good, packing.words), packing, wanted)
@@ -342,7 +410,7 @@ def _merge(packing: Packing, wanted: int, least: int):
         if often.any():
             data = written([x[often] for x in limbs], times[often], packing.width, skipped)
             rows.append({"at": at, "filter": data})
-        return _told(rows)
+        return pa.Table.from_pylist(rows, _TOLD_TYPES)
 
     return merge
 
@@ -382,24 +450,22 @@ def count_phrases(docs: DataFrame, lang: Column, text: str = "text", least: int
     bound_batches(docs.sparkSession)
     texts = docs.select(F.coalesce(lang, F.lit("und")).alias("lang"), F.col(text).alias("text"))
     blocks = stored(texts.mapInArrow(_blocks, _BLOCK), "blocks")
-    listed = blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "_"))
-    listed = listed.select("block", "lang", (F.col("place") + 1).alias("place"), F.col("_.words").alias("word"), F.col("_.counts").alias("n"))
-    every = stored(listed.groupBy("lang", "word").agg(F.sum("n").alias("f")), "words")
-    totals = every.groupBy("lang").agg(F.sum("f").alias("n"))
-    numbered = positions(every.filter(F.col("f") >= least).withColumn("_all", F.lit(0)), "_all", ["lang", "word"])
-    words = stored(numbered.select((F.col("pos") + 1).alias("id"), "lang", "word", "f"), "numbers")
+    totals = blocks.groupBy("lang").agg(F.sum("n").alias("n"))
+    size = blocks.agg(F.sum("n")).first()[0] or 0
+    wanted = max(1, -(-size // RANGE_WORDS))
+    spelled = blocks.select("block", "lang", "n", "words", "counts").mapInArrow(_spelled(wanted), _SPELLED)
+    numbered = stored(spelled.groupBy("at").applyInArrow(_number(wanted, least), _SPELLED), "numbers")
+    words = numbered.filter("block is null").select("lang", "words", "places", "counts")
+    words = stored(words.mapInArrow(_vocabulary, "id long, lang string, word string, f long"), "words")
+    bits = max(1, (words.agg(F.max("id")).first()[0] or 0).bit_length())
     grams = words.select(F.array("id").alias("ids"), "f")
-    size, known = every.agg(F.sum("f")).first()[0] or 0, words.count()
-    wanted, bits = -(-size // RANGE_WORDS), max(1, known.bit_length())
 
     told = None
     for n in range(2, longest + 1):
         packing = Packing(n, bits)
         if told is None:
-            named = listed.join(words.select("lang", "word", "id"), ["lang", "word"]).select("block", "place", "id")
-            # a block without a frequent word has nothing to say
-            own = blocks.select("block", "seq").join(named.select("block").distinct(), "block", "left_semi")
-            both, step = own.unionByName(named, True), _first(packing, wanted)
+            named = numbered.filter("block is not null").select("block", "places", F.col("counts").alias("ids"))
+            both, step = blocks.select("block", "seq").unionByName(named, True), _first(packing, wanted)
         else:
             both = told.filter("at < 0").select("block", "seq").unionByName(merged.filter("block is not null").select("block", "at", "bits"), True)
             step = _next(Packing(n - 1, bits), packing, wanted)
