@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import public_tokenizers
 import pytest
@@ -77,6 +78,59 @@ def test_assignments_reach_sensitive_names(text, found):
     assert [text[a:b] for _, a, b, *_ in secrets.pair_spans(text)] == found
 
 
+def reached_by_brute_force(lines):
+    """literals of ``name = a + b`` lines that reach auth, by carrying sets until nothing changes"""
+    targets = {n for n, _ in lines}
+    values = {n: set() for n in targets}
+    while True:
+        before = {n: set(v) for n, v in values.items()}
+        for name, right in lines:
+            for x in right:
+                values[name] |= {x} if x[0] == "'" else values.get(x, set())
+        if values == before:
+            return {x.strip("'") for x in values.get("auth", set())}
+
+
+def test_references_are_resolved_over_all_assignments():
+    rng = random.Random(4)
+    for _ in range(200):
+        names = ["auth", *"abcdef"]
+        lines = []
+        for k in range(rng.randint(1, 14)):
+            right = [rng.choice([*names, f"'x9Kq2LmP77z{k}'"]) for _ in range(rng.randint(1, 3))]
+            lines.append((rng.choice(names), [r for r in right if r[0] == "'" or r in names]))
+        targets = {n for n, _ in lines}
+        lines = [(n, [x for x in right if x[0] == "'" or x in targets] or ["'x9Kq2LmP77zR'"]) for n, right in lines]
+        text = "\n".join(f"{n} = {' + '.join(right)}" for n, right in lines)
+        assert {text[a:b] for _, a, b, *_ in secrets.pair_spans(text)} == reached_by_brute_force(lines)
+
+
+@pytest.mark.parametrize(
+    "text, found",
+    [
+        ("auth = b\nb = a\na = 'x9Kq2LmP77zR'", ["x9Kq2LmP77zR"]),
+        ('passphrase = "correct horse battery staple"', ["correct horse battery staple"]),
+        ('passphrase = "short"', []),
+        ('passphrase = "your_passphrase"', []),
+        ('colour = "correct horse battery staple"', []),
+        ('auth = "correct horse battery staple"', []),
+        ("passphrase = correct horse battery staple", []),
+    ],
+)
+def test_steps_and_plain_words_in_quotes(text, found):
+    assert [text[a:b] for _, a, b, *_ in secrets.pair_spans(text)] == found
+
+
+def test_hostile_assignments_and_many_secrets_take_little_time():
+    start = time.perf_counter()
+    assert secrets.pair_spans("a = a + a\n" * 10_000) == []
+    names = [f"n{k}" for k in range(5000)]
+    text = "auth = n0\n" + "\n".join(f"{a} = {b} + {b}" for a, b in zip(names, names[1:], strict=False)) + "\nn4999 = 'x9Kq2LmP77zR'"
+    assert len(secrets.pair_spans(text)) == 1
+    assert len(secrets.spans_of("password = x9Kq2LmP77zR\nauth = 'x9Kq2LmP77zQ'\n" * 5000)) == 10_000
+    assert time.perf_counter() - start < 5
+
+
 def test_secrets_are_masked_and_other_texts_stay(spark, odd, none):
     docs = spark.createDataFrame(
         [(1, 'é token = "f33e61083db5dbdf" end', 32, "x"), (2, "nothing here", 12, None), (3, None, None, "y")],

@@ -2,9 +2,9 @@
 
 The lexer turns ``name = literal``, ``name: literal``, ``"name": "literal"``, ``name => literal``,
 ``NAME := literal`` and ``<name>literal</name>`` into name-literal pairs. A bare name on the
-right is a reference; the literals it was given before (or, failing that, after) are carried
-over, also through several steps and through ``+``. A literal is scored by the most sensitive
-name it reaches and by how little it looks like a word or a placeholder.
+right is a reference; the literals it is given anywhere in the text are carried over, also through
+several steps and through ``+``. A literal is scored by the most sensitive name it reaches and by
+how little it looks like a word or a placeholder.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 ASSIGN_LEAST, ACCESS_LEAST = 8, 16
-#: How sensitive a target name is, by its parts.
+#: How sensitive a target name is, by its parts.
 SENSITIVE = {
     "password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 1.0, "pass": 0.8, "secret": 1.0, "token": 0.9,
     "apikey": 1.0, "credential": 1.0, "credentials": 1.0, "bearer": 0.9, "auth": 0.7, "authorization": 0.8,
@@ -40,6 +40,8 @@ PLACEHOLDER = re.compile(r"(?i)\A(?:none|null|true|false|undefined|change_?me|ex
 #: Literals of this score or more are spans of kind pair.
 LEAST_SCORE = 0.5
 LEAST_LITERAL = 8
+#: Most code points of plain words in quotes that count for a fully sensitive name.
+MOST_PLAIN = 128
 
 _SEPARATOR = re.compile(r":=|=>|[:=]")
 _NOT_ASSIGNED = re.compile(r"[=!<>:]=|::|://")
@@ -127,37 +129,67 @@ def literal_score(value: str) -> float:
     return min(1.0, bits / 4 + (kinds - 2) * 0.15)
 
 
+def sensitivity(found: list[tuple[str, list[tuple[str, int, int]]]], text: str) -> dict[str, float]:
+    """For every target name the highest score of the names that its values reach, itself included.
+
+    A value reaches a name that it is assigned to, and whatever that name is assigned to in turn,
+    over all assignments of the text. The most sensitive names hand their score on first, so
+    every name gets its score once, however references run in circles.
+    """
+    targets = {name for name, _ in found}
+    taken_from: dict[str, set[str]] = {}
+    for name, right in found:
+        taken_from.setdefault(name, set()).update({text[a:b] for kind, a, b in right if kind == "name"} & targets)
+    out: dict[str, float] = {}
+    for score, name in sorted(((name_score(n), n) for n in targets), reverse=True):
+        todo = [name]
+        while todo:
+            if (n := todo.pop()) not in out:
+                out[n] = score
+                todo += taken_from[n]
+    return out
+
+
 def pair_spans(text: str) -> list[tuple[str, int, int, int, int]]:
-    """Literals whose score, by the names they reach, is high enough."""
+    """Literals whose score, by the names they reach, is high enough.
+
+    A bare name that nothing is assigned to counts as a literal, as in NAME=value. What a fully
+    sensitive name is given in quotes counts unless it is short or a placeholder, however plain.
+    """
     found = assignments(text)
-    if not found:
-        return []
-    reached: dict[tuple[int, int], float] = {}
-    values: dict[str, list[tuple[int, int]]] = {}
-    later: dict[str, list[tuple[int, int]]] = {}
+    reaches = sensitivity(found, text)
+    scores: dict[tuple[int, int], float] = {}
     for name, right in found:
-        later.setdefault(name, [(a, b) for kind, a, b in right if kind == "literal"])
-    for name, right in found:
-        carried: list[tuple[int, int]] = []
+        if not (score := reaches[name]):
+            continue
         for kind, a, b in right:
-            if kind == "literal":
-                carried.append((a, b))
-            else:
-                known = values.get(text[a:b]) or later.get(text[a:b])
-                # a name that nothing is assigned to may still be a bare literal, as in NAME=value
-                carried += known if known else [(a, b)]
-        values[name] = carried
-        if score := name_score(name):
-            for span in carried:
-                reached[span] = max(reached.get(span, 0.0), score)
-    return [("pair", a, b, a, b) for (a, b), score in reached.items() if score * literal_score(text[a:b]) >= LEAST_SCORE]
+            if kind == "name" and text[a:b] in reaches:
+                continue
+            own = score * literal_score(text[a:b])
+            if score >= 1 and a and text[a - 1] in "\"'" and text[b : b + 1] == text[a - 1]:
+                own = max(own, plain_score(text[a:b]))
+            scores[a, b] = max(scores.get((a, b), 0.0), own)
+    return [("pair", a, b, a, b) for (a, b), score in scores.items() if score >= LEAST_SCORE]
+
+
+def plain_score(value: str) -> float:
+    """Whether words in quotes can be a secret: one line that is neither short nor a placeholder."""
+    fits = LEAST_LITERAL <= len(value) <= MOST_PLAIN and "\n" not in value and value.strip() and not PLACEHOLDER.match(value)
+    return LEAST_SCORE if fits else 0.0
 
 
 def spans_of(text: str) -> list[tuple[str, int, int, int, int]]:
     """All spans by start, then kind as listed; a pair inside a base span is not repeated."""
-    base = base_spans(text)
-    pairs = [p for p in pair_spans(text) if not any(b[1] <= p[1] and p[2] <= b[2] for b in base)] if _SEPARATOR.search(text) or "</" in text else []
-    return sorted(base + pairs, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
+    base = sorted(base_spans(text), key=lambda s: s[1])
+    pairs = pair_spans(text) if _SEPARATOR.search(text) or "</" in text else []
+    furthest, at, apart = -1, 0, []
+    for p in sorted(pairs, key=lambda s: s[1]):
+        while at < len(base) and base[at][1] <= p[1]:
+            furthest = max(furthest, base[at][2])
+            at += 1
+        if furthest < p[2]:
+            apart.append(p)
+    return sorted(base + apart, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
 _FIELDS = ("kind", "start", "end", "value_start", "value_end")
@@ -197,13 +229,18 @@ def scan_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with secret_spans: kind, start, end (code points, end exclusive) and the secret's own part.
 
     A null text has no spans. Repeated rows are scanned each. A column of that name is replaced.
+    An empty table gives an empty result.
     """
     bound_batches(docs.sparkSession)
     return docs.withColumn("secret_spans", once(find_spans)(F.col(text)))
 
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
-    """``docs`` with every secret in the text replaced by a mark; n_chars follows the text."""
+    """``docs`` with every secret in the text replaced by a mark; n_chars follows the text.
+
+    A null text stays null, repeated rows stay, other columns stay whatever their names. An empty
+    table gives an empty result.
+    """
     bound_batches(docs.sparkSession)
     clean = unused("_clean", docs)
     out = docs.withColumn(clean, once(mask)("text"))
