@@ -343,7 +343,18 @@ def test_calls_are_linked_ordered_and_validated(spark):
     results = [("c", "1", 6, 'é "q"\n'), ("c", "1", 7, "later"), ("c", "2", 2, None), ("c", "x", 9, "?"), (None, None, 1, "n")]
     c = spark.createDataFrame(calls, "conv_id string, call_id string, turn long, name string, arguments string, waits_for string")
     r = spark.createDataFrame(results, "conv_id string, call_id string, turn long, content string")
-    out = toolcalls.link_calls(c, r, SCHEMAS).collect()
+    messages = [("c", 0, "system", "be brief"), ("c", 0, "system", "be brief"), ("e", None, None, None), (None, 3, "tool", "")]
+    m = spark.createDataFrame(messages, "conv_id string, turn long, role string, content string")
+    c, r, m = (x.selectExpr("*", "1 AS depth", "2 AS least", "3 AS status", "4 AS pos") for x in (c, r, m))
+    every = toolcalls.link_calls(c, r, SCHEMAS, m).collect()
+    said = [x for x in every if x.status == "message"]
+    assert sorted(x.line for x in said) == ['{"content":"","role":"tool"}', *['{"content":"be brief","role":"system"}'] * 2, "{}"]
+    assert len(every) == len(calls) + len(results) + len(messages) - 2  # two pairs are one row each
+    again = {x.status: x for x in every if x.status.startswith("repeated")}
+    assert (again["repeated call"].turn, again["repeated call"].problems, again["repeated call"].depth) == (9, ["arguments: not an object"], 0)
+    assert again["repeated result"].line == '{"content":"later","id":"1"}' and again["repeated result"].depth == 1
+    assert sorted(x.position for x in every if x.conv_id == "c") == list(range(13))
+    out = [x for x in toolcalls.link_calls(c, r, SCHEMAS).collect() if not x.status.startswith("repeated")]
     by = {(x.conv_id, x.call_id): x for x in out if x.conv_id and x.call_id}
     assert len(out) == 12 and len(by) == 9
     assert [by["c", k].depth for k in "1234567"] == [1, 0, 2, 0, None, None, 0]
@@ -358,8 +369,23 @@ def test_calls_are_linked_ordered_and_validated(spark):
     assert by["c", "3"].line == '{"arguments":{"b":"1","z":{"y":[1,{"c":2,"d":1}]}},"id":"3","name":"f","waits_for":"1"}'
     assert json.loads(by["c", "1"].line) == {"arguments": {"a": 3, "b": 1.5, "it's": "x"}, "content": 'é "q"\n', "id": "1", "name": "f", "waits_for": "2"}
     assert sorted(x.status for x in out if not (x.conv_id and x.call_id)) == ["no id"] * 3
-    assert sorted(x.position for x in out if x.conv_id == "c") == list(range(9))
-    assert toolcalls.link_calls(c.limit(0), r.limit(0), SCHEMAS).count() == 0
+    assert toolcalls.link_calls(c.limit(0), r.limit(0), SCHEMAS, m.limit(0)).count() == 0
+
+
+def test_repeated_calls_and_results_all_come_out(spark):
+    call = ("c", "1", 3, "g", "{}", None)
+    c = spark.createDataFrame([call] * 40 + [("c", "1", 4, "g", "{}", "1")], "conv_id string, call_id string, turn long, name string, arguments string, waits_for string")
+    r = spark.createDataFrame([("c", "1", 5, None)] * 3, "conv_id string, call_id string, turn long, content string")
+    out = Counter(x.status for x in toolcalls.link_calls(c, r, SCHEMAS).collect())
+    assert out == {"linked": 1, "repeated call": 40, "repeated result": 2}
+
+
+def test_every_turn_is_in_a_row(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    rows = contract.queries()["op7_chat_formatting"](spark, sf_dir)
+    linked = rows.filter("status IN ('linked', 'result before call')").count()
+    assert rows.count() + linked == turns.count()
 
 
 def test_depths_of_a_long_chain(spark):

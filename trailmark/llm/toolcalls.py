@@ -78,19 +78,35 @@ def depths(calls: DataFrame) -> DataFrame:
     return found.select(*key, F.when(F.col("done"), F.col("steps")).alias("depth"))
 
 
-def link_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
-    """One row per call identifier of a conversation, and per result without a call.
+def _repeats(rows: DataFrame, first: DataFrame, key: list[str]) -> DataFrame:
+    """The rows but for one that equals ``first`` (key..., and a struct ``least`` of the other columns) of their key.
+
+    Equal rows are counted, so no key is gathered, and come out as often as they are more.
+    """
+    others = [c for c in rows.columns if c not in key]
+    counted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_n")).join(first, key)
+    more = F.col("_n") - F.when(F.struct(*others).eqNullSafe(F.col("least")), 1).otherwise(0)
+    return counted.withColumn("_n", more).filter("_n > 0").withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), "_n"))).select(*rows.columns)
+
+
+def link_calls(calls: DataFrame, results: DataFrame, schemas: Schemas, messages: DataFrame | None = None) -> DataFrame:
+    """One row per call, per result without a call, per repeated result and per message; every row given is in one.
 
     ``calls``: conv_id, call_id, turn, name, arguments (JSON text), waits_for (an identifier or
-    null). ``results``: conv_id, call_id, turn, content. Returned: conv_id, position (from 0, an
+    null). ``results``: conv_id, call_id, turn, content. ``messages``, the other turns: conv_id,
+    turn, role, content. Further columns are ignored. Returned: conv_id, position (from 0, an
     order in which every call comes after the one it waits for), call_id, turn, depth, name,
     status, problems, n_calls, n_results and line, the canonical JSON.
 
-    Of repeated calls of one identifier the least (turn, name, arguments) counts, of results the
-    least (turn, content); n_calls and n_results tell how many there were. A call that waits for
+    Of repeated calls of one identifier the least (turn, name, arguments, waits_for) is linked, of results the
+    least (turn, content); n_calls and n_results tell how many there were. The others are rows of status
+    "repeated call" and "repeated result" at the same depth, with one for themselves. A call that waits for
     one that does not exist has that among its problems and depth 0; calls on a circle have no
-    depth and come last. Rows without conv_id or call_id are linked to nothing and come out with status "no id".
+    depth and come last. Rows without conv_id or call_id are linked to nothing and come out with status "no id",
+    messages with status "message" and depth 0. Empty tables give an empty result.
     """
+    calls = calls.select("conv_id", "call_id", "turn", "name", "arguments", "waits_for")
+    results = results.select("conv_id", "call_id", "turn", "content")
     key = ["conv_id", "call_id"]
     has_id = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
     first_call = F.min(F.struct("turn", "name", "arguments", "waits_for"))
@@ -121,7 +137,19 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFr
         *key, "turn", F.lit("no id").alias("status"), F.lit(False).alias("lost"), "content", F.lit(1).cast("long").alias("n_results")
     )
     rows = linked.unionByName(nameless).unionByName(unanswering, allowMissingColumns=True)
-    ordered = positions(rows, "conv_id", ["depth", "turn", "call_id", "arguments", "content"])
+    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
+    first = unique.select(*key, F.struct("turn", "name", "arguments", "waits_for").alias("least"))
+    again = _repeats(calls.filter(has_id), first, key).join(known, ["conv_id", "waits_for"], "left").join(depth, key)
+    lost = (F.col("waits_for").isNotNull() & F.col("exists").isNull()).alias("lost")
+    again = again.select(*key, "turn", "depth", "name", "arguments", "waits_for", F.lit("repeated call").alias("status"), lost, one.alias("n_calls"))
+    rows = rows.unionByName(again, allowMissingColumns=True)
+    again = _repeats(results.filter(has_id), answers.select(*key, F.col("r").alias("least")), key).join(depth, key, "left")
+    again = again.select(*key, "turn", "depth", "content", F.lit("repeated result").alias("status"), F.lit(False).alias("lost"), one.alias("n_results"))
+    rows = rows.unionByName(again, allowMissingColumns=True).withColumn("role", F.lit(None).cast("string"))
+    if messages is not None:
+        said = messages.select("conv_id", "turn", "role", "content", zero.alias("depth"), F.lit("message").alias("status"), F.lit(False).alias("lost"))
+        rows = rows.unionByName(said, allowMissingColumns=True)
+    ordered = positions(rows, "conv_id", ["depth", "turn", "call_id", "status", "arguments", "content", "role", "name", "waits_for"])
 
     parsed = F.try_parse_json("arguments")
     lost = F.when(F.col("lost"), F.array(F.concat(F.lit("waits for unknown "), F.col("waits_for")))).otherwise(F.array().cast("array<string>"))
@@ -136,6 +164,7 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFr
             F.col("content").alias("content"),
             F.col("call_id").alias("id"),
             F.col("name").alias("name"),
+            F.col("role").alias("role"),
             F.col("waits_for").alias("waits_for"),
         )
     )
@@ -154,10 +183,7 @@ TOOLS: Schemas = {
 
 
 def calls_of(turns: DataFrame) -> DataFrame:
-    """The user turns of ``conversations`` as calls: tool, arguments and dependence follow from the whole text.
-
-    Turns of other roles than user and assistant, null too, are neither calls nor results.
-    """
+    """The user turns of ``conversations`` as calls: tool, arguments and dependence follow from the whole text."""
     text = F.coalesce("text", F.lit(""))
     digest = F.md5(text)
     at = lambda k: F.substring(digest, k, 1)
@@ -189,6 +215,12 @@ def results_of(turns: DataFrame) -> DataFrame:
     return turns.filter("role = 'assistant'").select("conv_id", call.alias("call_id"), "turn", F.col("text").alias("content"))
 
 
+def messages_of(turns: DataFrame) -> DataFrame:
+    """The turns of all other roles, null too."""
+    other = ~F.coalesce(F.col("role").isin("user", "assistant"), F.lit(False))
+    return turns.filter(other).select("conv_id", "turn", "role", F.col("text").alias("content"))
+
+
 CALLS_SQL = r"""
 WITH RECURSIVE u AS (
   SELECT conv_id, turn, 'call_' || turn AS call_id, coalesce(text, '') AS t, md5(coalesce(text, '')) AS h,
@@ -233,7 +265,12 @@ j AS (
       '"id":"' || coalesce(e.call_id, r.call_id) || '"',
       CASE WHEN name IS NOT NULL THEN '"name":"' || name || '"' END,
       CASE WHEN waits_for IS NOT NULL THEN '"waits_for":"' || waits_for || '"' END) || '}' AS line
-  FROM e JOIN dep USING (conv_id, call_id) FULL JOIN r ON e.conv_id = r.conv_id AND e.call_id = r.call_id)
+  FROM e JOIN dep USING (conv_id, call_id) FULL JOIN r ON e.conv_id = r.conv_id AND e.call_id = r.call_id
+  UNION ALL
+  SELECT conv_id, NULL, turn, 0, NULL, 'message', [], 0, 0,
+    '{' || concat_ws(',', CASE WHEN text IS NOT NULL THEN '"content":' || to_json(text) END,
+      CASE WHEN role IS NOT NULL THEN '"role":' || to_json(role) END) || '}'
+  FROM conversations WHERE coalesce(role NOT IN ('user', 'assistant'), true))
 SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY depth NULLS LAST, turn, call_id) - 1 AS position,
   call_id, turn, depth, name, status, array_to_string(problems, '; ') AS problems, n_calls, n_results, md5(line) AS line_md5
 FROM j
@@ -243,6 +280,6 @@ FROM j
 @query("op7_chat_formatting", CALLS_SQL)
 def op7_chat_formatting(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations")
-    linked = link_calls(calls_of(turns), results_of(turns), TOOLS)
+    linked = link_calls(calls_of(turns), results_of(turns), TOOLS, messages_of(turns))
     shown = linked.withColumn("problems", F.array_join("problems", "; ")).withColumn("line_md5", F.md5("line"))
     return shown.drop("line")
