@@ -8,10 +8,10 @@ from trailmark.functions import arrays, bits, decide, kernels
 from trailmark.functions.sql_names import register_sql_functions
 from trailmark.operators import lineage, lookup, registry, scoring, stats
 from trailmark.plans import derived
-from trailmark.plans.book import query, rounded
+from trailmark.plans.book import ORACLE, query, rounded
 from trailmark.plans.oracle_views import register
 from trailmark.session import cut_lineage, scratch_path
-from trailmark.sources import tables
+from trailmark.sources import band_index, registry_store, tables
 
 # ---- hash, bit and array functions --------------------------------------------------------------
 
@@ -340,6 +340,16 @@ def _(spark, d):
     )
 
 
+@query("indexed_lookup", ORACLE["tiered_lookup"])
+def _(spark, d):
+    """The same from a stored band index that the registry came into in two appends."""
+    path, known = scratch_path(spark, "band-index"), derived.registry(spark, d)
+    early = F.pmod(F.xxhash64("video_hash"), F.lit(3)) > 0
+    band_index.append(known.where(early), path)
+    band_index.append(known.where(~early), path)
+    return band_index.lookup(derived.media_fingerprints(spark, d), path)
+
+
 def _sides(spark, d):
     """Two peers' result tables: overlapping parts of the detections."""
     rows = derived.detections(spark, d).select(
@@ -655,6 +665,17 @@ def _(spark, d):
     return out.select("video_hash", "confidence", "first_seen", "last_seen", "detection_count")
 
 
+@query("registry_of_deltas", UPSERTED)
+def _(spark, d):
+    """The same registry, from a base and a delta that are merged as they are read."""
+    out, known = scratch_path(spark, "registry"), derived.registry(spark, d).select(*registry_store.COLUMNS)
+    registry_store.append(known, out, -1)
+    folded = registry.fold_batch(_upload_batch(spark, d))
+    registry_store.append(folded.select(*[F.col(f.name).cast(f.dataType) for f in known.schema.fields]), out, 0)
+    rows = registry_store.read(spark, out, known.schema)
+    return rows.select("video_hash", "confidence", "first_seen", "last_seen", "detection_count")
+
+
 @query("load_fingerprints", """
 SELECT video_hash, perceptual_hash, is_deepfake, confidence, first_seen, detection_count FROM registry""")
 def _(spark, d):

@@ -10,17 +10,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
 
 from trailmark import schemas
-from trailmark.operators.lookup import tiered_lookup
-from trailmark.operators.registry import SCORES, upsert_registry
+from trailmark.functions.bits import NUM_BANDS
+from trailmark.operators.registry import fold_batch
 from trailmark.operators.spread import MILESTONE_STEP, MILESTONES
-from trailmark.session import cut_lineage, scratch_path
+from trailmark.session import scratch_path
+from trailmark.sources import band_index, registry_store
 
 LATENESS = "10 minutes"
 
@@ -339,19 +339,23 @@ def stream_lookup(stream: DataFrame, registry: DataFrame) -> DataFrame:
 
 def stream_tiered_lookup(
     arrivals: DataFrame,
-    registry: DataFrame,
+    registry: DataFrame | None,
     label: str = "tiered-lookup",
     output: str | None = None,
     checkpoint: str | None = None,
+    index: str | None = None,
     **options,
 ) -> DataFrame:
     """Every arrival with its best stored match: content hash, hash code, nearest code.
 
-    Each micro-batch goes through ``tiered_lookup``, so the tiers are those of the batch operator.
+    The tiers are those of the batch operator. Each micro-batch reads the folders of a stored band
+    index that its items ask for. ``index`` names one that is kept up by ``band_index.append``, whose
+    versions the next micro-batch sees; without it one is written of ``registry``, once.
     """
-    return run_batches(
-        arrivals, lambda batch: tiered_lookup(batch, registry, **options), label, output, checkpoint
-    )
+    if index is None:
+        index = scratch_path(arrivals.sparkSession, "band-index")
+        band_index.append(registry, index, 0, options.get("num_bands", NUM_BANDS))
+    return run_batches(arrivals, lambda batch: band_index.lookup(batch, index, **options), label, output, checkpoint)
 
 
 def stream_detection_sighting_join(
@@ -376,70 +380,43 @@ def stream_detection_sighting_join(
     ).select("video_hash", "detection_id", "event_id")
 
 
-#: Parts of a stored registry, by the first two digits of the hash.
-REGISTRY_COLUMNS = ["video_hash", *SCORES, "first_seen", "last_seen", "detection_count"]
-
-
-def _bucketed(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("bucket", F.substring("video_hash", 1, 2))
-
-
-def _current(spark: SparkSession, out: str, before: int | None = None) -> dict[str, int]:
-    """The newest version of each bucket, of those older than ``before``. At most 256 rows per version."""
-    listed = spark.read.schema("bucket string, version bigint").parquet(f"{out}/versions")
-    if before is not None:
-        listed = listed.where(F.col("version") < before)
-    return {r.bucket: r.version for r in listed.groupBy("bucket").agg(F.max("version").alias("version")).collect()}
-
-
-def _read_buckets(spark: SparkSession, out: str, versions: dict[str, int], schema: StructType) -> DataFrame:
-    paths = [f"{out}/rows/version={v}/bucket={b}" for b, v in versions.items()]
-    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
-
-
 def stream_upsert_registry(
     batches: DataFrame,
     existing: DataFrame,
     label: str = "registry",
     output: str | None = None,
     checkpoint: str | None = None,
+    most_deltas: int = 16,
 ) -> DataFrame:
     """Upserts every micro-batch into a stored registry and returns the registry.
 
-    A micro-batch rewrites the buckets of the hashes that it brings and no others, as the version
-    with its number, from the newest versions before it; so a batch that runs twice writes
-    the same rows to the same place. ``existing`` is stored once, when ``output`` is new; a job
-    that is called again with the same ``output`` and ``checkpoint`` goes on from the stored versions.
+    A micro-batch is folded to one row per item and written as a delta with its number, so what is
+    written follows the batch, and a batch that runs twice writes the same rows to the same place.
+    When a run leaves more than ``most_deltas`` deltas, buckets that these have grown large for are written anew.
+    ``existing`` is stored once, when ``output`` is new; a job that is called again with the same
+    ``output`` and ``checkpoint`` goes on from what is stored.
     """
     spark = existing.sparkSession
     out, progress = _places(spark, label, output, checkpoint)
-    schema = existing.select(*REGISTRY_COLUMNS).schema
-
-    def store(rows: DataFrame, version: int) -> None:
-        rows = cut_lineage(_bucketed(rows))
-        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/rows/version={version}")
-        written = rows.select("bucket", F.lit(version).cast("bigint").alias("version")).distinct()
-        written.coalesce(1).write.mode("overwrite").parquet(f"{out}/versions/of={version}")
-
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        batch = cut_lineage(batch)
-        touched = [r.bucket for r in _bucketed(batch.select("video_hash")).select("bucket").distinct().collect()]
-        newest = _current(spark, out, before=batch_id)
-        before = _read_buckets(spark, out, {b: newest[b] for b in touched if b in newest}, schema)
-        store(upsert_registry(before, batch).select(*REGISTRY_COLUMNS), batch_id)
-
-    try:
-        _current(spark, out)
-    except AnalysisException:  # nothing is stored there yet
-        store(existing.select(*REGISTRY_COLUMNS), -1)
+    schema = existing.select(*registry_store.COLUMNS).schema
+    if not registry_store.exists(spark, out):
+        registry_store.append(existing, out, -1)
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        # times and counts in the registry's own types, whatever the arrivals bring
+        folded = fold_batch(batch)
+        registry_store.append(folded.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields]), out, batch_id)
+
     query = (
-        batches.writeStream.foreachBatch(merge)
+        batches.writeStream.foreachBatch(add)
         .option("checkpointLocation", progress)
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return _read_buckets(spark, out, _current(spark, out), schema)
+    if registry_store.pending(spark, out) > most_deltas:
+        registry_store.compact(spark, out, schema)
+    return registry_store.read(spark, out, schema)
 
 
 def stream_offline_replay(spark: SparkSession, path: str) -> DataFrame:
