@@ -140,3 +140,24 @@ def test_redetection_number(spark):
     s = ledger(spark, [("US", "NY")] * 3)
     got = [(r.detection_no, r.event_kind) for r in spread.detection_sequence(s).orderBy("event_id").collect()]
     assert got == [(1, "registered"), (2, "redetected"), (3, "redetected")]
+
+
+def test_running_distinct_of_many_values_over_slots(spark):
+    """A key with tens of thousands of cities: first flags and counts follow the rows, and no array travels."""
+    rows = spark.range(60_000).select(
+        F.when(F.col("id") % 10 > 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id") % 7)).alias("video_hash"),
+        F.lit("A").alias("country"),
+        F.when(F.col("id") % 97 > 0, F.pmod(F.xxhash64("id"), F.lit(40_000)).cast("string")).alias("city"),
+        F.floor(F.col("id") / 3).alias("ts"),
+        F.col("id").alias("event_id"),
+    )
+    got = spread.running(
+        rows, ["video_hash", "country"], spread.ORDER, distinct=("city", "new", "seen"), run_rows=4_000
+    )
+    assert "collect_" not in got._jdf.queryExecution().toString()
+    plain = rows.toPandas().sort_values(["video_hash", "ts", "event_id"])
+    plain["new"] = ~plain.duplicated(["video_hash", "city"])
+    plain["seen"] = plain.groupby("video_hash")["new"].cumsum()
+    want = plain.set_index("event_id")[["new", "seen"]].sort_index()
+    have = got.toPandas().set_index("event_id")[["new", "seen"]].sort_index()
+    assert len(have) == len(want) and (have.to_numpy() == want.to_numpy()).all()

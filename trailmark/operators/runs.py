@@ -44,6 +44,19 @@ def ranked(df: DataFrame, order: list[str], run_rows: int | None = None) -> tupl
     return placed.select(*df.columns, (F.col("_in") + F.col("_before")).alias("_rank")), before
 
 
+def _with_firsts(rows: DataFrame, keys: list[str], order: list[str], column: str, flag: str) -> DataFrame:
+    """The rows with ``flag``: whether one is the first of its value of ``column``, over all slots of the key.
+
+    Slots are aggregated first, so a hot value is one row per slot before it is compared over slots.
+    """
+    at = F.struct(*order, "_slot")
+    firsts = rows.groupBy(*keys, "_slot", column).agg(F.min(at).alias("_f")).groupBy(*keys, column).agg(F.min("_f").alias("_f"))
+    on = [*keys, "_slot", order[-1]]
+    firsts = firsts.select(*[F.col(c).alias(f"_of_{c}") for c in keys], *[F.col(f"_f.{c}").alias(f"_of_{c}") for c in ("_slot", order[-1])])
+    found = rows.join(firsts, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in on], "left")
+    return found.withColumn(flag, F.col("_of__slot").isNotNull()).drop(*[f"_of_{c}" for c in on])
+
+
 def running(
     df: DataFrame,
     keys: list[str],
@@ -61,8 +74,9 @@ def running(
 
     ``row_number`` names a 1-based position. ``running_min`` maps new column -> column.
     ``lag`` maps new column -> column of the previous row. ``distinct`` = (column, first flag,
-    running count) marks the first row of each distinct value and counts the values so far; the
-    column must have few distinct values per key, such as countries or cities. ``attach`` has facts
+    running count) marks the first row of each distinct value and counts the values so far, however
+    many there are: first rows are joined one to one, and only their number travels with a slot.
+    ``attach`` has facts
     of keys (of the columns ``attach_on``, all keys if not given), one row each: they are joined to
     the small table of slots, and reach the rows with it, so a hot key is not joined on its plain
     value; rows of keys without facts are left out.
@@ -77,18 +91,11 @@ def running(
     if lags:
         last = F.struct(*[F.col(src).alias(new) for new, src in lags.items()])
         aggs.append(F.max_by(last, order_struct).alias("_last"))
-    slots = rows.groupBy(*part).agg(*aggs)
-
     if distinct:
         column, first_flag, seen_count = distinct
-        firsts = (
-            rows.groupBy(*keys, column)
-            .agg(F.min(F.struct(*order, "_slot")).alias("_f"))
-            .select(*keys, F.col("_f._slot").alias("_slot"), F.col(f"_f.{order[-1]}").alias("_id"))
-            .groupBy(*part)
-            .agg(F.collect_list("_id").alias("_first_ids"))
-        )
-        slots = slots.join(firsts, part, "left")
+        rows = _with_firsts(rows, keys, order, column, first_flag)
+        aggs.append(F.count_if(first_flag).alias("_firsts"))
+    slots = rows.groupBy(*part).agg(*aggs)
 
     before = Window.partitionBy(*keys).orderBy("_slot")
     past = before.rowsBetween(Window.unboundedPreceding, -1)
@@ -97,11 +104,7 @@ def running(
     if lags:
         carried.append(F.lag("_last").over(before).alias("_last"))
     if distinct:
-        new_here = F.coalesce(F.size("_first_ids"), F.lit(0))
-        carried += [
-            F.coalesce(F.sum(new_here).over(past), F.lit(0)).alias("_seen"),
-            F.col("_first_ids"),
-        ]
+        carried.append(F.coalesce(F.sum("_firsts").over(past), F.lit(0)).alias("_seen"))
     facts: list[str] = []
     if attach is not None:
         on = attach_on or keys
@@ -123,13 +126,10 @@ def running(
     for new, src in lags.items():
         at_start = F.row_number().over(inside) == 1
         out[new] = F.when(at_start, F.col(f"_last.{new}")).otherwise(F.lag(src).over(inside))
-    result = joined
     if distinct:
-        is_first = F.coalesce(F.array_contains("_first_ids", F.col(order[-1])), F.lit(False))
-        result = result.withColumn(first_flag, is_first)
         out[seen_count] = (F.sum(F.col(first_flag).cast("int")).over(upto) + F.col("_seen")).cast(
             "bigint"
         )
-    result = result.withColumns(out)
+    result = joined.withColumns(out)
     extra = [first_flag] if distinct else []
     return result.select(*df.columns, *extra, *out, *facts)

@@ -39,8 +39,34 @@ def _parts(spark, d):
     return _PARTS[key]
 
 
-def _stream(spark, d, dense=False):
-    events = jobs.stream_events(spark, _parts(spark, d), files_per_trigger=FILES)
+_SHUFFLED: dict[tuple[str, str], tuple[str, str]] = {}
+
+
+def _shuffled(spark, d):
+    """The events in parts by a time that is up to a whole part off, and a heartbeat behind them.
+
+    Neighbouring parts overlap and the rows of a part lie in its files in no order. Returns the folder and
+    the lateness that covers this.
+    """
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _SHUFFLED:
+        path = scratch_path(spark, "events-shuffled")
+        events = derived.table(spark, d, "events")
+        second = F.unix_seconds(F.col("ts").cast("timestamp"))
+        first, last = events.agg(F.min(second), F.max(second)).first()
+        span = (last - first) // PARTS + 1
+        part = F.floor((second - first + F.pmod(F.xxhash64("event_id"), F.lit(span))) / span)
+        for k in range(PARTS + 1):
+            events.where(part == k).repartition(F.xxhash64("event_id")).write.mode("append").parquet(path)
+        later = F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'") + F.make_dt_interval(secs=F.lit(last + 2 * span + 2))
+        beat = events.limit(1).withColumns({"event_id": F.lit(None).cast("bigint"), "ts": later})
+        beat.write.mode("append").parquet(path)
+        _SHUFFLED[key] = path, f"{2 * span} seconds"
+    return _SHUFFLED[key]
+
+
+def _stream(spark, d, dense=False, path=None):
+    events = jobs.stream_events(spark, path or _parts(spark, d), files_per_trigger=FILES)
     rows = derived.sightings_from(events, derived.table(spark, d, "nation"))
     rows = rows.withColumn("seconds", derived.seconds_of())
     return _dense(rows) if dense else rows
@@ -131,10 +157,12 @@ SELECT video_hash, platform AS alert_type, seconds, event_id FROM sightings WHER
 
 @query("stream_alerts", cooldown_sql("stream_candidates", "21600"))
 def _(spark, d):
-    rows = _stream(spark, d).where("is_deepfake").select(
-        "video_hash", F.col("platform").alias("alert_type"), "seconds", "event_id"
+    path, lateness = _shuffled(spark, d)
+    rows = _stream(spark, d, path=path).where("is_deepfake or event_id is null").select(
+        "ts", "video_hash", F.col("platform").alias("alert_type"), "seconds", "event_id"
     )
-    return _on_rocks(spark, lambda: jobs.run_to_table(jobs.stream_alerts(rows, 21_600), "alerts"))
+    found = jobs.stream_alerts(rows, 21_600, lateness)
+    return _on_rocks(spark, lambda: jobs.run_to_table(found, "alerts")).where("not late").drop("late")
 
 
 @query("stream_spread_events", """
@@ -147,9 +175,9 @@ UNION ALL
 SELECT video_hash, event_id, 'viral', NULL, NULL, spread_count, unique_countries
 FROM spread_events WHERE spread_count IN (10, 50, 100) OR spread_count % 500 = 0""")
 def _(spark, d):
-    return _on_rocks(
-        spark, lambda: jobs.run_to_table(jobs.stream_spread_events(_stream(spark, d)), "spread-events")
-    )
+    path, lateness = _shuffled(spark, d)
+    found = jobs.stream_spread_events(_stream(spark, d, path=path), lateness=lateness)
+    return _on_rocks(spark, lambda: jobs.run_to_table(found, "spread-events"))
 
 
 @query("stream_tiered_lookup", ORACLE["tiered_lookup"])

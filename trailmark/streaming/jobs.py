@@ -1,28 +1,26 @@
 """Structured Streaming jobs. Each takes a stream and returns a stream or starts a query.
 
-Rows later than the watermark are dropped by the stateful operators; the batch operators over
-the stored sightings are the correction path.
+Rows later than the watermark are dropped by the built-in stateful operators; ``late_rows`` keeps them
+in a table, and the batch operators over the stored sightings are the correction path. Operators with
+custom state give their late rows out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
 
 from trailmark import schemas
 from trailmark.functions.bits import NUM_BANDS
 from trailmark.operators.registry import fold_batch
-from trailmark.operators.spread import MILESTONE_STEP, MILESTONES
 from trailmark.session import scratch_path
 from trailmark.sources import band_index, registry_store
+from trailmark.streaming.in_order import ORDER, AsItComes, Cooldown, Decider, InOrder, Spread
 
 LATENESS = "10 minutes"
+#: Seconds of event time after which the state of a quiet item is forgotten.
+FORGET = 366 * 86_400
 
 
 def stream_events(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
@@ -192,127 +190,67 @@ def open_sessions(
     return sessions.where(F.unix_micros("session_end") > F.lit(mark))
 
 
-class CooldownProcessor(StatefulProcessor):
-    """Keeps the last kept second per (item, alert type) and drops alerts within the cooldown."""
-
-    def __init__(self, cooldown_seconds: int):
-        self.gap = cooldown_seconds
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last_kept", "second bigint")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["seconds", "event_id"])
-        seconds = batch["seconds"].to_numpy()
-        floor = self.last.get()[0] + self.gap if self.last.exists() else seconds[0]
-        kept = []
-        at = int(np.searchsorted(seconds, floor, side="left"))
-        while at < len(seconds):
-            kept.append(at)
-            at = int(np.searchsorted(seconds, seconds[at] + self.gap, side="left"))
-        # nothing is yielded for nothing kept: an empty frame has no types
-        if kept:
-            self.last.update((int(seconds[kept[-1]]),))
-            yield pd.DataFrame(
-                {
-                    "video_hash": pd.Series([key[0]] * len(kept), dtype="object"),
-                    "alert_type": pd.Series([key[1]] * len(kept), dtype="object"),
-                    "seconds": seconds[kept].astype("int64"),
-                    "event_id": batch["event_id"].to_numpy()[kept].astype("int64"),
-                }
-            )
-
-    def close(self) -> None:
-        pass
-
-
-def stream_alerts(candidates: DataFrame, cooldown_seconds: int = 300) -> DataFrame:
+def _decided(rows: DataFrame, keys: list[str], decider: Decider, schema: str, lateness: str | None, ttl: str | int | None):
+    """Rows of ``keys``, ``seconds``, ``event_id`` and the decider's fields through custom state."""
+    if lateness is None:
+        processor, mode = AsItComes(decider, ttl), "ProcessingTime" if ttl else "None"
+    else:
+        processor, mode = InOrder(decider, ttl), "EventTime"
+    # a null would turn whole numbers into floats on their way to Python
+    values = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ORDER] + [F.isnotnull("event_id").alias("is_row")]
+    # the event time itself is left out, or Spark would drop late rows before they are counted
+    return rows.select(*keys, *values, *decider.FIELDS).groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode=mode
+    )
+
+
+def stream_alerts(
+    candidates: DataFrame, cooldown_seconds: int = 300, lateness: str | None = None, forget_seconds: int = FORGET
+) -> DataFrame:
     """Alerts that outlive the cooldown. The state is one number per item and alert type.
 
-    Needs the RocksDB state store and a watermark-free stream of candidates with columns
-    video_hash, alert_type, seconds, event_id. A micro-batch may bring one key many candidates;
-    ``maxFilesPerTrigger`` of the source bounds them.
+    Needs the RocksDB state store and columns video_hash, alert_type, seconds, event_id. Without
+    ``lateness`` micro-batches must come in order of time. With it candidates (and their ``ts``) may come
+    in any order within it: they are decided in order once the watermark has passed them. A column
+    ``late`` then marks candidates that came after later ones of their key had been decided; these are no
+    alerts. Rows without event_id are heartbeats: they move the watermark on where a source is quiet.
+    A missing second counts as 0, which is late for all keys that have later rows.
+    A micro-batch may bring one key many candidates; ``maxFilesPerTrigger`` of the source bounds them.
     """
-    return candidates.groupBy("video_hash", "alert_type").transformWithStateInPandas(
-        statefulProcessor=CooldownProcessor(cooldown_seconds),
-        outputStructType="video_hash string, alert_type string, seconds bigint, event_id bigint",
-        outputMode="Append",
-        timeMode="None",
-    )
+    keys, schema = ["video_hash", "alert_type"], "video_hash string, alert_type string, seconds bigint, event_id bigint"
+    if lateness is None:
+        return _decided(candidates, keys, Cooldown(cooldown_seconds), schema, None, None)
+    forget = max(forget_seconds, cooldown_seconds)
+    return _decided(event_time(candidates, lateness), keys, Cooldown(cooldown_seconds, True), f"{schema}, late boolean", lateness, forget)
 
 
-class SpreadProcessor(StatefulProcessor):
-    """Per item: running count, last country, countries seen, and count and first second of every source."""
-
-    def __init__(self, ttl_ms: int | None):
-        self.ttl = {"ttlDurationMs": ttl_ms} if ttl_ms else {}
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.total = handle.getValueState("total", "n bigint, country string, countries bigint", **self.ttl)
-        self.countries = handle.getMapState("countries", "country string", "seen int", **self.ttl)
-        self.sources = handle.getMapState("sources", "ip_hash string", "n bigint, first bigint", **self.ttl)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["seconds", "event_id"])
-        n, last, unique = self.total.get() if self.total.exists() else (0, None, 0)
-        seen = {c: self.countries.containsKey((c,)) for c in batch["country"].unique()}
-        sources = {
-            ip: self.sources.getValue((ip,)) if self.sources.containsKey((ip,)) else None
-            for ip in batch["ip_hash"].unique()
-        }
-        new, out = set(), []
-        columns = (batch[c].tolist() for c in ("event_id", "seconds", "country", "ip_hash"))
-        for event, second, country, ip in zip(*columns, strict=True):
-            n += 1
-            uploads, first = sources[ip] or (0, second)
-            sources[ip] = (uploads + 1, first)
-            if uploads:
-                out.append((event, "reupload", None, None, uploads + 1, second - first))
-            if not seen[country]:
-                seen[country] = True
-                new.add(country)
-                unique += 1
-                if n > 1:
-                    out.append((event, "spread", last, country, unique, None))
-            if n in MILESTONES or n % MILESTONE_STEP == 0:
-                out.append((event, "viral", None, None, n, unique))
-            last = country
-        self.total.update((n, last, unique))
-        for country in new:
-            self.countries.updateValue((country,), (1,))
-        for ip, value in sources.items():
-            self.sources.updateValue((ip,), value)
-        if out:
-            found = pd.DataFrame(out, columns=["event_id", "kind", "previous_country", "country", "number", "detail"])
-            found.insert(0, "video_hash", key[0])
-            whole = {"event_id": "int64", "number": "int64", "detail": "Int64"}
-            texts = {c: "object" for c in ("video_hash", "kind", "previous_country", "country")}
-            yield found.astype(whole | texts)
-
-    def close(self) -> None:
-        pass
-
-
-def stream_spread_events(sightings: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+def stream_spread_events(
+    sightings: DataFrame, ttl_ms: int | None = None, lateness: str | None = None, forget_seconds: int = FORGET
+) -> DataFrame:
     """What a sighting tells about its item, given all before it: one row per finding.
 
     ``reupload`` (number: uploads of the source so far, detail: seconds since its first),
     ``spread`` (a first sighting in a country that is not the item's first; previous_country,
     country, number: countries so far) and ``viral`` (number: sightings so far, at milestones;
-    detail: countries so far). Needs the RocksDB state store and sightings in order of time from batch to batch.
-    State is one row per item, country and source; with ``ttl_ms`` it expires that long after its last change.
+    detail: countries so far). Needs the RocksDB state store.
+
+    Without ``lateness`` micro-batches must come in order of time; state expires ``ttl_ms`` after its last
+    change, if given. With ``lateness`` sightings may come in any order within it: they are decided in
+    order once the watermark has passed them, and those that come after later ones of their item have
+    been decided are findings ``late`` (country; detail: by how many seconds). An item without a sighting
+    for ``forget_seconds`` of event time is forgotten. Rows without event_id are heartbeats: they move
+    the watermark on where a source is quiet. State is one row per item, country and source, and the
+    sightings that wait.
     """
-    columns = [
-        F.coalesce(c, F.lit("")).alias(c) if c in ("country", "ip_hash") else F.col(c)
-        for c in ("video_hash", "event_id", "seconds", "country", "ip_hash")
-    ]
-    return sightings.select(*columns).groupBy("video_hash").transformWithStateInPandas(
-        statefulProcessor=SpreadProcessor(ttl_ms),
-        outputStructType="video_hash string, event_id bigint, kind string, previous_country string, "
-        "country string, number bigint, detail bigint",
-        outputMode="Append",
-        timeMode="ProcessingTime" if ttl_ms else "None",
+    columns = [F.coalesce(c, F.lit("")).alias(c) if c in Spread.FIELDS else F.col(c) for c in ("video_hash", *ORDER, *Spread.FIELDS)]
+    schema = (
+        "video_hash string, event_id bigint, kind string, previous_country string, "
+        "country string, number bigint, detail bigint"
     )
+    if lateness is None:
+        return _decided(sightings.select(*columns), ["video_hash"], Spread(), schema, None, ttl_ms)
+    rows = event_time(sightings, lateness).select(*columns)
+    return _decided(rows, ["video_hash"], Spread(), schema, lateness, forget_seconds)
 
 
 def stream_first_countries(sightings: DataFrame) -> DataFrame:
