@@ -5,7 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trailmark.operators import registry, spread
-from trailmark.operators.runs import running, with_slots
+from trailmark.operators.runs import ranked, running, with_slots
 from trailmark.plans import derived
 
 
@@ -161,3 +161,23 @@ def test_running_distinct_of_many_values_over_slots(spark):
     want = plain.set_index("event_id")[["new", "seen"]].sort_index()
     have = got.toPandas().set_index("event_id")[["new", "seen"]].sort_index()
     assert len(have) == len(want) and (have.to_numpy() == want.to_numpy()).all()
+
+
+@pytest.mark.parametrize("kind", ["bigint", "double", "timestamp_ntz", "string"])
+def test_pages_put_only_their_ranges_in_order(spark, kind, monkeypatch):
+    second = F.when(F.col("id") % 50 > 0, F.when(F.col("id") % 3 > 0, F.pmod(F.xxhash64("id"), F.lit(900))).otherwise(F.lit(400)))
+    value = F.expr("TIMESTAMP_NTZ'2024-01-01'") + F.make_dt_interval(secs=second) if kind == "timestamp_ntz" else second.cast(kind)
+    df = spark.range(9_000).select(value.alias("ts"), F.col("id").alias("event_id"))
+    want = [r.event_id for r in df.orderBy("ts", "event_id").collect()]
+    held = []
+    monkeypatch.setattr(registry, "ranked", lambda rows, *rest: held.append(rows.count()) or ranked(rows, *rest))
+    for offset, limit in [(0, 10), (50, 200), (170, 30), (2500, 400), (5000, 7), (8995, 20), (9000, 5), (20_000, 5), (0, 9_000)]:
+        held.clear()
+        got = registry.page(df, ["ts", "event_id"], offset, limit, run_rows=500)
+        assert sorted(r.event_id for r in got.collect()) == sorted(want[offset : offset + limit])
+        if kind != "string" and limit < 100 and offset < 9_000:
+            assert held[0] <= (3_100 if 2_000 < offset < 6_000 else 500)  # a third of the rows have one time
+    for keep in (0, 1, 400, 5000, 8_900, 9_000, 10_000):
+        got = registry.evict_oldest(df, ["ts", "event_id"], keep, run_rows=500)
+        assert sorted(r.event_id for r in got.collect()) == sorted(want[max(0, 9_000 - keep) :])
+    assert registry.page(df.limit(0), ["ts", "event_id"], 0, 5).isEmpty()

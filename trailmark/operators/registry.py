@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailmark.operators.runs import ranked, running
+from trailmark.operators.runs import FEW, narrowed, ranked, running
 
 SCORES = ["perceptual_hash", "is_deepfake", "confidence", "lipsync_score", "fact_check_score"]
 
@@ -77,9 +77,14 @@ def newest(df: DataFrame, order: list[str], n: int) -> DataFrame:
 def page(
     df: DataFrame, order: list[str], offset: int, limit: int, run_rows: int | None = None
 ) -> DataFrame:
-    """A page of an ordered table, however deep; empty when the offset is past its end."""
-    rows, _ = ranked(df, order, run_rows)
-    return rows.where((F.col("_rank") > offset) & (F.col("_rank") <= offset + limit)).drop("_rank")
+    """A page of an ordered table, however deep; empty when the offset is past its end.
+
+    Only the ranges of the first order column that hold the page are put in order; the others are counted.
+    """
+    part = narrowed(df, order[0], offset, offset + limit, run_rows or FEW)
+    rows, _ = ranked(df.where(part.inside), order, run_rows)
+    place = F.col("_rank") + part.before
+    return rows.where((place > offset) & (place <= offset + limit)).drop("_rank")
 
 
 def events_between(df: DataFrame, low: int, high: int, column: str = "event_id") -> DataFrame:
@@ -90,9 +95,14 @@ def events_between(df: DataFrame, low: int, high: int, column: str = "event_id")
 def evict_oldest(
     df: DataFrame, order: list[str], keep: int, run_rows: int | None = None
 ) -> DataFrame:
-    """The newest ``keep`` rows, however many these are."""
-    rows, total = ranked(df, order, run_rows)
-    return rows.where(F.col("_rank") > total - keep).drop("_rank")
+    """The newest ``keep`` rows, however many these are. Only the range in which the oldest of them lies is put in order."""
+    gone = df.count() - keep
+    if gone <= 0:
+        return df
+    part = narrowed(df, order[0], gone - 1, gone, run_rows or FEW)
+    rows, _ = ranked(df.where(part.inside), order, run_rows)
+    edge = rows.where(F.col("_rank") + part.before > gone).drop("_rank")
+    return edge.unionByName(df.where(part.after))
 
 
 def family_rank(lineage: DataFrame, run_rows: int | None = None) -> DataFrame:

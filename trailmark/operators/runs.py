@@ -9,8 +9,12 @@ there is one way for all keys, hot or not.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trailmark.session import cut_lineage
 
@@ -44,6 +48,64 @@ def ranked(df: DataFrame, order: list[str], run_rows: int | None = None) -> tupl
     return placed.select(*df.columns, (F.col("_in") + F.col("_before")).alias("_rank")), before
 
 
+#: Ranges that a table is counted in at once, and rows that are few enough to be put in order.
+RANGES, FEW = 64, 1_000_000
+_CUT = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+@dataclass(frozen=True)
+class Narrowed:
+    """The rows of some neighbouring ranges of a table's order: which they are, how many come before, which come after."""
+
+    inside: Column
+    before: int
+    after: Column
+
+
+def narrowed(df: DataFrame, column: str, low: int, high: int, few: int = FEW) -> Narrowed:
+    """Ranges of the first order column that hold the rows of ranks ``low`` + 1 to ``high``; nulls come first.
+
+    Each step counts the rows of all ranges at once, from that column alone, and goes on with those that
+    hold a wanted row, until they are few or one value. A column that has no quantiles, as a string, gives one range.
+    """
+    inside, before, after = F.lit(True), 0, F.lit(False)
+    kind = df.schema[column].dataType
+    if not isinstance(kind, _CUT):
+        return Narrowed(inside, before, after)
+    col, held = F.col(column), None
+    while True:
+        part = df.where(inside).select(col)
+        at = [k / RANGES for k in range(1, RANGES)]
+        texts = F.transform(F.percentile_approx(col, at, 100 * RANGES), lambda x: x.cast("string"))
+        cuts = [F.lit(x).cast(kind) for x in dict.fromkeys(part.agg(texts.alias("c")).first()["c"] or [])]
+        number = F.when(col.isNull(), F.lit(-1)).otherwise(reduce(lambda n, c: n + (col >= c).cast("int"), cuts, F.lit(0)))
+        counts = sorted(tuple(r) for r in part.groupBy(number.alias("n")).count().collect())
+        past, wanted, skipped = before, [], 0
+        for n, count in counts:
+            if past + count <= low:
+                skipped += count
+            elif past < high:
+                wanted.append((n, count))
+            past += count
+        if not wanted:
+            return Narrowed(F.lit(False), before + skipped, F.lit(False))
+        rows = sum(count for _, count in wanted)
+        before += skipped
+        first, last = wanted[0][0], wanted[-1][0]
+        if first > 0:
+            inside = inside & (col >= cuts[first - 1])
+        elif first == 0:
+            inside = inside & col.isNotNull()
+        if last < 0:
+            inside, after = inside & col.isNull(), col.isNotNull()
+        elif last < len(cuts):
+            below = col < cuts[last]
+            inside, after = inside & (below if first >= 0 else (below | col.isNull())), col >= cuts[last]
+        if rows <= few or last < 0 or (held is not None and rows * 2 > held):
+            return Narrowed(inside, before, after)
+        held = rows
+
+
 def _with_firsts(rows: DataFrame, keys: list[str], order: list[str], column: str, flag: str) -> DataFrame:
     """The rows with ``flag``: whether one is the first of its value of ``column``, over all slots of the key.
 
@@ -76,10 +138,9 @@ def running(
     ``lag`` maps new column -> column of the previous row. ``distinct`` = (column, first flag,
     running count) marks the first row of each distinct value and counts the values so far, however
     many there are: first rows are joined one to one, and only their number travels with a slot.
-    ``attach`` has facts
-    of keys (of the columns ``attach_on``, all keys if not given), one row each: they are joined to
-    the small table of slots, and reach the rows with it, so a hot key is not joined on its plain
-    value; rows of keys without facts are left out.
+    ``attach`` has facts of keys (of the columns ``attach_on``, all keys if not given), one row each:
+    they are joined to the small table of slots, and reach the rows with it, so a hot key is not joined
+    on its plain value; rows of keys without facts are left out.
     """
     rows = with_slots(df, keys, order, run_rows)
     part = [*keys, "_slot"]
