@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trailmark.functions.decide import is_private_ip
-from trailmark.operators import registry, spread, stats
+from trailmark.operators import places, registry, spread, stats
 from trailmark.plans import derived
 from trailmark.plans.book import query, rounded
 from trailmark.plans.oracle_views import register
@@ -244,6 +244,31 @@ def _(spark, d):
     return rounded(out.select("event_id", "cell", "km_to_centre"), "km_to_centre")
 
 
+@query("radius_clusters", """
+WITH RECURSIVE k AS (SELECT 1000.0::DOUBLE / 6371.0088::DOUBLE AS angle),
+p AS (SELECT event_id, floor(latitude / degrees(angle))::BIGINT AS r, longitude + 180 AS lo
+      FROM sightings, k WHERE latitude IS NOT NULL AND longitude IS NOT NULL),
+w AS (SELECT r, least(greatest(abs(r), abs(r + 1)) * degrees(angle), 90) AS e, sin(angle / 2) AS h
+      FROM (SELECT unnest(range(-12, 13)) AS r), k),
+x AS (SELECT r, e, CASE WHEN e >= 90 OR cos(radians(e)) <= h THEN 360.0::DOUBLE
+                        ELSE 2 * degrees(asin(h / cos(radians(e)))) END AS reach FROM w),
+n AS (SELECT r, e, reach, greatest(floor(360 / reach), 1)::BIGINT AS n FROM x),
+q AS (SELECT event_id, r, least(floor(lo / (360.0::DOUBLE / n)), n - 1)::BIGINT AS c FROM p JOIN n USING (r)),
+cells AS (SELECT DISTINCT r, c, r::VARCHAR || ':' || c::VARCHAR AS cell, n, e, reach, 360.0::DOUBLE / n AS wide
+          FROM q JOIN n USING (r)),
+near AS (SELECT a.cell AS a, b.cell AS b FROM cells a, cells b, (SELECT unnest(range(-2, 3)) AS turn)
+         WHERE (a.r = b.r AND abs(a.c - b.c + turn * a.n) <= 1)
+            OR (abs(a.r - b.r) = 1 AND b.e <= a.e AND b.c + turn * b.n
+                BETWEEN floor((a.c * a.wide - a.reach) / b.wide) AND floor(((a.c + 1) * a.wide + a.reach) / b.wide))),
+linked AS (SELECT a, b FROM near UNION SELECT b, a FROM near),
+reached AS (SELECT a, b FROM linked UNION SELECT l.a, d.b FROM linked l JOIN reached d ON d.a = l.b),
+named AS (SELECT a, min(b) AS cluster FROM reached GROUP BY a)
+SELECT event_id, cell, cluster FROM q JOIN cells USING (r, c) JOIN named ON a = cell""")
+def _(spark, d):
+    rows = derived.sightings(spark, d).select("event_id", "latitude", "longitude")
+    return places.radius_clusters(rows, 1000.0).select("event_id", "cell", "cluster")
+
+
 @query("recent_detections", """
 SELECT event_id, ts, video_hash, is_deepfake FROM sightings ORDER BY ts DESC, event_id DESC LIMIT 20""")
 def _(spark, d):
