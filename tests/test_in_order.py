@@ -128,3 +128,50 @@ def test_a_quiet_item_is_forgotten_and_its_old_rows_stay_late(spark):
     got = jobs.run_to_table(found, "forget").collect()
     assert sorted((r.event_id, r.kind, r.number) for r in got if r.kind == "spread") == [(2, "spread", 2), (5, "spread", 2)]
     assert [r.event_id for r in got if r.kind == "late"] == [3]
+
+
+def test_late_rows_of_built_in_operators_are_kept_and_counted(spark):
+    path = files(
+        spark,
+        [row(1, 0), row(2, 4000)],
+        [row(3, 9000)],
+        [row(4, 10), row(5, 3000, item="w"), row(6, 8390), row(7, 8500)],
+    )
+    out, place = scratch_path(spark, "out"), scratch_path(spark, "place")
+
+    def run():
+        return jobs.late_rows(stream(spark, path), "late", "10 minutes", out, place)
+
+    assert sorted((r.batch_id, r.event_id) for r in run().collect()) == [(2, 4), (2, 5), (2, 6)]
+    assert {(r.video_hash, r.late_rows) for r in jobs.late_counts(run()).collect()} == {("v", 2), ("w", 1)}
+    spark.createDataFrame([row(8, 20), row(9, 20_000)], SHAPE).coalesce(1).write.mode("append").parquet(path)
+    assert sorted(r.event_id for r in run().collect()) == [4, 5, 6, 8]
+    assert run().count() == 4
+
+
+@pytest.mark.parametrize("order", [1, -1])
+def test_corrected_windows_and_sessions_equal_those_of_the_table(spark, order):
+    rows = derived.campaigns(spark, "/root/testdata/sf0.001")
+    path = scratch_path(spark, "unordered")
+    first, last = rows.agg(F.min("seconds"), F.max("seconds")).first()
+    part = F.floor((F.col("seconds") - first) * 3 / (last - first + 1))
+    for k in range(3)[::order]:
+        rows.where(part == k).coalesce(1).write.mode("append").parquet(path)
+
+    def arrivals():
+        return stream(spark, path, schemas.SIGHTINGS)
+
+    late = jobs.late_rows(arrivals())
+    assert late.isEmpty() == (order == 1)
+    keys = ["video_hash", "window_start", "window_end"]
+    counted = jobs.run_updates(jobs.stream_velocity(arrivals()), keys, "velocity")
+    got = jobs.corrected(counted, late, rows, jobs.stream_velocity, keys)
+    assert rows_of(got) == rows_of(jobs.stream_velocity(rows).select(*got.columns))
+
+    if order == -1:  # all that is older than the newest part is late, or comes with it
+        bursts = lambda df: jobs.stream_reupload_bursts(df, least=2)
+        closed = jobs.run_to_table(bursts(arrivals()), "bursts")
+        got = jobs.corrected(closed, late, rows, bursts, ["video_hash", "ip_hash"])
+        pairs = late.select("video_hash", "ip_hash").distinct()
+        want = bursts(rows).join(pairs, ["video_hash", "ip_hash"], "left_semi")
+        assert rows_of(got.join(pairs, ["video_hash", "ip_hash"], "left_semi").select(*want.columns)) == rows_of(want)

@@ -120,6 +120,23 @@ def _(spark, d):
     )
 
 
+@query("stream_velocity_corrected", ORACLE["stream_velocity"])
+def _(spark, d):
+    """Windows over events in no order, of which many come late, and those of late events again from the table."""
+    path, _ = _shuffled(spark, d)
+    keys = ["video_hash", "window_start", "window_end"]
+    arrivals = _stream(spark, d, True, path).where("event_id is not null")
+    counted = jobs.run_updates(jobs.stream_velocity(arrivals), keys, "velocity")
+    late = jobs.late_rows(_stream(spark, d, True, path).where("event_id is not null"))
+    out = jobs.corrected(counted, late, _dense(derived.sightings(spark, d)), jobs.stream_velocity, keys)
+    return out.select(
+        "video_hash",
+        _naive(F.col("window_start")).alias("window_start"),
+        _naive(F.col("window_end")).alias("window_end"),
+        "events",
+    )
+
+
 @query("stream_reupload_bursts", """
 SELECT video_hash, ip_hash, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS uploads,
        max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) AS closed

@@ -129,6 +129,62 @@ def run_batches(
     return spark.read.parquet(f"{out}/rows").drop("batch_id")
 
 
+# ---- late rows ------------------------------------------------------------------------------
+
+
+def late_rows(
+    stream: DataFrame, label: str = "late", lateness: str = LATENESS, output: str | None = None, checkpoint: str | None = None
+) -> DataFrame:
+    """The rows of a stream that came behind the watermark, with the ``batch_id`` they came in.
+
+    Behind are those not later than the latest time of all earlier micro-batches less the lateness.
+    Built-in stateful operators over the same stream drop no other rows; they may still take some of
+    these, as they go by the watermark of the batch before and by the end of windows. Rows without
+    a time are never behind. Every micro-batch writes its rows and the latest time so far to folders named by its
+    number, so a repeated batch changes nothing. ``output`` and ``checkpoint`` as in ``run_to_table``.
+    """
+    spark = stream.sparkSession
+    out, progress = _places(spark, label, output, checkpoint)
+    spark.createDataFrame([], stream.schema).write.mode("append").parquet(f"{out}/rows/batch_id=-1")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        at = F.unix_micros(F.col("ts").cast("timestamp"))
+        known = spark.read.parquet(f"{out}/marks/batch_id={batch_id - 1}").first()["latest"] if batch_id else None
+        edge = F.lit(known).cast("bigint") - F.unix_micros(F.timestamp_seconds(F.lit(0)) + F.expr(f"INTERVAL {lateness}"))
+        batch.where(at <= edge).write.mode("overwrite").parquet(f"{out}/rows/batch_id={batch_id}")
+        latest = batch.agg(F.greatest(F.max(at), F.lit(known).cast("bigint")).alias("latest"))
+        latest.write.mode("overwrite").parquet(f"{out}/marks/batch_id={batch_id}")
+
+    query = (
+        stream.writeStream.foreachBatch(write)
+        .option("checkpointLocation", progress)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return spark.read.schema(StructType([*stream.schema.fields, StructField("batch_id", LongType())])).parquet(f"{out}/rows")
+
+
+def late_counts(late: DataFrame) -> DataFrame:
+    """Late rows per micro-batch and item."""
+    return late.groupBy("batch_id", "video_hash").agg(F.count(F.lit(1)).alias("late_rows"))
+
+
+def corrected(streamed: DataFrame, late: DataFrame, stored: DataFrame, operator, keys: list[str]) -> DataFrame:
+    """The result of a stream as it would be had no row come late.
+
+    Result rows are told apart by ``keys``, which late rows have as columns or get from ``operator``. Those
+    that a late row belongs to are made again by ``operator`` from the stored rows of its items, all others
+    stay, so the work follows the late rows. It makes no difference whether the stream took a late row.
+    """
+    touched = late if set(keys) <= set(late.columns) else operator(late)
+    touched = touched.select(*keys).distinct()
+    items = [c for c in keys if c in stored.columns]
+    again = operator(stored.join(touched.select(*items).distinct(), items, "left_semi"))
+    again = again.join(touched, keys, "left_semi").select(*streamed.columns)
+    return streamed.join(touched, keys, "left_anti").unionByName(again)
+
+
 # ---- operators ------------------------------------------------------------------------------
 
 
