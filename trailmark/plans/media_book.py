@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trailmark.functions import arrays, bits, decide, kernels
 from trailmark.functions.sql_names import register_sql_functions
-from trailmark.operators import lineage, lookup, registry, scoring, stats
+from trailmark.operators import families, lineage, lookup, registry, scoring, stats
 from trailmark.plans import derived
 from trailmark.plans.book import ORACLE, query, rounded
 from trailmark.plans.oracle_views import register
@@ -484,6 +484,32 @@ def _(spark, d):
     return lineage.find_origin(pairs, staged)
 
 
+@query("family_facts", """
+SELECT h.left_hash AS perceptual_hash, count(DISTINCT h.right_hash) - 1 AS n_links, count(*) AS members,
+       min(m.first_seen) AS first_seen
+FROM hash_pairs h JOIN media_fingerprints m ON m.perceptual_hash = h.right_hash
+WHERE h.distance <= 12 GROUP BY 1""")
+def _(spark, d):
+    items = derived.media_fingerprints(spark, d)
+    out = families.family_facts(items, families.fold_families(items), ["first_seen", "video_hash"])
+    return out.select("perceptual_hash", "n_links", "members", F.col("first.first_seen").alias("first_seen"))
+
+
+@query("family_origins", ORACLE["find_origin"])
+def _(spark, d):
+    """As ``find_origin``, by classes: no row for each pair of a family."""
+    items = derived.media_fingerprints(spark, d)
+    nodes = items.join(lineage.generations(_parents(spark, d)).drop("root_hash"), "video_hash")
+    rank = ["generation", "first_seen", "video_hash"]
+    out = families.family_facts(nodes, families.fold_families(items), rank)
+    return out.select(
+        "perceptual_hash",
+        F.col("first.video_hash").alias("origin_hash"),
+        F.col("first.generation").alias("origin_generation"),
+        F.col("first.first_seen").alias("origin_first_seen"),
+    )
+
+
 @query("trace_to_origin", """
 SELECT video_hash, step, ancestor AS ancestor_hash FROM (
   WITH RECURSIVE up AS (
@@ -567,6 +593,12 @@ def _(spark, d):
     )
 
 
+@query("folded_components", ORACLE["family_components"])
+def _(spark, d):
+    parts = families.folded_components(families.fold_families(derived.media_fingerprints(spark, d)))
+    return parts.groupBy(F.col("component").alias("family_id")).agg(F.count(F.lit(1)).alias("members"))
+
+
 @query("family_tree", """
 SELECT f.family_id, t.root_hash, t.video_hash, t.parent_hash, t.generation::INT AS generation, t.path
 FROM media_tree t JOIN media_families f ON f.video_hash = t.video_hash
