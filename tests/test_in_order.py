@@ -1,5 +1,6 @@
 """Custom state decided in order of event time, whatever files the rows come in."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -175,3 +176,35 @@ def test_corrected_windows_and_sessions_equal_those_of_the_table(spark, order):
         pairs = late.select("video_hash", "ip_hash").distinct()
         want = bursts(rows).join(pairs, ["video_hash", "ip_hash"], "left_semi")
         assert rows_of(got.join(pairs, ["video_hash", "ip_hash"], "left_semi").select(*want.columns)) == rows_of(want)
+
+
+def test_sightings_find_the_last_detection_in_any_order(spark):
+    rng, within = random.Random(4), 50
+    found = [(i, rng.randrange(900), item) for i in range(120) for item in "ab"]
+    found += [(500 + i, 300, "a") for i in range(40)]  # many in one second
+    seen = [(1000 + i, rng.randrange(900), item) for i in range(150) for item in "abc"]
+
+    def dealt(rows):
+        parts = [[] for _ in range(4)]
+        for event, second, item in rows:
+            parts[min(3, (second + rng.randrange(200)) // 250)].append(row(event, second, item=item))
+        return stream(spark, files(spark, *parts, [heartbeat(5000)]))
+
+    out = jobs.stream_last_detection(dealt(found), dealt(seen), within, "600 seconds")
+    got = {tuple(r) for r in jobs.run_to_table(out, "last").collect()}
+    want = set()
+    for event, second, item in seen:
+        before = [(s, e) for e, s, i in found if i == item and s < second <= s + within]
+        if before:
+            want.add((item, "sighting", event, max(before)[1], len(before), False))
+    assert got == want
+
+
+def test_late_sides_are_given_out_and_old_detections_go(spark):
+    found = files(spark, [row(1, 100)], [row(2, 2000)], [heartbeat(3000)], [row(3, 150)], [heartbeat(9001)])
+    seen = files(spark, [row(10, 120), row(11, 100)], [row(12, 2050), row(13, 2051)], [heartbeat(3000)], [row(14, 130)], [heartbeat(9001)])
+    out = jobs.stream_last_detection(stream(spark, found), stream(spark, seen), 50, "10 seconds")
+    got = {tuple(r) for r in jobs.run_to_table(out, "last").collect()}
+    assert {r for r in got if not r[-1]} == {("v", "sighting", 10, 1, 1, False), ("v", "sighting", 12, 2, 1, False)}
+    assert {r[1:3] for r in got if r[-1]} == {("detection", 3), ("sighting", 14)}
+    assert all(r[3:5] == (None, None) for r in got if r[-1])

@@ -284,3 +284,15 @@ def _(spark, d):
     found = _stream(spark, d).where("is_deepfake")
     pairs = jobs.stream_detection_sighting_join(found, _stream(spark, d), "1 HOUR")
     return jobs.run_to_table(pairs, "interval-join")
+
+
+@query("stream_last_detection", """
+SELECT b.video_hash, b.event_id, arg_max(a.event_id, (a.seconds, a.event_id)) AS detection_id, count(*) AS detections
+FROM campaigns a JOIN campaigns b ON b.video_hash = a.video_hash AND b.seconds > a.seconds AND b.seconds <= a.seconds + 3600
+WHERE a.is_deepfake GROUP BY 1, 2""")
+def _(spark, d):
+    path, lateness = _shuffled(spark, d)
+    found = _stream(spark, d, True, path).where("is_deepfake or event_id is null")
+    out = jobs.stream_last_detection(found, _stream(spark, d, True, path), 3600, lateness)
+    rows = _on_rocks(spark, lambda: jobs.run_to_table(out, "last-detection"))
+    return rows.where("not late").drop("late", "kind")

@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from trailmark.operators.spread import MILESTONE_STEP, MILESTONES
 
 ORDER = ["seconds", "event_id"]
+DETECTION, SIGHTING = "detection", "sighting"
 
 
 class Decider:
@@ -149,6 +150,59 @@ class Spread(Decider):
             state.clear()
 
 
+class LastDetection(Decider):
+    """Per item the detections of the last ``within`` seconds, one entry per second, for the sightings that follow.
+
+    Takes rows of both kinds; each sighting finds the last detection of an earlier second and how many there are.
+    """
+
+    FIELDS = ["kind"]
+
+    def __init__(self, within_seconds: int):
+        self.within = within_seconds
+
+    def open(self, handle, **options):
+        # seconds with a detection, the greatest event and the number of events in each
+        self.recent = handle.getListState("recent", "second bigint, event_id bigint, n bigint", **options)
+
+    def decide(self, key, rows):
+        found = rows["kind"].to_numpy() == DETECTION
+        known = pd.DataFrame(list(self.recent.get()) if self.recent.exists() else [], columns=["second", "event", "n"], dtype="int64")
+        new = pd.DataFrame({"second": rows["seconds"][found], "event": rows["event_id"][found], "n": 1})
+        told = pd.concat([known, new.astype("int64")]).groupby("second", as_index=False).agg({"event": "max", "n": "sum"})
+        at, total = told["second"].to_numpy(), np.concatenate([[0], np.cumsum(told["n"].to_numpy())])
+
+        keep = told[at > rows["seconds"].iloc[-1] - self.within]
+        if len(keep):
+            self.recent.put([tuple(int(v) for v in r) for r in keep.itertuples(index=False)])
+        else:
+            self.recent.clear()
+
+        seen = rows["seconds"].to_numpy()[~found]
+        end, start = np.searchsorted(at, seen, side="left"), np.searchsorted(at, seen - self.within, side="left")
+        hit = end > start
+        if not hit.any():
+            return None
+        events = rows["event_id"].to_numpy()[~found][hit]
+        return self._told(key, SIGHTING, events, told["event"].to_numpy()[end[hit] - 1], (total[end] - total[start])[hit], False)
+
+    @staticmethod
+    def _told(key, kind, events, last, n, late):
+        def numbers(values):
+            return pd.Series([None] * len(events) if values is None else values, dtype="Int64")
+
+        kinds = pd.Series([kind] * len(events) if isinstance(kind, str) else kind, dtype="object")
+        item = pd.Series([key[0]] * len(events), dtype="object")
+        out = {"video_hash": item, "kind": kinds, "event_id": events.astype("int64"), "detection_id": numbers(last)}
+        return pd.DataFrame(out | {"detections": numbers(n), "late": late})
+
+    def late(self, key, rows, behind):
+        return self._told(key, rows["kind"].to_numpy(), rows["event_id"].to_numpy(), None, None, True)
+
+    def forget(self):
+        self.recent.clear()
+
+
 class AsItComes(StatefulProcessor):
     """Every micro-batch of a key in order; batches must come in order of time themselves."""
 

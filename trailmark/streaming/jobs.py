@@ -16,7 +16,7 @@ from trailmark.functions.bits import NUM_BANDS
 from trailmark.operators.registry import fold_batch
 from trailmark.session import scratch_path
 from trailmark.sources import band_index, registry_store
-from trailmark.streaming.in_order import ORDER, AsItComes, Cooldown, Decider, InOrder, Spread
+from trailmark.streaming.in_order import DETECTION, ORDER, SIGHTING, AsItComes, Cooldown, Decider, InOrder, LastDetection, Spread
 
 LATENESS = "10 minutes"
 #: Seconds of event time after which the state of a quiet item is forgotten.
@@ -374,6 +374,27 @@ def stream_detection_sighting_join(
     ).select("video_hash", "detection_id", "event_id")
 
 
+def stream_last_detection(
+    detections: DataFrame, sightings: DataFrame, within_seconds: int = 3600, lateness: str = LATENESS
+) -> DataFrame:
+    """Each sighting that follows a detection of its item by at most ``within_seconds``, with the last such
+    detection (of an earlier second; ties: the greatest event_id) and how many there are.
+
+    One row per sighting, where ``stream_detection_sighting_join`` has one per pair. Both sides come in any
+    order within ``lateness``; ``kind`` tells the sides apart, and rows that come after later ones of their
+    item have been decided are given out as ``late``, without a detection. The state of an item is one entry
+    per second of the span that has a detection, and the rows that wait. Rows without event_id are heartbeats.
+    Needs the RocksDB state store and columns ts, video_hash, seconds, event_id.
+    """
+    def side(rows: DataFrame, kind: str) -> DataFrame:
+        return rows.select("ts", "video_hash", *ORDER, F.lit(kind).alias("kind"))
+
+    both = side(detections, DETECTION).unionByName(side(sightings, SIGHTING))
+    schema = "video_hash string, kind string, event_id bigint, detection_id bigint, detections bigint, late boolean"
+    rows = event_time(both, lateness)
+    return _decided(rows, ["video_hash"], LastDetection(within_seconds), schema, lateness, within_seconds)
+
+
 def stream_upsert_registry(
     batches: DataFrame,
     existing: DataFrame,
