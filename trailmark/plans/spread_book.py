@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from trailmark.functions.decide import is_private_ip
 from trailmark.operators import places, registry, spread, stats
 from trailmark.plans import derived
-from trailmark.plans.book import query, rounded
+from trailmark.plans.book import ORACLE, query, rounded
 from trailmark.plans.oracle_views import register
+from trailmark.session import scratch_path
+from trailmark.sources.daily_sketches import DailySketches
 
 register("numbered", """
 SELECT *, row_number() OVER (PARTITION BY video_hash ORDER BY ts, event_id) AS spread_count,
@@ -115,6 +117,32 @@ def _(spark, d):
     return spread.unique_countries(derived.sightings(spark, d))
 
 
+def _sketched(spark, d):
+    """Sightings' countries as daily sketches that two appends brought."""
+    store = DailySketches(scratch_path(spark, "sketches"), "video_hash string", ("country",))
+    rows = derived.sightings(spark, d).select("ts", "video_hash", "country")
+    early = F.pmod(F.xxhash64("ts", "video_hash"), F.lit(3)) > 0
+    store.append(rows.where(early), 0)
+    store.append(rows.where(~early), 1)
+    return store
+
+
+@query("unique_countries_sketched", ORACLE["unique_countries"])
+def _(spark, d):
+    """Countries are few, so the sketches give the exact counts."""
+    out = _sketched(spark, d).between(spark)
+    return out.select("video_hash", F.col("unique_country").alias("unique_countries"))
+
+
+@query("trailing_countries", """
+SELECT a.video_hash, strftime(a.day, '%Y-%m-%d') AS day, count(*) AS events, count(DISTINCT b.country) AS unique_countries
+FROM (SELECT DISTINCT video_hash, ts::DATE AS day FROM sightings) a
+JOIN sightings b ON b.video_hash = a.video_hash AND b.ts::DATE BETWEEN a.day - 6 AND a.day GROUP BY 1, 2""")
+def _(spark, d):
+    out = _sketched(spark, d).trailing(spark, 7)
+    return out.select("video_hash", F.col("day").cast("string").alias("day"), "events", F.col("unique_country").alias("unique_countries"))
+
+
 @query("location_summary", """
 SELECT country, city, count(*) AS spread_count, min(ts) AS first_seen, max(ts) AS last_seen
 FROM sightings GROUP BY ROLLUP (country, city)""")
