@@ -10,9 +10,10 @@ from trailmark.operators import alerts, outbox, registry, spread, stats
 from trailmark.plans import derived
 from trailmark.plans.book import query, rounded
 from trailmark.plans.oracle_views import register
-from trailmark.session import scratch_path
+from trailmark.session import cut_lineage, scratch_path
 from trailmark.sources import rules as rule_source
 from trailmark.sources import tables
+from trailmark.sources.alert_log import AlertLog
 from trailmark.sources.rules import ALERT_RULES
 
 COOLDOWNS = ALERT_RULES["cooldown"]["per_type"]
@@ -248,6 +249,22 @@ def _(spark, d):
     )
 
 
+@query("acknowledge_extended", "SELECT alert_id, acknowledged, acknowledged_by, acknowledged_at FROM acked")
+def _(spark, d):
+    """The same from a stored log that three spans of time and two sets of acknowledgements came into."""
+    rows = cut_lineage(alerts.all_candidates(derived.sightings(spark, d), _rules(spark, d)))
+    acks = cut_lineage(_acks(spark, d))
+    log = AlertLog(scratch_path(spark, "alert-log"), COOLDOWNS)
+    first, last = rows.agg(*[F.coalesce(f("seconds"), F.lit(0)) for f in (F.min, F.max)]).first()
+    span = F.floor((F.col("seconds") - first) * 3 / (last - first + 1))
+    for k in range(3):
+        log.append(rows.where(span == k), k)
+    by = F.pmod(F.xxhash64("alert_id", "acked_by"), F.lit(2))
+    for k in range(2):
+        log.acknowledge(acks.where(by == k), k)
+    return log.read(spark).select("alert_id", "acknowledged", "acknowledged_by", "acknowledged_at")
+
+
 @query("alert_counts", """
 SELECT video_hash, count(*) AS total_alerts, count(*) FILTER (WHERE NOT acknowledged) AS unacknowledged_alerts
 FROM acked GROUP BY 1""")
