@@ -16,57 +16,77 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 
 PARTS = 4
-FILES = 1
-_PARTS: dict[tuple[str, str], str] = {}
+#: Rows that a file of a part has on average, so that large parts are written and read by many tasks.
+FILE_ROWS = 100_000
+_PARTS: dict[tuple[str, str], tuple[str, int]] = {}
+
+
+def _written(rows, part, parts, path, files, by="event_id"):
+    """Writes parts one after another, each as ``files`` files, so that a stream that takes so many sees one at a time.
+
+    A stream takes files in order of their writing, but the files of one write are in no order: were they
+    taken by themselves, a part that large tables make several files of would come in any order of time.
+    """
+    spark = rows.sparkSession
+    before = 0
+    for k in range(parts):
+        rows.where(part == k).repartition(files, F.xxhash64(by)).write.mode("append").parquet(path)
+        # a task without rows writes no file
+        for _ in range(before + files - len(spark.read.schema(rows.schema).parquet(path).inputFiles())):
+            rows.limit(0).coalesce(1).write.mode("append").parquet(path)
+        before += files
+
+
+def _files(rows: int) -> int:
+    return 1 + rows // (PARTS * FILE_ROWS)
 
 
 def _parts(spark, d):
     """The events of the table again, in parts by time that are written one after another.
 
-    A stream takes files in order of their writing, so every query below sees several
-    micro-batches in order of time. How many files a part has is left to Spark.
+    Every query below sees the parts as micro-batches in order of time, however many files they have.
+    Returns the folder and the number of files of a part.
     """
     key = (spark.sparkContext.applicationId, d)
     if key not in _PARTS:
         path = scratch_path(spark, "events-in")
         events = derived.table(spark, d, "events")
         at = F.unix_micros(F.col("ts").cast("timestamp"))
-        first, last = events.agg(F.min(at), F.max(at)).first()
+        first, last, rows = events.agg(F.min(at), F.max(at), F.count(F.lit(1))).first()
         part = F.floor((at - F.lit(first)) * PARTS / F.lit(last - first + 1))
-        for k in range(PARTS):
-            events.where(part == k).write.mode("append").parquet(path)
-        _PARTS[key] = path
+        _written(events, part, PARTS, path, _files(rows))
+        _PARTS[key] = path, _files(rows)
     return _PARTS[key]
 
 
-_SHUFFLED: dict[tuple[str, str], tuple[str, str]] = {}
+_SHUFFLED: dict[tuple[str, str], tuple[str, int, str]] = {}
 
 
 def _shuffled(spark, d):
     """The events in parts by a time that is up to a whole part off, and a heartbeat behind them.
 
-    Neighbouring parts overlap and the rows of a part lie in its files in no order. Returns the folder and
-    the lateness that covers this.
+    Neighbouring parts overlap and the rows of a part lie in its files in no order. Returns the folder, the
+    number of files of a part and the lateness that covers this.
     """
     key = (spark.sparkContext.applicationId, d)
     if key not in _SHUFFLED:
         path = scratch_path(spark, "events-shuffled")
         events = derived.table(spark, d, "events")
         second = F.unix_seconds(F.col("ts").cast("timestamp"))
-        first, last = events.agg(F.min(second), F.max(second)).first()
+        first, last, rows = events.agg(F.min(second), F.max(second), F.count(F.lit(1))).first()
         span = (last - first) // PARTS + 1
         part = F.floor((second - first + F.pmod(F.xxhash64("event_id"), F.lit(span))) / span)
-        for k in range(PARTS + 1):
-            events.where(part == k).repartition(F.xxhash64("event_id")).write.mode("append").parquet(path)
+        _written(events, part, PARTS + 1, path, _files(rows))
         later = F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'") + F.make_dt_interval(secs=F.lit(last + 2 * span + 2))
         beat = events.limit(1).withColumns({"event_id": F.lit(None).cast("bigint"), "ts": later})
         beat.write.mode("append").parquet(path)
-        _SHUFFLED[key] = path, f"{2 * span} seconds"
+        _SHUFFLED[key] = path, _files(rows), f"{2 * span} seconds"
     return _SHUFFLED[key]
 
 
-def _stream(spark, d, dense=False, path=None):
-    events = jobs.stream_events(spark, path or _parts(spark, d), files_per_trigger=FILES)
+def _stream(spark, d, dense=False, feed=None):
+    path, files = feed or _parts(spark, d)
+    events = jobs.stream_events(spark, path, files_per_trigger=files)
     rows = derived.sightings_from(events, derived.table(spark, d, "nation"))
     rows = rows.withColumn("seconds", derived.seconds_of())
     return _dense(rows) if dense else rows
@@ -123,11 +143,11 @@ def _(spark, d):
 @query("stream_velocity_corrected", ORACLE["stream_velocity"])
 def _(spark, d):
     """Windows over events in no order, of which many come late, and those of late events again from the table."""
-    path, _ = _shuffled(spark, d)
+    *feed, _ = _shuffled(spark, d)
     keys = ["video_hash", "window_start", "window_end"]
-    arrivals = _stream(spark, d, True, path).where("event_id is not null")
+    arrivals = _stream(spark, d, True, feed).where("event_id is not null")
     counted = jobs.run_updates(jobs.stream_velocity(arrivals), keys, "velocity")
-    late = jobs.late_rows(_stream(spark, d, True, path).where("event_id is not null"))
+    late = jobs.late_rows(_stream(spark, d, True, feed).where("event_id is not null"))
     out = jobs.corrected(counted, late, _dense(derived.sightings(spark, d)), jobs.stream_velocity, keys)
     return out.select(
         "video_hash",
@@ -174,8 +194,8 @@ SELECT video_hash, platform AS alert_type, seconds, event_id FROM sightings WHER
 
 @query("stream_alerts", cooldown_sql("stream_candidates", "21600"))
 def _(spark, d):
-    path, lateness = _shuffled(spark, d)
-    rows = _stream(spark, d, path=path).where("is_deepfake or event_id is null").select(
+    *feed, lateness = _shuffled(spark, d)
+    rows = _stream(spark, d, feed=feed).where("is_deepfake or event_id is null").select(
         "ts", "video_hash", F.col("platform").alias("alert_type"), "seconds", "event_id"
     )
     found = jobs.stream_alerts(rows, 21_600, lateness)
@@ -192,18 +212,17 @@ UNION ALL
 SELECT video_hash, event_id, 'viral', NULL, NULL, spread_count, unique_countries
 FROM spread_events WHERE spread_count IN (10, 50, 100) OR spread_count % 500 = 0""")
 def _(spark, d):
-    path, lateness = _shuffled(spark, d)
-    found = jobs.stream_spread_events(_stream(spark, d, path=path), lateness=lateness)
+    *feed, lateness = _shuffled(spark, d)
+    found = jobs.stream_spread_events(_stream(spark, d, feed=feed), lateness=lateness)
     return _on_rocks(spark, lambda: jobs.run_to_table(found, "spread-events"))
 
 
 @query("stream_tiered_lookup", ORACLE["tiered_lookup"])
 def _(spark, d):
     items = derived.media_fingerprints(spark, d).select("video_hash", "perceptual_hash")
-    path = scratch_path(spark, "arrivals")
-    for k in range(PARTS):
-        items.where(F.pmod(F.xxhash64("video_hash"), F.lit(PARTS)) == k).write.mode("append").parquet(path)
-    arrivals = spark.readStream.schema(items.schema).option("maxFilesPerTrigger", FILES).parquet(path)
+    path, files = scratch_path(spark, "arrivals"), _files(items.count())
+    _written(items, F.pmod(F.hash("video_hash"), F.lit(PARTS)), PARTS, path, files, "video_hash")
+    arrivals = spark.readStream.schema(items.schema).option("maxFilesPerTrigger", files).parquet(path)
     return jobs.stream_tiered_lookup(arrivals, derived.registry(spark, d))
 
 
@@ -291,8 +310,8 @@ SELECT b.video_hash, b.event_id, arg_max(a.event_id, (a.seconds, a.event_id)) AS
 FROM campaigns a JOIN campaigns b ON b.video_hash = a.video_hash AND b.seconds > a.seconds AND b.seconds <= a.seconds + 3600
 WHERE a.is_deepfake GROUP BY 1, 2""")
 def _(spark, d):
-    path, lateness = _shuffled(spark, d)
-    found = _stream(spark, d, True, path).where("is_deepfake or event_id is null")
-    out = jobs.stream_last_detection(found, _stream(spark, d, True, path), 3600, lateness)
+    *feed, lateness = _shuffled(spark, d)
+    found = _stream(spark, d, True, feed).where("is_deepfake or event_id is null")
+    out = jobs.stream_last_detection(found, _stream(spark, d, True, feed), 3600, lateness)
     rows = _on_rocks(spark, lambda: jobs.run_to_table(out, "last-detection"))
     return rows.where("not late").drop("late", "kind")
