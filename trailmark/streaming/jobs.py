@@ -7,7 +7,7 @@ custom state give their late rows out.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -241,8 +241,8 @@ def open_sessions(
     """The sessions of stored sightings that a stream over them has not closed yet."""
     sessions = stream_reupload_bursts(stored, gap, least)
     last = F.max(F.col("ts").cast("timestamp")) - F.expr(f"INTERVAL {lateness}")
-    # one number: the watermark that the stream ended with
-    mark = stored.agg(F.unix_micros(last)).first()[0]
+    # one number: the watermark that the stream ended with, which has whole milliseconds
+    mark = stored.agg(F.unix_millis(last) * 1000).first()[0]
     return sessions.where(F.unix_micros("session_end") > F.lit(mark))
 
 
@@ -357,18 +357,31 @@ def stream_detection_sighting_join(
 ) -> DataFrame:
     """Sightings of an item that follow a detection of it by at most ``within``.
 
-    Both sides carry a watermark and the time range bounds the state of the join.
+    Both sides carry a watermark and the time range bounds the state of the join. Rows meet by item and
+    slot of time, as long as ``within``: a sighting is looked up in its own slot and in the one before, where
+    each detection lies once. So the work follows the pairs and not the rows that an item has in state.
     """
+    width = F.unix_micros(F.timestamp_seconds(F.lit(0)) + F.expr(f"INTERVAL {within}"))
+
+    def slot(at: str) -> Column:
+        return F.unix_micros(at) - F.pmod(F.unix_micros(at), width)
+
     found = event_time(detections).select(
         F.col("video_hash").alias("detected_hash"),
         F.col("event_id").alias("detection_id"),
         F.col("at").alias("detected_at"),
+        slot("at").alias("detected_slot"),
+    )
+    seen = event_time(sightings).select(
+        "video_hash",
+        "event_id",
+        F.col("at").alias("seen_at"),
+        F.explode(F.array(slot("at"), slot("at") - width)).alias("seen_slot"),
     )
-    seen = event_time(sightings).select("video_hash", "event_id", F.col("at").alias("seen_at"))
     return found.join(
         seen,
         F.expr(
-            "video_hash = detected_hash AND seen_at > detected_at "
+            "video_hash = detected_hash AND seen_slot = detected_slot AND seen_at > detected_at "
             f"AND seen_at <= detected_at + INTERVAL {within}"
         ),
     ).select("video_hash", "detection_id", "event_id")
