@@ -8,16 +8,39 @@ have been decided can't be taken any more; it is given out as late, never droppe
 
 from __future__ import annotations
 
+import json
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from trailmark.operators.spread import MILESTONE_STEP, MILESTONES
 
 ORDER = ["seconds", "event_id"]
 DETECTION, SIGHTING = "detection", "sighting"
+#: Entries of state that the sources of an item are dealt over. An entry is read and written as a whole.
+SOURCE_SLOTS = 1024
+#: Most rows that wait in one entry of state.
+BLOCK_ROWS = 10_000
+
+
+def _blocks(rows: pd.DataFrame) -> list[tuple[bytes]]:
+    """Rows as entries of state, many to an entry: every entry is a call of its own to the state store."""
+    packed = []
+    for start in range(0, len(rows), BLOCK_ROWS):
+        batch = pa.RecordBatch.from_pandas(rows.iloc[start : start + BLOCK_ROWS], preserve_index=False)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batch.schema) as writer:
+            writer.write_batch(batch)
+        packed.append((sink.getvalue().to_pybytes(),))
+    return packed
+
+
+def _rows(blocks: Iterator[tuple[bytes]], columns: list[str]) -> pd.DataFrame:
+    return pd.concat([pa.ipc.open_stream(bytes(b)).read_pandas() for (b,) in blocks], ignore_index=True)[columns]
 
 
 class Decider:
@@ -76,14 +99,19 @@ class Cooldown(Decider):
 
 
 class Spread(Decider):
-    """Per item: running count, last country, countries seen, and count and first second of every source."""
+    """Per item: running count, last country, countries seen, and count and first second of every source.
+
+    Sources are dealt over slots by their digest, so that a micro-batch makes no more calls than there are slots.
+    Where state expires by itself each source is a slot of its own, or one would keep the others.
+    """
 
     FIELDS = ["country", "ip_hash"]
 
     def open(self, handle, **options):
         self.total = handle.getValueState("total", "n bigint, country string, countries bigint", **options)
         self.countries = handle.getMapState("countries", "country string", "seen int", **options)
-        self.sources = handle.getMapState("sources", "ip_hash string", "n bigint, first bigint", **options)
+        self.sources = handle.getMapState("sources", "slot string", "packed string", **options)
+        self.expires = bool(options)
 
     def decide(self, key, rows):
         rows = rows.reset_index(drop=True)
@@ -98,18 +126,27 @@ class Spread(Decider):
         previous[0] = last
 
         by_source = rows.groupby("ip_hash", sort=False)["seconds"]
-        known = {ip: self.sources.getValue((ip,)) if self.sources.containsKey((ip,)) else None for ip in by_source.groups}
-        base = rows["ip_hash"].map({ip: v[0] if v else 0 for ip, v in known.items()}).to_numpy()
-        uploads = base + 1 + by_source.cumcount().to_numpy()
-        since = by_source.transform("first").to_numpy()
-        first = np.where(base > 0, rows["ip_hash"].map({ip: v[1] if v else 0 for ip, v in known.items()}).to_numpy(), since)
+        counts = by_source.agg(["size", "first"])
+        slots: dict[str, dict[str, tuple[int, int]]] = {}
+        for ip, n, at in counts.itertuples(name=None):
+            slot = ip if self.expires else str(zlib.crc32(ip.encode()) % SOURCE_SLOTS)
+            slots.setdefault(slot, {})[ip] = n, at
+        known: dict[str, list[int]] = {}
+        for slot, arrived in slots.items():
+            stored = json.loads(self.sources.getValue((slot,))[0]) if self.sources.containsKey((slot,)) else {}
+            known |= {ip: stored[ip] for ip in arrived if ip in stored}
+            for ip, (n, at) in arrived.items():
+                total, earliest = stored.get(ip, (0, at))
+                stored[ip] = total + n, earliest
+            self.sources.updateValue((slot,), (json.dumps(stored),))
+        counts["base"] = [known[ip][0] if ip in known else 0 for ip in counts.index]
+        counts["since"] = [known[ip][1] if ip in known else at for ip, at in counts["first"].items()]
+        uploads = rows["ip_hash"].map(counts["base"]).to_numpy() + 1 + by_source.cumcount().to_numpy()
+        first = rows["ip_hash"].map(counts["since"]).to_numpy()
 
         self.total.update((int(number[-1]), rows["country"].iloc[-1], int(countries[-1])))
         for country in unseen:
             self.countries.updateValue((country,), (1,))
-        for ip, n in by_source.size().items():
-            total, at = known[ip] or (0, int(by_source.get_group(ip).iloc[0]))
-            self.sources.updateValue((ip,), (int(total + n), int(at)))
 
         viral = np.isin(number, MILESTONES) | (number % MILESTONE_STEP == 0)
         seconds = rows["seconds"].to_numpy()
@@ -238,8 +275,7 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        fields = "".join(f", {c} string" for c in self.decider.FIELDS)
-        self.held = handle.getListState("held", f"seconds bigint, event_id bigint{fields}")
+        self.held = handle.getListState("held", "rows binary")
         # last decided second, first held second (-1: none), time of the timer (-1: none)
         self.place = handle.getValueState("place", "decided bigint, held bigint, timer bigint")
         self.decider.open(handle)
@@ -256,7 +292,7 @@ class InOrder(StatefulProcessor):
                 yield self.decider.late(key, chunk[late], closed - seconds[late])
             chunk, seconds = chunk[~late], seconds[~late]
             if len(chunk):
-                self.held.appendList(list(chunk[self.columns].itertuples(index=False, name=None)))
+                self.held.appendList(_blocks(chunk[self.columns]))
                 first = int(seconds.min()) if first < 0 else min(first, int(seconds.min()))
         if decided is not None or first >= 0:
             yield from self._release(key, mark, decided, first, timer)
@@ -274,11 +310,11 @@ class InOrder(StatefulProcessor):
 
     def _release(self, key, mark, decided, first, timer):
         if first >= 0 and (first + 1) * 1000 <= mark:
-            waiting = pd.DataFrame(list(self.held.get()), columns=self.columns)
+            waiting = _rows(self.held.get(), self.columns)
             ready = (waiting["seconds"] + 1) * 1000 <= mark
             rest = waiting[~ready]
             if len(rest):
-                self.held.put(list(rest.itertuples(index=False, name=None)))
+                self.held.put(_blocks(rest))
             else:
                 self.held.clear()
             due = waiting[ready].sort_values(ORDER)
