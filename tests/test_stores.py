@@ -209,3 +209,21 @@ def test_an_empty_store_and_rows_without_a_hash(spark):
     registry_store.append(folded(spark, []), out, 0)
     registry_store.append(folded(spark, [(None, "p", True, 0.5, 0.5, None, datetime(2023, 1, 1), 1)]), out, 1)
     assert [r.detection_count for r in registry_store.read(spark, out, schema).collect()] == [1]
+
+
+def test_a_registry_does_not_depend_on_the_order_of_its_batches(spark):
+    """Batches that come newest first, with and without a compaction, give what all rows at once give."""
+    rng = random.Random(9)
+    hashes = [f"{rng.randrange(1 << 24):06x}" for _ in range(40)]
+    rows = [r for k in range(5) for r in arrivals(rng, 60, hashes, 1000 * k)]
+    batches = [sorted(rows, key=lambda r: (r[6], r[7]), reverse=True)[k::5] for k in (0, 3, 1)] + [rows[:0]]
+    batches += [sorted((r for r in rows if not any(r in b for b in batches)), key=lambda r: (r[6], r[7]), reverse=True)]
+    known = spark.createDataFrame([(hashes[0], "p", True, 9.0, 9.0, None, datetime(2023, 1, 1), -1)], ARRIVALS)
+    want = rows_of(registry.upsert_registry(registry.fold_batch(known), spark.createDataFrame(rows, ARRIVALS)))
+    for most in (16, 0):
+        path, out, place = (scratch_path(spark, x) for x in ("in", "out", "place"))
+        for batch in batches:
+            spark.createDataFrame(batch, ARRIVALS).coalesce(1).write.mode("append").parquet(path)
+            stream = spark.readStream.schema(ARRIVALS).option("maxFilesPerTrigger", 1).parquet(path)
+            got = jobs.stream_upsert_registry(stream, registry.fold_batch(known), output=out, checkpoint=place, most_deltas=most)
+        assert got.columns == registry_store.COLUMNS and rows_of(got) == want

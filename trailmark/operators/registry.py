@@ -10,22 +10,26 @@ from trailmark.operators.runs import FEW, narrowed, ranked, running
 SCORES = ["perceptual_hash", "is_deepfake", "confidence", "lipsync_score", "fact_check_score"]
 
 
-def fold_batch(batch: DataFrame) -> DataFrame:
+def fold_batch(batch: DataFrame, ordered: bool = False) -> DataFrame:
     """One row per item of a batch: newest scores, first and last time, number of arrivals.
 
     Aggregates combine before the shuffle, so an item with a third of the batch is no problem.
+    With ``ordered`` a column ``order`` tells the time and event_id of the sighting that the scores are of.
     """
-    newest = F.max_by(F.struct(*SCORES), F.struct("seen_at", "event_id"))
-    return (
+    place = F.struct("seen_at", "event_id")
+    newest = F.max_by(F.struct(*SCORES), place)
+    folded = (
         batch.groupBy("video_hash")
         .agg(
             newest.alias("_s"),
             F.min("seen_at").alias("first_seen"),
             F.max("seen_at").alias("last_seen"),
             F.count(F.lit(1)).alias("detection_count"),
+            F.max(place).alias("order"),
         )
-        .select("video_hash", "_s.*", "first_seen", "last_seen", "detection_count")
+        .select("video_hash", "_s.*", "first_seen", "last_seen", "detection_count", "order")
     )
+    return folded if ordered else folded.drop("order")
 
 
 def upsert_registry(existing: DataFrame, batch: DataFrame) -> DataFrame:

@@ -30,7 +30,8 @@ def _written(rows, part, parts, path, files, by="event_id"):
     spark = rows.sparkSession
     before = 0
     for k in range(parts):
-        rows.where(part == k).repartition(files, F.xxhash64(by)).write.mode("append").parquet(path)
+        # a session may deal out more partitions than asked for; more files would not be one micro-batch
+        rows.where(part == k).repartition(files, F.xxhash64(by)).coalesce(files).write.mode("append").parquet(path)
         # a task without rows writes no file
         for _ in range(before + files - len(spark.read.schema(rows.schema).parquet(path).inputFiles())):
             rows.limit(0).coalesce(1).write.mode("append").parquet(path)

@@ -4,7 +4,9 @@
 buckets (of content hashes) that these lie in, with the number of their rows, and makes the batch count.
 ``base/version=N`` has whole buckets with everything up to batch N, and ``bases/of=N`` lists them. An item is
 the base row of its bucket, if any, and the deltas after it: scores of the newest, first time of the oldest,
-sum of the counts. Whatever runs twice writes the same rows to the same folder.
+sum of the counts. Where batches tell by ``order`` (time, event_id) which sighting their scores are of, the
+newest are those of the last sighting and the first time is the least, so these batches may come in any order;
+they are newer than all batches that don't. Whatever runs twice writes the same rows to the same folder.
 """
 
 from __future__ import annotations
@@ -28,6 +30,11 @@ def _bucketed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("bucket", F.coalesce(F.substring("video_hash", 1, DIGITS), F.lit("")))
 
 
+def _order(rows: StructType) -> StructType:
+    """The type of ``order`` beside such rows."""
+    return StructType([StructField("seen_at", rows["last_seen"].dataType), StructField("event_id", LongType())])
+
+
 def _listed(spark: SparkSession, path: str) -> DataFrame:
     """(bucket, version, n); at most 256 rows of a version."""
     try:
@@ -46,7 +53,8 @@ def exists(spark: SparkSession, out: str) -> bool:
 
 def append(rows: DataFrame, out: str, version: int) -> None:
     """Writes the items of a batch, one row each, as version ``version``. Bytes follow the batch, not the registry."""
-    rows = _bucketed(rows.select(*COLUMNS)).repartitionByRange("bucket").sortWithinPartitions("bucket", "video_hash")
+    order = F.col("order") if "order" in rows.columns else F.lit(None)
+    rows = _bucketed(rows.select(*COLUMNS, order.cast(_order(rows.schema)).alias("order"))).repartitionByRange("bucket").sortWithinPartitions("bucket", "video_hash")
     rows.write.mode("overwrite").parquet(f"{out}/rows/version={version}")
     written = rows.sparkSession.read.schema(rows.schema).parquet(f"{out}/rows/version={version}")
     counts = written.groupBy("bucket").agg(F.lit(version).cast("bigint").alias("version"), F.count(F.lit(1)).alias("n"))
@@ -73,7 +81,7 @@ def _since(bases: dict[str, tuple[int, int]]) -> Column:
 
 def _parts(spark: SparkSession, out: str, schema: StructType, bases: dict, buckets: list[str] | None = None, before: int | None = None) -> DataFrame:
     """Base rows and later deltas, with bucket and version, of all buckets or of some."""
-    wide = StructType([*schema.fields, StructField("bucket", StringType()), StructField("version", LongType())])
+    wide = StructType([*schema.fields, StructField("order", _order(schema)), StructField("bucket", StringType()), StructField("version", LongType())])
     # a batch counts when it is listed
     counted = [r.version for r in _listed(spark, f"{out}/versions").select("version").distinct().collect()]
     counted = [v for v in counted if before is None or v < before]
@@ -92,9 +100,10 @@ def _parts(spark: SparkSession, out: str, schema: StructType, bases: dict, bucke
 
 def _merged(parts: DataFrame) -> DataFrame:
     """One row per item; aggregates combine before they are shuffled."""
+    # a null is less than any order
     items = parts.groupBy("bucket", "video_hash").agg(
-        F.max_by(F.struct(*SCORES), "version").alias("_s"),
-        F.min_by("first_seen", "version").alias("first_seen"),
+        F.max_by(F.struct(*SCORES, "order"), F.struct("order", "version")).alias("_s"),
+        F.when(F.count("order") > 0, F.min("first_seen")).otherwise(F.min_by("first_seen", "version")).alias("first_seen"),
         F.max("last_seen").alias("last_seen"),
         F.sum("detection_count").alias("detection_count"),
     )

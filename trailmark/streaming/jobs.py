@@ -420,6 +420,7 @@ def stream_upsert_registry(
 
     A micro-batch is folded to one row per item and written as a delta with its number, so what is
     written follows the batch, and a batch that runs twice writes the same rows to the same place.
+    Arrivals may come in any order: scores are those of the item's last sighting by (seen_at, event_id).
     When a run leaves more than ``most_deltas`` deltas, buckets that these have grown large for are written anew.
     ``existing`` is stored once, when ``output`` is new; a job that is called again with the same
     ``output`` and ``checkpoint`` goes on from what is stored.
@@ -432,8 +433,8 @@ def stream_upsert_registry(
 
     def add(batch: DataFrame, batch_id: int) -> None:
         # times and counts in the registry's own types, whatever the arrivals bring
-        folded = fold_batch(batch)
-        registry_store.append(folded.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields]), out, batch_id)
+        folded = fold_batch(batch, ordered=True)
+        registry_store.append(folded.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields], "order"), out, batch_id)
 
     query = (
         batches.writeStream.foreachBatch(add)
