@@ -99,6 +99,30 @@ def test_candidate_counts_equal_brute_force(spark, hashes):
     assert got == want
 
 
+@pytest.mark.parametrize("large", [0, 3, 10**6])
+def test_candidates_make_a_row_a_band_and_full_values_no_pairs(spark, hashes, large):
+    """Values of few and of very many codes: counts by brute force, however full a value may be."""
+    rng = random.Random(3)
+    left = hashes[::2] + [[0, rng.choice([0, 1]), rng.choice([5, 6, 7]), rng.getrandbits(64), 9] for _ in range(40)]
+    right = hashes[::3] + [[rng.choice([0, 4]), rng.choice([0, 1]), rng.choice([5, 6]), 1, rng.choice([9, 8])] for _ in range(60)]
+    right += [[rng.getrandbits(64) for _ in range(4)] + [9] for _ in range(20)]
+    known = {text(w): w for w in right}
+    want = {}
+    for w in left:
+        met = [[p == q for p, q in zip(w, v, strict=True)] for v in known.values()]
+        if any(map(any, met)):
+            want[text(w)] = (sum(map(any, met)), sum(map(any, zip(*met, strict=True))))
+    got = lookup.lsh_candidates(frame(spark, left), frame(spark, right), large=large)
+    assert {r.perceptual_hash: (r.candidates, r.bands_hit) for r in got.collect()} == want
+
+
+def test_more_bands_than_sets_of_bands_could_be_made_of(spark, hashes):
+    """Twenty bands: a row for every set of them would be a million rows a code."""
+    df = frame(spark, hashes[:20])
+    got = {r.perceptual_hash: r.bands_hit for r in lookup.lsh_candidates(df, df, num_bands=20).collect()}
+    assert got == {text(w): 20 for w in hashes[:20]}
+
+
 def test_tiers(spark, hashes):
     stored = frame(spark, hashes[:20])
     near = flip(hashes[0], random.Random(1), 2)
