@@ -227,3 +227,15 @@ def test_a_registry_does_not_depend_on_the_order_of_its_batches(spark):
             stream = spark.readStream.schema(ARRIVALS).option("maxFilesPerTrigger", 1).parquet(path)
             got = jobs.stream_upsert_registry(stream, registry.fold_batch(known), output=out, checkpoint=place, most_deltas=most)
         assert got.columns == registry_store.COLUMNS and rows_of(got) == want
+
+
+def test_lookups_send_no_side_to_the_driver(spark):
+    """A micro-batch must not broadcast what the index has: however many there are, nothing goes through the driver."""
+    rng = random.Random(10)
+    index = scratch_path(spark, "index")
+    known = spark.createDataFrame([(f"{k:03x}", code_of(rng)) for k in range(50)], SCHEMA)
+    band_index.append(known, index)
+    codes = known.select(F.col("perceptual_hash").alias("code"))
+    for found in (band_index.stored_hashes(known, index), band_index.candidates(codes, index)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan

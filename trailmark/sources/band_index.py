@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmark.functions import bits
+from trailmark.session import cut_lineage
 
 #: Leading digits, of the digest of a band's value or an item's hash, that name a folder: 16 folders for a band.
 #: Each folder costs a file in every append. Within a file rows lie in order of their values. For a registry
@@ -87,11 +88,21 @@ def _folders(rows: DataFrame, *columns: str) -> Column:
     return condition
 
 
+def _shuffled(rows: DataFrame) -> DataFrame:
+    """Rows that are joined without a broadcast: in a stream each micro-batch would send them to the driver anew."""
+    return rows.hint("merge")
+
+
+def _meeting(rows: DataFrame) -> DataFrame:
+    """Band rows without the whole code, the longest of them, where equal codes meet at a band anyhow."""
+    return rows.where((F.col("band_index") >= 0) | ~F.col("code").rlike(bits.STANDARD_LAYOUT))
+
+
 def stored_hashes(queries: DataFrame, path: str) -> DataFrame:
     """Those of the content hashes of ``queries`` that the index has."""
     asked = queries.select("video_hash").distinct().withColumn("part", _part(F.col("video_hash"))).where("video_hash IS NOT NULL")
     items = _read(queries.sparkSession, path, "items", _ITEMS).where(_folders(asked, "part"))
-    return asked.join(items.select("video_hash"), "video_hash", "left_semi").select("video_hash")
+    return asked.join(_shuffled(items.select("video_hash")), "video_hash", "left_semi").select("video_hash")
 
 
 def candidates(codes: DataFrame, path: str, num_bands: int = bits.NUM_BANDS) -> DataFrame:
@@ -99,11 +110,11 @@ def candidates(codes: DataFrame, path: str, num_bands: int = bits.NUM_BANDS) ->
 
     A pair comes once for every band that it shares; equal codes share all.
     """
-    asked = _band_rows(codes.select("code").where("code IS NOT NULL").distinct(), num_bands)
-    stored = _read(codes.sparkSession, path, "bands", _BANDS).where(_folders(asked, "band_index", "part"))
+    asked = _meeting(_band_rows(codes.select("code").where("code IS NOT NULL").distinct(), num_bands))
+    stored = _meeting(_read(codes.sparkSession, path, "bands", _BANDS).where(_folders(asked, "band_index", "part")))
     stored = stored.select("band_index", "band_value", F.col("code").alias("r_code"), "first_hash")
     asked = asked.select("band_index", "band_value", F.col("code").alias("q_code"))
-    return asked.join(stored, ["band_index", "band_value"]).select("q_code", "r_code", "first_hash")
+    return asked.join(_shuffled(stored), ["band_index", "band_value"]).select("q_code", "r_code", "first_hash")
 
 
 def lookup(
@@ -117,13 +128,14 @@ def lookup(
     """
     items = queries.select("video_hash", "perceptual_hash")
     known = stored_hashes(items, path).withColumn("_exact", F.lit(True))
-    staged = items.join(known, "video_hash", "left")
+    # written once: it is read for the folders, for the codes and for the result
+    staged = cut_lineage(items.join(_shuffled(known), "video_hash", "left"))
     codes = staged.where("_exact IS NULL").select(F.col("perceptual_hash").alias("code"))
     distance = F.when(F.col("q_code") == F.col("r_code"), 0).otherwise(bits.hamming(F.col("q_code"), F.col("r_code"), "cache"))
     near = candidates(codes, path, num_bands).select("q_code", distance.alias("distance"), "first_hash").where(F.col("distance") <= threshold)
     best = near.groupBy(F.col("q_code").alias("perceptual_hash")).agg(F.min(F.struct("distance", "first_hash")).alias("_near"))
     exact = F.col("_exact").isNotNull()
-    return staged.join(best, "perceptual_hash", "left").select(
+    return staged.join(_shuffled(best), "perceptual_hash", "left").select(
         "video_hash",
         F.when(exact, F.col("video_hash")).otherwise(F.col("_near.first_hash")).alias("matched_hash"),
         F.when(exact, "exact").when(F.col("_near").isNotNull(), "perceptual").otherwise("miss").alias("cache_hit_type"),
