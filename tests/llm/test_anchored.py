@@ -107,3 +107,51 @@ def test_bits_differ_with_the_angle():
         x, y = (anchored.fingerprint(np.unique(s), 8) for s in (a, b))
         shares.append(sum(bin(int(p ^ q) & (1 << 64) - 1).count("1") for p, q in zip(x, y, strict=True)) / 512)
     assert abs(np.mean(shares) - anchored.cover(10).differ) < 0.015
+
+
+def _texts(rng):
+    """Pairs of texts just at the likeness or just below it, passages that many share, and chains of copies of copies."""
+    vocabulary = [f"w{k}" for k in range(4000)]
+    passage = [rng.choice(vocabulary) for _ in range(40)]
+    texts = []
+    for i in range(220):
+        words = rng.choices(vocabulary, k=rng.choice([7, 30, 120, 300, 500]))
+        if i % 3 == 0:
+            words[len(words) // 2 : len(words) // 2] = passage
+        texts.append(words)
+        other = list(words)
+        for at in rng.sample(range(len(words)), max(1, round(len(words) / 5 * rng.uniform(0.1, 0.14)))):
+            other[at] = f"x{rng.randrange(10**9)}"
+        texts.append(other)
+        if i % 4 == 0:
+            for _ in range(3):
+                other = list(other)
+                for at in rng.sample(range(len(other)), max(1, round(len(other) / 5 * 0.1))):
+                    other[at] = f"x{rng.randrange(10**9)}"
+                texts.append(other)
+    return [" ".join(t) for t in texts]
+
+
+def test_groups_are_those_of_all_pairs(spark):
+    texts = _texts(random.Random(4))
+    sets = [jaccard_shingles(t) for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, s in enumerate(sets):
+        for b in range(a):
+            if 5 * len(s & sets[b]) >= 4 * len(s | sets[b]):
+                parent[find(a)] = find(b)
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found = {}
+    for r in anchored.similar_groups(table, F.unhex(F.md5("text")), F.col("doc_id")).collect():
+        found.setdefault(r.root, set()).add(r.doc_id)
+    want = {}
+    for i in range(len(texts)):
+        want.setdefault(find(i), set()).add(i)
+    assert len(want) < len(texts) - 100
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, want.values()))

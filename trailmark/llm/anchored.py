@@ -1,4 +1,4 @@
-"""Near duplicates of texts at a given Jaccard likeness: wide SimHash fingerprints compared at anchors, then counted.
+"""Groups of texts of a given Jaccard likeness: wide SimHash fingerprints compared at anchors, then an exact way for the rest.
 
 A text's fingerprint is taken over its distinct five-word shingles. It is cut into parts, and the anchors
 of a part are the words of a covering code: a perfect Hamming code on 7 of its bits, the other bits free.
@@ -6,12 +6,18 @@ Every part lies within covering radius 1 of one anchor, its home, and is replica
 radius + threshold (1 + 1 bits, 4 at most): of two parts that differ by one bit at most within the code, one
 meets the other at its home. Two texts of the given likeness differ in a known share of bits, so the parts
 are as many as it takes for nearly all such pairs to meet, and a part has the more free bits the more texts
-there are, so that a text meets few others by chance.
+there are, so that a text meets few others by chance. What meets is told apart by 128 bits that are in no
+part: of those that meet by chance hardly any are left.
 
-At an anchor all are first compared with one of those at home there; where many are, with the one nearest
+Those at home at an anchor are first compared with one of them; where many are, with the one nearest
 to the majority of their bits, which copies of one text mostly are copies of. Of the groups that this finds,
 one member at each anchor is then compared with those of other groups. So a group of many copies gives
 links in proportion to its members. What the fingerprints let pass is decided by the shingles, exactly.
+
+Fingerprints miss a pair now and then, and one member of a group does not speak for the others. So texts of
+different groups are at last compared wherever they can be alike: of two sets in one order of shingles whose
+likeness is at least t and that share w or more, the first l that they share are among the first n - w + l of
+either (n its size), and n - ceil(t n) + l of each set are enough for all others, whose sizes are not known. The order is by hash, with shingles that a sample shows to be common last; it has no influence on the groups.
 """
 
 from __future__ import annotations
@@ -24,11 +30,11 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trailmark.llm.common import bound_batches, once, stored
+from trailmark.llm.common import bound_batches, once, stored, unused
 from trailmark.llm.components import components
 from trailmark.llm.shingles import rows_at, shingle_hashes
 
@@ -40,11 +46,16 @@ MEETING = 0.96
 LEAST_FREE, FEWER = 8, 10
 #: An anchor is crowded if it is home to so many times the expected texts.
 CROWDED = 4
-#: Most rounds in which more of those at home at crowded anchors are compared with. They save work: the last
-#: step finds what they leave.
-ROUNDS = 4
 #: Pairs of one text that are counted in one task.
 CHUNK = 256
+#: Words of 64 bits, in no part, by which those that meet are told apart; and the deviations up to which they may differ.
+CHECKS, DEVIATIONS = 2, 3
+#: One in so many texts is read for common shingles, texts of the sample that make one common, and most that are told to the tasks.
+SAMPLE, COMMON, TOLD = 8, 8, 100_000
+#: Of one in so many of a set's shingles, and one more, it is asked whether the heads of alike sets share them.
+ASKED = 40
+#: Most bits, as a power of two, of the set of marks that rows are looked up in before they are shuffled.
+MOST_MARKS = 25
 
 _CODE = 7  # bits of the Hamming code; the position of a wrong bit is the exclusive or of the set positions
 _SYNDROME = np.array([np.bitwise_xor.reduce([0, *(k + 1 for k in range(_CODE) if x >> k & 1)]) for x in range(1 << _CODE)])
@@ -65,7 +76,8 @@ class Cover:
 
     @property
     def words(self) -> int:
-        return -(-self.parts * (_CODE + self.free) // 64)
+        """With the words that are in no part."""
+        return -(-self.parts * (_CODE + self.free) // 64) + CHECKS
 
     def most(self, bits: int, deviations: float) -> int:
         return math.ceil(bits * self.differ + deviations * math.sqrt(bits * self.differ * (1 - self.differ)))
@@ -108,7 +120,8 @@ def _sketches(width: int, words: int):
     return once(sketches)
 
 
-_ROW = "anchor long, node long, root long, check long, home boolean"
+_CHECKS = [f"check{k}" for k in range(CHECKS)]
+_ROW = f"anchor long, node long, root long, {', '.join(f'{c} long' for c in _CHECKS)}, home boolean"
 
 
 def _anchors(plan: Cover, homes_only: bool = False):
@@ -133,8 +146,8 @@ def _anchors(plan: Cover, homes_only: bool = False):
                 from_ = np.nonzero(there)[0]
                 anchor, home = at[there], (at == _HOME[code][:, None])[there]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (anchor | free[from_], nodes[from_], roots[from_], prints[from_, 0], home)],
-                    ["anchor", "node", "root", "check", "home"],
+                    [pa.array(x) for x in (anchor | free[from_], nodes[from_], roots[from_], *prints[from_, -CHECKS:].T, home)],
+                    ["anchor", "node", "root", *_CHECKS, "home"],
                 )
 
     return rows
@@ -146,7 +159,78 @@ def _alike(na, nb, both, similarity: Fraction):
 
 
 def _apart(a: str, b: str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+    """Differing bits of the check words of both, whose columns have these names before their numbers."""
+    return reduce(Column.__add__, [F.bit_count(F.col(f"{a}{k}").bitwiseXOR(F.col(f"{b}{k}"))) for k in range(CHECKS)])
+
+
+def _shared_by(rows: DataFrame, column: str) -> DataFrame:
+    """The rows whose shingle has unlike values of the column."""
+    at = Window.partitionBy("shingle")
+    found = rows.withColumn("_least", F.min(column).over(at)).withColumn("_most", F.max(column).over(at))
+    return found.filter("_least < _most").drop("_least", "_most")
+
+
+def _heads(width: int, similarity: Fraction, common: np.ndarray):
+    """(shingle, node, place) of the head of each set, where any alike one has ``ASKED`` of its shingles or more.
+
+    ``common`` are shingles that come last in the order, the most common at the end. Equal sets give rows once a task.
+    """
+    told = np.sort(common)
+    rank = len(common) - np.argsort(common)  # of each of ``told``, the greatest for the most common
+
+    def rows(batches):
+        seen = set()
+        for batch in batches:
+            found = []
+            for t in batch.column(0):
+                own = shingle_hashes(t.as_py() or "", width)
+                node = xxhash.xxh64_intdigest(own.tobytes()) - (1 << 63)
+                if not len(own) or node in seen:
+                    continue
+                seen.add(node)
+                late = np.zeros(len(own), np.int64)
+                if len(told):
+                    at = np.minimum(np.searchsorted(told, own), len(told) - 1)
+                    hit = told[at] == own
+                    late[hit] = rank[at[hit]]
+                whole = -(-len(own) * similarity.numerator // similarity.denominator)
+                head = len(own) - whole + min(whole, len(own) // ASKED + 1)
+                found.append((own[np.argsort(late, kind="stable")][:head], node))
+            if found:
+                sizes = [len(x[0]) for x in found]
+                shingles, nodes = np.concatenate([x[0] for x in found]), np.repeat(np.array([x[1] for x in found], np.int64), sizes)
+                places = np.concatenate([np.arange(1, k + 1) for k in sizes])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (shingles, nodes, places)], ["shingle", "node", "place"])
+
+    return rows
+
+
+def _sets(width: int):
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def sets(texts: pa.Array) -> pa.Array:
+        return pa.array([shingle_hashes(t.as_py() or "", width) for t in texts], pa.list_(pa.int64()))
+
+    return once(sets)
+
+
+def _marked(docs: DataFrame, key: str, wanted: DataFrame, others: bool = False) -> DataFrame:
+    """The rows of ``docs`` whose ``key`` may be among ``wanted`` (_row), without a shuffle; or those that surely are not.
+
+    The marks are bits, so many that few other rows hit one, but never more than ``MOST_MARKS`` allows.
+    """
+    size = 1 << min(MOST_MARKS, max(10, (16 * wanted.count()).bit_length()))
+    word, bits = unused("_word", docs), unused("_bits", docs)
+
+    def spot(column: str) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(size))
+
+    def bit(column: str) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(spot(column), F.lit(64)).cast("int"))
+
+    marks = wanted.groupBy(F.shiftright(spot("_row"), 6).alias(word)).agg(F.bit_or(bit("_row")).alias(bits))
+    placed = docs.withColumn(word, F.shiftright(spot(key), 6)).join(F.broadcast(marks), word, "left")
+    hit = F.coalesce(F.col(bits).bitwiseAND(bit(key)) != 0, F.lit(False))
+    return placed.filter(~hit if others else hit).drop(word, bits)
 
 
 def _count(width: int, similarity: Fraction):
@@ -168,35 +252,36 @@ def _count(width: int, similarity: Fraction):
 def similar_groups(docs: DataFrame, row: Column, *extra: Column, text: str = "text", width: int = WIDTH, similarity: Fraction = SIMILARITY) -> DataFrame:
     """(_row, extra..., root) for every row: rows have one root where links lead from one to the other.
 
-    Linked are texts whose sets of word shingles have at least the likeness, as far as their fingerprints
-    meet; none below it. ``row`` gives equal values to rows of equal texts only. White space and the case
+    Linked are all texts whose sets of word shingles have at least the likeness; none below it. ``row`` gives equal values to rows of equal texts only. White space and the case
     of ASCII letters don't count. A null text is the empty one; texts without words are one group.
     """
     bound_batches(docs.sparkSession)
     plan = cover(docs.count(), similarity)
     sketch = _sketches(width, plan.words)(F.col(text)).alias("_sketch")
     drawn = stored(docs.select(row.alias("_row"), *extra, sketch).select("*", "_sketch.*").drop("_sketch"), "sketches")
-    counted = drawn.groupBy("node", "_row").agg(F.count(F.lit(1)).alias("_rows"), F.first("n").alias("n"), F.first("fp").alias("fp"))
-    nodes = counted.groupBy("node").agg(F.min(F.struct("_row", "_rows")).alias("at"), F.first("n").alias("n"), F.first("fp").alias("fp"))
-    nodes = stored(nodes.select("node", "at.*", "n", "fp"), "nodes")
+    nodes = drawn.groupBy("node").agg(F.min("_row").alias("_row"), F.first("n").alias("n"), F.first("fp").alias("fp"))
+    nodes = stored(nodes, "nodes")
     worded = nodes.filter("n > 0").select("node", F.col("node").alias("root"), "fp")
-    near = _apart("check", "_check") <= plan.most(64, 2.5)
+    near = _apart("check", "_check") <= plan.most(64 * CHECKS, DEVIATIONS)
 
     def likely(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) without those whose sizes or whole fingerprints tell them apart."""
         for x in "ab":
             pairs = pairs.join(nodes.select(F.col("node").alias(x), F.col("n").alias(f"_n{x}"), F.col("fp").alias(f"_{x}")), x)
         bits = F.aggregate(F.zip_with("_a", "_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-        few = bits <= plan.most(64 * plan.words, 2.5)
+        few = bits <= plan.most(64 * plan.words, DEVIATIONS)
         return pairs.filter(_alike(F.col("_na"), F.col("_nb"), F.least("_na", "_nb"), similarity) & few).select("a", "b")
 
     def links(pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) that are alike; each b's text goes to its a, and a's once for many of them."""
         pairs = stored(pairs, "pairs")
+        if pairs.isEmpty():
+            return pairs
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        ends = stored(nodes.select("node", "_row", "_rows").join(ends, "node"), "ends")
-        texts = rows_at(docs.select(F.col(text).alias("text"), row.alias("_at")), F.col("_at"), ends.select("_row", "_rows"))
-        texts = texts.select("_row", "text").join(ends.select("node", "_row"), "_row").select("node", "text")
+        ends = stored(nodes.select("node", "_row").join(ends, "node"), "ends")
+        texts = _marked(docs.select(F.col(text).alias("text"), row.alias("_row")), "_row", ends)
+        texts = texts.join(ends.select("node", "_row"), "_row").dropDuplicates(["_row"]).select("node", "text")
+        texts = stored(texts, "texts")
         chunks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("_n"))
         chunk = F.pmod(F.xxhash64("b"), F.col("_n")).alias("chunk")
         others = pairs.join(chunks, "a").select("a", "b", chunk).join(texts.withColumnRenamed("node", "b"), "b")
@@ -206,50 +291,61 @@ def similar_groups(docs: DataFrame, row: Column, *extra: Column, text: str = "te
         both = own.groupBy("a", "chunk").cogroup(others.groupBy("a", "chunk"))
         return stored(both.applyInArrow(_count(width, similarity), "a long, b long"), "links")
 
+    def grouped(found: DataFrame) -> DataFrame:
+        """(node, root, n) of all texts with words, by the links found."""
+        roots = components(found, "a", "b")
+        rooted = nodes.filter("n > 0").select("node", "n", "fp").join(roots, "node", "left")
+        return stored(rooted.select("node", F.coalesce("root", "node").alias("root"), "n", "fp"), "grouped")
+
     # one of those at home at an anchor, and of these the nearest for each text
-    homes = worded.mapInArrow(_anchors(plan, homes_only=True), _ROW).select("anchor", "node", "check")
+    homes = worded.mapInArrow(_anchors(plan, homes_only=True), _ROW).select("anchor", "node", *_CHECKS)
     expected = worded.count() / (1 << 4 + plan.free)
     crowded = homes.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > CROWDED * expected)
-    ones = [F.sum(F.shiftrightunsigned("check", k).bitwiseAND(F.lit(1))) for k in range(64)]
-    majority = [F.when(2 * x > F.count(F.lit(1)), F.lit(1 << k if k < 63 else -(1 << 63))).otherwise(F.lit(0)) for k, x in enumerate(ones)]
-    votes = homes.join(crowded.select("anchor"), "anchor", "left_semi").groupBy("anchor").agg(reduce(Column.bitwiseOR, majority).alias("_vote"))
+    crowded = stored(crowded.select("anchor"), "crowded")
+
+    def majority(check: str) -> Column:
+        ones = [F.sum(F.shiftrightunsigned(check, k).bitwiseAND(F.lit(1))) for k in range(64)]
+        bits = [F.when(2 * x > F.count(F.lit(1)), F.lit(1 << k if k < 63 else -(1 << 63))).otherwise(F.lit(0)) for k, x in enumerate(ones)]
+        return reduce(Column.bitwiseOR, bits)
+
+    votes = homes.join(crowded, "anchor", "left_semi").groupBy("anchor").agg(*[majority(c).alias(f"_vote{k}") for k, c in enumerate(_CHECKS)])
     votes = stored(votes, "votes")
     far = F.coalesce(_apart("check", "_vote"), F.lit(0)).alias("far")
-    leaders = homes.join(votes, "anchor", "left").groupBy("anchor").agg(F.min(F.struct(far, "node", "check")).alias("leader"))
-    leaders = leaders.select("anchor", F.col("leader.node").alias("a"), F.col("leader.check").alias("_check"))
-    met = worded.mapInArrow(_anchors(plan), _ROW).select("anchor", "node", "check")
-    led = met.join(leaders, "anchor").filter((F.col("a") != F.col("node")) & near)
+    leaders = homes.join(votes, "anchor", "left").groupBy("anchor").agg(F.min(F.struct(far, "node", *_CHECKS)).alias("leader"))
+    leaders = leaders.select("anchor", F.col("leader.node").alias("a"), *[F.col(f"leader.{c}").alias(f"_{c}") for c in _CHECKS])
+    led = homes.join(leaders, "anchor").filter((F.col("a") != F.col("node")) & near)
     led = led.groupBy("node").agg(F.min(F.struct(_apart("check", "_check").alias("bits"), "a")).alias("nearest"))
     first = links(likely(led.select("nearest.a", F.col("node").alias("b"))))
 
-    # where it is crowded, more of those at home in turn, so that of a large group few are left alone
-    crowd = worded.mapInArrow(_anchors(plan), _ROW).join(crowded.select("anchor"), "anchor", "left_semi")
-    crowd = stored(crowd.select("anchor", "node", "check", "home"), "crowd")
-    found = first
-    for turn in range(ROUNDS):
-        if found.isEmpty():
-            break
-        roots = stored(components(first, "a", "b"), "roots")
-        rows = crowd.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        next_ = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("by"), "node", "check", "root")).alias("next")
-        leaders = rows.filter("home").groupBy("anchor").agg(next_)
-        leaders = leaders.select("anchor", F.col("next.node").alias("a"), F.col("next.check").alias("_check"), F.col("next.root").alias("_root"))
-        led = rows.join(leaders, "anchor").filter((F.col("root") != F.col("_root")) & near)
-        led = led.groupBy("node").agg(F.min(F.struct(_apart("check", "_check").alias("bits"), "a")).alias("nearest"))
-        led = led.select("nearest.a", F.col("node").alias("b"))
-        found = links(likely(led))
-        first = first.unionByName(found)
-
     # one member of each group at an anchor, and those of other groups
-    roots = components(first, "a", "b")
-    placed = stored(worded.drop("root").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "fp"), "placed")
-    one = F.min(F.struct("node", "check")).alias("one")
+    placed = grouped(first).select("node", "root", "fp")
+    one = F.min(F.struct("node", *_CHECKS)).alias("one")
     at_home = placed.mapInArrow(_anchors(plan, homes_only=True), _ROW).groupBy("anchor", "root").agg(one)
-    at_home = at_home.select("anchor", F.col("root").alias("_root"), F.col("one.node").alias("a"), F.col("one.check").alias("_check"))
+    checks = [F.col(f"one.{c}").alias(f"_{c}") for c in _CHECKS]
+    at_home = at_home.select("anchor", F.col("root").alias("_root"), F.col("one.node").alias("a"), *checks)
     guests = placed.mapInArrow(_anchors(plan), _ROW).groupBy("anchor", "root").agg(one).select("anchor", "root", "one.*")
     pairs = at_home.join(guests, (at_home["anchor"] == guests["anchor"]) & (F.col("root") != F.col("_root")) & near)
     pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-    joined = components(first.unionByName(links(likely(pairs))), "a", "b")
+    first = first.unionByName(links(likely(pairs)))
+
+    # the rest, exactly: texts of different groups that share enough within their heads
+    sampled = docs.filter(F.pmod(F.xxhash64(text), F.lit(SAMPLE)) == 0).select(F.explode(_sets(width)(F.col(text))).alias("shingle"))
+    sampled = sampled.groupBy("shingle").count().filter(F.col("count") >= COMMON)
+    common = np.array([r.shingle for r in sampled.orderBy(F.desc("count"), "shingle").limit(TOLD).collect()], np.int64)
+    heads = docs.select(F.col(text)).mapInArrow(_heads(width, similarity, common), "shingle long, node long, place long")
+    met = stored(_shared_by(heads, "node").groupBy("shingle", "node").agg(F.min("place").alias("place")), "met")
+
+    rows = met.join(grouped(first).select("node", "root", "n"), "node")
+    rows = stored(_shared_by(rows, "root"), "meeting")
+    left, right = (rows.select(*[F.col(c).alias(f"{c}_{x}") for c in rows.columns]) for x in "ab")
+    # both shall have ``whole`` in common, and the first few of these are so far from the end in either
+    whole = F.ceil((F.col("n_a") + F.col("n_b")) * similarity.numerator / (similarity.numerator + similarity.denominator))
+    few = F.least(whole, F.floor(F.least("n_a", "n_b") / ASKED) + 1)
+    early = [F.col(f"place_{x}") <= F.col(f"n_{x}") - whole + few for x in "ab"]
+    sizes = whole <= F.least("n_a", "n_b")
+    pairs = left.join(right, (F.col("shingle_a") == F.col("shingle_b")) & (F.col("root_a") < F.col("root_b")) & sizes & early[0] & early[1])
+    pairs = pairs.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b"), few.alias("few")).agg(F.count(F.lit(1)).alias("both"))
+    joined = components(first.unionByName(links(pairs.filter("both >= few").select("a", "b"))), "a", "b")
     return drawn.drop("n", "fp").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("node")
 
 
@@ -268,4 +364,9 @@ def keep_one_per_group(docs: DataFrame, similarity: Fraction = SIMILARITY) -> Da
     counted = found.groupBy("root", "_row").agg(F.first("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("_rows"))
     winners = counted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row", "_rows")).alias("w"))
     winners = stored(winners.select("w._row", "w._rows"), "winners")
-    return rows_at(docs, pick, winners).select(*docs.columns)
+    # most rows stay; only those that may be others', or repeated, are told apart by a shuffle
+    others = stored(counted.select("_row").join(winners.filter("_rows = 1"), "_row", "left_anti"), "others")
+    name = unused("_row", docs)
+    keyed = docs.withColumn(name, pick)
+    found = rows_at(_marked(keyed, name, others).drop(name), pick, winners)
+    return _marked(keyed, name, others, others=True).select(*docs.columns).unionByName(found.select(*docs.columns))
