@@ -138,6 +138,30 @@ def test_components_of_chains_and_stars(spark):
     assert len(set(roots.values())) == 3 and len(roots) == 201 + 300 + 2
 
 
+def test_rounds_of_few_links_are_few_tasks(spark):
+    """However many partitions a shuffle has: the driver keeps a record of each task."""
+    rng = random.Random(3)
+    edges = [(k, rng.randrange(k)) for k in range(1, 2000)] + [(9000, 9001 + k) for k in range(2000)]
+    table = spark.createDataFrame(edges, "a long, b long").repartition(8)
+    held = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    sc = spark.sparkContext
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        sc.setJobGroup("components", "components")
+        roots = {r.node: r.root for r in components(table, "a", "b").collect()}
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(roots) == 4001 and len(set(roots.values())) == 2 and roots[0] == roots[1999] != roots[9000]
+    seen = sc.statusTracker()
+    stages = {s for j in seen.getJobIdsForGroup("components") for s in seen.getJobInfo(j).stageIds}
+    done = [x for x in map(seen.getStageInfo, stages) if x]
+    assert done and sum(x.numCompletedTasks for x in done) < 1200
+
+
 def test_one_of_each_group_stays(odd, none):
     kept = simhash.keep_one_per_group(odd)
     assert kept.columns == odd.columns
