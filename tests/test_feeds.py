@@ -76,3 +76,46 @@ def test_sessions_open_within_the_millisecond_of_the_watermark(spark):
         "(TIMESTAMP'2024-01-01 00:40:00.000700') AS x(t)"
     )
     assert jobs.open_sessions(rows, gap="30 minutes", least=1, lateness="10 minutes").count() == 2
+
+
+def _tables(spark, path, rows):
+    """A folder of the tables that sightings need, with these (event_id, ts, user_id) as events of one item."""
+    shutil.copy("/root/testdata/sf0.001/nation.parquet", path / "nation.parquet")
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    values = ", ".join(f"({i}L, TIMESTAMP_NTZ'{t}', {u}L)" for i, t, u in rows)
+    made = spark.sql(f"SELECT *, 'view' AS event_type, 1.0D AS value, '{{\"k\": 5}}' AS props FROM VALUES {values} AS x(event_id, ts, user_id)")
+    made.select(*events.columns).coalesce(1).write.parquet(str(path / "events.parquet"))
+    return str(path)
+
+
+def _connected(d):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    con.execute(f"CREATE VIEW nation AS SELECT * FROM '{d}/nation.parquet'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{d}/events.parquet/*.parquet'")
+    return con
+
+
+def test_bursts_end_where_the_gap_is_just_reached(spark, tmp_path):
+    """Uploads exactly 30 minutes apart are two sessions; one that ends within the last millisecond before the mark is closed."""
+    times = ["00:00:00", "00:29:59.999999", "00:59:59.999999", "01:00:00", "02:00:00.000300", "02:00:00.000300", "02:40:00.000700"]
+    rows = [(i, f"2024-01-01 {t}", 7) for i, t in enumerate(times)]
+    rows += [(20, "2024-01-01 02:00:00.000700", 8), (21, "2024-01-01 02:00:00.000700", 8), (22, "2024-01-01 02:00:00.000701", 9), (23, "2024-01-01 02:00:00.000701", 9)]
+    d = _tables(spark, tmp_path, rows)
+    found = QUERIES["stream_reupload_bursts"](spark, d)
+    assert sorted((r.uploads, r.closed) for r in found.collect()) == [(2, False), (2, True), (2, True), (2, True), (2, True)]
+    assert oracle.compare(spark, _connected(d), QUERIES["stream_reupload_bursts"], ORACLE["stream_reupload_bursts"], d) == (None, 5)
+
+
+def test_bursts_do_not_depend_on_the_order_of_files(spark, many_files, con, monkeypatch):
+    """A file system whose times say nothing of the order of writing brings the last part first."""
+    path = scratch_path(spark, "events-backwards")
+    events = spark.read.parquet(f"{many_files}/events.parquet")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    first, last = events.agg(F.min(at), F.max(at)).first()
+    stream_book._written(events, 3 - F.floor((at - first) * 4 / (last - first + 1)), 4, path, 2)
+    monkeypatch.setattr(stream_book, "_PARTS", {(spark.sparkContext.applicationId, many_files): (path, 2)})
+    problem, n = oracle.compare(spark, con, QUERIES["stream_reupload_bursts"], ORACLE["stream_reupload_bursts"], many_files)
+    assert problem is None and n > 0

@@ -167,13 +167,19 @@ FROM (SELECT *, sum(CASE WHEN gap < INTERVAL 30 MINUTE THEN 0 ELSE 1 END) OVER (
 GROUP BY video_hash, ip_hash, s
 HAVING count(*) >= 2""")
 def _(spark, d):
-    closed = jobs.run_to_table(
-        jobs.stream_reupload_bursts(_stream(spark, d, True), least=2), "bursts"
-    )
+    """Sessions that the stream has closed and those still open; sources with late rows again from the table."""
+    def bursts(rows):
+        return jobs.stream_reupload_bursts(rows, least=2)
+
+    closed = jobs.run_to_table(bursts(_stream(spark, d, True)), "bursts")
     stored = _dense(derived.sightings(spark, d))
-    out = closed.withColumn("closed", F.lit(True)).unionByName(
-        jobs.open_sessions(stored, least=2).withColumn("closed", F.lit(False))
-    )
+    out = closed.unionByName(jobs.open_sessions(stored, least=2))
+    late = jobs.late_rows(_stream(spark, d, True))
+    out = jobs.corrected(out, late, stored, bursts, ["video_hash", "ip_hash"])
+    # to the microsecond, where the watermark that closes sessions has whole milliseconds
+    ended = F.col("ts").cast("timestamp") - F.expr(f"INTERVAL {jobs.LATENESS}")
+    mark = derived.table(spark, d, "events").agg(F.unix_micros(F.max(ended))).first()[0]
+    out = out.withColumn("closed", F.unix_micros("session_end") <= F.lit(mark))
     return out.withColumns(
         {c: _naive(F.col(c)) for c in ("session_start", "session_end")}
     )

@@ -218,19 +218,21 @@ def stream_reupload_bursts(
 ) -> DataFrame:
     """Sessions of uploads of an item by one source, with enough uploads.
 
-    On a stream a session comes out when the watermark has passed its end. Those still open are
-    ``open_sessions`` of the stored rows.
+    An upload that follows the one before by ``gap`` or more begins a session. On a stream a session comes
+    out when the watermark has passed its end. Those still open are ``open_sessions`` of the stored rows.
     """
+    # windows that touch are one to Spark, so they are the least unit of time shorter than the session
+    window = F.session_window("at", f"{gap} -1 microsecond")
     counted = (
         event_time(sightings)
-        .groupBy("video_hash", "ip_hash", F.session_window("at", gap).alias("s"))
+        .groupBy("video_hash", "ip_hash", window.alias("s"))
         .agg(F.count(F.lit(1)).alias("uploads"))
     )
     return counted.where(F.col("uploads") >= least).select(
         "video_hash",
         "ip_hash",
         F.col("s.start").alias("session_start"),
-        F.col("s.end").alias("session_end"),
+        (F.col("s.end") + F.expr("INTERVAL 1 MICROSECOND")).alias("session_end"),
         "uploads",
     )
 
@@ -243,7 +245,7 @@ def open_sessions(
     last = F.max(F.col("ts").cast("timestamp")) - F.expr(f"INTERVAL {lateness}")
     # one number: the watermark that the stream ended with, which has whole milliseconds
     mark = stored.agg(F.unix_millis(last) * 1000).first()[0]
-    return sessions.where(F.unix_micros("session_end") > F.lit(mark))
+    return sessions.where(F.unix_micros("session_end") - 1 > F.lit(mark))
 
 
 def _decided(rows: DataFrame, keys: list[str], decider: Decider, schema: str, lateness: str | None, ttl: str | int | None):
