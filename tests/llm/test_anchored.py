@@ -155,3 +155,30 @@ def test_groups_are_those_of_all_pairs(spark):
         want.setdefault(find(i), set()).add(i)
     assert len(want) < len(texts) - 100
     assert sorted(map(sorted, found.values())) == sorted(map(sorted, want.values()))
+
+
+def _sent(plan):
+    """What the plan's broadcasts send, each with all below it."""
+    lines = plan.splitlines()
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+    for k, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            end = next((j for j in range(k + 1, len(lines)) if depth[j] <= depth[k]), len(lines))
+            yield "\n".join(lines[k:end])
+
+
+def test_no_table_of_anchors_fingerprints_or_texts_is_broadcast(spark, monkeypatch):
+    """Spark sizes what a function makes as what it is given, so the anchors of a table that is small on disk would be sent."""
+    plans, keep = [], anchored.stored
+
+    def stored(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df, label)
+
+    monkeypatch.setattr(anchored, "stored", stored)
+    table = spark.createDataFrame(many_copies(random.Random(8)), "doc_id long, text string").repartition(4)
+    last = anchored.keep_one_per_group(table)
+    plans.append(last._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 12 and any("MapInArrow" in p for p in plans)
+    sent = [x for p in plans for x in _sent(p)]
+    assert not [x for x in sent if "MapInArrow" in x or "Generate" in x or "fp#" in x or "text#" in x]

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trailmark.llm.common import bound_batches, once, stored, unused
+from trailmark.llm.common import bound_batches, once, stored, unsent, unused
 from trailmark.llm.components import components
 from trailmark.llm.shingles import rows_at, shingle_hashes
 
@@ -267,7 +267,8 @@ def similar_groups(docs: DataFrame, row: Column, *extra: Column, text: str = "te
     def likely(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) without those whose sizes or whole fingerprints tell them apart."""
         for x in "ab":
-            pairs = pairs.join(nodes.select(F.col("node").alias(x), F.col("n").alias(f"_n{x}"), F.col("fp").alias(f"_{x}")), x)
+            own = nodes.select(F.col("node").alias(x), F.col("n").alias(f"_n{x}"), F.col("fp").alias(f"_{x}"))
+            pairs = pairs.join(unsent(own), x)
         bits = F.aggregate(F.zip_with("_a", "_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
         few = bits <= plan.most(64 * plan.words, DEVIATIONS)
         return pairs.filter(_alike(F.col("_na"), F.col("_nb"), F.least("_na", "_nb"), similarity) & few).select("a", "b")
@@ -278,15 +279,15 @@ def similar_groups(docs: DataFrame, row: Column, *extra: Column, text: str = "te
         if pairs.isEmpty():
             return pairs
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        ends = stored(nodes.select("node", "_row").join(ends, "node"), "ends")
+        ends = stored(nodes.select("node", "_row").join(unsent(ends), "node"), "ends")
         texts = _marked(docs.select(F.col(text).alias("text"), row.alias("_row")), "_row", ends)
-        texts = texts.join(ends.select("node", "_row"), "_row").dropDuplicates(["_row"]).select("node", "text")
+        texts = texts.join(unsent(ends.select("node", "_row")), "_row").dropDuplicates(["_row"]).select("node", "text")
         texts = stored(texts, "texts")
         chunks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("_n"))
         chunk = F.pmod(F.xxhash64("b"), F.col("_n")).alias("chunk")
-        others = pairs.join(chunks, "a").select("a", "b", chunk).join(texts.withColumnRenamed("node", "b"), "b")
+        others = pairs.join(unsent(chunks), "a").select("a", "b", chunk).join(unsent(texts.withColumnRenamed("node", "b")), "b")
         own = chunks.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("chunk"))
-        own = own.join(texts.withColumnRenamed("node", "a"), "a")
+        own = own.join(unsent(texts.withColumnRenamed("node", "a")), "a")
         own = own.select(*[F.col(c).alias(c) for c in own.columns])  # columns of its own, told apart from those of ``others``
         both = own.groupBy("a", "chunk").cogroup(others.groupBy("a", "chunk"))
         return stored(both.applyInArrow(_count(width, similarity), "a long, b long"), "links")
@@ -294,7 +295,7 @@ def similar_groups(docs: DataFrame, row: Column, *extra: Column, text: str = "te
     def grouped(found: DataFrame) -> DataFrame:
         """(node, root, n) of all texts with words, by the links found."""
         roots = components(found, "a", "b")
-        rooted = nodes.filter("n > 0").select("node", "n", "fp").join(roots, "node", "left")
+        rooted = nodes.filter("n > 0").select("node", "n", "fp").join(unsent(roots), "node", "left")
         return stored(rooted.select("node", F.coalesce("root", "node").alias("root"), "n", "fp"), "grouped")
 
     # one of those at home at an anchor, and of these the nearest for each text
@@ -313,7 +314,7 @@ def similar_groups(docs: DataFrame, row: Column, *extra: Column, text: str = "te
     far = F.coalesce(_apart("check", "_vote"), F.lit(0)).alias("far")
     leaders = homes.join(votes, "anchor", "left").groupBy("anchor").agg(F.min(F.struct(far, "node", *_CHECKS)).alias("leader"))
     leaders = leaders.select("anchor", F.col("leader.node").alias("a"), *[F.col(f"leader.{c}").alias(f"_{c}") for c in _CHECKS])
-    led = homes.join(leaders, "anchor").filter((F.col("a") != F.col("node")) & near)
+    led = homes.join(unsent(leaders), "anchor").filter((F.col("a") != F.col("node")) & near)
     led = led.groupBy("node").agg(F.min(F.struct(_apart("check", "_check").alias("bits"), "a")).alias("nearest"))
     first = links(likely(led.select("nearest.a", F.col("node").alias("b"))))
 
@@ -324,7 +325,7 @@ def similar_groups(docs: DataFrame, row: Column, *extra: Column, text: str = "te
     checks = [F.col(f"one.{c}").alias(f"_{c}") for c in _CHECKS]
     at_home = at_home.select("anchor", F.col("root").alias("_root"), F.col("one.node").alias("a"), *checks)
     guests = placed.mapInArrow(_anchors(plan), _ROW).groupBy("anchor", "root").agg(one).select("anchor", "root", "one.*")
-    pairs = at_home.join(guests, (at_home["anchor"] == guests["anchor"]) & (F.col("root") != F.col("_root")) & near)
+    pairs = at_home.join(unsent(guests), (at_home["anchor"] == guests["anchor"]) & (F.col("root") != F.col("_root")) & near)
     pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
     first = first.unionByName(links(likely(pairs)))
 
@@ -335,7 +336,7 @@ def similar_groups(docs: DataFrame, row: Column, *extra: Column, text: str = "te
     heads = docs.select(F.col(text)).mapInArrow(_heads(width, similarity, common), "shingle long, node long, place long")
     met = stored(_shared_by(heads, "node").groupBy("shingle", "node").agg(F.min("place").alias("place")), "met")
 
-    rows = met.join(grouped(first).select("node", "root", "n"), "node")
+    rows = met.join(unsent(grouped(first).select("node", "root", "n")), "node")
     rows = stored(_shared_by(rows, "root"), "meeting")
     left, right = (rows.select(*[F.col(c).alias(f"{c}_{x}") for c in rows.columns]) for x in "ab")
     # both shall have ``whole`` in common, and the first few of these are so far from the end in either
@@ -343,10 +344,10 @@ def similar_groups(docs: DataFrame, row: Column, *extra: Column, text: str = "te
     few = F.least(whole, F.floor(F.least("n_a", "n_b") / ASKED) + 1)
     early = [F.col(f"place_{x}") <= F.col(f"n_{x}") - whole + few for x in "ab"]
     sizes = whole <= F.least("n_a", "n_b")
-    pairs = left.join(right, (F.col("shingle_a") == F.col("shingle_b")) & (F.col("root_a") < F.col("root_b")) & sizes & early[0] & early[1])
+    pairs = left.join(unsent(right), (F.col("shingle_a") == F.col("shingle_b")) & (F.col("root_a") < F.col("root_b")) & sizes & early[0] & early[1])
     pairs = pairs.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b"), few.alias("few")).agg(F.count(F.lit(1)).alias("both"))
     joined = components(first.unionByName(links(pairs.filter("both >= few").select("a", "b"))), "a", "b")
-    return drawn.drop("n", "fp").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("node")
+    return drawn.drop("n", "fp").join(unsent(joined), "node", "left").withColumn("root", F.coalesce("root", "node")).drop("node")
 
 
 def keep_one_per_group(docs: DataFrame, similarity: Fraction = SIMILARITY) -> DataFrame:
@@ -363,7 +364,7 @@ def keep_one_per_group(docs: DataFrame, similarity: Fraction = SIMILARITY) -> Da
     found = similar_groups(docs, pick, F.col("doc_id"), similarity=similarity)
     counted = found.groupBy("root", "_row").agg(F.first("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("_rows"))
     winners = counted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row", "_rows")).alias("w"))
-    winners = stored(winners.select("w._row", "w._rows"), "winners")
+    winners = unsent(stored(winners.select("w._row", "w._rows"), "winners"))
     # most rows stay; only those that may be others', or repeated, are told apart by a shuffle
     others = stored(counted.select("_row").join(winners.filter("_rows = 1"), "_row", "left_anti"), "others")
     name = unused("_row", docs)
