@@ -208,3 +208,23 @@ def test_late_sides_are_given_out_and_old_detections_go(spark):
     assert {r for r in got if not r[-1]} == {("v", "sighting", 10, 1, 1, False), ("v", "sighting", 12, 2, 1, False)}
     assert {r[1:3] for r in got if r[-1]} == {("detection", 3), ("sighting", 14)}
     assert all(r[3:5] == (None, None) for r in got if r[-1])
+
+
+def test_a_crowded_item_is_decided_slot_by_slot(spark, monkeypatch):
+    """The rows of one item are many keys of state; detections at the end of a slot count in the next."""
+    rng, within = random.Random(5), 20
+    found = [(i, rng.randrange(1200)) for i in range(300)] + [(400 + k, second) for k, second in enumerate((119, 120, 239, 240, 100))]
+    seen = [(1000 + i, rng.randrange(1200)) for i in range(600)] + [(2000 + k, second) for k, second in enumerate((120, 139, 140, 141, 240, 260))]
+    rows = [files(spark, [row(e, s) for e, s in side], [heartbeat(9000)]) for side in (found, seen)]
+    out = jobs.stream_last_detection(*[stream(spark, r) for r in rows], within, "2000 seconds")
+    done = jobs.run_to_table(out, "slots")
+    want = set()
+    for event, second in seen:
+        before = [(s, e) for e, s in found if s < second <= s + within]
+        if before:
+            want.add((event, max(before)[1], len(before), False))
+    assert {(r.event_id, r.detection_id, r.detections, r.late) for r in done.collect()} == want
+    # what one call of the state is given at most
+    monkeypatch.setattr(jobs, "_decided", lambda rows, keys, *_: rows.groupBy(*keys).count())
+    found, seen = (spark.read.schema(SHAPE).parquet(r) for r in rows)
+    assert jobs.stream_last_detection(found, seen, within, "2000 seconds").agg(F.max("count")).first()[0] < 150

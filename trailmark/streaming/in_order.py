@@ -20,7 +20,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from trailmark.operators.spread import MILESTONE_STEP, MILESTONES
 
 ORDER = ["seconds", "event_id"]
-DETECTION, SIGHTING = "detection", "sighting"
+#: Kinds of rows; a carried one is a detection of the slot of time before.
+DETECTION, SIGHTING, CARRIED = "detection", "sighting", "carried"
 #: Entries of state that the sources of an item are dealt over. An entry is read and written as a whole.
 SOURCE_SLOTS = 1024
 #: Most rows that wait in one entry of state.
@@ -44,9 +45,13 @@ def _rows(blocks: Iterator[tuple[bytes]], columns: list[str]) -> pd.DataFrame:
 
 
 class Decider:
-    """State of one kind of key. ``FIELDS`` names the columns besides ORDER that it takes, all of them strings."""
+    """State of one kind of key. ``FIELDS`` names the columns besides ORDER that it takes, all of them strings.
+
+    Where keys are slots of time, ``SLOTS``, none knows what has been decided of the others.
+    """
 
     FIELDS: list[str] = []
+    SLOTS = False
 
     def open(self, handle: StatefulProcessorHandle, **options) -> None:
         raise NotImplementedError
@@ -55,8 +60,8 @@ class Decider:
         """Takes rows in order; what they tell, or None for nothing."""
         raise NotImplementedError
 
-    def late(self, key: tuple, rows: pd.DataFrame, behind: np.ndarray) -> pd.DataFrame:
-        """Rows that came too late, by so many seconds."""
+    def late(self, key: tuple, rows: pd.DataFrame, behind: np.ndarray) -> pd.DataFrame | None:
+        """Rows that came too late, by so many seconds; None if all of them are told for another key."""
         raise NotImplementedError
 
     def forget(self) -> None:
@@ -188,12 +193,13 @@ class Spread(Decider):
 
 
 class LastDetection(Decider):
-    """Per item the detections of the last ``within`` seconds, one entry per second, for the sightings that follow.
+    """Per item and slot of time the detections of the last ``within`` seconds, one entry per second, for the sightings that follow.
 
-    Takes rows of both kinds; each sighting finds the last detection of an earlier second and how many there are.
+    Takes rows of all kinds; each sighting finds the last detection of an earlier second and how many there are.
     """
 
     FIELDS = ["kind"]
+    SLOTS = True
 
     def __init__(self, within_seconds: int):
         self.within = within_seconds
@@ -203,7 +209,7 @@ class LastDetection(Decider):
         self.recent = handle.getListState("recent", "second bigint, event_id bigint, n bigint", **options)
 
     def decide(self, key, rows):
-        found = rows["kind"].to_numpy() == DETECTION
+        found = rows["kind"].to_numpy() != SIGHTING
         known = pd.DataFrame(list(self.recent.get()) if self.recent.exists() else [], columns=["second", "event", "n"], dtype="int64")
         new = pd.DataFrame({"second": rows["seconds"][found], "event": rows["event_id"][found], "n": 1})
         told = pd.concat([known, new.astype("int64")]).groupby("second", as_index=False).agg({"event": "max", "n": "sum"})
@@ -234,7 +240,8 @@ class LastDetection(Decider):
         return pd.DataFrame(out | {"detections": numbers(n), "late": late})
 
     def late(self, key, rows, behind):
-        return self._told(key, rows["kind"].to_numpy(), rows["event_id"].to_numpy(), None, None, True)
+        rows = rows[(rows["kind"] != CARRIED).to_numpy()]  # carried ones are as late in their own slot
+        return self._told(key, rows["kind"].to_numpy(), rows["event_id"].to_numpy(), None, None, True) if len(rows) else None
 
     def forget(self):
         self.recent.clear()
@@ -265,8 +272,8 @@ class InOrder(StatefulProcessor):
     A key holds the rows of the allowed lateness and of one micro-batch. A row that follows the one before
     by more than ``forget_seconds`` finds its key forgotten, whenever it comes. A key has one timer: for its
     first waiting row, or, with none waiting, for the time from which on every row would find it forgotten;
-    then its state goes. For a key that is not known, rows behind the watermark are late, for one that is
-    known only those that are not after its last decided second.
+    then its state goes. For a key that is not known, or is a slot of time, rows behind the watermark are late,
+    for one that is known only those that are not after its last decided second.
     """
 
     def __init__(self, decider: Decider, forget_seconds: int):
@@ -283,13 +290,14 @@ class InOrder(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
         decided, first, timer = self.place.get() if self.place.exists() else (None, -1, -1)
-        closed = mark // 1000 - 1 if decided is None else decided
+        closed = mark // 1000 - 1 if decided is None or self.decider.SLOTS else decided
         for chunk in rows:
             chunk = chunk[chunk["is_row"].to_numpy(dtype=bool)]  # the others are heartbeats
             seconds = chunk["seconds"].to_numpy(dtype="int64")
             late = seconds <= closed
-            if late.any():
-                yield self.decider.late(key, chunk[late], closed - seconds[late])
+            told = self.decider.late(key, chunk[late], closed - seconds[late]) if late.any() else None
+            if told is not None:
+                yield told
             chunk, seconds = chunk[~late], seconds[~late]
             if len(chunk):
                 self.held.appendList(_blocks(chunk[self.columns]))

@@ -16,11 +16,13 @@ from trailmark.functions.bits import NUM_BANDS
 from trailmark.operators.registry import fold_batch
 from trailmark.session import scratch_path
 from trailmark.sources import band_index, registry_store
-from trailmark.streaming.in_order import DETECTION, ORDER, SIGHTING, AsItComes, Cooldown, Decider, InOrder, LastDetection, Spread
+from trailmark.streaming.in_order import CARRIED, DETECTION, ORDER, SIGHTING, AsItComes, Cooldown, Decider, InOrder, LastDetection, Spread
 
 LATENESS = "10 minutes"
 #: Seconds of event time after which the state of a quiet item is forgotten.
 FORGET = 366 * 86_400
+#: How many times the span of a lookup a slot of time is long; a detection in the last of these is carried to the next slot.
+SLOT_SPANS = 6
 
 
 def stream_events(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
@@ -396,18 +398,28 @@ def stream_last_detection(
     detection (of an earlier second; ties: the greatest event_id) and how many there are.
 
     One row per sighting, where ``stream_detection_sighting_join`` has one per pair. Both sides come in any
-    order within ``lateness``; ``kind`` tells the sides apart, and rows that come after later ones of their
-    item have been decided are given out as ``late``, without a detection. The state of an item is one entry
-    per second of the span that has a detection, and the rows that wait. Rows without event_id are heartbeats.
+    order within ``lateness``; ``kind`` tells the sides apart. State is kept by item and slot of time, so an item
+    with any number of rows is many tasks' work; a detection whose span reaches into the next slot is carried to it.
+    Rows behind the watermark are given out as ``late``, without a detection. The state of a slot is one entry per
+    second of the span that has a detection, and the rows that wait. Rows without event_id are heartbeats.
     Needs the RocksDB state store and columns ts, video_hash, seconds, event_id.
     """
-    def side(rows: DataFrame, kind: str) -> DataFrame:
-        return rows.select("ts", "video_hash", *ORDER, F.lit(kind).alias("kind"))
+    width = SLOT_SPANS * max(1, within_seconds)
 
-    both = side(detections, DETECTION).unionByName(side(sightings, SIGHTING))
+    def slot(second: Column) -> Column:
+        return F.floor(second / width)
+
+    def side(rows: DataFrame, kind: str, reach: int) -> DataFrame:
+        """The rows, once for every slot from their own to that ``reach`` seconds later."""
+        second = F.coalesce("seconds", F.lit(0).cast("long"))
+        slots = F.explode(F.sequence(slot(second), slot(second + reach))).alias("slot")
+        own = F.when(F.col("slot") == slot(second), F.lit(kind)).otherwise(F.lit(CARRIED))
+        return rows.select("ts", "video_hash", *ORDER, slots).withColumn("kind", own)
+
+    both = side(detections, DETECTION, within_seconds).unionByName(side(sightings, SIGHTING, 0))
     schema = "video_hash string, kind string, event_id bigint, detection_id bigint, detections bigint, late boolean"
     rows = event_time(both, lateness)
-    return _decided(rows, ["video_hash"], LastDetection(within_seconds), schema, lateness, within_seconds)
+    return _decided(rows, ["video_hash", "slot"], LastDetection(within_seconds), schema, lateness, within_seconds)
 
 
 def stream_upsert_registry(
