@@ -116,3 +116,24 @@ def test_the_audit_counts_what_was_missed(spark):
     for share in (1, 0):
         found = spark.createDataFrame([(k, n * share) for k, n in want.items()], "node binary, hits long")
         assert vg.audit(table, found, "<f8", queries=len(rows)) == share
+
+
+def test_shards_are_not_handed_what_is_unlike(monkeypatch, spark):
+    """What a shard gets beyond its own nodes follows the like pairs, not all neighbours; pairs over shards still link."""
+    monkeypatch.setattr(vg, "SHARD", 60)
+    monkeypatch.setattr(vg, "FIT", 200)
+    kept, keep = {}, vg.stored
+
+    def stored(df, label):
+        kept[label] = keep(df, label)
+        return kept[label]
+
+    monkeypatch.setattr(vg, "stored", stored)
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(600, 24))
+    rows = [(i, x.tolist(), 1) for i, x in enumerate(v)]
+    rows += [(1000 + i, (x + rng.normal(size=24) * 0.02).tolist(), 1) for i, x in enumerate(v[:100])]
+    found = vg.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long"))
+    assert found.agg({"n_links": "sum"}).first()[0] >= 198
+    lists = kept["lists"]
+    assert sum(len(r[1]) for r in lists.collect()) < 600

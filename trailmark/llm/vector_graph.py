@@ -3,8 +3,11 @@
 Only vectors of one label and length are compared, and equal ones are one node. Nodes are parted by
 centers until a cell is a shard of bounded size; where a cell is parted a node also joins the cells next
 to its own, so shards overlap. In every shard each node is given neighbours by robust pruning: of its
-nearest ones those that are no nearer to a neighbour already taken. The lists of a node from all its
-shards are united, and each shard is handed what its nodes' united lists lead to beyond it.
+nearest ones those that are no nearer to a neighbour already taken. Of these, close ones are told to all
+shards: those so near that both may lie within the range of one query, as no step of a search by range is
+longer. What centers part once is parted again by others, for close lists alone, as two like vectors may share
+no shard of one parting. The close lists of a node from all its shards are united, and each shard is handed what
+its nodes' united lists lead to beyond it. The other neighbours stay in their shard, as places in it.
 
 A node is looked up in its own shard: greedily from the medoid, and from there by range: whatever lies
 within the range (and a little beyond) leads on to its neighbours until nothing new is found. Links are
@@ -94,8 +97,11 @@ def _assign(dtype: str):
     return assign
 
 
-def shards(nodes: DataFrame, dtype: str) -> DataFrame:
-    """(cell, node, v, copies, home) with at most SHARD rows a cell; every node is at home in one cell."""
+def shards(nodes: DataFrame, dtype: str, turn: int = 0) -> DataFrame:
+    """(cell, node, v, copies, home) with at most SHARD rows a cell; every node is at home in one cell.
+
+    Another ``turn`` draws other centers.
+    """
     members = nodes.select("cell", "node", "v", "copies", F.lit(True).alias("home"))
     ready: list[DataFrame] = []
     for depth in range(100):
@@ -105,10 +111,10 @@ def shards(nodes: DataFrame, dtype: str) -> DataFrame:
             break
         large = members.join(sizes, "cell")
         if depth >= ROUNDS:
-            part = F.pmod(F.xxhash64("node", F.lit(depth)), F.ceil(2 * F.col("_n") / SHARD))
+            part = F.pmod(F.xxhash64("node", F.lit(depth + 100 * turn)), F.ceil(2 * F.col("_n") / SHARD))
             members = large.withColumn("cell", F.concat_ws("/", "cell", part.cast("string"))).drop("_n")
         else:
-            drawn = F.pmod(F.xxhash64("node", F.lit(depth)), F.lit(1 << 20)) < F.ceil((1 << 20) * FIT / F.col("_n"))
+            drawn = F.pmod(F.xxhash64("node", F.lit(depth + 100 * turn)), F.lit(1 << 20)) < F.ceil((1 << 20) * FIT / F.col("_n"))
 
             def fit(group: pa.Table) -> pa.Table:
                 group = group.sort_by("node")
@@ -181,14 +187,24 @@ def _prune(x: np.ndarray, like: np.ndarray, among: np.ndarray) -> list[np.ndarra
     return out
 
 
-_LISTED = "cell string, node binary, v binary, copies long, home boolean, near array<binary>"
+#: near: places among the nodes of the cell in order; close: nodes.
+_LISTED = "cell string, node binary, v binary, copies long, home boolean, near binary, close array<binary>"
+
 
+def close_by(similar: float) -> float:
+    """The least cosine of two vectors that both are in what a search by range of a third goes on from."""
+    reach = max(0.0, min(NEARBY, similar))
+    return 2 * reach * reach - 1 - 1e-9
 
-def _build(dtype: str):
+
+def _build(dtype: str, similar: float):
     def build(group: pa.Table) -> pa.Table:
-        names = np.array(group["node"].to_pylist(), object)
-        lists = pruned(_units(group["v"].to_pylist(), dtype))
-        return group.select(["cell", "node", "v", "copies", "home"]).append_column("near", pa.array([names[i].tolist() for i in lists], pa.list_(pa.binary())))
+        group = group.sort_by("node")
+        names, x = np.array(group["node"].to_pylist(), object), _units(group["v"].to_pylist(), dtype)
+        lists = pruned(x)
+        near = pa.array([i.astype(np.int32).tobytes() for i in lists], pa.binary())
+        close = pa.array([names[i[x[i] @ own >= close_by(similar)]].tolist() for own, i in zip(x, lists, strict=True)], pa.list_(pa.binary()))
+        return group.select(["cell", "node", "v", "copies", "home"]).append_column("near", near).append_column("close", close)
 
     return build
 
@@ -276,12 +292,14 @@ def _search(dtype: str, beam: int, similar: float):
         group = group.sort_by("node")
         names, copies = group["node"].to_pylist(), group["copies"].to_numpy()
         home, member = (group[c].to_numpy(zero_copy_only=False) for c in ("home", "member"))
-        place = {x: i for i, x in enumerate(names)}
-        lists = [[place[y] for y in own if y in place] for own in group["near"].to_pylist()]
+        place, inner = {x: i for i, x in enumerate(names)}, np.flatnonzero(member)
+        within = [inner[np.frombuffer(own or b"", np.int32)] for own in group["near"].to_pylist()]
+        across = [[place[y] for y in own if y in place] for own in group["close"].to_pylist()]
+        lists = [np.union1d(i, np.array(j, np.int64)) for i, j in zip(within, across, strict=True)]
         near = np.full((len(names), max(1, *map(len, lists))), -1)
         for i, own in enumerate(lists):
             near[i, : len(own)] = own
-        x, inner = _units(group["v"].to_pylist(), dtype), np.flatnonzero(member)
+        x = _units(group["v"].to_pylist(), dtype)
         medoid = inner[np.argmax(x[inner] @ x[inner].mean(axis=0))]
         asked = np.flatnonzero(home)
         a, b = in_range(x, near, np.array([medoid]), asked, beam, similar)
@@ -362,16 +380,20 @@ def near_duplicates(vectors: DataFrame, *, key: str = "vec_id", vector: str = "e
     nodes = keyed.filter("node is not null").groupBy("cell", "node").agg(F.first("v").alias("v"), F.count(F.lit(1)).alias("copies"), F.min("key").alias("least"))
     nodes = stored(nodes, "nodes")
 
-    listed = shards(nodes, dtype).groupBy("cell").applyInArrow(_build(dtype), _LISTED)
+    listed = shards(nodes, dtype).groupBy("cell").applyInArrow(_build(dtype, similar), _LISTED)
     listed = stored(listed, "shards")
-    united = listed.select("node", F.explode("near").alias("near")).groupBy("node").agg(F.collect_set("near").alias("near"))
+    parted = nodes.groupBy("cell").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > SHARD).select("cell")
+    again = shards(nodes.join(parted, "cell", "left_semi"), dtype, 1).groupBy("cell").applyInArrow(_build(dtype, similar), _LISTED)
+    close = listed.select("node", "close").unionByName(again.select("node", "close"))
+    united = close.select("node", F.explode("close").alias("close")).groupBy("node").agg(F.collect_set("close").alias("close"))
     united = stored(united, "lists")
-    members = listed.select("cell", "node", "v", "copies", "home", F.lit(True).alias("member")).join(united, "node", "left")
-    beyond = members.select("cell", F.explode("near").alias("node")).distinct().join(listed.select("cell", "node"), ["cell", "node"], "left_anti")
+    told = listed.select("cell", "node").join(united, "node").select("cell", F.explode("close").alias("node")).distinct()
+    beyond = told.join(listed.select("cell", "node"), ["cell", "node"], "left_anti")
     beyond = beyond.join(nodes.select("node", "v", "copies"), "node").join(united, "node", "left")
-    beyond = beyond.select("cell", "node", "v", "copies", F.lit(False).alias("home"), F.lit(False).alias("member"), "near")
+    beyond = beyond.select("cell", "node", "v", "copies", F.lit(False).alias("home"), F.lit(False).alias("member"), F.lit(None).cast("binary").alias("near"), "close")
+    members = listed.drop("close").withColumn("member", F.lit(True)).join(united, "node", "left")
     none = F.array().cast("array<binary>")
-    regions = members.unionByName(beyond).withColumn("near", F.coalesce("near", none))
+    regions = members.unionByName(beyond).withColumn("close", F.coalesce("close", none))
 
     beam = BEAM
     while True:
